@@ -130,7 +130,8 @@ def program_orders(carts: DataFrame, orders: DataFrame, metadata: DataFrame, shi
     received = join_on(shipped, samples.select("sample_id", F.col("received").alias("sample_received_date")),
                        {"sample_id": "sample_id"})
     cart = carts.select("cart_id", "product", DATE, "program", "source", F.col("order_id_modified").alias("use_for_join"))
-    joined = cart.join(received, "use_for_join", "left").withColumn(
+    overlapping = [c for c in cart.columns if c != "use_for_join"]
+    joined = cart.join(received.drop(*overlapping), "use_for_join", "left").withColumn(
         "__single", F.when(F.col("prescription_id").isNull(), F.coalesce("order_id", "cart_id"))
     )
     # delivery day, and behind all of them the creation day of undelivered kits
