@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-_MODULES = ("ops_summary", "lab_ops", "billing", "checkout", "marketing", "experiments")
+_MODULES = ("ops_summary", "lab_ops", "billing", "checkout", "marketing", "experiments", "refresh", "primitives")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -39,6 +40,11 @@ def checkpoint_folder(spark: SparkSession) -> str:
     return tempfile.mkdtemp(prefix="ordermetrics-")
 
 
+def scratch_folder(spark: SparkSession, purpose: str) -> str:
+    """A new folder for one run's files below the shared folder."""
+    return f"{checkpoint_folder(spark)}/{purpose}-{uuid.uuid4().hex}"
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint of ``df``: computed once, survives lost executors."""
     context = df.sparkSession.sparkContext
