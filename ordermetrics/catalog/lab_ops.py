@@ -124,7 +124,7 @@ def m09_blocked_detail(spark: SparkSession, folder: str) -> DataFrame:
 
 def m10_blocked_daily(spark: SparkSession, folder: str) -> DataFrame:
     """Outstanding runs per product and day, last 30 days before the clock."""
-    blocked = _blocked(Tables(spark, folder)).withColumn("date", F.date_trunc("day", "sample_received").cast("timestamp_ntz"))
+    blocked = _blocked(Tables(spark, folder)).withColumn("date", lab_ops.day("sample_received"))
     daily = lab_ops.outstanding_counts(blocked, {"first": 16, "second": 17}, ["date"])
     return lab_ops.recent_days(daily, AS_OF)
 

@@ -25,12 +25,21 @@ def _enriched(t: Tables, as_of: str = YEAR) -> DataFrame:
 def m32_enriched_orders(spark: SparkSession, folder: str) -> DataFrame:
     rows = _enriched(Tables(spark, folder))
     return rows.select(
-        "order_id", "created_at", "created_year", "clinical_type_name", "order_meta_values", "utm_source", "utm_medium",
+        "order_id", "created_at", "created_year", "clinical_type_name", "utm_source", "utm_medium",
         "multikit_stat", "mk_upg_stat", "upg_details", "upgrade_stat", "order_id_modified", "order_channel",
         "sample_receival_stat", "pending_items", "order_funnel", "utm_fillna",
     )
 
 
+def m32_metadata_text(spark: SparkSession, folder: str) -> DataFrame:
+    """The variant that carries each order's metadata text; more states left out."""
+    t = Tables(spark, folder)
+    rows = marketing.enriched_orders(
+        t.orders(), t.metadata(), t.tracking(), t.order_types(), YEAR, VOCAB.excluded_recent_states, VOCAB, with_text=True
+    )
+    return rows.select("order_id", "order_meta_values", "upg_details", "order_funnel", "utm_fillna")
+
+
 def m32_label_counts(spark: SparkSession, folder: str) -> DataFrame:
     """All years' orders per label combination."""
     t = Tables(spark, folder)
@@ -195,7 +204,7 @@ def m40_hour_of_day(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        m32_enriched_orders, m32_label_counts, m33_last24h_hourly, c10_utm_from_pages, c11_utm_mapping, m34_weekly_channel,
+        m32_enriched_orders, m32_metadata_text, m32_label_counts, m33_last24h_hourly, c10_utm_from_pages, c11_utm_mapping, m34_weekly_channel,
         m35_cac, m35_blended, m35_channel_cost, m36_source_performance, m36_source_span, m37_waterfall,
         m37_order_waterfall, m38_top_payers, m38_medium_frequency, m39_mtd_cards, m39_mtd_cards_multikit, m40_hour_of_day,
     )
@@ -296,8 +305,12 @@ ORACLE = {
     "m32_enriched_orders": with_views(
         *_LABEL_VIEWS,
         body="WITH " + _labels("SELECT * FROM v_order WHERE state NOT IN ('DRAFT') AND created_at >= TIMESTAMP '1999-01-01' AND created_at < TIMESTAMP '2000-01-01'", False)
-        + """ SELECT order_id, created_at, CAST(created_year AS INTEGER) AS created_year, clinical_type_name, order_meta_values, utm_source, utm_medium, multikit_stat, mk_upg_stat,
+        + """ SELECT order_id, created_at, CAST(created_year AS INTEGER) AS created_year, clinical_type_name, utm_source, utm_medium, multikit_stat, mk_upg_stat,
         upg_details, upgrade_stat, order_id_modified, order_channel, sample_receival_stat, pending_items, order_funnel, utm_fillna FROM labelled"""),
+    "m32_metadata_text": with_views(
+        *_LABEL_VIEWS,
+        body="WITH " + _labels("SELECT * FROM v_order WHERE state NOT IN ('DRAFT', 'PENDING_PATIENT_INFO') AND year(created_at) = 1999", False)
+        + " SELECT order_id, order_meta_values, upg_details, order_funnel, utm_fillna FROM labelled"),
     "m32_label_counts": with_views(
         *_LABEL_VIEWS,
         body="WITH " + _labels("SELECT * FROM v_order WHERE state NOT IN ('DRAFT') AND created_at >= TIMESTAMP '1995-01-01' AND created_at < TIMESTAMP '2002-01-01'", False)

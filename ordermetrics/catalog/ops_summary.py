@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ordermetrics.catalog.checks import half_even_money, period_columns, with_views
 from ordermetrics.catalog.views import END, START, Tables
-from ordermetrics.functions.timeframe import at_zone
+from ordermetrics.functions.timeframe import at_zone, day
 from ordermetrics.operators.calendar import fiscal_calendar, with_period
 from ordermetrics.plans import billing, ops_summary
 from ordermetrics.plans.common import ProductCodes
@@ -124,7 +124,7 @@ def t11_zone_shift(spark: SparkSession, folder: str) -> DataFrame:
     """Claims per local billing day."""
     t = Tables(spark, folder)
     local = t.claims().select(at_zone("billing_date", "America/Los_Angeles").alias("local_time"))
-    return local.groupBy(F.date_trunc("day", "local_time").cast("timestamp_ntz").alias("local_day")).agg(
+    return local.groupBy(day("local_time").alias("local_day")).agg(
         F.count(F.lit(1)).alias("n"), F.min("local_time").alias("first_time")
     )
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ordermetrics.catalog.views import Tables
+from ordermetrics.functions.timeframe import day, wall_clock
 from ordermetrics.session import scratch_folder
 from ordermetrics.sources import pulls, readers, snapshots
 from ordermetrics.streaming import refresh
@@ -90,7 +91,7 @@ def s09_newest_snapshot(spark: SparkSession, folder: str) -> DataFrame:
 def s13_daily_upsert(spark: SparkSession, folder: str) -> DataFrame:
     """Daily event counts stored in two loads; days loaded twice keep the second value."""
     root, events = scratch_folder(spark, "daily"), Tables(spark, folder).raw("events")
-    daily = events.groupBy(F.date_trunc("day", "ts").cast("timestamp_ntz").alias("date")).agg(F.count(F.lit(1)).alias("n"))
+    daily = events.groupBy(day("ts").alias("date")).agg(F.count(F.lit(1)).alias("n"))
     early = daily.where("date < TIMESTAMP_NTZ '2024-01-20 00:00:00'").withColumn("n", F.col("n") * 0)
     snapshots.upsert_days(spark, early, root, "blocked", "20240120_000000")
     late = daily.where("date >= TIMESTAMP_NTZ '2024-01-10 00:00:00'")
@@ -142,7 +143,7 @@ def st05_dedupe(spark: SparkSession, folder: str) -> DataFrame:
     """The stream read twice over; every event is stored once."""
     target = scratch_folder(spark, "dedupe")
     doubled = _events(spark, folder).unionByName(_events(spark, folder))
-    once = refresh.deduplicated(doubled, "ts", ["event_id"], "1 day").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    once = refresh.deduplicated(doubled, "ts", ["event_id"], "1 day").withColumn("ts", wall_clock("ts"))
     refresh.run_available(once, target, scratch_folder(spark, "progress"))
     return spark.read.parquet(target)
 

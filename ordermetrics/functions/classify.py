@@ -233,12 +233,15 @@ def upgrade_by_label(values: Column | str, vocab: Vocabulary = Vocabulary()) ->
     return F.when(F.arrays_overlap(as_column(values), labels), F.lit("Upgrade"))
 
 
+def value_has_upgrade_phrase(value: Column | str, vocab: Vocabulary = Vocabulary()) -> Column:
+    """Case-sensitive search for the upgrade phrases in one metadata value."""
+    value = as_column(value)
+    return value.contains("Upgraded from") | value.contains(f"{vocab.starter_brand.capitalize()} upgrade")
+
+
 def upgrade_by_pattern(values: Column | str, vocab: Vocabulary = Vocabulary()) -> Column:
-    """True when any array element has the phrase, case-sensitive."""
-    patterns = ["%Upgraded from%", f"%{vocab.starter_brand.capitalize()} upgrade%"]
-    return F.coalesce(
-        F.exists(as_column(values), lambda x: x.like(patterns[0]) | x.like(patterns[1])), F.lit(False)
-    )
+    """True when any array element has the phrase."""
+    return F.coalesce(F.exists(as_column(values), lambda x: value_has_upgrade_phrase(x, vocab)), F.lit(False))
 
 
 def program_category(program: Column | str = "program") -> Column:

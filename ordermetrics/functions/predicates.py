@@ -94,7 +94,7 @@ def within_last(ts: Column | str, as_of, interval: str) -> Column:
 
 def in_year_of(ts: Column | str, as_of) -> Column:
     """In the calendar year of ``as_of``; bounds are literals so the scan can skip row groups."""
-    start = F.date_trunc("year", moment(as_of)).cast("timestamp_ntz")
+    start = F.trunc(F.to_date(moment(as_of)), "year").cast("timestamp_ntz")
     ts = as_column(ts)
     return (ts >= start) & (ts < start + F.expr("INTERVAL 1 YEAR"))
 
@@ -102,7 +102,7 @@ def in_year_of(ts: Column | str, as_of) -> Column:
 def since_week_of(ts: Column | str, as_of, days: int) -> Column:
     """From the Monday of the week ``days`` before ``as_of``."""
     anchor = moment(as_of) - F.expr(f"INTERVAL {int(days)} DAYS")
-    return as_column(ts) >= F.date_trunc("week", anchor).cast("timestamp_ntz")
+    return as_column(ts) >= F.trunc(F.to_date(anchor), "week").cast("timestamp_ntz")
 
 
 def has_prefix(column: Column | str, prefix: str) -> Column:

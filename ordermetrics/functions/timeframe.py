@@ -16,12 +16,34 @@ NTZ = "timestamp_ntz"
 
 def day(ts: Column | str) -> Column:
     """Midnight of the day."""
-    return F.date_trunc("day", as_column(ts)).cast(NTZ)
+    return F.to_date(as_column(ts)).cast(NTZ)
 
 
 def truncated(unit: str, ts: Column | str) -> Column:
-    """SQL DATE_TRUNC for hour, day, week, month, quarter or year."""
-    return F.date_trunc(unit, as_column(ts)).cast(NTZ)
+    """SQL DATE_TRUNC for hour, day, week, month, quarter or year.
+
+    Built on dates and wall-clock hours: DATE_TRUNC would pass through the
+    session zone and move times its clock changes skip.
+    """
+    ts = as_column(ts)
+    if unit == "hour":
+        return (day(ts) + F.make_dt_interval(F.lit(0), F.hour(ts))).cast(NTZ)
+    return day(ts) if unit == "day" else F.trunc(F.to_date(ts), unit).cast(NTZ)
+
+
+def as_instant(ts: Column | str) -> Column:
+    """The instant at which a UTC clock shows this wall-clock time."""
+    ts = as_column(ts)
+    minutes = (F.unix_date(F.to_date(ts)).cast("long") * 24 + F.hour(ts)) * 60 + F.minute(ts)
+    seconds = F.extract(F.lit("SECOND"), ts).cast("decimal(18,6)")
+    return F.timestamp_micros((minutes * 60_000_000 + seconds * 1_000_000).cast("long"))
+
+
+def wall_clock(instant: Column | str) -> Column:
+    """What a UTC clock shows at an instant."""
+    seconds = (F.unix_micros(as_column(instant)) / F.lit(1_000_000).cast("decimal(18,6)")).cast("decimal(18,6)")
+    start = F.lit("1970-01-01 00:00:00").cast(NTZ)
+    return (start + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), seconds)).cast(NTZ)
 
 
 def bucket(ts: Column | str, frequency: str) -> Column:

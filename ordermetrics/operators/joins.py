@@ -51,12 +51,18 @@ def sent_with_latest_return(shipments: DataFrame, key: str = "order_id", kind: s
                             by: Sequence[str] = ("delivered_date", "ship_date", "created_at"),
                             tie: Sequence[str] = (), sent: str = "NORMAL", returned: str = "RETURN",
                             columns: Sequence[str] = ("ship_date",)) -> DataFrame:
-    """Outgoing shipments full-outer-joined with the latest return per order."""
+    """Outgoing shipments full-outer-joined with the latest return per order.
+
+    Written as a left join plus the returns nothing was sent for: Spark can
+    split a skewed left join but not a full one.
+    """
     out = shipments.where(F.col(kind) == sent).select(key, *[F.col(c).alias(f"kit_sent_{c}") for c in columns])
     back = latest_per_key(shipments.where(F.col(kind) == returned), [key], by, tie).select(
         key, *[F.col(c).alias(f"kit_return_{c}") for c in columns]
     )
-    return out.join(back, key, "full")
+    matched = out.join(back, key, "left")
+    unsent = back.join(out.select(key).distinct(), key, "left_anti")
+    return matched.unionByName(unsent, allowMissingColumns=True)
 
 
 def semi_top(df: DataFrame, top: DataFrame, column: str) -> DataFrame:
@@ -64,8 +70,38 @@ def semi_top(df: DataFrame, top: DataFrame, column: str) -> DataFrame:
     return df.join(top.select(column), column, "left_semi")
 
 
+def at_most(df: DataFrame, rows: int) -> bool:
+    """Whether the frame has no more rows than that; reads only one row further."""
+    return df.limit(rows + 1).count() <= rows
+
+
+# Up to this many rates the card is copied to every executor (a few megabytes).
+BROADCAST_RATES = 200_000
+
+
 def rates_by_row(df: DataFrame, id_column: str, codes: Sequence[str], units: Sequence[str], rate_card: DataFrame,
                  code: str, rate: str) -> DataFrame:
+    """Rows with ``rate_total`` (summed rate x units) and ``code_count``.
+
+    A card of checked size is broadcast once and looked up per code without
+    any shuffle; a larger one is joined by :func:`rates_by_code_rows`. Codes
+    must be unique in the card.
+    """
+    if not at_most(rate_card, BROADCAST_RATES):
+        return df.join(rates_by_code_rows(df, id_column, codes, units, rate_card, code, rate), id_column, "left")
+    out, total, count = df, F.lit(0), F.lit(0)
+    for i, (c, u) in enumerate(zip(codes, units, strict=True)):
+        card = F.broadcast(rate_card.select(F.col(code).alias(f"__code{i}"), F.col(rate).alias(f"__rate{i}")))
+        out = out.join(card, F.col(c) == F.col(f"__code{i}"), "left")
+        total = total + F.coalesce(F.col(f"__rate{i}"), F.lit(0)) * F.coalesce(F.col(u), F.lit(0))
+        count = count + F.col(c).isNotNull().cast("int")
+    helpers = [f"__{kind}{i}" for kind in ("code", "rate") for i in range(len(codes))]
+    counted = F.when(count > 0, count)
+    return out.withColumns({"rate_total": F.when(count > 0, total), "code_count": counted}).drop(*helpers)
+
+
+def rates_by_code_rows(df: DataFrame, id_column: str, codes: Sequence[str], units: Sequence[str], rate_card: DataFrame,
+                       code: str, rate: str) -> DataFrame:
     """Per row, the summed rate x units and the number of codes present.
 
     The code columns are turned into rows, so one join replaces one join per

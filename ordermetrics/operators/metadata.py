@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -41,3 +41,37 @@ def phrase_flags(df: DataFrame, key: str, value: str, flags: Mapping[str, Sequen
     return df.groupBy(key).agg(
         *[F.coalesce(F.bool_or(any_of(phrases)), F.lit(False)).alias(name) for name, phrases in flags.items()]
     )
+
+
+def condition_flags(df: DataFrame, key: str, flags: Mapping[str, Column]) -> DataFrame:
+    """Per key, whether any child row meets each condition."""
+    return df.groupBy(key).agg(*[F.coalesce(F.bool_or(c), F.lit(False)).alias(n) for n, c in flags.items()])
+
+
+def phrase_digest(df: DataFrame, key: str, value: str, name: str, phrases: Sequence[str],
+                  versioned: str, versions: Sequence[str]) -> DataFrame:
+    """A short text per key that answers phrase searches like the joined text.
+
+    It lists the ``phrases`` (LIKE patterns without a separator) any child has,
+    and ``'<versioned> <v>'`` for each version where the joined, value-ordered
+    text would match ``%<versioned> %<v>%``. There the phrase may stand in one
+    child and the version in a later one, which the least child with the
+    phrase and the greatest with the version decide. All parts are combined
+    map-side, so a parent with any number of children yields one short row.
+    """
+    low, start = F.lower(F.col(value)), f"{versioned} "
+    starts = low.contains(start)
+    counted = df.where(F.col(value).isNotNull()).groupBy(key, value).agg(F.count(F.lit(1)).alias("__n"))
+    parts = {f"p{i}": F.bool_or(low.like(f"%{p}%")) for i, p in enumerate(phrases)}
+    parts["first"] = F.min(F.when(starts, F.col(value)))
+    for i, v in enumerate(versions):
+        parts[f"in{i}"] = F.bool_or(low.like(f"%{start}%{v}%"))
+        # both in the wrong order: a repeat of the same child matches
+        parts[f"twice{i}"] = F.bool_or(starts & low.contains(v) & (F.col("__n") > 1))
+        parts[f"last{i}"] = F.max(F.when(low.contains(v), F.col(value)))
+    grouped = counted.groupBy(key).agg(*[c.alias(f"__{n}") for n, c in parts.items()])
+    words = [F.when(F.col(f"__p{i}"), F.lit(p)) for i, p in enumerate(phrases)]
+    for i, v in enumerate(versions):
+        spans = F.col("__first") < F.col(f"__last{i}")
+        words.append(F.when(F.col(f"__in{i}") | F.col(f"__twice{i}") | spans, F.lit(f"{versioned} {v}")))
+    return grouped.select(key, F.concat_ws(", ", *words).alias(name))

@@ -15,8 +15,7 @@ from ordermetrics.functions.classify import (
     paid_category,
     program_category,
     sample_flag,
-    upgrade_by_label,
-    upgrade_by_pattern,
+    value_has_upgrade_phrase,
 )
 from ordermetrics.functions.predicates import after_until, in_days, in_year_of, since_week_of, trailing, where_optional
 from ordermetrics.functions.scalars import ratio
@@ -24,7 +23,7 @@ from ordermetrics.functions.timeframe import bucket, bucket_end, day, days_calen
 from ordermetrics.functions.vocabulary import Vocabulary
 from ordermetrics.operators.calendar import fill_periods
 from ordermetrics.operators.joins import join_on
-from ordermetrics.operators.metadata import array_values
+from ordermetrics.operators.metadata import condition_flags
 from ordermetrics.operators.prefix import running_sum
 from ordermetrics.operators.rank import numbered
 from ordermetrics.operators.reshape import long_to_wide
@@ -124,7 +123,8 @@ def program_orders(carts: DataFrame, orders: DataFrame, metadata: DataFrame, shi
     creation; single kits are number 1 and never enter a shared window.
     """
     keyed = orders.withColumn("use_for_join", canonical_order_id())
-    tagged = keyed.join(array_values(metadata, "order_id", "value", "order_metadata"), "order_id", "left")
+    upgraded = condition_flags(metadata, "order_id", {"upgraded": value_has_upgrade_phrase("value", vocab)})
+    tagged = keyed.join(upgraded, "order_id", "left")
     sent = shipments.where(F.col("type") == "NORMAL").select("delivery_id", "ship_date", "delivered_date")
     shipped = join_on(tagged, sent, {"delivery_id": "delivery_id"})
     received = join_on(shipped, samples.select("sample_id", F.col("received").alias("sample_received_date")),
@@ -151,7 +151,7 @@ def program_orders(carts: DataFrame, orders: DataFrame, metadata: DataFrame, shi
     status = first_match(
         [
             (F.col("order_id").isNull(), None),
-            (upgrade_by_pattern("order_metadata", vocab), "Upgrade"),
+            (F.coalesce("upgraded", F.lit(False)), "Upgrade"),
             (F.col("prescription_id").isNotNull(), "Multi Kit"),
         ],
         "Single Kit",
@@ -164,7 +164,7 @@ def program_orders(carts: DataFrame, orders: DataFrame, metadata: DataFrame, shi
             "mk_upg_stat": status,
             "sample_receival_stat": sample_flag(),
         }
-    ).drop("__single", "__number")
+    ).drop("__single", "__number", "upgraded")
 
 
 def weekly_program_orders(carts: DataFrame, orders: DataFrame, as_of, days: int = 31) -> DataFrame:
@@ -193,11 +193,12 @@ def completed_checkouts(carts: DataFrame, orders: DataFrame, tracking: DataFrame
         kit_type(single="SingleKit", multi="MultiKit").alias("mk_sk"),
     )
     tracked = join_on(orders, tracking.select("order_id", "utm_source", "utm_medium"), {"order_id": "order_id"})
-    tagged = tracked.join(array_values(metadata, "order_id", "value", "order_meta_values"), "order_id", "left")
+    upgraded = condition_flags(metadata, "order_id", {"upgraded": F.col("value").isin(vocab.upgrade_labels)})
+    tagged = tracked.join(upgraded, "order_id", "left")
     order = tagged.select(
         canonical_order_id().alias("order_id_coalesced"), "order_id", "state", "order_flow", "utm_source", "utm_medium",
         paid_category(vocab=vocab).alias("mapped_category"),
-        upgrade_by_label("order_meta_values", vocab).alias("upg_status"),
+        F.when(F.col("upgraded"), F.lit("Upgrade")).alias("upg_status"),
     )
     joined = cart.join(order, "order_id_coalesced", "left")
     return joined if limit is None else joined.limit(limit)

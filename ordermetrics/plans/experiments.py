@@ -93,8 +93,7 @@ def payer_differences(claims: DataFrame, rate_card: DataFrame, start, end, top:
     ranged = claims.where(in_days("issue_date", start, end))
     payers = top_groups(ranged.where(F.col("payer_name").isNotNull()), "payer_name", F.count("id"), top)
     chosen = semi_top(ranged, payers, "payer_name")
-    rates = rates_by_row(chosen, "id", codes, units, rate_card, code, rate)
-    joined = chosen.join(rates, "id", "left")
+    joined = rates_by_row(chosen, "id", codes, units, rate_card, code, rate)
     benchmark = ratio("rate_total", "code_count")
     return joined.select("id", "payer_name", (F.col("payment").cast("double") - benchmark).alias("difference"))
 

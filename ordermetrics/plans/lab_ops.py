@@ -11,7 +11,7 @@ from ordermetrics.functions import vocabulary as V
 from ordermetrics.functions.classify import first_match, turnaround_band
 from ordermetrics.functions.predicates import in_list, moment, not_in_keep_null, trailing
 from ordermetrics.functions.scalars import half_even, mean, percent_text, ratio
-from ordermetrics.functions.timeframe import NTZ, days_floor, month_bounds, parse_moment, truncated
+from ordermetrics.functions.timeframe import NTZ, day, days_floor, month_bounds, parse_moment, truncated
 from ordermetrics.functions.vocabulary import Vocabulary
 from ordermetrics.operators.calendar import fill_periods
 from ordermetrics.operators.distinct import distinct_when
@@ -173,11 +173,17 @@ def pipeline_cutoffs(orders: DataFrame, kits: DataFrame, samples: DataFrame, rep
     released = reports.where((F.col("report_status") == "RELEASED") & (F.col("state") == "RELEASED")).groupBy(
         "sample_id"
     ).agg(F.min("report_created_at").alias("report_created_at"))
-    chain = join_on(aged.select("order_id", "order_created_at", "delivery_id", "sample_id"),
-                    kits.select("delivery_id", "ship_date"), {"delivery_id": "delivery_id"})
+    # likewise only the last shipment sent in time; an order's many shipments go no further
+    in_time = (
+        join_on(aged.select("order_id", "order_created_at", "delivery_id"), kits.select("delivery_id", "ship_date"),
+                {"delivery_id": "delivery_id"}, "inner")
+        .where(F.col("ship_date") <= F.col("order_created_at") + limit(kit_days))
+        .groupBy("order_id").agg(F.max("ship_date").alias("ship_date"))
+    )
+    chain = aged.select("order_id", "sample_id").join(in_time, "order_id", "left")
     chain = join_on(chain, samples.select("sample_id", "sample_received"), {"sample_id": "sample_id"})
     chain = join_on(chain, released, {"sample_id": "sample_id"})
-    shipped = F.col("ship_date") <= F.col("order_created_at") + limit(kit_days)
+    shipped = F.col("ship_date").isNotNull()
     received = shipped & (F.col("sample_received") <= F.col("ship_date") + limit(sample_days))
     reported = received & (F.col("report_created_at") <= F.col("sample_received") + limit(report_days))
     return distinct_when(

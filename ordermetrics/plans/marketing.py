@@ -15,7 +15,7 @@ from ordermetrics.functions.vocabulary import Vocabulary
 from ordermetrics.operators.calendar import fill_periods
 from ordermetrics.operators.distinct import distinct_when
 from ordermetrics.operators.joins import join_on
-from ordermetrics.operators.metadata import joined_values
+from ordermetrics.operators.metadata import joined_values, phrase_digest
 from ordermetrics.operators.rank import frequency, sorted_by
 from ordermetrics.operators.trend import running_total
 from ordermetrics.plans.common import side_by_side
@@ -23,11 +23,21 @@ from ordermetrics.plans.common import side_by_side
 EXCLUDED = ["DRAFT"]
 
 
+# Phrases the labels look for in an order's metadata (fixed values).
+LABEL_PHRASES = ["sample received", "vip", "ntrf", "recollected_from", "kit_barcode_replaced"]
+
+
+def label_digest(metadata: DataFrame, vocab: Vocabulary, name: str = "order_meta_values") -> DataFrame:
+    """Per order, a short text that gives every label the same answer as the full metadata text."""
+    phrases = [*vocab.upgrade_phrases, *LABEL_PHRASES]
+    return phrase_digest(metadata, "order_id", "value", name, phrases, vocab.upgrade_phrases[0], ["v1", "v2", "v3", "v4"])
+
+
 def _labelled(orders: DataFrame, metadata: DataFrame, tracking: DataFrame, order_types: DataFrame, vocab: Vocabulary,
-              recent: bool) -> DataFrame:
+              recent: bool, with_text: bool = False) -> DataFrame:
     # Child rows of other orders never reach the aggregation.
     own = metadata.join(orders.select("order_id"), "order_id", "left_semi")
-    texts = joined_values(own, "order_id", "value", "order_meta_values")
+    texts = joined_values(own, "order_id", "value", "order_meta_values") if with_text else label_digest(own, vocab)
     tagged = orders.join(texts, "order_id", "left")
     tracked = join_on(tagged, tracking, {"order_id": "order_id"}, as_text=True)
     typed = join_on(tracked, order_types.select("order_type_id", "clinical_type_name"), {"order_type_id": "order_type_id"})
@@ -49,10 +59,15 @@ def _labelled(orders: DataFrame, metadata: DataFrame, tracking: DataFrame, order
 
 
 def enriched_orders(orders: DataFrame, metadata: DataFrame, tracking: DataFrame, order_types: DataFrame, as_of,
-                    excluded_states: Sequence[str] = tuple(EXCLUDED), vocab: Vocabulary = Vocabulary()) -> DataFrame:
-    """This year's orders with every label."""
+                    excluded_states: Sequence[str] = tuple(EXCLUDED), vocab: Vocabulary = Vocabulary(),
+                    with_text: bool = False) -> DataFrame:
+    """This year's orders with every label.
+
+    ``with_text`` adds each order's whole metadata text as ``order_meta_values``;
+    without it that column holds only the phrases the labels rest on.
+    """
     chosen = orders.where(in_year_of("created_at", as_of) & ~F.col("state").isin(list(excluded_states)))
-    return _labelled(chosen, metadata, tracking, order_types, vocab, recent=False)
+    return _labelled(chosen, metadata, tracking, order_types, vocab, recent=False, with_text=with_text)
 
 
 HOURLY = ["clinical_type_name", "mk_upg_stat", "upgrade_stat", "multikit_stat", "order_channel", "order_flow", "utm_fillna"]

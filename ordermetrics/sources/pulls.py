@@ -56,14 +56,16 @@ def new_rows(source: DataFrame, target: DataFrame, column: str, key: Sequence[st
     present left out; without one only greater values are taken. The bound is
     one value and becomes a literal, so the source scan can skip files.
     """
-    bound = target.agg(F.max(column)).first()[0]
+    # taken as text, so that no clock of this process or session shifts it
+    found = target.agg(F.max(column).cast("string")).first()[0]
     rows = where_optional(source, extra)
-    if bound is None:
+    if found is None:
         return rows
+    bound = F.lit(found).cast(target.schema[column].dataType)
     if not key:
-        return rows.where(F.col(column) > F.lit(bound))
-    tied = target.where(F.col(column) == F.lit(bound)).select(*key).distinct()
-    return rows.where(F.col(column) >= F.lit(bound)).join(tied, list(key), "left_anti")
+        return rows.where(F.col(column) > bound)
+    tied = target.where(F.col(column) == bound).select(*key).distinct()
+    return rows.where(F.col(column) >= bound).join(tied, list(key), "left_anti")
 
 
 def pull(spark: SparkSession, spec: PullSpec, source: DataFrame | None = None) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-NTZ = "timestamp_ntz"
+from ordermetrics.functions.timeframe import as_instant, wall_clock
 
 
 def source(spark: SparkSession, path: str, schema: T.StructType, pattern: str = "*", files_per_batch: int = 1000) -> DataFrame:
@@ -35,7 +35,10 @@ def ingest(stream: DataFrame, target: str, checkpoint: str) -> StreamingQuery:
 
 
 def event_time(stream: DataFrame, ts: str, lateness: str) -> DataFrame:
-    return stream.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, lateness)
+    """Watermarked event time. Wall-clock times become instants of a UTC clock,
+    so windows align with whole hours and days whatever the session zone."""
+    wall = isinstance(stream.schema[ts].dataType, T.TimestampNTZType)
+    return stream.withColumn(ts, as_instant(ts) if wall else F.col(ts)).withWatermark(ts, lateness)
 
 
 def deduplicated(stream: DataFrame, ts: str, key: Sequence[str], lateness: str) -> DataFrame:
@@ -46,7 +49,7 @@ def deduplicated(stream: DataFrame, ts: str, key: Sequence[str], lateness: str)
 def _windowed(stream: DataFrame, window, groups: Sequence[str], measures) -> DataFrame:
     counted = stream.groupBy(window.alias("w"), *groups).agg(*measures)
     return counted.select(
-        F.col("w.start").cast(NTZ).alias("window_start"), F.col("w.end").cast(NTZ).alias("window_end"),
+        wall_clock("w.start").alias("window_start"), wall_clock("w.end").alias("window_end"),
         *[c for c in counted.columns if c != "w"],
     )
 
@@ -90,7 +93,7 @@ def upsert_daily(stream: DataFrame, ts: str, groups: Sequence[str], target: str,
     """
     timed = event_time(stream, ts, lateness)
     daily = timed.groupBy(F.window(ts, "1 day").alias("w"), *groups).agg(F.count(F.lit(1)).alias("events"))
-    rows = daily.select(F.col("w.start").cast(NTZ).alias("date"), *groups, "events")
+    rows = daily.select(wall_clock("w.start").alias("date"), *groups, "events")
 
     def store(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{target}/batch={number}")
