@@ -93,14 +93,12 @@ def _mapped_orders(t: Tables) -> DataFrame:
 
 def m34_weekly_channel(spark: SparkSession, folder: str) -> DataFrame:
     """Weekly orders by category, channel, sub-channel and funnel stage, stacked."""
-    orders = _mapped_orders(Tables(spark, folder))
-    stacked = None
-    for label in ("mapped_category", "mapped_channel", "mapped_sub_channel", "order_funnel"):
-        part = marketing.weekly_by(orders, label).select(
-            F.lit(label).alias("label"), F.col(label).alias("value"), "iso_year", "week_number", "week_ending", "orders"
-        )
-        stacked = part if stacked is None else stacked.unionByName(part)
-    return stacked
+    labels = ["mapped_category", "mapped_channel", "mapped_sub_channel", "order_funnel"]
+    return marketing.weekly_by_each(_mapped_orders(Tables(spark, folder)), labels)
+
+
+def m34_weekly_category(spark: SparkSession, folder: str) -> DataFrame:
+    return marketing.weekly_by(_mapped_orders(Tables(spark, folder)), "mapped_category")
 
 
 def _costs(t: Tables) -> DataFrame:
@@ -205,7 +203,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         m32_enriched_orders, m32_metadata_text, m32_label_counts, m33_last24h_hourly, c10_utm_from_pages, c11_utm_mapping, m34_weekly_channel,
-        m35_cac, m35_blended, m35_channel_cost, m36_source_performance, m36_source_span, m37_waterfall,
+        m34_weekly_category, m35_cac, m35_blended, m35_channel_cost, m36_source_performance, m36_source_span, m37_waterfall,
         m37_order_waterfall, m38_top_payers, m38_medium_frequency, m39_mtd_cards, m39_mtd_cards_multikit, m40_hour_of_day,
     )
 }
@@ -334,6 +332,11 @@ ORACLE = {
             f"SELECT '{c}' AS label, {c} AS value, CAST(isoyear(created_at) AS INTEGER) AS iso_year, CAST(week(created_at) AS INTEGER) AS week_number, "
             f"CAST(date_trunc('week', created_at) + INTERVAL 6 DAYS AS TIMESTAMP) AS week_ending, count(DISTINCT oid) AS orders FROM mapped WHERE {c} IS NOT NULL GROUP BY ALL"
             for c in ("mapped_category", "mapped_channel", "mapped_sub_channel", "order_funnel"))),
+    "m34_weekly_category": with_views(
+        *_MAPPED_VIEWS,
+        body=f"""WITH {_MAPPED} SELECT mapped_category, CAST(isoyear(created_at) AS INTEGER) AS iso_year, CAST(week(created_at) AS INTEGER) AS week_number,
+        CAST(date_trunc('week', created_at) + INTERVAL 6 DAYS AS TIMESTAMP) AS week_ending, count(DISTINCT oid) AS orders
+        FROM mapped WHERE mapped_category IS NOT NULL GROUP BY ALL"""),
     "m35_cac": with_views(
         *_MAPPED_VIEWS, body=f"""WITH {_COST} SELECT mapped_sub_channel, CAST(iso_year AS INTEGER) AS iso_year, CAST(week_number AS INTEGER) AS week_number,
         kit_1_orders, CAST(spend AS DOUBLE) AS spend, {ratio('spend', 'kit_1_orders')} AS cac FROM cost"""),

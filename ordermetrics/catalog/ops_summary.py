@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ordermetrics.catalog.checks import half_even_money, period_columns, with_views
 from ordermetrics.catalog.views import END, START, Tables
 from ordermetrics.functions.timeframe import at_zone, day
-from ordermetrics.operators.calendar import fiscal_calendar, with_period
+from ordermetrics.operators.calendar import fiscal_calendar, with_label, with_period
 from ordermetrics.plans import billing, ops_summary
 from ordermetrics.plans.common import ProductCodes
 
@@ -113,7 +113,7 @@ def t02_fiscal_periods(spark: SparkSession, folder: str) -> DataFrame:
     t = Tables(spark, folder)
     orders = t.orders().select("order_id", "created_at")
     parts = [
-        with_period(orders, "created_at", grain).groupBy("period", "period_start").agg(F.count("order_id").alias("n"))
+        with_label(with_period(orders, "created_at", grain).groupBy("period_start").agg(F.count("order_id").alias("n")), grain)
         .select(F.lit(grain).alias("grain"), "period", "period_start", "n")
         for grain in ("Weekly", "Monthly", "Quarterly", "Yearly")
     ]

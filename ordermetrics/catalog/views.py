@@ -253,7 +253,7 @@ class Tables:
         """Claims with six procedure codes (some absent), one row per line item."""
         code = "CASE WHEN (l_partkey + {i}) % 4 <> 0 THEN (l_partkey * {i} + l_suppkey) % 50000 END AS proccode_{i}"
         lines = self.raw("lineitem").selectExpr(
-            "concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(l_shipdate AS STRING)) AS id",
+            "xxhash64(l_orderkey, l_linenumber, l_partkey, l_suppkey, l_shipdate) AS id",
             "l_shipdate AS issue_date",
             "l_suppkey",
             "CAST(l_extendedprice AS DECIMAL(12,2)) AS payment",

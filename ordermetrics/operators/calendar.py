@@ -54,14 +54,25 @@ def fiscal_calendar(spark: SparkSession, start, end) -> DataFrame:
     )
 
 
+def period_keys(calendar: DataFrame | None) -> list[str]:
+    """Columns to group by: the start alone where the label follows from it."""
+    return ["period_start"] if calendar is None else ["period", "period_start"]
+
+
+def with_label(df: DataFrame, grain: str) -> DataFrame:
+    """Add the label to a frame grouped by :func:`period_keys`."""
+    return df if "period" in df.columns else df.withColumn("period", period_label("period_start", grain))
+
+
 def with_period(df: DataFrame, ts: str, grain: str, calendar: DataFrame | None = None) -> DataFrame:
-    """Add ``period`` (label) and ``period_start`` for a timestamp column.
+    """Add ``period_start``, and ``period`` (label) when a calendar table is supplied.
 
-    Without a calendar table the label is computed in place. A supplied table
-    (one row per day) is joined on the day; days it lacks get null labels.
+    Without a table the start is computed in place and :func:`with_label` adds
+    the label after aggregation, so no text is shuffled. A supplied table (one
+    row per day) is joined on the day; days it lacks get null periods.
     """
     if calendar is None:
-        return df.withColumns({"period": period_label(ts, grain), "period_start": period_start(ts, grain)})
+        return df.withColumn("period_start", period_start(ts, grain))
     label = {
         "Weekly": F.date_format("Week", "yyyy-MM-dd"),
         "Monthly": F.concat("Month", F.lit("/"), "Year"),

@@ -43,15 +43,15 @@ def stacked_distinct(sources: Mapping[str, tuple[DataFrame, Column]], groups: Se
     and the full outer joins that would line the results up.
     """
     picked = [
-        frame.select(*groups, F.lit(name).alias("measure"), entity.alias("entity"))
-        for name, (frame, entity) in sources.items()
+        frame.select(*groups, F.lit(number).cast("byte").alias("measure"), entity.alias("entity"))
+        for number, (frame, entity) in enumerate(sources.values())
     ]
     one_type = len({part.schema["entity"].dataType for part in picked}) == 1
     parts = picked if one_type else [p.withColumn("entity", F.col("entity").cast("string")) for p in picked]
     stacked = parts[0]
     for part in parts[1:]:
         stacked = stacked.unionByName(part)
-    once = stacked.where(F.col("entity").isNotNull()).groupBy(*groups, "measure", "entity").agg(F.lit(1).alias("one"))
+    once = stacked.where(F.col("entity").isNotNull()).select(*groups, "measure", "entity").distinct()
     return once.groupBy(*groups).agg(
-        *[F.count(F.when(F.col("measure") == name, 1)).alias(name) for name in sources]
+        *[F.count(F.when(F.col("measure") == n, 1)).alias(name) for n, name in enumerate(sources)]
     )

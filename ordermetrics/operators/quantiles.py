@@ -1,75 +1,100 @@
-"""Exact quantiles per group for groups of any size."""
+"""Exact quantiles and summary statistics per group, for groups of any size."""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ordermetrics.session import written
+
 CUTS = [i / 200 for i in range(1, 200)]
 
 
-def exact_quantiles(df: DataFrame, group: str, value: str, probabilities: dict[str, float]) -> DataFrame:
-    """Interpolated quantiles, one column per entry of ``probabilities``.
+def value_counts(df: DataFrame, group: str, value: str) -> DataFrame:
+    """How often each value occurs in each group, stored once for the steps below."""
+    rows = df.where(F.col(group).isNotNull() & F.col(value).isNotNull()).select(
+        group, F.col(value).cast("double").alias("__v")
+    )
+    return written(rows.groupBy(group, "__v").agg(F.count(F.lit(1)).alias("__n")), "values")
+
 
-    ``percentile`` holds all values of a group in one task. Here approximate
-    cut points (a small mergeable sketch) split each group into slices; exact
-    slice sizes then tell which slice holds each wanted rank, and only those
-    slices are sorted. The sketch decides the work, never the result.
+def _sliced(counts: DataFrame, group: str) -> DataFrame:
+    """Values with their group's size and mean, and the slice of the group they lie in.
+
+    Approximate cut points (a small mergeable sketch) divide each group; they
+    decide how the work is split, never the result.
     """
-    rows = df.where(F.col(value).isNotNull()).select(group, F.col(value).cast("double").alias("__v"))
-    counted = rows.groupBy(group, "__v").agg(F.count(F.lit(1)).alias("__n"))
-    cuts = rows.groupBy(group).agg(F.percentile_approx("__v", CUTS, 2000).alias("__cuts"))
-    # slice number = how many cut points lie below the value
-    sliced = counted.join(cuts, group).select(
-        group, "__v", "__n", F.size(F.filter("__cuts", lambda c: c < F.col("__v"))).alias("__slice")
-    )
-    sizes = sliced.groupBy(group, "__slice").agg(F.sum("__n").alias("__size"))
-    upto = Window.partitionBy(group).orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)
-    spans = sizes.select(
-        group,
-        "__slice",
-        "__size",
-        F.coalesce(F.sum("__size").over(upto), F.lit(0)).alias("__before"),
-        F.sum("__size").over(Window.partitionBy(group)).alias("__total"),
+    facts = counts.groupBy(group).agg(
+        F.percentile_approx("__v", CUTS, 2000).alias("__cuts"),
+        F.sum("__n").alias("__total"),
+        (F.sum(F.col("__n") * F.col("__v")) / F.sum("__n")).alias("__mean"),
     )
-    # the two 0-based ranks that enclose each quantile
+    below = F.size(F.filter("__cuts", lambda c: c < F.col("__v")))
+    return counts.join(facts, group).withColumn("__slice", below).drop("__cuts")
+
+
+def _ends(spans: DataFrame, group: str, probabilities: dict[str, float]) -> DataFrame:
+    """The one or two 0-based ranks that enclose each quantile, with the slice that holds them."""
     wanted = F.explode(
         F.array(*[F.struct(F.lit(n).alias("name"), F.lit(float(p)).alias("p")) for n, p in probabilities.items()])
     )
-    targets = spans.withColumn("__q", wanted).withColumn("__at", F.col("__q.p") * (F.col("__total") - 1))
-    low, high = F.floor("__at"), F.ceil("__at")
-    ends = targets.select(
-        group, "__slice", "__before", "__size", F.col("__q.name").alias("__name"), "__at",
-        F.explode(F.array_distinct(F.array(low, high))).alias("__rank"),
+    placed = spans.withColumn("__q", wanted).withColumn("__at", F.col("__q.p") * (F.col("__total") - 1))
+    ranks = F.explode(F.array_distinct(F.array(F.floor("__at"), F.ceil("__at"))))
+    return placed.select(
+        group, "__slice", "__before", "__size", F.col("__q.name").alias("__name"), "__at", ranks.alias("__rank")
     ).where((F.col("__rank") >= F.col("__before")) & (F.col("__rank") < F.col("__before") + F.col("__size")))
-    # number the values of the slices that hold a wanted rank
+
+
+def _quantiles(sliced: DataFrame, spans: DataFrame, group: str, probabilities: dict[str, float]) -> DataFrame:
+    ends = _ends(spans, group, probabilities)
+    # only slices that hold a wanted rank are sorted
     needed = sliced.join(ends.select(group, "__slice", "__before").distinct(), [group, "__slice"])
     inside = Window.partitionBy(group, "__slice").orderBy("__v").rowsBetween(Window.unboundedPreceding, 0)
-    numbered = needed.withColumn("__last", F.col("__before") + F.sum("__n").over(inside) - 1).withColumn(
+    upto = F.col("__before") + F.sum("__n").over(inside) - 1
+    ranked = needed.select(group, "__slice", "__v", upto.alias("__last"), "__n").withColumn(
         "__first", F.col("__last") - F.col("__n") + 1
     )
-    picked = numbered.select(group, "__slice", "__v", "__first", "__last").join(
-        ends.select(group, "__slice", "__name", "__at", "__rank"), [group, "__slice"]
-    ).where(F.col("__rank").between(F.col("__first"), F.col("__last")))
+    picked = ranked.join(ends.select(group, "__slice", "__name", "__at", "__rank"), [group, "__slice"]).where(
+        F.col("__rank").between(F.col("__first"), F.col("__last"))
+    )
     # linear interpolation between the enclosing values
-    value_at = picked.groupBy(group, "__name", "__at").agg(
+    pairs = picked.groupBy(group, "__name", "__at").agg(
         F.min_by("__v", "__rank").alias("__low"), F.max_by("__v", "__rank").alias("__high")
     )
     fraction = F.col("__at") - F.floor("__at")
     result = F.col("__low") + (F.col("__high") - F.col("__low")) * fraction
-    return value_at.groupBy(group).agg(
-        *[F.max(F.when(F.col("__name") == n, result)).alias(n) for n in probabilities]
-    )
+    return pairs.groupBy(group).agg(*[F.max(F.when(F.col("__name") == n, result)).alias(n) for n in probabilities])
+
+
+def _spans(sizes: DataFrame, group: str) -> DataFrame:
+    """Rows before each slice; a group has at most one row per cut here."""
+    earlier = Window.partitionBy(group).orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)
+    return sizes.withColumn("__before", F.coalesce(F.sum("__size").over(earlier), F.lit(0)))
+
+
+def exact_quantiles(df: DataFrame, group: str, value: str, probabilities: dict[str, float]) -> DataFrame:
+    """Interpolated quantiles, one column per entry of ``probabilities``.
+
+    ``percentile`` holds all values of a group in one task. Here exact sizes
+    of the group's slices tell where each wanted rank lies, and only there
+    values are sorted.
+    """
+    sliced = _sliced(value_counts(df, group, value), group)
+    sizes = sliced.groupBy(group, "__slice", "__total").agg(F.sum("__n").alias("__size"))
+    return _quantiles(sliced, _spans(sizes, group), group, probabilities)
 
 
 def described(df: DataFrame, group: str, value: str) -> DataFrame:
     """count, mean, std, min, quartiles and max per group."""
-    v = F.col(value).cast("double")
-    plain = df.where(F.col(group).isNotNull()).groupBy(group).agg(
-        F.count(v).alias("count"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"),
-        F.min(v).alias("min"), F.max(v).alias("max"),
+    sliced = _sliced(value_counts(df, group, value), group)
+    off = F.col("__v") - F.col("__mean")
+    sizes = sliced.groupBy(group, "__slice", "__total", "__mean").agg(
+        F.sum("__n").alias("__size"), F.sum(F.col("__n") * off * off).alias("__squares"),
+        F.min("__v").alias("__min"), F.max("__v").alias("__max"),
     )
-    quartiles = exact_quantiles(df.where(F.col(group).isNotNull()), group, value, {"q25": 0.25, "q50": 0.5, "q75": 0.75})
-    return plain.join(quartiles, group, "left").select(group, "count", "mean", "std", "min", "q25", "q50", "q75", "max")
+    plain = sizes.groupBy(group).agg(
+        F.sum("__size").alias("count"), F.max("__mean").alias("mean"), F.sum("__squares").alias("__squares"),
+        F.min("__min").alias("min"), F.max("__max").alias("max"),
+    ).withColumn("std", F.sqrt(F.try_divide(F.col("__squares"), (F.col("count") - 1).cast("double"))))
+    quartiles = _quantiles(sliced, _spans(sizes, group), group, {"q25": 0.25, "q50": 0.5, "q75": 0.75})
+    return plain.join(quartiles, group).select(group, "count", "mean", "std", "min", "q25", "q50", "q75", "max")

@@ -100,6 +100,22 @@ def weekly_by(orders: DataFrame, label: str, labelled_weeks: bool = True) -> Dat
     return known.groupBy(label, *keys).agg(F.count_distinct("order_id_modified").alias("orders"))
 
 
+def weekly_by_each(orders: DataFrame, labels: Sequence[str]) -> DataFrame:
+    """:func:`weekly_by` for several labels at once, as (label, value) rows.
+
+    The orders are read and joined once; a row is repeated per label only
+    inside the task that counts it.
+    """
+    pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("label"), F.col(c).alias("value")) for c in labels]))
+    long = orders.select("created_at", "order_id_modified", pairs.alias("pair")).select(
+        "created_at", "order_id_modified", "pair.label", "pair.value"
+    )
+    known = long.where(F.col("value").isNotNull() & F.col("created_at").isNotNull())
+    keys = [iso_year("created_at").alias("iso_year"), iso_week("created_at").alias("week_number"),
+            bucket_end("created_at", "Weekly").alias("week_ending")]
+    return known.groupBy("label", "value", *keys).agg(F.count_distinct("order_id_modified").alias("orders"))
+
+
 def weekly_spend(spend: DataFrame, day: str = "day") -> DataFrame:
     return spend.groupBy(iso_year(day).alias("iso_year"), iso_week(day).alias("week_number")).agg(
         half_even(F.sum("spend")).alias("spend")

@@ -12,7 +12,7 @@ from ordermetrics.functions.predicates import in_days, reached
 from ordermetrics.functions.scalars import half_even, mean, sum_or_zero, thousands, thousands_float
 from ordermetrics.functions.timeframe import at_zone
 from ordermetrics.functions.vocabulary import Vocabulary
-from ordermetrics.operators.calendar import with_period
+from ordermetrics.operators.calendar import period_keys, with_label, with_period
 from ordermetrics.operators.distinct import distinct_when, stacked_distinct
 from ordermetrics.operators.joins import join_on, with_first_child
 from ordermetrics.operators.metadata import phrase_flags
@@ -44,8 +44,9 @@ def noncohort_summary(orders: DataFrame, kits: DataFrame, samples: DataFrame, re
 
     def dated(df: DataFrame, ts: str, table: str) -> DataFrame:
         chosen = codes.only(df.where(in_days(ts, start, end)), product, table)
-        return with_period(chosen, ts, grain, calendar).where(F.col("period").isNotNull())
+        return with_period(chosen, ts, grain, calendar).where(F.col("period_start").isNotNull())
 
+    keys = period_keys(calendar)
     placed = dated(orders, "order_created_at", "orders")
     paid = dated(payments, "issue_date", "payments")
     counts = stacked_distinct(
@@ -58,13 +59,13 @@ def noncohort_summary(orders: DataFrame, kits: DataFrame, samples: DataFrame, re
             "claims_billed": (dated(bills, "billing_date", "bills"), F.col("bill_id")),
             "claims_with_eob": (paid, F.col("claim_id")),
         },
-        PERIOD,
+        keys,
     )
-    money = paid.groupBy(*PERIOD).agg(
+    money = paid.groupBy(*keys).agg(
         half_even(sum_or_zero("payment")).alias("aggregate_payment"),
         half_even(mean("payment")).alias("average_payment"),
     )
-    return counts.join(money, PERIOD, "full").fillna(0)
+    return with_label(counts.join(money, keys, "full").fillna(0), grain)
 
 
 def cohort_orders(orders: DataFrame, kits: DataFrame, samples: DataFrame, reports: DataFrame, bills: DataFrame,
@@ -92,19 +93,20 @@ def cohort_summary(orders: DataFrame, kits: DataFrame, reports: DataFrame, bills
     ``dedupe_payments`` counts each payment once instead.
     """
     chosen = codes.only(orders.where(in_days("order_created_at", start, end)), product, "orders")
-    cohort = with_period(chosen, "order_created_at", grain, calendar).where(F.col("period").isNotNull())
+    keys = period_keys(calendar)
+    cohort = with_period(chosen, "order_created_at", grain, calendar).where(F.col("period_start").isNotNull())
     shipped = kits.where(reached("shipment_id")).groupBy("order_item_id").agg(F.lit(True).alias("shipped"))
     released = reports.where(reached("status_id")).groupBy("order_id").agg(F.lit(True).alias("released"))
     billed = bills.where(reached("bill_id")).groupBy("order_id").agg(F.count(F.lit(1)).alias("bill_count"))
     claims = payments.groupBy("order_id", "claim_id").agg(
         F.sum("payment").alias("paid"), F.count("payment").alias("payment_count")
     )
-    staged = join_on(cohort.select(*PERIOD, "order_id", "sample_id", "delivery_id"), shipped,
+    staged = join_on(cohort.select(*keys, "order_id", "sample_id", "delivery_id"), shipped,
                      {"delivery_id": "order_item_id"})
     staged = staged.join(released, "order_id", "left").join(billed, "order_id", "left")
     counts = distinct_when(
         staged,
-        PERIOD,
+        keys,
         "order_id",
         {
             "orders_generated": F.lit(True),
@@ -115,15 +117,15 @@ def cohort_summary(orders: DataFrame, kits: DataFrame, reports: DataFrame, bills
         },
     )
     weight = F.lit(1) if dedupe_payments else F.coalesce(F.col("bill_count"), F.lit(1))
-    per_claim = staged.join(claims, "order_id").groupBy(*PERIOD, "claim_id").agg(
+    per_claim = staged.join(claims, "order_id").groupBy(*keys, "claim_id").agg(
         F.sum(F.col("paid") * weight).alias("paid"), F.sum(F.col("payment_count") * weight).alias("n")
     )
-    money = per_claim.groupBy(*PERIOD).agg(
+    money = per_claim.groupBy(*keys).agg(
         F.count("claim_id").alias("claims_with_eob"),
         half_even(sum_or_zero("paid")).alias("aggregate_payment"),
         half_even(F.try_divide(F.sum("paid").cast("double"), F.sum("n").cast("double"))).alias("average_payment"),
     )
-    return counts.join(money, PERIOD, "left").fillna(0)
+    return with_label(counts.join(money, keys, "left").fillna(0), grain)
 
 
 def presented(summary: DataFrame, orientation: str = "Vertical", periods: Sequence[str] = ()) -> DataFrame:

@@ -45,9 +45,12 @@ def scratch_folder(spark: SparkSession, purpose: str) -> str:
     return f"{checkpoint_folder(spark)}/{purpose}-{uuid.uuid4().hex}"
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint of ``df``: computed once, survives lost executors."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(checkpoint_folder(df.sparkSession))
-    return df.checkpoint(eager=False)
+def written(df: DataFrame, purpose: str) -> DataFrame:
+    """``df`` stored once in the shared folder and read back.
+
+    For frames several later steps read: what led to them is not computed
+    again, also not after executors are lost.
+    """
+    path = scratch_folder(df.sparkSession, purpose)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
