@@ -99,7 +99,8 @@ def s13_daily_upsert(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _events(spark: SparkSession, folder: str) -> DataFrame:
-    return refresh.source(spark, folder, EVENT_SCHEMA, "events.parquet")
+    # a glob, so that the table may be one file or a folder of files
+    return refresh.source(spark, f"{folder}/{{events}}.parquet", EVENT_SCHEMA)
 
 
 def st01_ingest(spark: SparkSession, folder: str) -> DataFrame:

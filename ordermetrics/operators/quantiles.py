@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ordermetrics.session import written
 
-CUTS = [i / 200 for i in range(1, 200)]
+SIDE = 12
+CUTS = [i / SIDE**2 for i in range(1, SIDE**2)]
 
 
 def value_counts(df: DataFrame, group: str, value: str) -> DataFrame:
@@ -29,8 +30,17 @@ def _sliced(counts: DataFrame, group: str) -> DataFrame:
         F.sum("__n").alias("__total"),
         (F.sum(F.col("__n") * F.col("__v")) / F.sum("__n")).alias("__mean"),
     )
-    below = F.size(F.filter("__cuts", lambda c: c < F.col("__v")))
-    return counts.join(facts, group).withColumn("__slice", below).drop("__cuts")
+    # how many of the ascending cut points lie below a value: first among every
+    # SIDE-th of them, then among the SIDE - 1 that follow
+    coarse = F.transform(F.sequence(F.lit(1), F.lit(SIDE - 1)), lambda i: F.element_at("__cuts", i * SIDE))
+    blocks = _below(F.col("__coarse"))
+    fine = _below(F.slice("__cuts", F.col("__block") * SIDE + 1, SIDE - 1))
+    placed = counts.join(facts.withColumn("__coarse", coarse), group).withColumn("__block", blocks)
+    return placed.withColumn("__slice", F.col("__block") * SIDE + fine).drop("__cuts", "__coarse", "__block")
+
+
+def _below(cuts: Column) -> Column:
+    return F.size(F.filter(cuts, lambda c: c < F.col("__v")))
 
 
 def _ends(spans: DataFrame, group: str, probabilities: dict[str, float]) -> DataFrame:

@@ -154,3 +154,23 @@ def test_schema_check_names_what_is_wrong(frame):
     df = frame([("x",)], "HCPCS string")
     with pytest.raises(SchemaError, match="RATE2019"):
         check_schema(df, SCHEMAS["rate_card"], "rates")
+
+
+def test_series_align_on_their_index(frame, rows):
+    a, b = frame([(1, 10), (2, 20)], "d int, x int"), frame([(2, 5), (3, 6)], "d int, y int")
+    assert rows(joins.aligned([a, b], ["d"])) == [(1, 10, None), (2, 20, 5), (3, None, 6)]
+
+
+def test_rows_with_other_columns_are_stacked_and_frequencies_sorted(frame):
+    stacked = rank.append_rows(frame([("a",), ("b",)], "x string"), frame([("b", 1)], "x string, y int"))
+    assert [tuple(r) for r in rank.frequency(stacked, "x").collect()] == [("b", 2), ("a", 1)]
+    assert [r["y"] for r in rank.sorted_by(stacked, "y", "x", ascending=False).collect()] == [1, None, None]
+
+
+def test_running_sum_without_keys_equals_a_window(spark, rows):
+    from ordermetrics.operators.prefix import running_sum
+
+    df = spark.range(200).select((F.col("id") * 37 % 200).alias("t"), (F.col("id") % 5).alias("n"))
+    got = running_sum(df, [], [F.col("t")], F.floor(F.col("t") / 10), F.col("n"), "s")
+    want = df.withColumn("s", F.sum("n").over(Window.orderBy("t")))
+    assert rows(got, "t", "n", "s") == rows(want, "t", "n", "s")
