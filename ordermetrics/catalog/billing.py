@@ -147,7 +147,7 @@ ORACLE = {
         "v_linked", "v_eob",
         body=f"""WITH eobs AS (SELECT *, row_number() OVER (PARTITION BY zc_id ORDER BY production_date DESC, status_code_id) AS rk FROM v_eob),
         sent AS (SELECT l_orderkey AS zc_id, l_shipdate AS created_at, l_linenumber % 2 = 0 AS first FROM lineitem WHERE l_returnflag <> 'N'),
-        fa AS (SELECT o_orderkey AS zc_id, CASE WHEN o_orderpriority <> '5-LOW' THEN o_orderpriority END AS t FROM orders WHERE o_orderkey % 4 <> 0)
+        fa AS (SELECT o_orderkey AS zc_id, CASE WHEN o_orderpriority <> '5-LOW' THEN o_orderpriority END AS t FROM orders WHERE o_orderstatus <> 'P')
         SELECT coalesce(fa.t, 'medical_necessity') AS appeal_type, count(CASE WHEN ds.first THEN 1 END) AS total_first_appeal_sent
         FROM sent ds LEFT JOIN eobs se ON se.zc_id = ds.zc_id AND se.rk = 1 AND se.production_date > ds.created_at + INTERVAL 5 DAYS
         JOIN v_linked l ON l.zc_id = ds.zc_id LEFT JOIN fa ON fa.zc_id = ds.zc_id

@@ -149,9 +149,9 @@ def m12_turnaround_percent(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def m13_daily_digest(spark: SparkSession, folder: str) -> DataFrame:
-    samples = Tables(spark, folder).lab_samples()
-    mtd = lab_ops.month_to_date(samples, "sample_received", "sample_id", AS_OF, ["kit_type"])
-    return lab_ops.daily_digest(mtd, AS_OF, ["kit_type"])
+    t = Tables(spark, folder)
+    mtd = lab_ops.month_to_date(t.lab_samples(), "sample_received", "sample_id", AS_OF, ["kit_type"])
+    return lab_ops.daily_digest(mtd, AS_OF, ["kit_type"], _blocked(t))
 
 
 def m46_lab_orders(spark: SparkSession, folder: str) -> DataFrame:
@@ -378,10 +378,11 @@ ORACLE = {
         "v_sample", "v_status", body=f"""WITH {_TAT} SELECT kit_type, a + b + c AS total_accessioned, {ratio('a', 'a + b + c')} * 100 AS up_to_7_days,
         {ratio('b', 'a + b + c')} * 100 AS days_8_to_14, {ratio('c', 'a + b + c')} * 100 AS days_15_or_more FROM bands"""),
     "m13_daily_digest": with_views(
-        "v_sample",
-        body="""SELECT kit_type, count(DISTINCT sample_id) FILTER (received >= TIMESTAMP '2001-07-14' AND received < TIMESTAMP '2001-07-15') AS daily,
+        "v_sample", *_BLOCKED_VIEWS,
+        body=f"""WITH {_BLOCKED}, ob AS (SELECT kit_type AS kt, count(DISTINCT ssr) AS n FROM blocked WHERE issue_type <> 'N' OR issue_type IS NULL GROUP BY 1)
+        SELECT kit_type, coalesce(max(n), 0) AS outstanding_blocked, count(DISTINCT sample_id) FILTER (received >= TIMESTAMP '2001-07-14' AND received < TIMESTAMP '2001-07-15') AS daily,
         count(DISTINCT sample_id) FILTER (received >= TIMESTAMP '2001-07-01' AND received < TIMESTAMP '2001-07-15') AS month_to_date
-        FROM v_sample WHERE received >= TIMESTAMP '2001-06-01' AND received < TIMESTAMP '2001-07-16' GROUP BY 1"""),
+        FROM v_sample LEFT JOIN ob ON kt = kit_type WHERE received >= TIMESTAMP '2001-06-01' AND received < TIMESTAMP '2001-07-16' GROUP BY 1"""),
     "m46_lab_orders": with_views(
         "v_order", "v_type",
         body=f"""WITH {V_LAB_ORDER} SELECT order_id, order_flow, created_at AS order_created_at, code, owner_id, state,
@@ -395,7 +396,7 @@ ORACLE = {
     "m46_lab_samples": with_views(
         "v_sample", "v_kit",
         body=f"""SELECT s.received AS sample_received, s.sample_id, k.kit_type, k.registered,
-        CASE WHEN s.sample_id % 3 <> 0 THEN s.sample_process_status END AS sample_process_status
+        CASE WHEN s.sample_process_status <> 'final-rejected' THEN s.sample_process_status END AS sample_process_status
         FROM v_sample s JOIN v_kit k ON k.barcode = s.kit_barcode WHERE k.barcode NOT LIKE 'study-%' AND s.received > TIMESTAMP '{SINCE}'"""),
     "m46_lab_reports": with_views(
         "v_order", "v_status",
@@ -414,5 +415,5 @@ ORACLE = {
         FROM v_sample s JOIN v_kit k ON k.barcode = s.kit_barcode JOIN load ON load.tube = s.sample_id
         JOIN seq ON seq.ssr = load.id JOIN iss ON iss.ssr = seq.ssr AND iss.version = seq.version
         JOIN nation n ON n.n_nationkey = iss.issue_id
-        WHERE k.barcode NOT LIKE 'study-%' AND s.received > TIMESTAMP '{SINCE}' AND s.sample_id % 3 <> 0"""),
+        WHERE k.barcode NOT LIKE 'study-%' AND s.received > TIMESTAMP '{SINCE}' AND s.sample_process_status <> 'final-rejected'"""),
 }

@@ -91,9 +91,9 @@ def o3_top_parts(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def j01_join_kinds(spark: SparkSession, folder: str) -> DataFrame:
-    """Rows of each join kind between orders and shipments of one carrier."""
+    """Rows of each join kind between orders and return shipments."""
     t = Tables(spark, folder)
-    orders, ships = t.orders().select("order_id", "delivery_id"), t.shipments().where("carrier_id < 20").select("delivery_id", "shipment_id")
+    orders, ships = t.orders().select("order_id", "delivery_id"), t.shipments().where("type = 'RETURN'").select("delivery_id", "shipment_id")
     stacked = None
     for how in ("inner", "left", "right", "full", "left_semi", "left_anti"):
         rows = joins.join_on(orders, ships, {"delivery_id": "delivery_id"}, how)
@@ -148,7 +148,7 @@ QUERIES = {
     )
 }
 
-_SHIP20 = "(SELECT l_orderkey AS delivery_id FROM lineitem WHERE l_suppkey < 20)"
+_RETURNS = "(SELECT l_orderkey AS delivery_id FROM lineitem WHERE l_returnflag = 'R')"
 
 
 def _kind(name: str, sql: str) -> str:
@@ -196,12 +196,12 @@ ORACLE = {
     "j01_join_kinds": with_views(
         "v_order",
         body=" UNION ALL ".join([
-            _kind("inner", f"SELECT o.delivery_id AS k FROM v_order o JOIN {_SHIP20} s ON s.delivery_id = o.delivery_id"),
-            _kind("left", f"SELECT o.delivery_id AS k FROM v_order o LEFT JOIN {_SHIP20} s ON s.delivery_id = o.delivery_id"),
-            _kind("right", f"SELECT s.delivery_id AS k FROM v_order o RIGHT JOIN {_SHIP20} s ON s.delivery_id = o.delivery_id"),
-            _kind("full", f"SELECT coalesce(o.delivery_id, s.delivery_id) AS k FROM v_order o FULL JOIN {_SHIP20} s ON s.delivery_id = o.delivery_id"),
-            _kind("left_semi", f"SELECT o.delivery_id AS k FROM v_order o WHERE EXISTS (SELECT 1 FROM {_SHIP20} s WHERE s.delivery_id = o.delivery_id)"),
-            _kind("left_anti", f"SELECT o.delivery_id AS k FROM v_order o WHERE NOT EXISTS (SELECT 1 FROM {_SHIP20} s WHERE s.delivery_id = o.delivery_id)"),
+            _kind("inner", f"SELECT o.delivery_id AS k FROM v_order o JOIN {_RETURNS} s ON s.delivery_id = o.delivery_id"),
+            _kind("left", f"SELECT o.delivery_id AS k FROM v_order o LEFT JOIN {_RETURNS} s ON s.delivery_id = o.delivery_id"),
+            _kind("right", f"SELECT s.delivery_id AS k FROM v_order o RIGHT JOIN {_RETURNS} s ON s.delivery_id = o.delivery_id"),
+            _kind("full", f"SELECT coalesce(o.delivery_id, s.delivery_id) AS k FROM v_order o FULL JOIN {_RETURNS} s ON s.delivery_id = o.delivery_id"),
+            _kind("left_semi", f"SELECT o.delivery_id AS k FROM v_order o WHERE EXISTS (SELECT 1 FROM {_RETURNS} s WHERE s.delivery_id = o.delivery_id)"),
+            _kind("left_anti", f"SELECT o.delivery_id AS k FROM v_order o WHERE NOT EXISTS (SELECT 1 FROM {_RETURNS} s WHERE s.delivery_id = o.delivery_id)"),
         ])),
     "a01_distinct": "SELECT l_returnflag, l_linestatus, count(DISTINCT l_suppkey) AS suppliers FROM lineitem GROUP BY 1, 2",
     "a09_frequency": with_views("v_order", body="SELECT order_flow, count(*) AS n FROM v_order WHERE order_flow IS NOT NULL GROUP BY 1"),

@@ -18,10 +18,12 @@ class Tables:
     """Views over one directory of parquet tables."""
 
     def __init__(self, spark: SparkSession, folder: str):
-        self.spark, self.folder = spark, folder
+        self.spark, self.folder, self._read = spark, folder, {}
 
     def raw(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        if name not in self._read:  # the footer is read once per query
+            self._read[name] = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        return self._read[name]
 
     def orders(self) -> DataFrame:
         return self.raw("orders").selectExpr(
@@ -94,7 +96,7 @@ class Tables:
         )
 
     def sample_statuses(self) -> DataFrame:
-        return self.samples().where("sample_id % 3 <> 0").selectExpr("sample_id", "sample_process_status AS status")
+        return self.samples().where("sample_process_status <> 'final-rejected'").selectExpr("sample_id", "sample_process_status AS status")
 
     def status_history(self) -> DataFrame:
         return self.raw("lineitem").where("l_linestatus = 'F'").selectExpr(
@@ -160,13 +162,17 @@ class Tables:
         return self.raw("orders").selectExpr("o_orderkey AS payer_claim_id", "o_orderkey AS order_id")
 
     def eobs(self) -> DataFrame:
-        price, off, tax = "CAST(l_extendedprice AS DECIMAL(12,2))", "CAST(l_discount AS DECIMAL(4,2))", "CAST(l_tax AS DECIMAL(4,2))"
+        # exact amounts: whole cents and hundredths in integers, one decimal step at the end
+        price, off, tax = (f"CAST(rint({c} * 100) AS BIGINT)" for c in ("l_extendedprice", "l_discount", "l_tax"))
+        amount = "CAST(CAST({cents} AS DECIMAL(16,0)) * 0.01BD AS DECIMAL(18,2))"
+        allowed = f"({price} * (100 - {off}) + 50) DIV 100"
+        payment = f"({price} * (100 - {off}) * (100 + {tax}) + 5000) DIV 10000"
         return self.raw("lineitem").selectExpr(
             "l_orderkey AS zc_id",
             "l_shipdate AS production_date",
             "l_shipdate + make_dt_interval(l_linenumber) AS issue_date",
-            f"CAST(round({price} * (1 - {off}), 2) AS DECIMAL(18,2)) AS allowed",
-            f"CAST(round({price} * (1 - {off}) * (1 + {tax}), 2) AS DECIMAL(18,2)) AS payment",
+            f"{amount.format(cents=allowed)} AS allowed",
+            f"{amount.format(cents=payment)} AS payment",
             "l_linenumber AS status_code_id",
             "l_partkey AS part_id",
             "l_suppkey AS payer_id",
@@ -190,7 +196,7 @@ class Tables:
         )
 
     def first_appeals(self) -> DataFrame:
-        return self.raw("orders").where("o_orderkey % 4 <> 0").selectExpr(
+        return self.raw("orders").where("o_orderstatus <> 'P'").selectExpr(
             "o_orderkey AS zc_id", "CASE WHEN o_orderpriority <> '5-LOW' THEN o_orderpriority END AS appeal_type"
         )
 
@@ -256,7 +262,7 @@ class Tables:
             "xxhash64(l_orderkey, l_linenumber, l_partkey, l_suppkey, l_shipdate) AS id",
             "l_shipdate AS issue_date",
             "l_suppkey",
-            "CAST(l_extendedprice AS DECIMAL(12,2)) AS payment",
+            "l_extendedprice AS payment",
             *[code.format(i=i) for i in range(1, 7)],
             *[f"CASE WHEN l_linenumber <> {i} THEN CAST(l_linenumber % 3 + 1 AS DECIMAL(4,0)) END AS units_{i}" for i in range(1, 7)],
         )

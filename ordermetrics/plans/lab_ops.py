@@ -18,6 +18,7 @@ from ordermetrics.operators.distinct import distinct_when
 from ordermetrics.operators.joins import join_on, with_first_child
 from ordermetrics.operators.rank import first_per_key, top_groups
 from ordermetrics.operators.trend import running_total, straight_line
+from ordermetrics.plans.common import side_by_side
 
 
 # --- source extracts ------------------------------------------------------
@@ -140,17 +141,24 @@ def first_success(orders: DataFrame, samples: DataFrame, results: DataFrame,
     return join_on(sampled, first, {"order_id": "order_id"}, "inner")
 
 
-def daily_digest(mtd: DataFrame, as_of, groups: Sequence[str] = ()) -> DataFrame:
+def daily_digest(mtd: DataFrame, as_of, groups: Sequence[str] = (), blocked: DataFrame | None = None) -> DataFrame:
     """Yesterday's daily and month-to-date value from a month-to-date frame.
 
     On the first of a month yesterday lies in the previous month's columns.
+    ``blocked`` (see :func:`blocked_reports`) adds the outstanding reports.
     """
     now = parse_moment(as_of)
     month = "previous" if now.day == 1 else "current"
     yesterday = month_bounds(as_of).days_in_previous if now.day == 1 else now.day - 1
-    return mtd.where(F.col("day") == yesterday).select(
+    digest = mtd.where(F.col("day") == yesterday).select(
         *groups, F.col(f"{month}_month_daily").alias("daily"), F.col(f"{month}_month_count").alias("month_to_date")
     )
+    if blocked is None:
+        return digest
+    waiting = outstanding(blocked).groupBy(*groups).agg(F.count_distinct("ssr").alias("outstanding_blocked"))
+    if not groups:
+        return side_by_side(digest, waiting)
+    return digest.join(waiting, list(groups), "left").fillna(0, ["outstanding_blocked"])
 
 
 # --- fulfilment with cutoffs ----------------------------------------------

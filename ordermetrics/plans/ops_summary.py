@@ -13,10 +13,10 @@ from ordermetrics.functions.scalars import half_even, mean, sum_or_zero, thousan
 from ordermetrics.functions.timeframe import at_zone
 from ordermetrics.functions.vocabulary import Vocabulary
 from ordermetrics.operators.calendar import period_keys, with_label, with_period
-from ordermetrics.operators.distinct import distinct_when, stacked_distinct
+from ordermetrics.operators.distinct import stacked_distinct
 from ordermetrics.operators.joins import join_on, with_first_child
 from ordermetrics.operators.metadata import phrase_flags
-from ordermetrics.operators.rank import latest_per_key
+from ordermetrics.operators.rank import append_rows, latest_per_key
 from ordermetrics.operators.reshape import transposed
 from ordermetrics.plans.common import NO_PRODUCTS, ProductCodes
 
@@ -95,30 +95,31 @@ def cohort_summary(orders: DataFrame, kits: DataFrame, reports: DataFrame, bills
     chosen = codes.only(orders.where(in_days("order_created_at", start, end)), product, "orders")
     keys = period_keys(calendar)
     cohort = with_period(chosen, "order_created_at", grain, calendar).where(F.col("period_start").isNotNull())
-    shipped = kits.where(reached("shipment_id")).groupBy("order_item_id").agg(F.lit(True).alias("shipped"))
-    released = reports.where(reached("status_id")).groupBy("order_id").agg(F.lit(True).alias("released"))
-    billed = bills.where(reached("bill_id")).groupBy("order_id").agg(F.count(F.lit(1)).alias("bill_count"))
-    claims = payments.groupBy("order_id", "claim_id").agg(
-        F.sum("payment").alias("paid"), F.count("payment").alias("payment_count")
+    shipped = kits.where(reached("shipment_id")).select("order_item_id").distinct().withColumn("shipped", F.lit(1))
+    staged = join_on(cohort.select(*keys, "order_id", "sample_id", "delivery_id"), shipped, {"delivery_id": "order_item_id"})
+    # Stages meet their order in one aggregation instead of a join each: an
+    # order's many reports or bills shrink before they are moved.
+    facts = append_rows(
+        staged.select("order_id", *keys, "shipped", reached("sample_id").cast("int").alias("sampled")),
+        reports.where(reached("status_id")).select("order_id", F.lit(1).alias("released")),
+        bills.where(reached("bill_id")).select("order_id", F.lit(1).alias("bill")),
     )
-    staged = join_on(cohort.select(*keys, "order_id", "sample_id", "delivery_id"), shipped,
-                     {"delivery_id": "order_item_id"})
-    staged = staged.join(released, "order_id", "left").join(billed, "order_id", "left")
-    counts = distinct_when(
-        staged,
-        keys,
-        "order_id",
-        {
-            "orders_generated": F.lit(True),
-            "kits_shipped": reached("shipped"),
-            "samples_accessioned": reached("sample_id"),
-            "reports_released": reached("released"),
-            "claims_billed": reached("bill_count"),
-        },
+    flags = {"kits_shipped": "shipped", "samples_accessioned": "sampled", "reports_released": "released"}
+    per_order = facts.groupBy("order_id").agg(
+        *[F.max(k).alias(k) for k in keys],
+        *[F.coalesce(F.max(c), F.lit(0)).alias(name) for name, c in flags.items()],
+        F.coalesce(F.sum("bill"), F.lit(0)).alias("bills"),
+    ).where(reached("order_id") & F.col("period_start").isNotNull())
+    counts = per_order.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("orders_generated"),
+        *[F.sum(name).cast("long").alias(name) for name in flags],
+        F.count_if(F.col("bills") > 0).alias("claims_billed"),
     )
-    weight = F.lit(1) if dedupe_payments else F.coalesce(F.col("bill_count"), F.lit(1))
-    per_claim = staged.join(claims, "order_id").groupBy(*keys, "claim_id").agg(
-        F.sum(F.col("paid") * weight).alias("paid"), F.sum(F.col("payment_count") * weight).alias("n")
+    weight = F.lit(1) if dedupe_payments else F.greatest(F.col("bills"), F.lit(1))
+    paid = payments.select("order_id", "claim_id", "payment").join(per_order.select("order_id", *keys, weight.alias("weight")), "order_id")
+    per_claim = paid.groupBy(*keys, "claim_id").agg(
+        F.sum(F.col("payment") * F.col("weight")).alias("paid"),
+        F.sum(F.when(reached("payment"), F.col("weight"))).alias("n"),
     )
     money = per_claim.groupBy(*keys).agg(
         F.count("claim_id").alias("claims_with_eob"),
