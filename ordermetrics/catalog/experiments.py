@@ -40,10 +40,11 @@ def _differences(t: Tables) -> DataFrame:
 
 
 def m45_payer_benchmark(spark: SparkSession, folder: str) -> DataFrame:
-    return experiments.payer_benchmark(_differences(Tables(spark, folder)), AT_LEAST).withColumns(
-        # statistics of doubles: compared at a precision summation order cannot reach
-        {c: F.round(c, 0) for c in ("std", "mean", "q25", "q50", "q75", "min", "max")}
-    ).withColumn("aggregate_payment_difference", F.round("aggregate_payment_difference", -2))
+    stats = experiments.payer_benchmark(_differences(Tables(spark, folder)), AT_LEAST, digits=None)
+    # At these digits no exact value lies halfway between two roundings, so the
+    # order in which doubles are summed cannot decide the comparison.
+    places = {"min": 6, "q25": 6, "q50": 6, "q75": 6, "max": 6, "mean": 6, "std": 6, "aggregate_payment_difference": 4}
+    return stats.withColumns({c: F.round(c, n) for c, n in places.items()})
 
 
 def a08_described(spark: SparkSession, folder: str) -> DataFrame:
@@ -93,8 +94,8 @@ diff AS (SELECT payer, CAST(pay AS DOUBLE) - CAST({_RATE_SUM} AS DOUBLE) / nulli
   WHERE payer IN (SELECT payer FROM top)),
 s AS (SELECT payer, count(d) AS n, avg(d) AS m, stddev_samp(d) AS sd, min(d) AS lo, quantile_cont(d, 0.25) AS a, quantile_cont(d, 0.5) AS b, quantile_cont(d, 0.75) AS c, max(d) AS hi
   FROM diff GROUP BY 1)
-SELECT payer AS payer_name, n AS count, round(m, 0) AS mean, round(sd, 0) AS std, round(lo, 0) AS min, round(a, 0) AS q25, round(b, 0) AS q50, round(c, 0) AS q75,
-  round(hi, 0) AS max, round(n * m, -2) AS aggregate_payment_difference FROM s WHERE n >= {AT_LEAST}"""
+SELECT payer AS payer_name, n AS count, round(m, 6) AS mean, round(sd, 6) AS std, round(lo, 6) AS min, round(a, 6) AS q25, round(b, 6) AS q50, round(c, 6) AS q75,
+  round(hi, 6) AS max, round(n * m, 4) AS aggregate_payment_difference FROM s WHERE n >= {AT_LEAST}"""
 
 ORACLE = {
     "m41_experiment_lookup": with_views("v_arm", body=f"SELECT checkout_version, orders_to_cart_ratio FROM ({_ARMS}) WHERE checkout_version = 'exp-view:1'"),

@@ -99,14 +99,16 @@ def payer_differences(claims: DataFrame, rate_card: DataFrame, start, end, top:
 
 
 def payer_benchmark(differences: DataFrame, at_least: int = 0, sort_by: str = "aggregate_payment_difference",
-                    ascending: bool = True) -> DataFrame:
-    """Summary statistics of the payment difference per payer."""
+                    ascending: bool = True, digits: int | None = 2) -> DataFrame:
+    """Summary statistics of the payment difference per payer; ``digits=None`` leaves them unrounded."""
     stats = described(differences, "payer_name", "difference")
     total = stats.withColumn("aggregate_payment_difference", F.col("count") * F.col("mean"))
     kept = min_group_size(total, "count", at_least)
     ordered = sorted_by(kept, sort_by, "payer_name", ascending=[ascending, True])
+    if digits is None:
+        return ordered
     rounded = ["mean", "std", "min", "q25", "q50", "q75", "max", "aggregate_payment_difference"]
-    return ordered.withColumns({c: half_even(c) for c in rounded})
+    return ordered.withColumns({c: half_even(c, digits) for c in rounded})
 
 
 def clean_rate_card(rate_card: DataFrame, excluded: str = "QW") -> DataFrame:
