@@ -7,8 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ordermetrics.llm import decontaminate, langid, lines, shards, warc
-from ordermetrics.llm.common import held_out, table, utf8
+from ordermetrics.llm import chat, decontaminate, langid, lines, packing, pq, setsketch, shards, toxicity, warc
+from ordermetrics.llm.common import held_out, table, utf8, vocabulary
+from ordermetrics.session import written
+
+
+def op1_embedding_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return pq.near_vectors(table(spark, folder, "embeddings"), threshold=0.9)
 
 
 def op2_decontamination(spark: SparkSession, folder: str) -> DataFrame:
@@ -21,11 +26,31 @@ def op3_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return cleaned.select("doc_id", "n_lines", "n_dropped", F.sha2(utf8("text"), 256).alias("text_sha256"), F.length("text").cast("long").alias("n_chars"))
 
 
+def op4_minhash_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    found = setsketch.near_duplicates(table(spark, folder, "documents"), numerator=85, denominator=100, width=3)
+    return found.select("doc_id", "n_shingles", "component_id", "kept")
+
+
+def op5_chat_format(spark: SparkSession, folder: str) -> DataFrame:
+    rows = chat.with_control_texts(spark, folder)
+    return chat.digests(written(chat.format_conversations(rows, vocabulary("byte_bpe_50k.json")), "formatted"))
+
+
+def op6_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.pack(table(spark, folder, "documents"), vocabulary("word_bpe_49k.json"), window=2048, end_id=1, with_ids=False)
+
+
 def op7_language_id(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     return langid.identify(docs, langid.train_on_open(docs)).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
 
 
+def op8_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    model = toxicity.train(docs, table(spark, folder, "labels"))
+    return toxicity.toxicity(docs, model).select("doc_id", held_out().alias("held_out"), "score", "predicted")
+
+
 def op9_sharding(spark: SparkSession, folder: str) -> DataFrame:
     placed = shards.shard(table(spark, folder, "documents"), 8)
     return placed.select(
@@ -39,4 +64,6 @@ def op10_warc(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_decontamination, op3_line_dedup, op7_language_id, op9_sharding, op10_warc)}
+    f.__name__: f for f in (
+        op1_embedding_dedup, op2_decontamination, op3_line_dedup, op4_minhash_dedup, op5_chat_format,
+        op6_packing, op7_language_id, op8_toxicity, op9_sharding, op10_warc)}

@@ -63,4 +63,53 @@ SELECT page_id, payload_bytes, payload_digest, CASE WHEN first IS NOT NULL AND p
 FROM d LEFT JOIN g USING (payload_digest)
 """
 
-ORACLE = {"op2_decontamination": OP2, "op3_line_dedup": OP3, "op10_warc": OP10}
+OP1 = """
+WITH RECURSIVE v AS (
+  SELECT row_number() OVER () AS r, vec_id, CAST(embedding AS DOUBLE[]) AS e,
+    coalesce(len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0, false) AS good
+  FROM embeddings),
+links AS (
+  SELECT a.r AS a, b.r AS b FROM v a JOIN v b ON a.r <> b.r AND a.good AND b.good AND len(a.e) = len(b.e)
+  WHERE list_dot_product(a.e, b.e) >= 0.9 * sqrt(list_dot_product(a.e, a.e)) * sqrt(list_dot_product(b.e, b.e))),
+reach AS (SELECT a, b FROM links UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a),
+least AS (SELECT a, min(vec_id) AS m FROM reach JOIN v ON v.r = reach.b GROUP BY a),
+counted AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+SELECT vec_id, coalesce(n, 0) AS n_links, least(vec_id, m) AS component_id, vec_id = least(vec_id, m) AS kept
+FROM v LEFT JOIN least ON least.a = r LEFT JOIN counted ON counted.a = r
+"""
+
+OP4 = r"""
+WITH RECURSIVE d AS (
+  SELECT row_number() OVER () AS r, doc_id, list_filter(string_split_regex(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+s AS (
+  SELECT DISTINCT r, array_to_string(w[i:i + 2], ' ') AS shingle
+  FROM (SELECT r, w, unnest(generate_series(1, greatest(len(w) - 2, 1))) AS i FROM d WHERE len(w) > 0)),
+n AS (SELECT r, count(*) AS n FROM s GROUP BY r),
+links AS (
+  SELECT a, b FROM (SELECT x.r AS a, y.r AS b, count(*) AS k FROM s x JOIN s y ON x.shingle = y.shingle AND x.r <> y.r GROUP BY ALL)
+  JOIN n na ON na.r = a JOIN n nb ON nb.r = b WHERE 100 * k >= 85 * (na.n + nb.n - k)),
+reach AS (SELECT a, b FROM links UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a),
+least AS (SELECT a, min(doc_id) AS m FROM reach JOIN d ON d.r = reach.b GROUP BY a)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, least(doc_id, m) AS component_id, doc_id = least(doc_id, m) AS kept
+FROM d LEFT JOIN least ON least.a = d.r LEFT JOIN n ON n.r = d.r
+"""
+
+# 24 code points of each turn are its marks: <|im_start|>, line break, <|im_end|>, line break.
+OP5 = r"""
+WITH rows AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
+counted AS (
+  SELECT *, length(role) + length(text) + 24
+    + len(regexp_extract_all(text, '<\\*(\|im_start\||\|im_end\||\|endoftext\||s|/s)>|\[\\*(INST|/INST)\]'))
+    + len(regexp_extract_all(role, '[\\\n]')) + len(regexp_extract_all(role, '<\\*(\|im_start\||\|im_end\||\|endoftext\||s|/s)>|\[\\*(INST|/INST)\]')) AS chars
+  FROM rows)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(chars) AS BIGINT) AS formatted_chars
+FROM counted GROUP BY conv_id
+"""
+
+ORACLE = {"op1_embedding_dedup": OP1, "op4_minhash_dedup": OP4, "op5_chat_format": OP5, "op2_decontamination": OP2, "op3_line_dedup": OP3, "op10_warc": OP10}
