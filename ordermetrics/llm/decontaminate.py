@@ -53,6 +53,10 @@ def _phrase(start: Column, length: int) -> Column:
     return F.array_join(F.slice("w", start, length), " ")
 
 
+def _spans(starts: Column, length: int) -> Column:
+    return F.transform(starts, lambda s: F.struct(s.alias("start"), F.lit(length).alias("words"), _phrase(s, length).alias("phrase")))
+
+
 def item_windows(items: DataFrame, window: int) -> DataFrame:
     """(phrase, words, print, item): every window of each item, an item of fewer words being one.
 
@@ -105,11 +109,10 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = 10) -> DataFr
     suspects = _fingerprints(_words(suspects), window)
     numbers = lambda length: F.when(F.size("w") >= length, F.sequence(F.lit(1), F.size("w") - (length - 1))).otherwise(F.array().cast("array<int>"))
     starts = F.filter(numbers(window), lambda s: F.array_contains("prints", F.get("least", s - 1)))
-    spans = F.transform(starts, lambda s: F.struct(s.alias("start"), F.lit(window).alias("words"), _phrase(s, window).alias("phrase")))
+    spans = _spans(starts, window)
     if short:
-        spans = F.concat(spans, *[
-            F.when(F.col("word"), F.transform(numbers(n), lambda s, n=n: F.struct(s.alias("start"), F.lit(n).alias("words"), _phrase(s, n).alias("phrase"))))
-            .otherwise(F.array().cast("array<struct<start:int,words:int,phrase:string>>")) for n in short])
+        none = F.array().cast("array<struct<start:int,words:int,phrase:string>>")
+        spans = F.concat(spans, *[F.when(F.col("word"), _spans(numbers(n), n)).otherwise(none) for n in short])
     # outer: the filter that Spark derives for a plain explode would repeat the whole chain of expressions
     spans = suspects.select("doc_id", "t", F.explode_outer(spans).alias("s")).select("doc_id", "t", "s.*")
     matched = spans.join(windows.select("phrase", "words", "item"), ["phrase", "words"])

@@ -71,10 +71,10 @@ def drop_recurring_lines(docs: DataFrame, min_docs: int = 10, alike: float = 0.7
     columns pass through, but for n_lines and n_dropped, which are replaced.
     """
     docs = docs.drop("n_lines", "n_dropped")
-    bad = dropped_lines(docs, min_docs, alike).withColumnsRenamed({"doc_id": "_id", "t": "_t"})
-    out = docs.join(bad, docs["doc_id"].eqNullSafe(F.col("_id")) & (text_key() == F.col("_t")), "left")
-    parts = F.split("text", "\n")
-    kept = F.array_join(F.filter(parts, lambda x, i: ~F.array_contains("dropped", i)), "\n")
+    bad = dropped_lines(docs, min_docs, alike)
+    out = docs.join(bad, docs["doc_id"].eqNullSafe(bad["doc_id"]) & (F.xxhash64(docs["text"]) == bad["t"]), "left")
+    parts, gone = F.split(docs["text"], "\n"), bad["dropped"]
+    kept = F.array_join(F.filter(parts, lambda x, i: ~F.array_contains(gone, i)), "\n")
     return out.select(
-        *[F.when(F.col("dropped").isNull(), F.col("text")).otherwise(kept).alias("text") if c == "text" else docs[c] for c in docs.columns],
-        F.coalesce(F.size(parts), F.lit(0)).cast("long").alias("n_lines"), F.coalesce(F.size("dropped"), F.lit(0)).cast("long").alias("n_dropped"))
+        *[F.when(gone.isNull(), docs["text"]).otherwise(kept).alias("text") if c == "text" else docs[c] for c in docs.columns],
+        F.coalesce(F.size(parts), F.lit(0)).cast("long").alias("n_lines"), F.coalesce(F.size(gone), F.lit(0)).cast("long").alias("n_dropped"))
