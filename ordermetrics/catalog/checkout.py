@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ordermetrics.catalog.checks import ratio, with_views
-from ordermetrics.catalog.views import AS_OF, EVENTS_AS_OF, Tables
+from ordermetrics.catalog.views import AS_OF, EVENTS_AS_OF, TEST_NAMES, Tables
 from ordermetrics.operators.joins import sent_with_latest_return
 from ordermetrics.plans import checkout
 
@@ -82,7 +82,7 @@ def j17_program_rows(spark: SparkSession, folder: str) -> DataFrame:
     t = Tables(spark, folder)
     # one shipment per delivery, so that the numbering is a total order
     sent = t.shipments().groupBy("delivery_id", "type").agg(F.min("ship_date").alias("ship_date"), F.min("delivered_date").alias("delivered_date"))
-    rows = checkout.program_orders(t.carts(), t.orders(), t.metadata(), sent, t.samples())
+    rows = checkout.program_orders(t.carts(), t.orders(), t.metadata(), sent, t.samples(), vocab=TEST_NAMES)
     return rows.select(
         "cart_id", "source", "program_category", "mk_upg_stat", "sample_receival_stat", "ship_date",
         *[F.col(c).cast("double").alias(c) for c in ("order_id", "kit_number", "kit_received_time_in_days")],

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ordermetrics.catalog.checks import half_even_quotient, ratio, with_views
-from ordermetrics.catalog.views import AS_OF, Tables
+from ordermetrics.catalog.views import AS_OF, TEST_NAMES, Tables
 from ordermetrics.operators.joins import join_on
 from ordermetrics.plans import lab_ops
 
@@ -112,7 +112,7 @@ def m08_mean_days(spark: SparkSession, folder: str) -> DataFrame:
 def _blocked(t: Tables) -> DataFrame:
     kits = t.shipments().where("type = 'NORMAL'").select("delivery_id", "shipment_id", "ship_date", "part_id")
     return lab_ops.blocked_reports(
-        _lab_orders(t), kits, t.blocked(), t.issue_types(), tie=["shipment_id", "part_id"]
+        _lab_orders(t), kits, t.blocked(), t.issue_types(), tie=["shipment_id", "part_id"], vocab=TEST_NAMES
     )
 
 

@@ -2,18 +2,19 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ordermetrics.catalog.checks import half_even_money, ratio, with_views
-from ordermetrics.catalog.views import AS_OF, EVENTS_AS_OF, Tables
+from ordermetrics.catalog.views import AS_OF, EVENTS_AS_OF, TEST_NAMES, Tables
 from ordermetrics.functions import classify as C
-from ordermetrics.functions.vocabulary import Vocabulary
 from ordermetrics.operators.joins import join_on, with_first_child
 from ordermetrics.plans import marketing
 
 # The order table's clock lies before the tracking start, so it is moved.
-VOCAB = Vocabulary(utm_start="1998-01-01")
+VOCAB = replace(TEST_NAMES, utm_start="1998-01-01")
 YEAR = "1999-07-15"
 START, END = "1996-01-01", "2000-12-31"
 
@@ -35,7 +36,7 @@ def m32_metadata_text(spark: SparkSession, folder: str) -> DataFrame:
     """The variant that carries each order's metadata text; more states left out."""
     t = Tables(spark, folder)
     rows = marketing.enriched_orders(
-        t.orders(), t.metadata(), t.tracking(), t.order_types(), YEAR, VOCAB.excluded_recent_states, VOCAB, with_text=True
+        t.orders(), t.metadata(), t.tracking(), t.order_types(), YEAR, VOCAB.excluded_recent_states, vocab=VOCAB, with_text=True
     )
     return rows.select("order_id", "order_meta_values", "upg_details", "order_funnel", "utm_fillna")
 
@@ -43,10 +44,8 @@ def m32_metadata_text(spark: SparkSession, folder: str) -> DataFrame:
 def m32_label_counts(spark: SparkSession, folder: str) -> DataFrame:
     """All years' orders per label combination."""
     t = Tables(spark, folder)
-    rows = None
-    for year in range(1995, 2002):
-        part = _enriched(t, f"{year}-06-30").select(*LABELS)
-        rows = part if rows is None else rows.unionByName(part)
+    orders = t.orders().where(F.col("created_at").between(F.lit("1995-01-01").cast("timestamp_ntz"), F.lit("2001-12-31 23:59:59").cast("timestamp_ntz")))
+    rows = marketing.enriched_orders(orders, t.metadata(), t.tracking(), t.order_types(), None, vocab=VOCAB)
     return rows.groupBy(*LABELS).agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -59,7 +58,7 @@ def m33_last24h_hourly(spark: SparkSession, folder: str) -> DataFrame:
         # order dates carry no time of day; spread them over the day
         "created_at", F.col("created_at") + F.make_dt_interval(F.lit(0), (F.col("order_id") % 24).cast("int"))
     )
-    return marketing.recent_hours(orders, t.metadata(), t.tracking(), t.order_types(), AS_OF, VOCAB)
+    return marketing.recent_hours(orders, t.metadata(), t.tracking(), t.order_types(), AS_OF, vocab=VOCAB)
 
 
 def c10_utm_from_pages(spark: SparkSession, folder: str) -> DataFrame:

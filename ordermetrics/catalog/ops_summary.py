@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ordermetrics.catalog.checks import half_even_money, period_columns, with_views
-from ordermetrics.catalog.views import END, START, Tables
+from ordermetrics.catalog.views import END, START, TEST_NAMES, Tables
 from ordermetrics.functions.timeframe import at_zone, day
 from ordermetrics.operators.calendar import fiscal_calendar, with_label, with_period
 from ordermetrics.plans import billing, ops_summary
@@ -76,7 +76,7 @@ def j15_cohort_rows(spark: SparkSession, folder: str) -> DataFrame:
 
 def m03_order_extract(spark: SparkSession, folder: str) -> DataFrame:
     t = Tables(spark, folder)
-    rows = ops_summary.order_extract(t.orders(), t.order_types(), t.metadata(), SINCE)
+    rows = ops_summary.order_extract(t.orders(), t.order_types(), t.metadata(), SINCE, vocab=TEST_NAMES)
     return rows.withColumns({c: F.col(c).cast("string") for c in ("sample_id", "delivery_id")})
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ordermetrics.catalog.checks import with_views
-from ordermetrics.catalog.views import Tables
+from ordermetrics.catalog.views import TEST_NAMES, Tables
 from ordermetrics.functions import classify as C
 from ordermetrics.functions import predicates as P
 from ordermetrics.functions import scalars as S
@@ -118,7 +118,7 @@ def a11_arrays(spark: SparkSession, folder: str) -> DataFrame:
     """Array sizes with the exact-label and the pattern flag."""
     arrays = array_values(Tables(spark, folder).metadata(), "order_id", "value", "items")
     return arrays.select(
-        "order_id", F.size("items").alias("n"), C.upgrade_by_label("items").alias("by_label"), C.upgrade_by_pattern("items").alias("by_pattern")
+        "order_id", F.size("items").alias("n"), C.upgrade_by_label("items", vocab=TEST_NAMES).alias("by_label"), C.upgrade_by_pattern("items", vocab=TEST_NAMES).alias("by_pattern")
     )
 
 

@@ -9,6 +9,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ordermetrics.functions.vocabulary import Vocabulary
+
+TEST_NAMES = Vocabulary("company", "starter", ("BrandA", "BrandB", "Starter"), ("BA", "BB"))
 AS_OF = "2001-07-15"  # clock of the order tables
 EVENTS_AS_OF = "2024-01-30"  # clock of the events table
 START, END = "1996-01-01", "2000-12-31"

@@ -53,24 +53,23 @@ def kit_type(prescription_id: Column | str = "prescription_id", single="singleki
     return F.when(as_column(prescription_id).isNull(), F.lit(single)).otherwise(F.lit(multi))
 
 
-def is_upgrade(meta: Column | str = "order_meta_values", vocab: Vocabulary = Vocabulary()) -> Column:
+def is_upgrade(meta: Column | str = "order_meta_values", *, vocab: Vocabulary) -> Column:
     return mentions(meta, *vocab.upgrade_phrases)
 
 
-def upgrade_type(meta: Column | str = "order_meta_values", vocab: Vocabulary = Vocabulary(),
-                 yes="upgrade", no="nonupgrade") -> Column:
-    return F.when(is_upgrade(meta, vocab), F.lit(yes)).otherwise(F.lit(no))
+def upgrade_type(meta: Column | str = "order_meta_values",
+                 yes="upgrade", no="nonupgrade", *, vocab: Vocabulary) -> Column:
+    return F.when(is_upgrade(meta, vocab=vocab), F.lit(yes)).otherwise(F.lit(no))
 
 
-def kit_upgrade_status(meta: Column | str = "order_meta_values", prescription_id: Column | str = "prescription_id",
-                       vocab: Vocabulary = Vocabulary()) -> Column:
+def kit_upgrade_status(meta: Column | str = "order_meta_values", prescription_id: Column | str = "prescription_id", *, vocab: Vocabulary) -> Column:
     """Upgrade wins over kit type."""
     return first_match(
-        [(is_upgrade(meta, vocab), "Upgrade"), (as_column(prescription_id).isNotNull(), "Multi Kit")], "Single Kit"
+        [(is_upgrade(meta, vocab=vocab), "Upgrade"), (as_column(prescription_id).isNotNull(), "Multi Kit")], "Single Kit"
     )
 
 
-def upgrade_detail(meta: Column | str = "order_meta_values", vocab: Vocabulary = Vocabulary()) -> Column:
+def upgrade_detail(meta: Column | str = "order_meta_values", *, vocab: Vocabulary) -> Column:
     """Which version was left; the version may stand anywhere after the phrase."""
     low = F.lower(as_column(meta))
     left, starter = vocab.upgrade_phrases
@@ -88,7 +87,7 @@ def canonical_order_id(prescription_id: Column | str = "prescription_id", order_
 
 # --- order labels ---------------------------------------------------------
 
-def order_channel(flow: Column | str = "order_flow", vocab: Vocabulary = Vocabulary()) -> Column:
+def order_channel(flow: Column | str = "order_flow", *, vocab: Vocabulary) -> Column:
     flow = as_column(flow)
     return first_match(
         [
@@ -100,8 +99,7 @@ def order_channel(flow: Column | str = "order_flow", vocab: Vocabulary = Vocabul
     )
 
 
-def sample_status(state: Column | str = "state", meta: Column | str = "order_meta_values",
-                  vocab: Vocabulary = Vocabulary()) -> Column:
+def sample_status(state: Column | str = "state", meta: Column | str = "order_meta_values", *, vocab: Vocabulary) -> Column:
     """Closed states first, then the metadata override, then open states."""
     state = as_column(state)
     return first_match(
@@ -124,7 +122,7 @@ def pending_items(state: Column | str = "state") -> Column:
 
 def order_funnel(state: Column | str = "state", billed: Column | str = "billed",
                  meta: Column | str = "order_meta_values", delivery_id: Column | str = "delivery_id",
-                 prescription_id: Column | str = "prescription_id", vocab: Vocabulary = Vocabulary()) -> Column:
+                 prescription_id: Column | str = "prescription_id", *, vocab: Vocabulary) -> Column:
     """Furthest stage an order reached."""
     state = as_column(state)
     dropped = vocab.rejected_states + V.CANCELLED_STATES + ["DRAFT"]
@@ -146,7 +144,7 @@ BACKEND, BACKEND_SHORT = "Other Backend Generated Orders (VIP, NTRF, etc)", "Oth
 
 def utm_filled(source: Column | str = "utm_source", medium: Column | str = "utm_medium",
                meta: Column | str = "order_meta_values", flow: Column | str = "order_flow",
-               created_at: Column | str = "created_at", vocab: Vocabulary = Vocabulary(), recent: bool = False) -> Column:
+               created_at: Column | str = "created_at", recent: bool = False, *, vocab: Vocabulary) -> Column:
     """Traffic source, inferred where none was tracked.
 
     ``recent`` selects the last-24-hours wording: a shorter backend label for
@@ -158,7 +156,7 @@ def utm_filled(source: Column | str = "utm_source", medium: Column | str = "utm_
         [
             (as_column(created_at) < moment(vocab.utm_start), "Before UTM Integration"),
             (medium.isNotNull(), medium),
-            (is_upgrade(meta, vocab), "Upgrades with no UTM"),
+            (is_upgrade(meta, vocab=vocab), "Upgrades with no UTM"),
             (mentions(meta, "vip", "ntrf"), BACKEND_SHORT if recent else BACKEND),
             (F.lower(as_column(meta)).like("%recollected_from%"), BACKEND),
             (F.lower(as_column(meta)).like("%kit_barcode_replaced%"), BACKEND),
@@ -173,7 +171,7 @@ def utm_filled(source: Column | str = "utm_source", medium: Column | str = "utm_
 
 # --- marketing ------------------------------------------------------------
 
-def utm_rules(vocab: Vocabulary = Vocabulary()) -> list[tuple[str, str, tuple[str, str, str]]]:
+def utm_rules(vocab: Vocabulary) -> list[tuple[str, str, tuple[str, str, str]]]:
     """(source, medium, (category, channel, sub-channel)); later rows win."""
     newsletters = [(brand, "email", (V.PERFORMANCE, "Email", "Newsletter")) for brand in vocab.brands]
     return [
@@ -188,8 +186,7 @@ def utm_rules(vocab: Vocabulary = Vocabulary()) -> list[tuple[str, str, tuple[st
     ]
 
 
-def with_utm_mapping(df: DataFrame, source: str = "utm_source", medium: str = "utm_medium",
-                     vocab: Vocabulary = Vocabulary(), rules=None) -> DataFrame:
+def with_utm_mapping(df: DataFrame, source: str = "utm_source", medium: str = "utm_medium", rules=None, *, vocab: Vocabulary) -> DataFrame:
     """Add mapped_category, mapped_channel and mapped_sub_channel (null when no rule fits)."""
     untracked = F.col(source).isNull() & F.col(medium).isNull()
     table = utm_rules(vocab) if rules is None else rules
@@ -206,7 +203,7 @@ def with_utm_mapping(df: DataFrame, source: str = "utm_source", medium: str = "u
     )
 
 
-def paid_pairs(vocab: Vocabulary = Vocabulary()) -> list[tuple[str, str]]:
+def paid_pairs(vocab: Vocabulary) -> list[tuple[str, str]]:
     """(source, medium) pairs that count as paid acquisition (fixed values)."""
     return [
         ("facebook", "paid_social"),
@@ -219,29 +216,28 @@ def paid_pairs(vocab: Vocabulary = Vocabulary()) -> list[tuple[str, str]]:
     ]
 
 
-def paid_category(source: Column | str = "utm_source", medium: Column | str = "utm_medium",
-                  vocab: Vocabulary = Vocabulary()) -> Column:
+def paid_category(source: Column | str = "utm_source", medium: Column | str = "utm_medium", *, vocab: Vocabulary) -> Column:
     source, medium = as_column(source), as_column(medium)
     return first_match([((source == s) & (medium == m), V.PERFORMANCE) for s, m in paid_pairs(vocab)])
 
 
 # --- labels over arrays ---------------------------------------------------
 
-def upgrade_by_label(values: Column | str, vocab: Vocabulary = Vocabulary()) -> Column:
+def upgrade_by_label(values: Column | str, *, vocab: Vocabulary) -> Column:
     """'Upgrade' when the array holds one of the exact labels, else null."""
     labels = F.array(*[F.lit(x) for x in vocab.upgrade_labels])
     return F.when(F.arrays_overlap(as_column(values), labels), F.lit("Upgrade"))
 
 
-def value_has_upgrade_phrase(value: Column | str, vocab: Vocabulary = Vocabulary()) -> Column:
+def value_has_upgrade_phrase(value: Column | str, *, vocab: Vocabulary) -> Column:
     """Case-sensitive search for the upgrade phrases in one metadata value."""
     value = as_column(value)
     return value.contains("Upgraded from") | value.contains(f"{vocab.starter_brand.capitalize()} upgrade")
 
 
-def upgrade_by_pattern(values: Column | str, vocab: Vocabulary = Vocabulary()) -> Column:
+def upgrade_by_pattern(values: Column | str, *, vocab: Vocabulary) -> Column:
     """True when any array element has the phrase."""
-    return F.coalesce(F.exists(as_column(values), lambda x: value_has_upgrade_phrase(x, vocab)), F.lit(False))
+    return F.coalesce(F.exists(as_column(values), lambda x: value_has_upgrade_phrase(x, vocab=vocab)), F.lit(False))
 
 
 def program_category(program: Column | str = "program") -> Column:

@@ -47,12 +47,12 @@ PERFORMANCE, BRAND = "Online Performance Marketing", "Brand Marketing"
 
 @dataclass(frozen=True)
 class Vocabulary:
-    """Deployment-specific names inside codes and texts."""
+    """Deployment-specific names inside codes and texts. A wrong name mislabels silently, so none has a default."""
 
-    company: str = "company"
-    starter_brand: str = "starter"
-    brands: tuple[str, ...] = ("BrandA", "BrandB", "Starter")
-    upgrade_prefixes: tuple[str, ...] = ("BA", "BB")
+    company: str
+    starter_brand: str
+    brands: tuple[str, ...]
+    upgrade_prefixes: tuple[str, ...]
     upgrade_versions: tuple[int, ...] = (1, 2, 3)
     utm_start: str = UTM_START
 

@@ -70,53 +70,28 @@ def semi_top(df: DataFrame, top: DataFrame, column: str) -> DataFrame:
     return df.join(top.select(column), column, "left_semi")
 
 
-def at_most(df: DataFrame, rows: int) -> bool:
-    """Whether the frame has no more rows than that; reads only one row further."""
-    return df.limit(rows + 1).count() <= rows
+def unique_values(df: DataFrame, key: str, value: str) -> DataFrame:
+    """(key, value); a key that occurs twice raises when the result is computed."""
+    twice = F.raise_error(F.concat(F.lit(f"{key} occurs more than once: "), F.col(key).cast("string")))
+    counted = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("__n"), F.max(value).alias(value))
+    return counted.select(key, F.when(F.col("__n") > 1, twice.cast(df.schema[value].dataType)).otherwise(F.col(value)).alias(value))
 
 
-# Up to this many rates the card is copied to every executor (a few megabytes).
-BROADCAST_RATES = 200_000
-
-
-def rates_by_row(df: DataFrame, id_column: str, codes: Sequence[str], units: Sequence[str], rate_card: DataFrame,
-                 code: str, rate: str) -> DataFrame:
+def rates_by_row(df: DataFrame, codes: Sequence[str], units: Sequence[str], rate_card: DataFrame, code: str, rate: str) -> DataFrame:
     """Rows with ``rate_total`` (summed rate x units) and ``code_count``.
 
-    A card of checked size is broadcast once and looked up per code without
-    any shuffle; a larger one is joined by :func:`rates_by_code_rows`. Codes
-    must be unique in the card.
+    Each code column is looked up in the card by a left join, which adaptive execution
+    turns into a broadcast when the card's measured size allows it. Rows need no
+    id; a code that stands twice in the card raises.
     """
-    if not at_most(rate_card, BROADCAST_RATES):
-        return df.join(rates_by_code_rows(df, id_column, codes, units, rate_card, code, rate), id_column, "left")
     out, total, count = df, F.lit(0), F.lit(0)
+    card = unique_values(rate_card, code, rate)
     for i, (c, u) in enumerate(zip(codes, units, strict=True)):
-        card = F.broadcast(rate_card.select(F.col(code).alias(f"__code{i}"), F.col(rate).alias(f"__rate{i}")))
-        out = out.join(card, F.col(c) == F.col(f"__code{i}"), "left")
+        out = out.join(card.select(F.col(code).alias(f"__code{i}"), F.col(rate).alias(f"__rate{i}")), F.col(c) == F.col(f"__code{i}"), "left")
         total = total + F.coalesce(F.col(f"__rate{i}"), F.lit(0)) * F.coalesce(F.col(u), F.lit(0))
         count = count + F.col(c).isNotNull().cast("int")
     helpers = [f"__{kind}{i}" for kind in ("code", "rate") for i in range(len(codes))]
-    counted = F.when(count > 0, count)
-    return out.withColumns({"rate_total": F.when(count > 0, total), "code_count": counted}).drop(*helpers)
-
-
-def rates_by_code_rows(df: DataFrame, id_column: str, codes: Sequence[str], units: Sequence[str], rate_card: DataFrame,
-                       code: str, rate: str) -> DataFrame:
-    """Per row, the summed rate x units and the number of codes present.
-
-    The code columns are turned into rows, so one join replaces one join per
-    code column; sums are partial before the shuffle back to ``id_column``,
-    which must identify a row.
-    """
-    pairs = F.explode(
-        F.array(*[F.struct(F.col(c).alias("code"), F.col(u).alias("units")) for c, u in zip(codes, units, strict=True)])
-    ).alias("pair")
-    long = df.select(id_column, pairs).select(id_column, "pair.code", "pair.units").where(F.col("code").isNotNull())
-    card = rate_card.select(F.col(code).alias("code"), F.col(rate).alias("rate"))
-    amount = F.coalesce(F.col("rate"), F.lit(0)) * F.coalesce(F.col("units"), F.lit(0))
-    return long.join(card, "code", "left").groupBy(id_column).agg(
-        F.sum(amount).alias("rate_total"), F.count(F.lit(1)).alias("code_count")
-    )
+    return out.withColumns({"rate_total": F.when(count > 0, total), "code_count": F.when(count > 0, count)}).drop(*helpers)
 
 
 def aligned(frames: Sequence[DataFrame], on: Sequence[str]) -> DataFrame:

@@ -57,19 +57,19 @@ def phrase_digest(df: DataFrame, key: str, value: str, name: str, phrases: Seque
     text would match ``%<versioned> %<v>%``. There the phrase may stand in one
     child and the version in a later one, which the least child with the
     phrase and the greatest with the version decide. All parts are combined
-    map-side, so a parent with any number of children yields one short row.
+    map-side in one aggregation, so no child's whole text is shuffled but the least
+    and greatest ones.
     """
     low, start = F.lower(F.col(value)), f"{versioned} "
     starts = low.contains(start)
-    counted = df.where(F.col(value).isNotNull()).groupBy(key, value).agg(F.count(F.lit(1)).alias("__n"))
     parts = {f"p{i}": F.bool_or(low.like(f"%{p}%")) for i, p in enumerate(phrases)}
     parts["first"] = F.min(F.when(starts, F.col(value)))
     for i, v in enumerate(versions):
         parts[f"in{i}"] = F.bool_or(low.like(f"%{start}%{v}%"))
-        # both in the wrong order: a repeat of the same child matches
-        parts[f"twice{i}"] = F.bool_or(starts & low.contains(v) & (F.col("__n") > 1))
+        # both in the wrong order: with a second such child, alike or not, one of each stands in order
+        parts[f"twice{i}"] = F.count_if(starts & low.contains(v)) > 1
         parts[f"last{i}"] = F.max(F.when(low.contains(v), F.col(value)))
-    grouped = counted.groupBy(key).agg(*[c.alias(f"__{n}") for n, c in parts.items()])
+    grouped = df.where(F.col(value).isNotNull()).groupBy(key).agg(*[c.alias(f"__{n}") for n, c in parts.items()])
     words = [F.when(F.col(f"__p{i}"), F.lit(p)) for i, p in enumerate(phrases)]
     for i, v in enumerate(versions):
         spans = F.col("__first") < F.col(f"__last{i}")

@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ordermetrics.session import written
+
 
 def running_sum(df: DataFrame, keys: Sequence[str], order: Sequence[Column], chunk: Column, value: Column, name: str) -> DataFrame:
     """Running sum of ``value`` within ``keys`` along ``order`` (a total order).
@@ -15,9 +17,9 @@ def running_sum(df: DataFrame, keys: Sequence[str], order: Sequence[Column], chu
     ``chunk`` must not decrease along ``order`` and must not be null. Rows are
     summed inside (key, chunk) and shifted by the totals of earlier chunks, so
     a hot key is spread over its chunks; the only window over a whole key runs
-    over one row per chunk.
+    over one row per chunk. The input is stored first, as both read it; this runs a job.
     """
-    keyed = df.withColumns({"__chunk": chunk, "__value": value})
+    keyed = written(df.withColumns({"__chunk": chunk, "__value": value}), "running")
     parts = [*keys, "__chunk"]
     within = Window.partitionBy(*parts).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     inside = keyed.withColumn("__inside", F.sum("__value").over(within))

@@ -2,45 +2,33 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ordermetrics.session import written
 
-SIDE = 12
-CUTS = [i / SIDE**2 for i in range(1, SIDE**2)]
-
 
 def value_counts(df: DataFrame, group: str, value: str) -> DataFrame:
-    """How often each value occurs in each group, stored once for the steps below."""
+    """How often each value occurs in each group, with the slice of the whole it lies in.
+
+    Slices are the partitions of a range exchange by (group, value), so they ascend with
+    the values of a group, a hot group spans many, and their number is the session's
+    partition count. Stored once for the steps below.
+    """
     rows = df.where(F.col(group).isNotNull() & F.col(value).isNotNull()).select(
         group, F.col(value).cast("double").alias("__v")
     )
-    return written(rows.groupBy(group, "__v").agg(F.count(F.lit(1)).alias("__n")), "values")
+    counts = rows.groupBy(group, "__v").agg(F.count(F.lit(1)).alias("__n"))
+    return written(counts.repartitionByRange(group, "__v").withColumn("__slice", F.spark_partition_id()), "values")
 
 
 def _sliced(counts: DataFrame, group: str) -> DataFrame:
-    """Values with their group's size and mean, and the slice of the group they lie in.
-
-    Approximate cut points (a small mergeable sketch) divide each group; they
-    decide how the work is split, never the result.
-    """
+    """Values with their group's size and mean."""
     facts = counts.groupBy(group).agg(
-        F.percentile_approx("__v", CUTS, 2000).alias("__cuts"),
         F.sum("__n").alias("__total"),
         (F.sum(F.col("__n") * F.col("__v")) / F.sum("__n")).alias("__mean"),
     )
-    # how many of the ascending cut points lie below a value: first among every
-    # SIDE-th of them, then among the SIDE - 1 that follow
-    coarse = F.transform(F.sequence(F.lit(1), F.lit(SIDE - 1)), lambda i: F.element_at("__cuts", i * SIDE))
-    blocks = _below(F.col("__coarse"))
-    fine = _below(F.slice("__cuts", F.col("__block") * SIDE + 1, SIDE - 1))
-    placed = counts.join(facts.withColumn("__coarse", coarse), group).withColumn("__block", blocks)
-    return placed.withColumn("__slice", F.col("__block") * SIDE + fine).drop("__cuts", "__coarse", "__block")
-
-
-def _below(cuts: Column) -> Column:
-    return F.size(F.filter(cuts, lambda c: c < F.col("__v")))
+    return counts.join(facts, group)
 
 
 def _ends(spans: DataFrame, group: str, probabilities: dict[str, float]) -> DataFrame:
@@ -77,7 +65,7 @@ def _quantiles(sliced: DataFrame, spans: DataFrame, group: str, probabilities: d
 
 
 def _spans(sizes: DataFrame, group: str) -> DataFrame:
-    """Rows before each slice; a group has at most one row per cut here."""
+    """Rows before each slice; a group has at most one row per partition here."""
     earlier = Window.partitionBy(group).orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)
     return sizes.withColumn("__before", F.coalesce(F.sum("__size").over(earlier), F.lit(0)))
 

@@ -115,15 +115,14 @@ def state_counts(orders: DataFrame, unit: str = "day") -> DataFrame:
     ).orderBy(F.col("created").desc(), "state")
 
 
-def program_orders(carts: DataFrame, orders: DataFrame, metadata: DataFrame, shipments: DataFrame, samples: DataFrame,
-                   vocab: Vocabulary = Vocabulary()) -> DataFrame:
+def program_orders(carts: DataFrame, orders: DataFrame, metadata: DataFrame, shipments: DataFrame, samples: DataFrame, *, vocab: Vocabulary) -> DataFrame:
     """Carts with their order, first labels, kit number and return time.
 
     Every cart is kept. Kits of a prescription are numbered by delivery, then
     creation; single kits are number 1 and never enter a shared window.
     """
     keyed = orders.withColumn("use_for_join", canonical_order_id())
-    upgraded = condition_flags(metadata, "order_id", {"upgraded": value_has_upgrade_phrase("value", vocab)})
+    upgraded = condition_flags(metadata, "order_id", {"upgraded": value_has_upgrade_phrase("value", vocab=vocab)})
     tagged = keyed.join(upgraded, "order_id", "left")
     sent = shipments.where(F.col("type") == "NORMAL").select("delivery_id", "ship_date", "delivered_date")
     shipped = join_on(tagged, sent, {"delivery_id": "delivery_id"})
@@ -183,7 +182,7 @@ def weekly_program_orders(carts: DataFrame, orders: DataFrame, as_of, days: int
 
 
 def completed_checkouts(carts: DataFrame, orders: DataFrame, tracking: DataFrame, metadata: DataFrame, as_of,
-                        unit: str = "day", vocab: Vocabulary = Vocabulary(), limit: int | None = None) -> DataFrame:
+                        unit: str = "day", limit: int | None = None, *, vocab: Vocabulary) -> DataFrame:
     """This year's carts that led to an order, with acquisition category and upgrade flag."""
     done = carts.where(in_year_of("created_at", as_of) & (F.col("order_id").isNotNull() | F.col("prescription_id").isNotNull()))
     cart = done.select(

@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from ordermetrics.functions.classify import returned_flag
 from ordermetrics.functions.predicates import in_days, min_group_size
 from ordermetrics.functions.scalars import count_present, half_even, mean, ratio
-from ordermetrics.operators.distinct import distinct_when
-from ordermetrics.operators.joins import rates_by_row, semi_top
+from ordermetrics.operators.distinct import distinct_when, stacked_distinct
+from ordermetrics.operators.joins import join_on, rates_by_row, semi_top
 from ordermetrics.operators.quantiles import described
 from ordermetrics.operators.rank import sorted_by, top_groups
 from ordermetrics.operators.trend import running_share
@@ -38,15 +38,15 @@ def measure_of_arm(table: DataFrame, arms: DataFrame, measure: str, exp_name: st
 
 def arm_comparison(rows: DataFrame, version: str = "checkout_version") -> DataFrame:
     """Per variant: orders to carts, mean kits requested, kits returned, mean return days, samples to shipped kits."""
-    counted = rows.groupBy(version).agg(
-        F.count_distinct("cart_id").alias("__carts"),
-        F.count_distinct("order_id_modified").alias("__orders"),
-        F.count_distinct("sample_id").alias("total_kits_returned"),
-        F.count_distinct("delivery_id").alias("__shipped"),
+    means = rows.groupBy(version).agg(
         mean("kits_requested").alias("average_kits_requested"),
         mean("kit_received_time_in_days").alias("kit_received_time_in_days"),
     )
-    return counted.select(
+    # several COUNT(DISTINCT) in one aggregation would multiply every row before the first step
+    ids = {"__carts": "cart_id", "__orders": "order_id_modified", "total_kits_returned": "sample_id", "__shipped": "delivery_id"}
+    distinct = stacked_distinct({name: (rows, F.col(c)) for name, c in ids.items()}, [version])
+    known = join_on(means, distinct, {version: version}, null_safe=True)
+    return known.withColumns({name: F.coalesce(name, F.lit(0)) for name in ids}).select(
         version,
         ratio("__orders", "__carts").alias("orders_to_cart_ratio"),
         "average_kits_requested",
@@ -93,7 +93,7 @@ def payer_differences(claims: DataFrame, rate_card: DataFrame, start, end, top:
     ranged = claims.where(in_days("issue_date", start, end))
     payers = top_groups(ranged.where(F.col("payer_name").isNotNull()), "payer_name", F.count("id"), top)
     chosen = semi_top(ranged, payers, "payer_name")
-    joined = rates_by_row(chosen, "id", codes, units, rate_card, code, rate)
+    joined = rates_by_row(chosen, codes, units, rate_card, code, rate)
     benchmark = ratio("rate_total", "code_count")
     return joined.select("id", "payer_name", (F.col("payment").cast("double") - benchmark).alias("difference"))
 

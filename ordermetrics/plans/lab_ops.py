@@ -316,8 +316,7 @@ def release_timeline(orders: DataFrame, kits: DataFrame, samples: DataFrame, rep
 
 # --- blocked reports ------------------------------------------------------
 
-def blocked_reports(orders: DataFrame, kits: DataFrame, blocked: DataFrame, issue_types: DataFrame,
-                    vocab: Vocabulary = Vocabulary(), tie: Sequence[str] = ("shipment_id",)) -> DataFrame:
+def blocked_reports(orders: DataFrame, kits: DataFrame, blocked: DataFrame, issue_types: DataFrame, tie: Sequence[str] = ("shipment_id",), *, vocab: Vocabulary) -> DataFrame:
     """Blocked reports of open orders with first shipment and issue type."""
     kept = orders.where(F.col("order_id").isNotNull() & not_in_keep_null("state", vocab.closed_report_states))
     shipped = with_first_child(kept, kits, {"delivery_id": "delivery_id"}, ["ship_date"], tie)

@@ -59,22 +59,21 @@ def _labelled(orders: DataFrame, metadata: DataFrame, tracking: DataFrame, order
 
 
 def enriched_orders(orders: DataFrame, metadata: DataFrame, tracking: DataFrame, order_types: DataFrame, as_of,
-                    excluded_states: Sequence[str] = tuple(EXCLUDED), vocab: Vocabulary = Vocabulary(),
-                    with_text: bool = False) -> DataFrame:
-    """This year's orders with every label.
+                    excluded_states: Sequence[str] = tuple(EXCLUDED),
+                    with_text: bool = False, *, vocab: Vocabulary) -> DataFrame:
+    """This year's orders with every label; ``as_of=None`` takes those of all years.
 
     ``with_text`` adds each order's whole metadata text as ``order_meta_values``;
     without it that column holds only the phrases the labels rest on.
     """
-    chosen = orders.where(in_year_of("created_at", as_of) & ~F.col("state").isin(list(excluded_states)))
+    chosen = orders.where((F.lit(True) if as_of is None else in_year_of("created_at", as_of)) & ~F.col("state").isin(list(excluded_states)))
     return _labelled(chosen, metadata, tracking, order_types, vocab, recent=False, with_text=with_text)
 
 
 HOURLY = ["clinical_type_name", "mk_upg_stat", "upgrade_stat", "multikit_stat", "order_channel", "order_flow", "utm_fillna"]
 
 
-def recent_hours(orders: DataFrame, metadata: DataFrame, tracking: DataFrame, order_types: DataFrame, as_of,
-                 vocab: Vocabulary = Vocabulary()) -> DataFrame:
+def recent_hours(orders: DataFrame, metadata: DataFrame, tracking: DataFrame, order_types: DataFrame, as_of, *, vocab: Vocabulary) -> DataFrame:
     """Orders of the last 24 hours per hour and seven attributes."""
     chosen = orders.where(
         within_last("created_at", as_of, "24 HOURS") & ~F.col("state").isin(vocab.excluded_recent_states)

@@ -150,8 +150,7 @@ def presented(summary: DataFrame, orientation: str = "Vertical", periods: Sequen
 SINCE = "2017-12-31"
 
 
-def order_extract(orders: DataFrame, order_types: DataFrame, metadata: DataFrame, since: str = SINCE,
-                  vocab: Vocabulary = Vocabulary()) -> DataFrame:
+def order_extract(orders: DataFrame, order_types: DataFrame, metadata: DataFrame, since: str = SINCE, *, vocab: Vocabulary) -> DataFrame:
     """Orders with type code, kit type and upgrade type; drafts left out."""
     recent = orders.where((F.col("state") != "DRAFT") & (F.col("created_at") > F.lit(since).cast("timestamp_ntz")))
     upgraded = phrase_flags(metadata, "order_id", "value", {"upgraded": vocab.upgrade_phrases})

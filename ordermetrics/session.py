@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -29,20 +28,19 @@ def build_session(app_name: str = "ordermetrics", **conf: str) -> SparkSession:
 def checkpoint_folder(spark: SparkSession) -> str:
     """The shared folder for cutting lineage.
 
-    On a cluster this is what ``spark.checkpoint.dir`` names. Only a session
-    that sets no folder at all (a local test) gets a fresh temporary one.
+    This is what ``spark.checkpoint.dir`` names; a session that sets none uses
+    its warehouse, which is shared as well.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if folder:
-        return folder
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
-    return tempfile.mkdtemp(prefix="ordermetrics-")
+    return folder or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_scratch"
 
 
 def scratch_folder(spark: SparkSession, purpose: str) -> str:
-    """A new folder for one run's files below the shared folder."""
-    return f"{checkpoint_folder(spark)}/{purpose}-{uuid.uuid4().hex}"
+    """A new folder for one run's files below the shared folder; it goes when the session ends."""
+    path = f"{checkpoint_folder(spark)}/{purpose}-{uuid.uuid4().hex}"
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
+    return path
 
 
 def written(df: DataFrame, purpose: str) -> DataFrame:

@@ -91,7 +91,7 @@ def test_formats(frame):
     ]
 
 
-VOCAB = Vocabulary(company="acme")
+VOCAB = Vocabulary("acme", "starter", ("BrandA", "BrandB", "Starter"), ("BA", "BB"))
 
 
 @pytest.mark.parametrize(
@@ -148,14 +148,14 @@ def test_last_rule_wins_and_first_rule_wins(frame):
 
 def test_utm_mapping_leaves_other_pairs_null(frame):
     df = frame([("google", "cpc"), (None, None), ("Starter", "email"), ("google", "email")], "utm_source string, utm_medium string")
-    got = [tuple(r)[2:] for r in C.with_utm_mapping(df).collect()]
+    got = [tuple(r)[2:] for r in C.with_utm_mapping(df, vocab=VOCAB).collect()]
     assert got == [("Online Performance Marketing", "SEM - Performance", "Google"), ("Brand Marketing", "Organic", "Direct"),
                    ("Online Performance Marketing", "Email", "Newsletter"), (None, None, None)]
 
 
 def test_upgrade_details(frame):
     df = frame([("a, Upgraded from BAv2, c",), ("Upgraded from x, y v1",), ("STARTER UPGRADE",), ("upgraded from z",), (None,)], "order_meta_values string")
-    assert [r[0] for r in df.select(C.upgrade_detail()).collect()] == [
+    assert [r[0] for r in df.select(C.upgrade_detail(vocab=VOCAB)).collect()] == [
         "V2 to V3 Upgrade", "V1 to V2 Upgrade", "Exp to Clinical Upgrade", "Other Upgrade", "Nonupgrade"]
 
 

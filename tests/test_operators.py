@@ -86,17 +86,19 @@ def test_full_shipment_join_equals_plain_full_join(spark, rows):
     assert rows(got) == rows(want)
 
 
-def test_rate_lookup_by_broadcast_and_by_rows_agree(spark, frame, rows, monkeypatch):
+def test_rate_lookup_has_one_answer_for_any_card(spark, frame, rows):
     claims = frame([(1, "a", "b", 2.0, None), (2, None, "zz", 1.0, 1.0), (3, None, None, 1.0, 1.0), (4, "a", "a", 1.0, 3.0)],
                    "id int, c1 string, c2 string, u1 double, u2 double")
     card = frame([("a", 10.0), ("b", 5.0)], "code string, rate double")
-    args = (claims, "id", ["c1", "c2"], ["u1", "u2"], card, "code", "rate")
-    wanted = [(1, 20.0, 2), (2, 0.0, 1), (3, None, None), (4, 40.0, 2)]
-    assert rows(joins.rates_by_row(*args), "id", "rate_total", "code_count") == wanted
-    monkeypatch.setattr(joins, "BROADCAST_RATES", 1)
-    large = joins.rates_by_row(*args)
-    assert "BroadcastHashJoin" not in large._jdf.queryExecution().optimizedPlan().toString()
-    assert rows(large, "id", "rate_total", "code_count") == wanted
+    args = (["c1", "c2"], ["u1", "u2"], card, "code", "rate")
+    twice = claims.union(claims.where("id = 1")).union(claims.where("id = 4").withColumn("id", F.lit(None)))
+    got = joins.rates_by_row(twice, *args)
+    assert rows(got, "id", "rate_total", "code_count") == sorted(
+        [(1, 20.0, 2), (1, 20.0, 2), (2, 0.0, 1), (3, None, None), (4, 40.0, 2), (None, 40.0, 2)], key=repr)
+    large = card.union(spark.range(300_000).select(F.concat(F.lit("x"), F.col("id").cast("string")), F.lit(1.0)))
+    assert rows(joins.rates_by_row(twice, ["c1", "c2"], ["u1", "u2"], large, "code", "rate"), "id", "rate_total", "code_count") == rows(got, "id", "rate_total", "code_count")
+    with pytest.raises(Exception, match="more than once"):
+        joins.rates_by_row(claims, ["c1", "c2"], ["u1", "u2"], card.union(card), "code", "rate").collect()
 
 
 @pytest.mark.parametrize("seed", range(4))

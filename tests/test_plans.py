@@ -8,6 +8,8 @@ from ordermetrics.functions.vocabulary import Vocabulary
 from ordermetrics.plans import billing, checkout, experiments, lab_ops, marketing, ops_summary
 from ordermetrics.plans.common import ProductCodes
 
+NAMES = Vocabulary("acme", "starter", ("BrandA", "BrandB", "Starter"), ("BA", "BB"))
+
 
 @pytest.fixture()
 def workflow(frame):
@@ -124,7 +126,7 @@ def test_blocked_reports_keep_unknown_issues(frame, rows):
     kits = frame([("d1", "k2", "2024-01-02"), ("d1", "k1", "2024-01-01")], "delivery_id string, shipment_id string, ship_date timestamp_ntz")
     blocked = frame([("s1", 16, "r1", "i1"), ("s1", 16, "r2", "i2"), ("s2", 16, "r3", "i1"), ("s3", 17, "r4", "i9"), ("sX", 17, "r5", "i1")], "sample_id string, kit_type int, ssr string, issue_id string")
     issues = frame([("i1", "B", "broken"), ("i2", "N", "note")], "issue_id string, issue_type string, issue_type_description string")
-    got = lab_ops.blocked_reports(orders, kits, blocked, issues)
+    got = lab_ops.blocked_reports(orders, kits, blocked, issues, vocab=NAMES)
     assert rows(got, "ssr", "shipment_id", "issue_type") == [("r1", "k1", "B"), ("r2", "k1", "N"), ("r4", None, None)]
     assert rows(lab_ops.outstanding_counts(got, {"first": 16, "second": 17})) == [(1, 1)]
     assert rows(lab_ops.blocked_by_issue(got)) == [("broken", 1)]
@@ -158,7 +160,7 @@ def test_kit_numbers_ignore_single_kits_of_equal_id(frame, rows):
     ships = frame([(2, "2024-01-09"), (3, "2024-01-08")], "delivery_id int, ship_date timestamp_ntz").withColumns({"type": F.lit("NORMAL"), "delivered_date": F.col("ship_date")})
     samples = frame([(2, "2024-01-12")], "sample_id int, received timestamp_ntz")
     meta = frame([(2, "Upgraded from BAv1")], "order_id int, value string")
-    got = checkout.program_orders(carts, orders, meta, ships, samples)
+    got = checkout.program_orders(carts, orders, meta, ships, samples, vocab=NAMES)
     assert rows(got, "cart_id", "order_id", "kit_number", "mk_upg_stat", "kit_received_time_in_days") == [
         (10, 1, 1, "Single Kit", None), (10, 2, 2, "Upgrade", 3), (10, 3, 1, "Multi Kit", None), (11, None, None, None, None)]
 
@@ -170,14 +172,14 @@ def test_step_conversion(frame):
 
 
 def test_recent_hours_and_enriched_share_labels(frame, rows):
-    vocab = Vocabulary(company="acme")
+    vocab = Vocabulary("acme", "starter", ("BrandA", "BrandB", "Starter"), ("BA", "BB"))
     orders = frame([(1, "2024-01-01 10:30:00", "APPROVED", 5, "d"), (2, "2023-12-31 09:00:00", "APPROVED", None, None), (3, "2024-01-01 11:00:00", "REJECTED_BY_ACME", None, None)],
                    "order_id int, created_at timestamp_ntz, state string, prescription_id int, delivery_id string").withColumns(
         {"order_flow": F.lit(None).cast("string"), "billed": F.lit(None).cast("boolean"), "order_type_id": F.lit(1)})
     meta = frame([(1, "Upgraded from BAv1"), (1, "VIP")], "order_id int, value string")
     tracking = frame([("1", None, None)], "order_id string, utm_source string, utm_medium string")
     types = frame([(1, "Gut")], "order_type_id int, clinical_type_name string")
-    got = marketing.recent_hours(orders, meta, tracking, types, "2024-01-01 12:00:00", vocab)
+    got = marketing.recent_hours(orders, meta, tracking, types, "2024-01-01 12:00:00", vocab=vocab)
     assert rows(got, "created_at_hour", "mk_upg_stat", "utm_fillna", "count_order_id", "count_order_kit1only") == [
         (dt(2024, 1, 1, 10), "Upgrade", "Upgrades with no UTM", 1, 1)]
     for text in (False, True):
