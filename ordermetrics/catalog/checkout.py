@@ -91,7 +91,7 @@ def j17_program_rows(spark: SparkSession, folder: str) -> DataFrame:
 
 def m29_completed_checkout(spark: SparkSession, folder: str) -> DataFrame:
     t = Tables(spark, folder)
-    rows = checkout.completed_checkouts(t.carts(), t.orders(), t.tracking(), t.metadata(), EVENTS_AS_OF)
+    rows = checkout.completed_checkouts(t.carts(), t.orders(), t.tracking(), t.metadata(), EVENTS_AS_OF, vocab=TEST_NAMES)
     return rows.withColumn("order_id", F.col("order_id").cast("string"))
 
 

@@ -13,6 +13,7 @@ from ordermetrics.plans import experiments
 
 MAP = [{"exp_name": f"Test {e}", "product": p, "exp_id": f"exp-{e}"} for e, p in
        (("click", "First"), ("view", "First"), ("purchase", "Second"), ("signup", "Second"), ("error", "First"))]
+KINDS = ("click", "view", "purchase", "signup", "error")
 START, END = "1996-01-01", "2000-12-31"
 TOP, AT_LEAST = 50, 20
 
@@ -59,8 +60,8 @@ def r02_transposed(spark: SparkSession, folder: str) -> DataFrame:
     table = experiments.arm_comparison(Tables(spark, folder).arms())
     return transposed(
         table, "checkout_version", ["orders_to_cart_ratio", "total_kits_returned", "average_kits_requested"],
-        ["exp-click:0", "exp-click:1", "exp-view:0", "exp-view:1"],
-    ).withColumnsRenamed({f"exp-{e}:{i}": f"{e}_{i}" for e in ("click", "view") for i in (0, 1)})
+        [f"exp-{e}:{i}" for e in KINDS for i in (0, 1)],
+    ).withColumnsRenamed({f"exp-{e}:{i}": f"{e}_{i}" for e in KINDS for i in (0, 1)})
 
 
 QUERIES = {
@@ -117,5 +118,5 @@ ORACLE = {
         "v_arm",
         body=f"""WITH a AS ({_ARMS}), l AS (SELECT checkout_version AS v, 'orders_to_cart_ratio' AS metric, orders_to_cart_ratio AS x FROM a
         UNION ALL SELECT checkout_version, 'total_kits_returned', CAST(total_kits_returned AS DOUBLE) FROM a UNION ALL SELECT checkout_version, 'average_kits_requested', average_kits_requested FROM a)
-        SELECT metric, """ + ", ".join(f"max(x) FILTER (v = 'exp-{e}:{i}') AS {e}_{i}" for e in ("click", "view") for i in (0, 1)) + " FROM l GROUP BY 1"),
+        SELECT metric, """ + ", ".join(f"max(x) FILTER (v = 'exp-{e}:{i}') AS {e}_{i}" for e in KINDS for i in (0, 1)) + " FROM l GROUP BY 1"),
 }

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from ordermetrics.catalog.checks import half_even_money, ratio, with_views
 from ordermetrics.catalog.views import AS_OF, EVENTS_AS_OF, TEST_NAMES, Tables
 from ordermetrics.functions import classify as C
-from ordermetrics.operators.joins import join_on, with_first_child
+from ordermetrics.operators.distinct import distinct_domain
+from ordermetrics.operators.joins import aligned, join_on, with_first_child
 from ordermetrics.plans import marketing
 
 # The order table's clock lies before the tracking start, so it is moved.
@@ -62,14 +63,12 @@ def m33_last24h_hourly(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def c10_utm_from_pages(spark: SparkSession, folder: str) -> DataFrame:
-    """Traffic source read from page addresses, with the referring host as medium."""
+    """Traffic source read from page addresses, inferred with the page's host as medium where none is tracked."""
     pages = Tables(spark, folder).raw("pages")
     source, host = F.try_parse_url("url", F.lit("QUERY"), F.lit("utm_source")), F.try_parse_url("url", F.lit("HOST"))
-    utm = pages.select("page_id", source.alias("utm_source"), host.alias("utm_medium"))
-    labels = utm.select(
-        "utm_source",
-        F.when(F.col("utm_source").isNull(), F.col("utm_medium")).otherwise(F.col("utm_source")).alias("filled"),
-    )
+    nothing, later = F.lit(None).cast("string"), F.lit("2024-01-01").cast("timestamp_ntz")
+    filled = C.utm_filled(source, host, nothing, nothing, later, vocab=VOCAB)
+    labels = pages.select(source.alias("utm_source"), filled.alias("filled"))
     return labels.groupBy("utm_source", "filled").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -138,6 +137,31 @@ def _performance_rows(t: Tables) -> DataFrame:
     )
 
 
+def r03_merged_spend(spark: SparkSession, folder: str) -> DataFrame:
+    """Daily spend of two sources as one series, the first wins where both have the day."""
+    t = Tables(spark, folder)
+
+    def daily(event_type: str, days: str) -> DataFrame:
+        return t.spend(event_type).groupBy(F.date_trunc("day", "day").cast("timestamp_ntz").alias("day")).agg(F.sum("spend").cast("double").alias("spend")).where(days)
+
+    return marketing.merged_spend(daily("click", "day(day) % 3 <> 0"), daily("view", "day(day) % 2 = 0"), ["day"])
+
+
+def j08_aligned_series(spark: SparkSession, folder: str) -> DataFrame:
+    """Three event series side by side on their days."""
+    t = Tables(spark, folder)
+    parts = [
+        t.raw("events").where(F.col("event_type") == kind).groupBy(F.date_trunc("day", "ts").cast("timestamp_ntz").alias("day")).agg(F.count(F.lit(1)).alias(kind)).where(f"day(day) % {n} <> 0")
+        for n, kind in enumerate(("click", "view", "purchase"), 2)
+    ]
+    return aligned(parts, ["day"])
+
+
+def a14_source_domain(spark: SparkSession, folder: str) -> DataFrame:
+    """The values a source selector offers."""
+    return distinct_domain(Tables(spark, folder).tracking(), "utm_source")
+
+
 def m36_source_performance(spark: SparkSession, folder: str) -> DataFrame:
     rows = _performance_rows(Tables(spark, folder))
     return marketing.source_performance(rows, START, END, kit="multikit", sort_by="sum_of_payments")
@@ -202,7 +226,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         m32_enriched_orders, m32_metadata_text, m32_label_counts, m33_last24h_hourly, c10_utm_from_pages, c11_utm_mapping, m34_weekly_channel,
-        m34_weekly_category, m35_cac, m35_blended, m35_channel_cost, m36_source_performance, m36_source_span, m37_waterfall,
+        m34_weekly_category, m35_cac, m35_blended, m35_channel_cost, m36_source_performance, m36_source_span, r03_merged_spend, j08_aligned_series, a14_source_domain, m37_waterfall,
         m37_order_waterfall, m38_top_payers, m38_medium_frequency, m39_mtd_cards, m39_mtd_cards_multikit, m40_hour_of_day,
     )
 }
@@ -319,7 +343,8 @@ ORACLE = {
           AND TIMESTAMP '{AS_OF}' - (created_at + to_hours(order_id % 24)) <= INTERVAL 24 HOURS""", True)
         + """ SELECT CAST(date_trunc('hour', created_at) AS TIMESTAMP) AS created_at_hour, clinical_type_name, mk_upg_stat, upgrade_stat, multikit_stat, order_channel, order_flow,
         utm_fillna, count(DISTINCT order_id) AS count_order_id, count(DISTINCT order_id_modified) AS count_order_kit1only FROM labelled GROUP BY ALL"""),
-    "c10_utm_from_pages": """SELECT utm_source, coalesce(utm_source, host) AS filled, count(*) AS n FROM (
+    "c10_utm_from_pages": """SELECT utm_source, CASE WHEN utm_source IS NULL THEN coalesce(host, 'No UTM Source') WHEN utm_source = 'google' THEN 'google'
+        WHEN utm_source IN ('facebook', 'facebook.com') THEN 'facebook' ELSE host END AS filled, count(*) AS n FROM (
         SELECT nullif(regexp_extract(split_part(url, '#', 1), '[?&]utm_source=([^&]*)', 1), '') AS utm_source,
         regexp_extract(url, '^https?://([^/?#]+)', 1) AS host FROM pages) GROUP BY 1, 2""",
     "c11_utm_mapping": with_views(
@@ -348,6 +373,15 @@ ORACLE = {
         SELECT CAST(y AS INTEGER) AS iso_year, CAST(w AS INTEGER) AS week_number, CAST(s.spend AS DOUBLE) AS spend, mapped_sub_channel,
         CAST(kit_1_orders AS DOUBLE) AS orders, {ratio('s.spend', 'kit_1_orders')} AS cac
         FROM s LEFT JOIN wk ON iso_year = y AND week_number = w AND mapped_sub_channel = 'Facebook'"""),
+    "r03_merged_spend": """WITH a AS (SELECT date_trunc('day', ts) AS day, CAST(sum(CAST(value AS DECIMAL(18,2))) AS DOUBLE) AS s FROM events
+        WHERE event_type = 'click' GROUP BY 1 HAVING day(date_trunc('day', ts)) % 3 <> 0),
+        b AS (SELECT date_trunc('day', ts) AS day, CAST(sum(CAST(value AS DECIMAL(18,2))) AS DOUBLE) AS s FROM events
+        WHERE event_type = 'view' GROUP BY 1 HAVING day(date_trunc('day', ts)) % 2 = 0)
+        SELECT CAST(coalesce(a.day, b.day) AS TIMESTAMP) AS day, coalesce(a.s, b.s) AS spend FROM a FULL JOIN b ON a.day = b.day""",
+    "j08_aligned_series": "WITH d AS (SELECT CAST(date_trunc('day', ts) AS TIMESTAMP) AS day, event_type FROM events) SELECT * FROM (SELECT day, " + ", ".join(
+        f"nullif(count(*) FILTER (event_type = '{kind}' AND day(day) % {n} <> 0), 0) AS {kind}" for n, kind in enumerate(("click", "view", "purchase"), 2)) +
+        " FROM d GROUP BY 1) WHERE click IS NOT NULL OR view IS NOT NULL OR purchase IS NOT NULL",
+    "a14_source_domain": with_views("v_tracking", body="SELECT DISTINCT utm_source FROM v_tracking WHERE utm_source IS NOT NULL"),
     "m36_source_performance": with_views(
         "v_order", "v_tracking", "v_shipment", "v_sample", "v_claim", "v_eob",
         body=f"""WITH {_PERF} SELECT utm_source, count(created_at) AS count_of_orders, count(ship_date) AS count_of_shipments, count(received) AS count_of_samples,

@@ -14,7 +14,10 @@ from ordermetrics.plans.common import ProductCodes
 
 SINCE = "1995-12-31"
 IN_RANGE = f">= TIMESTAMP '{START}' AND {{}} < TIMESTAMP '{END}' + INTERVAL 1 DAY"
-CODES = ProductCodes({"even": {"kits": ("carrier_parity", 0), "samples": ("kit_type", 16), "orders": ("version", 1)}})
+# One logical product; each table has its own column and code for it.
+CODES = ProductCodes({"first": {
+    "orders": ("version", 1), "kits": ("type", "NORMAL"), "samples": ("product", 16), "reports": ("report_status", "RELEASED"),
+    "bills": ("product", "1-URGENT"), "payments": ("version", 1)}})
 
 
 def _orders(t: Tables) -> DataFrame:
@@ -58,6 +61,27 @@ def m01_noncohort_weekly(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def m01_by_product(spark: SparkSession, folder: str) -> DataFrame:
+    """One product, which each table knows under its own column and code."""
+    t = Tables(spark, folder)
+    return ops_summary.noncohort_summary(
+        _orders(t), _kits(t), _samples(t), _reports(t), _bills(t), _payments(t), START, END, "Monthly", product="first", codes=CODES
+    )
+
+
+def m01_presented(spark: SparkSession, folder: str) -> DataFrame:
+    """The summary with display names and grouped digits."""
+    shown = ops_summary.presented(m01_noncohort_summary(spark, folder))
+    return shown.select("Date", "Orders Generated", "Kits Shipped", "Claims Billed")
+
+
+def m01_presented_wide(spark: SparkSession, folder: str) -> DataFrame:
+    """The same with a column a period."""
+    summary = m01_noncohort_summary(spark, folder).select("period", "period_start", "orders_generated", "kits_shipped", "claims_billed")
+    wide = ops_summary.presented(summary, "Horizontal", ["1/1997", "2/1997"])
+    return wide.withColumnsRenamed({"Date": "measure", "1/1997": "january", "2/1997": "february"})
+
+
 def m02_cohort_summary(spark: SparkSession, folder: str) -> DataFrame:
     t = Tables(spark, folder)
     return ops_summary.cohort_summary(_orders(t), _kits(t), _reports(t), _bills(t), _payments(t), START, END, "Monthly")
@@ -132,7 +156,7 @@ def t11_zone_shift(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        m01_noncohort_summary, m01_noncohort_weekly, m02_cohort_summary, j15_cohort_rows, m03_order_extract,
+        m01_noncohort_summary, m01_noncohort_weekly, m01_by_product, m01_presented, m01_presented_wide, m02_cohort_summary, j15_cohort_rows, m03_order_extract,
         m03_kit_extract, m03_sample_extract, m03_report_extract, m03_bill_extract, m03_payment_extract,
         t02_fiscal_periods, t11_zone_shift,
     )
@@ -151,16 +175,16 @@ def _week_columns(ts: str) -> str:
     return f"strftime({start}, '%Y-%m-%d') AS period, CAST({start} AS TIMESTAMP) AS period_start"
 
 
-def _noncohort(columns) -> str:
+def _noncohort(columns, orders: str = "true", samples: str = "true", bills: str = "true", payments: str = "true") -> str:
     parts = [
-        _part("orders_generated", "order_id", "created_at", "v_order", columns=columns),
-        _part("orders_approved", "order_id", "created_at", "v_order", "state = 'APPROVED'", columns),
+        _part("orders_generated", "order_id", "created_at", "v_order", orders, columns),
+        _part("orders_approved", "order_id", "created_at", "v_order", f"state = 'APPROVED' AND {orders}", columns),
         _part("kits_shipped", "shipment_id", "ship_date", "v_shipment", "type = 'NORMAL'", columns),
-        _part("samples_accessioned", "sample_id", "received", "v_sample", columns=columns),
+        _part("samples_accessioned", "sample_id", "received", "v_sample", samples, columns),
         _part("reports_released", "order_id", "created_at", "v_status", "status = 'RELEASED'", columns),
-        _part("claims_billed", "id", "billing_date", "v_claim", columns=columns),
+        _part("claims_billed", "id", "billing_date", "v_claim", bills, columns),
         f"SELECT {columns('issue_date')}, 'claims_with_eob', CAST(zc_id AS VARCHAR), payment, 1 FROM v_eob "
-        f"WHERE issue_date {IN_RANGE.format('issue_date')}",
+        f"WHERE issue_date {IN_RANGE.format('issue_date')} AND {payments}",
     ]
     names = ["orders_generated", "orders_approved", "kits_shipped", "samples_accessioned", "reports_released",
              "claims_billed", "claims_with_eob"]
@@ -192,6 +216,14 @@ FROM chain GROUP BY 1, 2"""
 ORACLE = {
     "m01_noncohort_summary": _noncohort(period_columns),
     "m01_noncohort_weekly": _noncohort(_week_columns),
+    "m01_by_product": _noncohort(period_columns, "version = 1", "kit_type = 16", "product = '1-URGENT'", "status_code_id = 1"),
+    "m01_presented": f"""SELECT period AS "Date", format('{{:,}}', orders_generated) AS "Orders Generated", format('{{:,}}', kits_shipped) AS "Kits Shipped",
+        format('{{:,}}', claims_billed) AS "Claims Billed" FROM ({_noncohort(period_columns)})""",
+    "m01_presented_wide": "SELECT measure, " + ", ".join(
+        f"max(CASE WHEN period = '{n}/1997' THEN shown END) AS {month}" for n, month in ((1, "january"), (2, "february"))) + f"""
+        FROM (SELECT period, unnest(['Orders Generated', 'Kits Shipped', 'Claims Billed']) AS measure,
+        unnest([format('{{:,}}.0', orders_generated), format('{{:,}}.0', kits_shipped), format('{{:,}}.0', claims_billed)]) AS shown
+        FROM ({_noncohort(period_columns)})) GROUP BY 1""",
     "m02_cohort_summary": with_views("v_order", "v_shipment", "v_status", "v_claim", "v_eob", body=_COHORT),
     "j15_cohort_rows": with_views(
         "v_order", "v_shipment", "v_sample", "v_status", "v_claim", "v_eob",

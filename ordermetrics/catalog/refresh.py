@@ -37,6 +37,14 @@ def s01_csv_scan(spark: SparkSession, folder: str) -> DataFrame:
     return readers.read_csv(spark, path, orders.schema, "orders")
 
 
+def s01_csv_text(spark: SparkSession, folder: str) -> DataFrame:
+    """Texts with quotes, commas and line breaks there and back."""
+    path = scratch_folder(spark, "csv")
+    quoted = Tables(spark, folder).raw("documents").withColumn("text", F.concat(F.lit('"Said", he:\n '), "text", F.lit(' ""end" ')))
+    snapshots.export_csv(quoted, path, rows_per_file=200)
+    return readers.read_csv(spark, path, quoted.schema, "documents")
+
+
 def s03_named_parameters(spark: SparkSession, folder: str) -> DataFrame:
     """Stored query with a date range and a list of products as bound parameters."""
     Tables(spark, folder).claims().createOrReplaceTempView("claims_for_query")
@@ -69,25 +77,63 @@ def s06_incremental_pull(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def s07_json_import(spark: SparkSession, folder: str) -> DataFrame:
-    """Records as JSON lines, stored as a table."""
-    path = scratch_folder(spark, "json")
-    Tables(spark, folder).raw("conversations").write.json(path)
-    records = readers.read_json_records(spark, path, TURN_SCHEMA)
+    """Records as JSON lines and as files of one array over many lines, stored as a table."""
+    path, turns = scratch_folder(spark, "json"), Tables(spark, folder).raw("conversations")
+    turns.where("conv_id % 2 = 0").write.json(f"{path}/lines")
+    listed = turns.where("conv_id % 2 = 1").groupBy(F.col("conv_id") % 16).agg(F.collect_list(F.struct("conv_id", "turn", "role", "text")).alias("turns"))
+    pretty = listed.select(F.to_json("turns", {"pretty": "true"}).alias("value"))
+    pretty.write.option("maxRecordsPerFile", 1).text(f"{path}/arrays")
+    records = readers.read_json_records(spark, f"{path}/lines", TURN_SCHEMA).unionByName(
+        readers.read_json_records(spark, f"{path}/arrays", TURN_SCHEMA, one_array=True))
     return pulls.full_pull(spark, pulls.PullSpec(scratch_folder(spark, "pull"), ""), records)
 
 
 def s09_newest_snapshot(spark: SparkSession, folder: str) -> DataFrame:
-    """Three snapshots; a failing fourth pull falls back to the newest of them."""
+    """Three snapshots, and a newer one of a table of like name; a failing fourth pull falls back to the newest of its own."""
     root, orders = scratch_folder(spark, "snapshots"), Tables(spark, folder).raw("orders")
     for stamp, status in (("20240101_000000", "P"), ("20240103_120000", "F"), ("20240102_235959", "O")):
         snapshots.write_snapshot(orders.where(F.col("o_orderstatus") == status), root, "orders", stamp)
 
+    snapshots.write_snapshot(orders.where("false"), root, "orders_eu", "20240105_000000")
+
     def failing() -> DataFrame:
         raise ConnectionError("source is not reachable")
 
     return snapshots.refresh_or_last_good(spark, failing, root, "orders", "20240104_000000")
 
 
+def s11_archive(spark: SparkSession, folder: str) -> DataFrame:
+    """Two archive runs; what the first one copied is there after the second, which finds it gone from the source."""
+    root, orders = scratch_folder(spark, "snapshots"), Tables(spark, folder).raw("orders")
+    for month in ("01", "02", "03"):
+        source = f"{root}/kept" if month == "01" else f"{root}/later"
+        snapshots.write_snapshot(orders.where(F.month("o_orderdate") == int(month)), source, "orders", f"2024{month}01_000000")
+    snapshots.archive_before(spark, f"{root}/kept", "orders", "20240301_000000", f"{root}/archive")
+    for _ in range(2):
+        snapshots.archive_before(spark, f"{root}/later", "orders", "20240301_000000", f"{root}/archive")
+    return spark.read.parquet(f"{root}/archive/orders").select("o_orderkey", F.col("pull_ts").cast("string").alias("pull_ts"))
+
+
+def s14_freshness(spark: SparkSession, folder: str) -> DataFrame:
+    """Which of two tables was stored after the other."""
+    root, t = scratch_folder(spark, "fresh"), Tables(spark, folder)
+    for name in ("region", "nation"):
+        t.raw(name).write.parquet(f"{root}/{name}")
+    ages = snapshots.freshness(spark, {name: f"{root}/{name}" for name in ("region", "nation")})
+    newest = ages.agg(F.max("last_pull").alias("newest"))
+    return ages.join(newest, F.lit(True), "left").select("dataset", (F.col("last_pull") >= F.col("newest") - F.expr("INTERVAL 1 DAY")).alias("recent"))
+
+
+def s13_daily_upsert_by_type(spark: SparkSession, folder: str) -> DataFrame:
+    """The same with several rows a day, one per event type."""
+    root, events = scratch_folder(spark, "daily"), Tables(spark, folder).raw("events")
+    daily = events.groupBy(day("ts").alias("date"), "event_type").agg(F.count(F.lit(1)).alias("n"))
+    early = daily.where("date < TIMESTAMP_NTZ '2024-01-20 00:00:00'").withColumn("n", F.col("n") * 0)
+    snapshots.upsert_days(spark, early, root, "blocked", "20240120_000000", ["date", "event_type"])
+    late = daily.where("date >= TIMESTAMP_NTZ '2024-01-10 00:00:00'")
+    return snapshots.upsert_days(spark, late, root, "blocked", "20240131_000000", ["date", "event_type"])
+
+
 def s13_daily_upsert(spark: SparkSession, folder: str) -> DataFrame:
     """Daily event counts stored in two loads; days loaded twice keep the second value."""
     root, events = scratch_folder(spark, "daily"), Tables(spark, folder).raw("events")
@@ -112,17 +158,18 @@ def st01_ingest(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def st02_hourly_counts(spark: SparkSession, folder: str) -> DataFrame:
-    """Closed hours per event type; entity counts are estimates and left out here."""
+    """Closed hours per event type: events and distinct users."""
     target = scratch_folder(spark, "hourly")
     counts = refresh.hourly_counts(_events(spark, folder), "ts", ["event_type"], "user_id", "1 hour", "event_id")
     refresh.run_available(counts, target, scratch_folder(spark, "progress"))
-    return spark.read.parquet(target).drop("entities")
+    return spark.read.parquet(target)
 
 
 def st02_hourly_entities(spark: SparkSession, folder: str) -> DataFrame:
-    """The same with the estimated distinct users."""
+    """The same by several attributes."""
     target = scratch_folder(spark, "hourly")
-    counts = refresh.hourly_counts(_events(spark, folder), "ts", ["event_type"], "user_id")
+    sized = _events(spark, folder).withColumn("large", F.col("value") > 50)
+    counts = refresh.hourly_counts(sized, "ts", ["event_type", "large"], "user_id")
     refresh.run_available(counts, target, scratch_folder(spark, "progress"))
     return spark.read.parquet(target)
 
@@ -136,7 +183,7 @@ def st03_rolling_24h(spark: SparkSession, folder: str) -> DataFrame:
 
 def st04_upsert(spark: SparkSession, folder: str) -> DataFrame:
     target = scratch_folder(spark, "upsert")
-    refresh.upsert_daily(_events(spark, folder), "ts", ["event_type"], target, scratch_folder(spark, "progress")).awaitTermination()
+    refresh.finished(refresh.upsert_daily(_events(spark, folder), "ts", ["event_type"], target, scratch_folder(spark, "progress")))
     return refresh.daily_state(spark, target, ["event_type"])
 
 
@@ -152,7 +199,7 @@ def st05_dedupe(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        s01_csv_scan, s03_named_parameters, s05_full_pull, s06_incremental_pull, s07_json_import, s09_newest_snapshot,
+        s01_csv_scan, s01_csv_text, s11_archive, s14_freshness, s13_daily_upsert_by_type, s03_named_parameters, s05_full_pull, s06_incremental_pull, s07_json_import, s09_newest_snapshot,
         s13_daily_upsert, st01_ingest, st02_hourly_counts, st02_hourly_entities, st03_rolling_24h, st04_upsert, st05_dedupe,
     )
 }
@@ -161,6 +208,11 @@ _CLOSED = "(SELECT max(ts) - INTERVAL 1 HOUR FROM events)"
 
 ORACLE = {
     "s01_csv_scan": "SELECT * FROM orders",
+    "s01_csv_text": """SELECT doc_id, '"Said", he:' || chr(10) || ' ' || text || ' ""end" ' AS text, lang, source, n_chars FROM documents""",
+    "s11_archive": """SELECT o_orderkey, '20240' || CAST(month(o_orderdate) AS VARCHAR) || '01_000000' AS pull_ts FROM orders WHERE month(o_orderdate) < 3""",
+    "s14_freshness": "SELECT unnest(['region', 'nation']) AS dataset, true AS recent",
+    "s13_daily_upsert_by_type": """SELECT CAST(date_trunc('day', ts) AS TIMESTAMP) AS date, event_type,
+        CASE WHEN date_trunc('day', ts) < TIMESTAMP '2024-01-10' THEN 0 ELSE count(*) END AS n FROM events GROUP BY date_trunc('day', ts), event_type""",
     "s03_named_parameters": """SELECT o_orderpriority AS product, count(DISTINCT o_orderkey) AS n FROM orders
         WHERE o_orderdate + to_hours(o_orderkey % 20) BETWEEN TIMESTAMP '1997-01-01' AND TIMESTAMP '1999-12-31'
         AND o_orderpriority IN ('1-URGENT', '5-LOW') GROUP BY 1""",
@@ -172,7 +224,9 @@ ORACLE = {
         CASE WHEN date_trunc('day', ts) < TIMESTAMP '2024-01-10' THEN 0 ELSE count(*) END AS n FROM events GROUP BY date_trunc('day', ts)""",
     "st01_ingest": "SELECT * FROM events",
     "st02_hourly_counts": f"""SELECT CAST(date_trunc('hour', ts) AS TIMESTAMP) AS window_start, CAST(date_trunc('hour', ts) + INTERVAL 1 HOUR AS TIMESTAMP) AS window_end,
-        event_type, count(*) AS events FROM events WHERE date_trunc('hour', ts) + INTERVAL 1 HOUR <= {_CLOSED} GROUP BY ALL""",
+        event_type, count(*) AS events, count(DISTINCT user_id) AS entities FROM events WHERE date_trunc('hour', ts) + INTERVAL 1 HOUR <= {_CLOSED} GROUP BY ALL""",
+    "st02_hourly_entities": f"""SELECT CAST(date_trunc('hour', ts) AS TIMESTAMP) AS window_start, CAST(date_trunc('hour', ts) + INTERVAL 1 HOUR AS TIMESTAMP) AS window_end,
+        event_type, value > 50 AS large, count(*) AS events, count(DISTINCT user_id) AS entities FROM events WHERE date_trunc('hour', ts) + INTERVAL 1 HOUR <= {_CLOSED} GROUP BY ALL""",
     "st03_rolling_24h": f"""WITH w AS (SELECT date_trunc('hour', ts) - to_hours(k) AS s, event_type FROM events, (SELECT unnest(generate_series(0, 23)) AS k))
         SELECT CAST(s AS TIMESTAMP) AS window_start, CAST(s + INTERVAL 24 HOURS AS TIMESTAMP) AS window_end, event_type, count(*) AS events
         FROM w WHERE s + INTERVAL 24 HOURS <= {_CLOSED} GROUP BY ALL""",

@@ -32,6 +32,18 @@ def mean(value: Column | str) -> Column:
     return F.try_divide(F.sum(value).cast("double"), F.count(value).cast("double"))
 
 
+def half_even_cents(value: Column | str) -> Column:
+    """Mean of amounts in whole cents, rounded half to even at cents without passing through a binary quotient."""
+    value = as_column(value)
+    total, n = F.sum((value * 100).cast("decimal(28,0)")), F.count(value).cast("decimal(20,0)")
+    size, whole = F.abs(total), F.floor(F.abs(total) / n)
+    whole = F.when(whole * n > size, whole - 1).otherwise(whole)  # the quotient is rounded at its last digit
+    twice = (size - whole * n) * 2
+    up = (twice > n) | ((twice == n) & (whole % 2 == 1))
+    cents = (whole + up.cast("int")).cast("double") / 100
+    return F.when(n > 0, F.when(total < 0, -cents).otherwise(cents))
+
+
 def count_present(*columns: Column | str) -> Column:
     """How many of the columns are not null in this row."""
     return reduce(lambda a, b: a + b, [as_column(c).isNotNull().cast("int") for c in columns])

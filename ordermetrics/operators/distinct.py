@@ -55,3 +55,8 @@ def stacked_distinct(sources: Mapping[str, tuple[DataFrame, Column]], groups: Se
     return once.groupBy(*groups).agg(
         *[F.count(F.when(F.col("measure") == n, 1)).alias(name) for n, name in enumerate(sources)]
     )
+
+
+def distinct_domain(df: DataFrame, column: str) -> DataFrame:
+    """The values a selector of ``column`` offers, in order; null is no choice."""
+    return df.where(F.col(column).isNotNull()).select(column).distinct().orderBy(column)

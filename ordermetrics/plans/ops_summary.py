@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ordermetrics.functions.classify import canonical_order_id, kit_type, relabel
 from ordermetrics.functions.predicates import in_days, reached
-from ordermetrics.functions.scalars import half_even, mean, sum_or_zero, thousands, thousands_float
+from ordermetrics.functions.scalars import half_even, half_even_cents, sum_or_zero, thousands, thousands_float
 from ordermetrics.functions.timeframe import at_zone
 from ordermetrics.functions.vocabulary import Vocabulary
 from ordermetrics.operators.calendar import period_keys, with_label, with_period
@@ -63,7 +63,7 @@ def noncohort_summary(orders: DataFrame, kits: DataFrame, samples: DataFrame, re
     )
     money = paid.groupBy(*keys).agg(
         half_even(sum_or_zero("payment")).alias("aggregate_payment"),
-        half_even(mean("payment")).alias("average_payment"),
+        half_even_cents("payment").alias("average_payment"),
     )
     return with_label(counts.join(money, keys, "full").fillna(0), grain)
 

@@ -43,9 +43,23 @@ def target_exists(spark: SparkSession, path: str) -> bool:
 
 
 def full_pull(spark: SparkSession, spec: PullSpec, source: DataFrame | None = None) -> DataFrame:
-    """Replace the target by the query's result."""
+    """Replace the target by the query's result.
+
+    The rows are written beside the target first and take its place when all are there,
+    so a failing pull leaves the last good one.
+    """
     rows = run_query(spark, spec.query, spec.args) if source is None else source
-    rows.write.mode("overwrite").parquet(spec.output)
+    fresh, old = f"{spec.output}__new", f"{spec.output}__old"
+    rows.write.mode("overwrite").parquet(fresh)
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    store = path(spec.output).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    store.delete(path(old), True)
+    if store.exists(path(spec.output)):
+        store.rename(path(spec.output), path(old))
+    if not store.rename(path(fresh), path(spec.output)):
+        raise OSError(f"{fresh} can't take the place of {spec.output}")
+    store.delete(path(old), True)
+    spark.catalog.refreshByPath(spec.output)
     return spark.read.parquet(spec.output)
 
 

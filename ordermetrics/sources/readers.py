@@ -12,15 +12,22 @@ from pyspark.sql import types as T
 from ordermetrics.schemas import check_schema
 
 
-def read_csv(spark: SparkSession, path: str, schema: T.StructType, name: str = "dataset") -> DataFrame:
+# Quotes inside quotes are doubled, blanks belong to the value.
+CSV_FORM = {"header": True, "quote": '"', "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+
+
+def read_csv(spark: SparkSession, path: str, schema: T.StructType, name: str = "dataset", line_breaks: bool = True) -> DataFrame:
     """CSV with header, matched to the schema by column name.
 
-    Only the header is looked at to build the plan. Times may carry a zone
-    suffix, which is cut off (wall-clock time is kept).
+    Only the header is looked at to build the plan. A file of the folder whose header
+    differs, a row of another length and a value that isn't of its column's type raise.
+    Times may carry a zone suffix, which is cut off (wall-clock time is kept). Where no
+    value holds a line break, ``line_breaks=False`` lets Spark read a large file in parts.
     """
-    columns = spark.read.option("header", True).option("inferSchema", False).csv(path).columns
+    reader = spark.read.options(**CSV_FORM, multiLine=line_breaks)
+    columns = reader.option("inferSchema", False).csv(path).columns
     raw = T.StructType([T.StructField(c, T.StringType()) for c in columns])
-    text = spark.read.schema(raw).option("header", True).option("multiLine", False).csv(path)
+    text = reader.schema(raw).option("enforceSchema", False).option("mode", "FAILFAST").csv(path)
     missing = [f.name for f in schema.fields if f.name not in columns]
     if missing:
         raise ValueError(f"{name}: missing columns {missing}")
@@ -31,7 +38,9 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType, name: str = "
             column = F.regexp_replace(column, r"\s*(Z|[+-]\d{2}(:?\d{2})?)$", "")
             # a bare date's own "-dd" is not a zone
             column = F.when(F.col(f"`{f.name}`").rlike(r"^\d{4}-\d{2}-\d{2}$"), F.col(f"`{f.name}`")).otherwise(column)
-        return column.try_cast(f.dataType).alias(f.name)
+        cast = column.try_cast(f.dataType)
+        wrong = F.raise_error(F.concat(F.lit(f"{name}.{f.name} isn't {f.dataType.simpleString()}: "), column)).cast(f.dataType)
+        return F.when(column.isNotNull() & cast.isNull(), wrong).otherwise(cast).alias(f.name)
 
     return check_schema(text.select(*[typed(f) for f in schema.fields]), schema, name)
 
@@ -55,10 +64,15 @@ class Database:
 
 def jdbc_options(source: Database, query: str, split_by: str | None = None, lower=None, upper=None,
                  parts: int = 1, fetch_size: int = 10_000) -> dict[str, str]:
-    """Reader options; with ``split_by`` the query is read in ``parts`` ranges in parallel."""
+    """Reader options; with ``split_by`` the query is read in ``parts`` ranges between its bounds in parallel.
+
+    Without it the whole result passes through one task.
+    """
     options = {"url": source.url, "user": source.user, "password": source.password, "fetchsize": str(fetch_size)}
     if split_by is None:
         return {**options, "query": query}
+    if lower is None or upper is None:
+        raise ValueError("a split needs both bounds")
     return {
         **options,
         "dbtable": f"({query}) AS q",
@@ -83,6 +97,10 @@ def run_query(spark: SparkSession, text: str, args: Mapping[str, object] | None
     return spark.sql(text, args=bound) if bound else spark.sql(text)
 
 
-def read_json_records(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """A published query result delivered as JSON records (lines or one array)."""
-    return spark.read.schema(schema).option("multiLine", False).json(path)
+def read_json_records(spark: SparkSession, path: str, schema: T.StructType, one_array: bool = False) -> DataFrame:
+    """A published query result delivered as JSON records, a line each or, with ``one_array``, as one array.
+
+    An array may be spread over lines; its file is read by one task. Text that isn't
+    a record raises.
+    """
+    return spark.read.schema(schema).option("multiLine", one_array).option("mode", "FAILFAST").json(path)

@@ -6,6 +6,7 @@ lost executor or driver continues where the last batch ended.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,14 +17,25 @@ from pyspark.sql.streaming import StreamingQuery
 from ordermetrics.functions.timeframe import as_instant, wall_clock
 
 
-def source(spark: SparkSession, path: str, schema: T.StructType, pattern: str = "*", files_per_batch: int = 1000) -> DataFrame:
-    """Files of a growing folder as a stream."""
-    return (
-        spark.readStream.schema(schema)
-        .option("pathGlobFilter", pattern)
-        .option("maxFilesPerTrigger", files_per_batch)
-        .parquet(path)
-    )
+class LateRows(RuntimeError):
+    """Rows came after the watermark had passed them."""
+
+
+def source(spark: SparkSession, path: str, schema: T.StructType, pattern: str = "*") -> DataFrame:
+    """Files of a growing folder as a stream.
+
+    What a run finds is one batch: with several, a backlog's older rows would be late
+    for the watermark that the batches before them have set.
+    """
+    return spark.readStream.schema(schema).option("pathGlobFilter", pattern).parquet(path)
+
+
+def finished(query: StreamingQuery, late: str = "raise") -> None:
+    """Waits for a run. Rows that its watermark dropped raise; ``late="drop"`` accepts them."""
+    query.awaitTermination()
+    dropped = sum(int(s.numRowsDroppedByWatermark) for p in query.recentProgress for s in p.stateOperators)
+    if dropped and late == "raise":
+        raise LateRows(f"{dropped} rows were later than the watermark allows; widen lateness or rebuild")
 
 
 def ingest(stream: DataFrame, target: str, checkpoint: str) -> StreamingQuery:
@@ -56,47 +68,54 @@ def _windowed(stream: DataFrame, window, groups: Sequence[str], measures) -> Dat
 
 def hourly_counts(stream: DataFrame, ts: str, groups: Sequence[str], entity: str, lateness: str = "1 hour",
                   event_id: str | None = None) -> DataFrame:
-    """Events and estimated distinct entities per hour and attributes.
+    """Events and distinct entities per hour and attributes, both exact.
 
-    With ``event_id`` repeated events count once, which keeps the event count
-    exact; distinct entities on a stream can only be estimated.
+    With ``event_id`` repeated events count once. Two stateful steps follow each other:
+    events per (hour, attributes, entity), then events and entities per (hour,
+    attributes), so no state holds more than a number for each entity.
     """
     timed = event_time(stream, ts, lateness)
     if event_id is not None:
         timed = timed.dropDuplicatesWithinWatermark([event_id])
-    measures = [F.count(F.lit(1)).alias("events"), F.approx_count_distinct(entity).alias("entities")]
-    return _windowed(timed, F.window(ts, "1 hour"), groups, measures)
+    each = timed.groupBy(F.window(ts, "1 hour").alias("hour"), *groups, entity).agg(F.count(F.lit(1)).alias("events"))
+    measures = [F.sum("events").alias("events"), F.count(entity).alias("entities")]
+    return _windowed(each, F.window("hour", "1 hour"), groups, measures)
 
 
 def rolling_counts(stream: DataFrame, ts: str, groups: Sequence[str], lateness: str = "1 hour",
                    length: str = "24 hours", step: str = "1 hour") -> DataFrame:
-    """Events of the last 24 hours, renewed every hour."""
+    """Events of the last 24 hours, renewed every hour.
+
+    Events are counted per ``step`` first; only those counts enter the sliding windows.
+    """
     timed = event_time(stream, ts, lateness)
-    return _windowed(timed, F.window(ts, length, step), groups, [F.count(F.lit(1)).alias("events")])
+    steps = timed.groupBy(F.window(ts, step).alias("hour"), *groups).agg(F.count(F.lit(1)).alias("events"))
+    return _windowed(steps, F.window("hour", length, step), groups, [F.sum("events").alias("events")])
 
 
-def run_available(result: DataFrame, target: str, checkpoint: str, mode: str = "append") -> None:
-    """Process what is there into a parquet folder and stop."""
-    query = (
+def run_available(result: DataFrame, target: str, checkpoint: str, mode: str = "append", late: str = "raise") -> None:
+    """Process what is there into a parquet folder and stop; see :func:`finished` for ``late``."""
+    finished(
         result.writeStream.format("parquet").option("path", target).option("checkpointLocation", checkpoint)
-        .outputMode(mode).trigger(availableNow=True).start()
-    )
-    query.awaitTermination()
+        .outputMode(mode).trigger(availableNow=True).start(), late)
 
 
 def upsert_daily(stream: DataFrame, ts: str, groups: Sequence[str], target: str, checkpoint: str,
                  lateness: str = "1 day") -> StreamingQuery:
     """Keep one count per day and group in ``target``, replacing a day when it changes.
 
-    Every batch writes its changed days under its own batch number; a repeated
-    batch overwrites only itself. :func:`daily_state` reads the latest per day.
+    Every batch writes its changed days under its stream's id and its own number; a
+    repeated batch overwrites only itself, and a stream that starts anew on another
+    checkpoint adds to what is there. :func:`daily_state` reads the latest per day,
+    :func:`compact_daily` puts that into one folder.
     """
     timed = event_time(stream, ts, lateness)
     daily = timed.groupBy(F.window(ts, "1 day").alias("w"), *groups).agg(F.count(F.lit(1)).alias("events"))
     rows = daily.select(wall_clock("w.start").alias("date"), *groups, "events")
 
     def store(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{target}/batch={number}")
+        run = json.loads(batch.sparkSession.read.text(f"{checkpoint}/metadata", wholetext=True).first()[0])["id"]
+        batch.withColumn("stored_at", F.current_timestamp()).write.mode("overwrite").parquet(f"{target}/run={run}/batch={number}")
 
     return (
         rows.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint)
@@ -107,4 +126,14 @@ def upsert_daily(stream: DataFrame, ts: str, groups: Sequence[str], target: str,
 def daily_state(spark: SparkSession, target: str, groups: Sequence[str]) -> DataFrame:
     """The current row per day and group of :func:`upsert_daily`."""
     stored = spark.read.parquet(target)
-    return stored.groupBy("date", *groups).agg(F.max_by("events", "batch").alias("events"))
+    return stored.groupBy("date", *groups).agg(F.max_by("events", F.struct("stored_at", "batch")).alias("events"))
+
+
+def compact_daily(spark: SparkSession, target: str, groups: Sequence[str], compacted: str) -> DataFrame:
+    """The current rows of ``target`` as the first batch of the new folder ``compacted``.
+
+    Streams go on there; the old folder can go once none writes to it.
+    """
+    rows = daily_state(spark, target, groups).withColumn("stored_at", F.current_timestamp())
+    rows.write.parquet(f"{compacted}/run=compacted/batch=0")
+    return daily_state(spark, compacted, groups)

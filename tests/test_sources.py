@@ -12,19 +12,55 @@ from ordermetrics.streaming import refresh
 
 def test_csv_scan_casts_by_name_and_cuts_zones(spark, tmp_path):
     (tmp_path / "k.csv").write_text(
-        "ship_date,shipment_id,delivery_id,item_type_id\n2019-01-02 03:04:05+00:00,k1,d1,i\n2019-01-02,k2,,i\n2019-01-02T03:04:05Z,k3,d3,i\nbad,k4,d4,i\n")
+        "ship_date,shipment_id,delivery_id,item_type_id\n2019-01-02 03:04:05+00:00,k1,d1,i\n2019-01-02,k2,,i\n2019-01-02T03:04:05Z,k3,d3,i\n")
     got = readers.read_csv(spark, str(tmp_path / "k.csv"), SCHEMAS["lab_kits"], "kits").orderBy("shipment_id").collect()
-    assert [r["ship_date"] for r in got] == [dt(2019, 1, 2, 3, 4, 5), dt(2019, 1, 2), dt(2019, 1, 2, 3, 4, 5), None]
+    assert [r["ship_date"] for r in got] == [dt(2019, 1, 2, 3, 4, 5), dt(2019, 1, 2), dt(2019, 1, 2, 3, 4, 5)]
     assert got[1]["delivery_id"] is None
     with pytest.raises(ValueError, match="order_flow"):
         readers.read_csv(spark, str(tmp_path / "k.csv"), SCHEMAS["lab_orders"], "orders")
 
 
+def test_csv_keeps_quotes_and_line_breaks_and_raises_on_faults(spark, frame, rows, tmp_path):
+    schema = T.StructType([T.StructField("id", T.LongType()), T.StructField("n", T.StringType())])
+    (tmp_path / "q.csv").write_text('id,n\n1,"say ""hi"", ok"\n2,"two\nlines"\n3,\n')
+    assert rows(readers.read_csv(spark, str(tmp_path / "q.csv"), schema)) == [(1, 'say "hi", ok'), (2, "two\nlines"), (3, None)]
+    texts = frame([(1, 'a "b" c'), (2, "x\ny, z"), (3, " blanks "), (4, "back\\slash"), (5, None)], "id bigint, n string")
+    snapshots.export_csv(texts, str(tmp_path / "own"))
+    assert rows(readers.read_csv(spark, str(tmp_path / "own"), schema)) == rows(texts)
+    (tmp_path / "two").mkdir()
+    (tmp_path / "two/a.csv").write_text("id,n\n1,x\n")
+    (tmp_path / "two/b.csv").write_text("n,id\n20,2\n")
+    with pytest.raises(Exception, match="(?i)header"):
+        readers.read_csv(spark, str(tmp_path / "two"), schema).collect()
+    (tmp_path / "bad.csv").write_text("id,n\nseven,x\n")
+    with pytest.raises(Exception, match="isn't bigint"):
+        readers.read_csv(spark, str(tmp_path / "bad.csv"), schema).collect()
+
+
+def test_json_arrays_over_several_lines(spark, rows, tmp_path):
+    schema = T.StructType([T.StructField("id", T.LongType()), T.StructField("n", T.StringType())])
+    (tmp_path / "a.json").write_text('[\n  {"id": 1, "n": "x"},\n  {"id": 2, "n": null}\n]\n')
+    assert rows(readers.read_json_records(spark, str(tmp_path / "a.json"), schema, one_array=True)) == [(1, "x"), (2, None)]
+    with pytest.raises(Exception):
+        readers.read_json_records(spark, str(tmp_path / "a.json"), schema).collect()
+
+
+def test_a_failing_pull_leaves_the_last_good_rows(spark, frame, rows, tmp_path):
+    spec = pulls.PullSpec(str(tmp_path / "out"), "")
+    pulls.full_pull(spark, spec, frame([(1,)], "n int"))
+    with pytest.raises(Exception, match="gone"):
+        pulls.full_pull(spark, spec, frame([(5,)], "n int").select(F.raise_error(F.lit("gone")).cast("int").alias("n")))
+    assert rows(spark.read.parquet(spec.output)) == [(1,)]
+    assert rows(pulls.full_pull(spark, spec, frame([(2,)], "n int"))) == [(2,)] and sorted(os.listdir(tmp_path)) == ["out"]
+
+
 def test_jdbc_options_split_a_query_into_ranges():
     source = readers.Database("db.example", "backend", "reader", "secret", kind="mysql")
     assert source.url == "jdbc:mysql://db.example:3306/backend" and "secret" not in repr(source)
     assert readers.jdbc_options(source, "SELECT 1")["query"] == "SELECT 1"
     split = readers.jdbc_options(source, "SELECT * FROM t", "id", 0, 100, 8)
+    with pytest.raises(ValueError, match="bounds"):
+        readers.jdbc_options(source, "SELECT 1", "id")
     assert split["dbtable"] == "(SELECT * FROM t) AS q" and split["numPartitions"] == "8" and "query" not in split
 
 
@@ -72,6 +108,32 @@ def test_newest_snapshot_fallback_archive_and_freshness(spark, frame, rows, tmp_
         snapshots.write_snapshot(frame([(1,)], "n int"), root, "t", "yesterday")
 
 
+def test_tables_of_like_names_keep_apart_and_archives_stay(spark, frame, rows, tmp_path):
+    root, archive = str(tmp_path / "snap"), str(tmp_path / "old")
+    snapshots.write_snapshot(frame([(1,)], "n int"), root, "orders", "20240101_000000")
+    snapshots.write_snapshot(frame([(9,)], "n int"), root, "orders_eu", "20240501_000000")
+    assert rows(snapshots.read_newest(spark, root, "orders")) == [(1,)]
+    assert snapshots.newest_stamp(spark, root, "order") is None
+    snapshots.archive_before(spark, root, "orders", "20240201_000000", archive)
+    snapshots.write_snapshot(frame([(2,)], "n int"), str(tmp_path / "later"), "orders", "20240201_000000")
+    snapshots.archive_before(spark, str(tmp_path / "later"), "orders", "20240301_000000", archive)
+    snapshots.archive_before(spark, str(tmp_path / "none"), "orders", "20240301_000000", archive)
+    assert rows(spark.read.parquet(f"{archive}/orders"), "n") == [(1,), (2,)]
+    for name in ("carts_20240101_000000.csv", "carts_eu_20240301_000000.csv"):
+        (tmp_path / name).write_text(f"n\n{len(name)}\n")
+    got = snapshots.read_newest_csv(spark, str(tmp_path), "carts", lambda p: readers.read_csv(spark, p, T.StructType([T.StructField("n", T.LongType())])))
+    assert got.first()["n"] == len("carts_20240101_000000.csv")
+
+
+def test_upsert_by_product_and_double_rows(spark, frame, rows, tmp_path):
+    root, schema = str(tmp_path / "days"), "date timestamp_ntz, product string, n int"
+    snapshots.upsert_days(spark, frame([("2024-01-01", "a", 1), ("2024-01-01", "b", 2)], schema), root, "blocked", "20240101_000000", ["date", "product"])
+    got = snapshots.upsert_days(spark, frame([("2024-01-01", "b", 3)], schema), root, "blocked", "20240102_000000", ["date", "product"])
+    assert rows(got, "product", "n") == [("a", 1), ("b", 3)]
+    with pytest.raises(ValueError, match="several rows"):
+        snapshots.upsert_days(spark, frame([("2024-01-01", "a", 1), ("2024-01-01", "a", 2)], schema), root, "blocked", "20240103_000000", ["date", "product"])
+
+
 def test_newest_csv_by_stamp_in_its_name(spark, tmp_path):
     for stamp, n in (("20240102_000000", 2), ("20240101_235959", 1)):
         (tmp_path / f"carts_db_pull_at_{stamp}.csv").write_text(f"n\n{n}\n")
@@ -134,3 +196,37 @@ def test_daily_upsert_replaces_changed_days(spark, frame, rows, tmp_path):
         frame(data, "id bigint, ts timestamp_ntz").write.mode("append").parquet(source)
         refresh.upsert_daily(refresh.source(spark, source, SCHEMA), "ts", [], target, progress).awaitTermination()
     assert rows(refresh.daily_state(spark, target, [])) == [(dt(2024, 1, 1), 1), (dt(2024, 1, 2), 2)]
+
+
+def test_backlog_order_doesn_t_matter_and_late_rows_raise(spark, frame, rows, tmp_path):
+    """Five files whose oldest arrives fourth: in one run nothing is late; one by one the late row raises."""
+    moments = ["2024-01-02 10:00:00", "2024-01-03 10:00:00", "2024-01-04 10:00:00", "2024-01-01 10:00:00", "2024-01-05 10:00:00"]
+    files = [frame([(i, m)], "id bigint, ts timestamp_ntz").coalesce(1) for i, m in enumerate(moments)]
+    whole, parts = str(tmp_path / "whole"), str(tmp_path / "parts")
+    counts = lambda path, lateness="1 hour": refresh.hourly_counts(refresh.source(spark, path, SCHEMA), "ts", [], "id", lateness)
+    for f in files:
+        f.write.mode("append").parquet(whole)
+    refresh.run_available(counts(whole), str(tmp_path / "a"), str(tmp_path / "pa"))
+    hours = rows(spark.read.parquet(str(tmp_path / "a")), "window_start", "events", "entities")
+    assert hours == [(dt(2024, 1, d, 10), 1, 1) for d in (1, 2, 3, 4)]
+    with pytest.raises(refresh.LateRows):
+        for f in files:
+            f.write.mode("append").parquet(parts)
+            refresh.run_available(counts(parts), str(tmp_path / "b"), str(tmp_path / "pb"))
+    for n, f in enumerate(files):
+        f.write.mode("overwrite" if n == 0 else "append").parquet(str(tmp_path / "again"))
+        refresh.run_available(counts(str(tmp_path / "again"), "5 days"), str(tmp_path / "c"), str(tmp_path / "pc"))
+    daily = str(tmp_path / "daily")
+    refresh.finished(refresh.upsert_daily(refresh.source(spark, whole, SCHEMA), "ts", [], daily, str(tmp_path / "pd")))
+    assert rows(refresh.daily_state(spark, daily, []), "events") == [(1,)] * 5
+
+
+def test_a_stream_that_starts_anew_keeps_stored_days(spark, frame, rows, tmp_path):
+    target = str(tmp_path / "out")
+    for n, moment in enumerate(("2024-01-01 10:00:00", "2024-01-02 10:00:00")):
+        source = str(tmp_path / f"in{n}")
+        frame([(n, moment)], "id bigint, ts timestamp_ntz").write.parquet(source)
+        refresh.finished(refresh.upsert_daily(refresh.source(spark, source, SCHEMA), "ts", [], target, str(tmp_path / f"p{n}")))
+    want = [(dt(2024, 1, 1), 1), (dt(2024, 1, 2), 1)]
+    assert rows(refresh.daily_state(spark, target, [])) == want
+    assert rows(refresh.compact_daily(spark, target, [], str(tmp_path / "small"))) == want
