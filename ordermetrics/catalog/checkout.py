@@ -82,9 +82,11 @@ def j17_program_rows(spark: SparkSession, folder: str) -> DataFrame:
     t = Tables(spark, folder)
     # one shipment per delivery, so that the numbering is a total order
     sent = t.shipments().groupBy("delivery_id", "type").agg(F.min("ship_date").alias("ship_date"), F.min("delivered_date").alias("delivered_date"))
-    rows = checkout.program_orders(t.carts(), t.orders(), t.metadata(), sent, t.samples(), vocab=TEST_NAMES)
+    # some samples have an arrival only
+    samples = t.samples().withColumns({"received": F.when(F.col("sample_id") % 5 != 0, F.col("received")), "arrived": F.col("received") + F.expr("INTERVAL 1 DAY")})
+    rows = checkout.program_orders(t.carts(), t.orders(), t.order_types(), t.metadata(), sent, samples, vocab=TEST_NAMES)
     return rows.select(
-        "cart_id", "source", "program_category", "mk_upg_stat", "sample_receival_stat", "ship_date",
+        "cart_id", "source", "program_category", "clinical_type_name", "mk_upg_stat", "sample_receival_stat", "ship_date",
         *[F.col(c).cast("double").alias(c) for c in ("order_id", "kit_number", "kit_received_time_in_days")],
     )
 
@@ -215,15 +217,15 @@ ORACLE = {
         count(DISTINCT o.k) AS kit1_count_of_orders_generated FROM v_cart LEFT JOIN o ON o.k = order_id_modified
         WHERE cart_created_date >= date_trunc('week', TIMESTAMP '{EVENTS_AS_OF}' - INTERVAL 31 DAYS) AND source IS NOT NULL GROUP BY 1, 2"""),
     "j17_program_rows": with_views(
-        "v_cart", "v_order", "v_meta", "v_shipment", "v_sample",
+        "v_cart", "v_order", "v_type", "v_meta", "v_shipment", "v_sample",
         body="""WITH sent AS (SELECT delivery_id, min(ship_date) AS ship_date, min(delivered_date) AS delivered_date FROM v_shipment WHERE type = 'NORMAL' GROUP BY 1),
         meta AS (SELECT order_id, bool_or(value LIKE '%Upgraded from%' OR value LIKE '%Starter upgrade%') AS up FROM v_meta GROUP BY 1),
         rows AS (SELECT c.cart_id, c.source, c.program_category, o.order_id, o.prescription_id, o.sample_id, o.created_at, meta.up,
-          sent.ship_date, sent.delivered_date, s.received
+          sent.ship_date, sent.delivered_date, CASE WHEN s.sample_id % 5 <> 0 THEN s.received ELSE s.received + INTERVAL 1 DAY END AS received, t.clinical_type_name
           FROM v_cart c LEFT JOIN v_order o ON coalesce(o.prescription_id, o.order_id) = c.order_id_modified
-          LEFT JOIN meta ON meta.order_id = o.order_id LEFT JOIN sent ON sent.delivery_id = o.delivery_id
+          LEFT JOIN v_type t ON t.order_type_id = o.order_type_id LEFT JOIN meta ON meta.order_id = o.order_id LEFT JOIN sent ON sent.delivery_id = o.delivery_id
           LEFT JOIN v_sample s ON s.sample_id = o.sample_id)
-        SELECT cart_id, source, program_category,
+        SELECT cart_id, source, program_category, clinical_type_name,
         CASE WHEN order_id IS NULL THEN NULL WHEN up THEN 'Upgrade' WHEN prescription_id IS NOT NULL THEN 'Multi Kit' ELSE 'Single Kit' END AS mk_upg_stat,
         CASE WHEN order_id IS NULL THEN NULL WHEN sample_id IS NOT NULL THEN 'Sample Received' ELSE 'Sample Not Received' END AS sample_receival_stat,
         ship_date, CAST(order_id AS DOUBLE) AS order_id,

@@ -115,30 +115,35 @@ def state_counts(orders: DataFrame, unit: str = "day") -> DataFrame:
     ).orderBy(F.col("created").desc(), "state")
 
 
-def program_orders(carts: DataFrame, orders: DataFrame, metadata: DataFrame, shipments: DataFrame, samples: DataFrame, *, vocab: Vocabulary) -> DataFrame:
-    """Carts with their order, first labels, kit number and return time.
+def program_orders(carts: DataFrame, orders: DataFrame, order_types: DataFrame, metadata: DataFrame, shipments: DataFrame, samples: DataFrame,
+                   *, vocab: Vocabulary) -> DataFrame:
+    """Carts with their order and its clinical type, first labels, kit number and return time.
 
-    Every cart is kept. Kits of a prescription are numbered by delivery, then
+    Every cart is kept. A sample without a receipt time counts from its arrival. Kits of a prescription are numbered by delivery, then
     creation; single kits are number 1 and never enter a shared window.
     """
     keyed = orders.withColumn("use_for_join", canonical_order_id())
     upgraded = condition_flags(metadata, "order_id", {"upgraded": value_has_upgrade_phrase("value", vocab=vocab)})
-    tagged = keyed.join(upgraded, "order_id", "left")
+    typed = join_on(keyed, order_types.select("order_type_id", "clinical_type_name"), {"order_type_id": "order_type_id"})
+    tagged = typed.join(upgraded, "order_id", "left")
     sent = shipments.where(F.col("type") == "NORMAL").select("delivery_id", "ship_date", "delivered_date")
     shipped = join_on(tagged, sent, {"delivery_id": "delivery_id"})
-    received = join_on(shipped, samples.select("sample_id", F.col("received").alias("sample_received_date")),
+    received = join_on(shipped, samples.select("sample_id", F.coalesce("received", "arrived").alias("sample_received_date")),
                        {"sample_id": "sample_id"})
     cart = carts.select("cart_id", "product", DATE, "program", "source", F.col("order_id_modified").alias("use_for_join"))
     overlapping = [c for c in cart.columns if c != "use_for_join"]
     joined = cart.join(received.drop(*overlapping), "use_for_join", "left").withColumn(
         "__single", F.when(F.col("prescription_id").isNull(), F.coalesce("order_id", "cart_id"))
     )
-    # delivery day, and behind all of them the creation day of undelivered kits
-    undelivered = F.lit(10_000_000) + F.coalesce(F.unix_date(F.to_date("created_at")), F.lit(10_000_000))
+    # delivery day, and behind all of them the creation day of undelivered kits; each null behind what has a day
+    started = F.when(F.col("delivered_date").isNull(), F.col("created_at")).otherwise(F.col("delivered_date"))
+    part = F.struct(
+        F.col("delivered_date").isNull().alias("open"), started.isNull().alias("undated"),
+        F.coalesce(F.unix_date(F.to_date(started)), F.lit(0)).alias("day"))
     counted = numbered(
         joined, ["prescription_id", "__single"],
         [F.col(c).asc_nulls_last() for c in ("delivered_date", "created_at", "order_id", "cart_id", "ship_date")],
-        F.coalesce(F.unix_date(F.to_date("delivered_date")), undelivered), "__number",
+        part, "__number",
     )
     kit_number = first_match(
         [

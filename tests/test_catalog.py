@@ -18,7 +18,9 @@ CHOICE = [
     "m01_noncohort_summary", "m02_cohort_summary", "m03_payment_extract", "m04_mtd_samples", "m05_pipeline_cutoffs", "m07_correction_rate",
     "m08_mean_days", "m12_turnaround_percent", "m15_adjudication_totals", "m17_latest_denial", "m19_appeals_by_type", "m22_gap_to_goal",
     "m23_orders_by_source_pivot", "m25_received_within", "j17_program_rows", "m30_kit_shipments", "m31_cumulative_by_source", "m32_enriched_orders",
-    "m33_last24h_hourly", "m35_cac", "m37_waterfall", "m39_mtd_cards", "m43_return_curve", "m45_payer_benchmark", "s06_incremental_pull", "st03_rolling_24h", "t12_day_spans",
+    "m33_last24h_hourly", "m01_by_product", "m01_presented", "m01_presented_wide", "m32_label_counts", "m42_arm_comparison", "r02_transposed", "r03_merged_spend",
+    "j08_aligned_series", "a14_source_domain", "a08_described", "w4_numbered", "c10_utm_from_pages", "s01_csv_text", "s07_json_import", "s09_newest_snapshot", "s11_archive",
+    "s13_daily_upsert_by_type", "s14_freshness", "st02_hourly_counts", "st02_hourly_entities", "st04_upsert", "m35_cac", "m37_waterfall", "m39_mtd_cards", "m43_return_curve", "m45_payer_benchmark", "s06_incremental_pull", "st03_rolling_24h", "t12_day_spans",
 ]
 NAMES = sorted(catalog.oracle_sql()) if os.environ.get("CATALOG_ALL") else CHOICE
 

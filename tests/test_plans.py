@@ -155,14 +155,15 @@ def test_pivot_and_display_names(frame):
 
 
 def test_kit_numbers_ignore_single_kits_of_equal_id(frame, rows):
-    orders = frame([(1, None, "2024-01-01", 1), (2, 1, "2024-01-02", 2), (3, 1, "2024-01-03", 3)], "order_id int, prescription_id int, created_at timestamp_ntz, delivery_id int").withColumn("sample_id", F.col("order_id"))
+    orders = frame([(1, None, "2024-01-01", 1), (2, 1, "2024-01-02", 2), (3, 1, "2024-01-03", 3)], "order_id int, prescription_id int, created_at timestamp_ntz, delivery_id int").withColumn("sample_id", F.col("order_id")).withColumn("order_type_id", F.col("order_id"))
+    types = frame([(2, "First")], "order_type_id int, clinical_type_name string")
     carts = frame([(10, 1, "2024-01-01"), (11, 99, "2024-01-01")], "cart_id int, order_id_modified int, cart_created_date timestamp_ntz").withColumns({"product": F.lit("p"), "program": F.lit("pap"), "source": F.lit("s")})
     ships = frame([(2, "2024-01-09"), (3, "2024-01-08")], "delivery_id int, ship_date timestamp_ntz").withColumns({"type": F.lit("NORMAL"), "delivered_date": F.col("ship_date")})
-    samples = frame([(2, "2024-01-12")], "sample_id int, received timestamp_ntz")
+    samples = frame([(2, "2024-01-12", "2024-01-10"), (3, None, "2024-01-10")], "sample_id int, received timestamp_ntz, arrived timestamp_ntz")
     meta = frame([(2, "Upgraded from BAv1")], "order_id int, value string")
-    got = checkout.program_orders(carts, orders, meta, ships, samples, vocab=NAMES)
-    assert rows(got, "cart_id", "order_id", "kit_number", "mk_upg_stat", "kit_received_time_in_days") == [
-        (10, 1, 1, "Single Kit", None), (10, 2, 2, "Upgrade", 3), (10, 3, 1, "Multi Kit", None), (11, None, None, None, None)]
+    got = checkout.program_orders(carts, orders, types, meta, ships, samples, vocab=NAMES)
+    assert rows(got, "cart_id", "order_id", "kit_number", "mk_upg_stat", "kit_received_time_in_days", "clinical_type_name") == [
+        (10, 1, 1, "Single Kit", None, None), (10, 2, 2, "Upgrade", 3, "First"), (10, 3, 1, "Multi Kit", 2, None), (11, None, None, None, None, None)]
 
 
 def test_step_conversion(frame):
