@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ordermetrics.session import written
@@ -41,6 +41,20 @@ def held_out(doc_id: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.encode(F.col(doc_id).cast("string"), "UTF-8")) % 4 == 2, F.lit(False))
 
 
+def bounded_sample(rows: DataFrame, kind: str, n: int) -> DataFrame:
+    """(doc_id, kind): of each ``kind`` the ``n`` rows whose doc_id hashes lowest.
+
+    The size of a kind tells below which hash about that many rows lie, so hardly more
+    than those are ranked, whatever the size of the table.
+    """
+    share = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) / F.lit(float(1 << 40))
+    rows = rows.select("doc_id", kind)
+    sizes = rows.groupBy(kind).agg(F.count("*").alias("_size"))
+    low = rows.join(sizes, kind).withColumn("_share", share).where(F.col("_share") * F.col("_size") <= 1.25 * n + 100)
+    order = Window.partitionBy(kind).orderBy("_share", "doc_id")
+    return low.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= n).select("doc_id", kind)
+
+
 def components(edges: DataFrame, purpose: str = "components", most_rounds: int = 60) -> DataFrame:
     """Connected components of undirected ``edges`` (a, b): (node, root), root the least node.
 

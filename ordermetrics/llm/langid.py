@@ -13,10 +13,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ordermetrics.llm.common import held_out
+from ordermetrics.llm.common import bounded_sample, held_out
 from ordermetrics.session import written
 
 BITS = 15
@@ -109,9 +109,8 @@ def _each_order(rows: list[int], parts: list[str], known: list[int], letters: np
 
 def train(docs: DataFrame, per_language: int = 2000, smoothing: float = 0.5) -> Model:
     """Learns from text and lang of ``docs``; rows with a null text or lang teach nothing."""
-    ids = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "lang")
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = written(ids.withColumn("n", F.row_number().over(order)).where(F.col("n") <= per_language).select("doc_id").distinct(), "language-sample")
+    ids = bounded_sample(docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()), "lang", per_language)
+    ids = written(ids.select("doc_id").distinct(), "language-sample")
     sample = docs.join(ids, "doc_id", "left_semi").where(F.col("lang").isNotNull()).select("lang", "text")
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
