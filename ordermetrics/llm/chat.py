@@ -8,6 +8,7 @@ a backslash after their first character, which reading back takes out again.
 from __future__ import annotations
 
 import hashlib
+import os
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -99,6 +100,7 @@ def token_mask(offsets: np.ndarray, spans: np.ndarray) -> tuple[np.ndarray, np.n
 
 
 def _chat_tokenizer(path: str, controls: tuple[str, ...]) -> Tokenizer:
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
     tokenizer = Tokenizer.from_file(path)
     tokenizer.add_special_tokens([AddedToken(c, normalized=False, special=True) for c in controls])
     return tokenizer

@@ -9,6 +9,8 @@ each cut its best predecessor in constant time.
 
 from __future__ import annotations
 
+import os
+import unicodedata
 import zlib
 from collections import deque
 from collections.abc import Iterator
@@ -20,7 +22,9 @@ from pyspark.sql import DataFrame
 from tokenizers import Tokenizer
 
 STREAM = 1 << 19  # ids a task holds before it fixes cuts
-CACHE = 200_000  # encoded words a task remembers; then it starts anew
+CACHE = 400_000  # encoded words a task remembers; then it starts anew
+MARKS = ".,;:!?%#&*$()[]{}-+=/@~^_"
+TOGETHER = 256  # texts whose unseen words are encoded together
 INSIDE = 128  # a sentence may be cut after so many ids
 SENTENCE_ENDS = (".", "!", "?", "…", "。")
 
@@ -29,37 +33,63 @@ class Encoder:
     """Ids of a text as little-endian bytes.
 
     The tokenizer's words never span white space, so each stretch between blanks is
-    encoded once and remembered.
+    encoded once and remembered. A stretch of letters with marks behind is its letters
+    and those marks, which the tokenizer parts as well; letters not seen yet are encoded
+    many at once, and the ids that end a word tell them apart.
     """
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {}
-
-    def ends(self) -> np.ndarray:
-        """Which ids end a sentence."""
         vocabulary = self.tokenizer.get_vocab()
-        out = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.final = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.sentence = self.final.copy()
         for token, number in vocabulary.items():
-            plain = token.removesuffix("</w>")
-            out[number] = token.endswith("</w>") and plain[-1:] in SENTENCE_ENDS
-        return out
+            self.final[number] = token.endswith("</w>")
+            self.sentence[number] = self.final[number] and token.removesuffix("</w>")[-1:] in SENTENCE_ENDS
+        self.known: dict[str, bytes] = {}
+        self.letters: dict[str, bytes] = {}
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
-        for text in texts:
-            words = text.replace("\n", " ").split(" ")
-            try:
-                yield b"".join(map(self.known.__getitem__, words))
-            except KeyError:
-                if len(self.known) > CACHE:
-                    self.known.clear()
-                new = list({w for w in words if w not in self.known})
-                for at in range(0, len(new), 4096):
-                    part = new[at : at + 4096]
-                    for word, found in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                        self.known[word] = np.array(found.ids, "<u4").tobytes()
+        for at in range(0, len(texts), TOGETHER):
+            split = [text.replace("\n", " ").split(" ") for text in texts[at : at + TOGETHER]]
+            if len(self.known) > CACHE:
+                self.known.clear()
+                self.letters.clear()
+            self._learn([w for w in set().union(*split) if w not in self.known])
+            for words in split:
                 yield b"".join(map(self.known.__getitem__, words))
 
+    def _learn(self, words: list[str]) -> None:
+        parted, whole = [], set()
+        for word in words:
+            body = word.rstrip(MARKS)
+            # letters still when composed and lower-cased, as the tokenizer sees them
+            if body.isalpha() and (body.isascii() or unicodedata.normalize("NFC", body).lower().isalpha()):
+                parted.append((word, body.lower() if body.isascii() else body, word[len(body) :]))
+                whole.add(word[len(body) :])
+            else:
+                whole.add(word)
+        other = [w for w in whole if w not in self.known]
+        for at in range(0, len(other), 4096):
+            part = other[at : at + 4096]
+            for word, found in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
+                self.known[word] = np.array(found.ids, "<u4").tobytes()
+        new = list({body for _, body, _ in parted if body not in self.letters})
+        for at in range(0, len(new), 4096):
+            self._letters(new[at : at + 4096])
+        for word, body, marks in parted:
+            self.known[word] = self.letters[body] + self.known[marks]
+
+    def _letters(self, words: list[str]) -> None:
+        ids = np.array(self.tokenizer.encode(" ".join(words), add_special_tokens=False).ids, "<u4")
+        ends = (np.flatnonzero(self.final[ids]) + 1).tolist() if len(ids) else []
+        if len(ends) != len(words):  # a letter that the tokenizer doesn't count as one
+            self.letters.update((w, np.array(self.tokenizer.encode(w, add_special_tokens=False).ids, "<u4").tobytes()) for w in words)
+            return
+        raw = ids.tobytes()
+        self.letters.update((w, raw[4 * a : 4 * b]) for w, a, b in zip(words, [0, *ends], ends, strict=False))
+
 
 def cuts(places: np.ndarray, penalty: np.ndarray, window: int, last: bool) -> list[int]:
     """Ends of windows over a stream that starts at 0; ``places`` ascend, at most ``window`` apart.
@@ -183,7 +213,7 @@ def pack(docs: DataFrame, tokenizer: str, window: int = 2048, end_id: int = 1, s
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encoder = Encoder(tokenizer)
-        stream = Stream(window, encoder.ends(), sentence, inside, with_ids)
+        stream = Stream(window, encoder.sentence, sentence, inside, with_ids)
         for batch in batches:
             for doc_id, raw in zip(batch["doc_id"].astype(object), encoder.encode([t or "" for t in batch["text"]]), strict=True):
                 stream.add(None if pd.isna(doc_id) else doc_id, np.frombuffer(raw + final, "<u4"))
