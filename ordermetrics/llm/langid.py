@@ -177,7 +177,12 @@ def train_on_open(docs: DataFrame, **settings) -> Model:
 
 
 def known_language(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
-    """The documents whose language the model tells with a posterior of ``least``; columns stay."""
+    """The documents whose language the model tells with a posterior of ``least``; columns stay.
+
+    A model that learned no language rejects nothing.
+    """
+    if not model.languages:
+        return docs
     return identify(docs, model).where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)).select(*docs.columns)
 
 
