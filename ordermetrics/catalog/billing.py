@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ordermetrics.catalog.checks import ratio, with_views
 from ordermetrics.catalog.views import Tables
 from ordermetrics.plans import billing
+from ordermetrics.session import written
 
 START, END = "1997-01-01", "1999-12-31"
 PRODUCTS = ["1-URGENT", "3-MEDIUM", "5-LOW"]
@@ -20,12 +21,12 @@ def _linked(t: Tables) -> DataFrame:
     return billing.linked_claims(t.payer_claims(), t.links(), t.claims(), PRODUCTS, VERSIONS, billed_after="1990-01-01")
 
 
-def _latest(t: Tables) -> DataFrame:
-    return billing.latest_benefits(_linked(t), t.eobs(), START, END, TIE)
+def _latest(t: Tables, linked: DataFrame | None = None) -> DataFrame:
+    return billing.latest_benefits(linked or _linked(t), t.eobs(), START, END, TIE)
 
 
-def _denied(t: Tables) -> DataFrame:
-    return billing.latest_denials(_linked(t), t.history(), t.claim_events(), t.eobs(), START, END)
+def _denied(t: Tables, linked: DataFrame | None = None) -> DataFrame:
+    return billing.latest_denials(linked or _linked(t), t.history(), t.claim_events(), t.eobs(), START, END)
 
 
 def m14_claims_generated(spark: SparkSession, folder: str) -> DataFrame:
@@ -58,10 +59,11 @@ def m17_denial_rows(spark: SparkSession, folder: str) -> DataFrame:
 
 def m18_ratios(spark: SparkSession, folder: str) -> DataFrame:
     t = Tables(spark, folder)
+    linked = written(_linked(t), "linked")  # both sides below start from it
     return billing.claim_ratios(
-        billing.adjudication_totals(_latest(t)),
+        billing.adjudication_totals(_latest(t, linked)),
         billing.claims_submitted(t.claims(), START, END, PRODUCTS),
-        billing.denied_count(_denied(t)),
+        billing.denied_count(_denied(t, linked)),
     )
 
 

@@ -98,10 +98,6 @@ def date_text(ts: Column | str, form: str = "iso_day") -> Column:
     return F.date_format(as_column(ts), DATE_FORMATS[form])
 
 
-def parse_day(text: Column | str) -> Column:
-    return F.to_date(as_column(text), DATE_FORMATS["iso_day"])
-
-
 def snapshot_stamp(path: Column | str) -> Column:
     """The ``YYYYmmdd_HHMMSS`` part of a file path as text ('' when absent)."""
     return F.regexp_extract(as_column(path), r"(\d{8}_\d{6})", 1)

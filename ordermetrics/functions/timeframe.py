@@ -108,10 +108,6 @@ def at_zone(ts: Column | str, zone: str, source: str = "UTC") -> Column:
     return F.convert_timezone(F.lit(source), F.lit(zone), as_column(ts).cast(NTZ))
 
 
-def strip_zone(ts: Column | str) -> Column:
-    return as_column(ts).cast(NTZ)
-
-
 @dataclass(frozen=True)
 class MonthBounds:
     """First days and end (exclusive) of the current and the previous month."""

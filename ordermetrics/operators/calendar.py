@@ -105,8 +105,3 @@ def fill_periods(df: DataFrame, period: str, unit: str, zero: Sequence[str] = ()
         for c in df.columns
     ]
     return filled.select(*kept)
-
-
-def day_numbers(spark: SparkSession, last: int) -> DataFrame:
-    """Days of month 1..last as rows."""
-    return spark.range(1, last + 1, numPartitions=1).select(F.col("id").cast("int").alias("day"))

@@ -242,8 +242,3 @@ def step_totals(carts: DataFrame, orders: DataFrame, shipments: DataFrame) -> Da
         stacked = stacked.unionByName(frame)
     before = F.lag("total").over(Window.partitionBy().orderBy("step"))
     return stacked.withColumn("conversion", ratio("total", before))
-
-
-def source_names(column: str, names: Mapping[str, str]) -> Column:
-    """Display name of a source code; unknown codes keep their own text."""
-    return code_label(column, names, F.col(column))

@@ -255,11 +255,6 @@ def process_success_rate(orders: DataFrame, samples: DataFrame, results: DataFra
     return monthly_rate(joined, "result_created_at", "order_id", success, since)
 
 
-def report_corrections(reports: DataFrame, results: DataFrame) -> DataFrame:
-    """Report events with the result events of the same order."""
-    return join_on(reports, results, {"order_id": "order_id"}, "inner")
-
-
 def correction_count(reports: DataFrame, results: DataFrame, since: str | None = None) -> DataFrame:
     """Corrected orders per correction month.
 
@@ -367,8 +362,3 @@ def turnaround_table(samples: DataFrame, product: str, received: str, released:
     if display == "percentages":
         table = table.withColumns({c: ratio(c, "total_accessioned") * 100 for c in BAND_COLUMNS})
     return table.select(product, "total_accessioned", *BAND_COLUMNS)
-
-
-def turnaround_percent_text(table: DataFrame) -> DataFrame:
-    """Display form of the percentages."""
-    return table.withColumns({c: percent_text(c) for c in BAND_COLUMNS})
