@@ -1,10 +1,12 @@
 """Near-duplicate vectors by product quantisation.
 
 Coarse centroids make inverted lists; what is left of a vector after its centroid is
-stored as one code a subspace. A query looks into the lists of its nearest centroids,
-sums table entries for the codes there (asymmetric distances), and the exact cosine
-decides for those whose distance may reach the threshold: a stored vector lies within
-its own coding error of its code, so this filter loses no link.
+stored as one code a subspace. A query looks into every list that can hold a link, whose
+members lie within the list's radius of its centroid, sums table entries for the codes
+there (asymmetric distances), and the exact cosine decides for those whose distance may
+reach the threshold: a stored vector lies within its own coding error of its code. No
+step loses a link. Vectors without clusters leave little to pass over, so their work
+grows with the square of their number.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ from pyspark.sql import functions as F
 from ordermetrics.llm.common import components
 from ordermetrics.session import written
 
-BLOCK = 1024  # queries and members that meet in one task
+BLOCK = 1024  # vectors in a row of a block, about
 CODES = 256
 SAMPLE = 16_384
 
@@ -103,71 +105,102 @@ def _unit(rows: list) -> np.ndarray:
     return raw / np.sqrt((raw**2).sum(1, keepdims=True))
 
 
-def _search(vectors: DataFrame, n: int, threshold: float, probes: int, per_list: int, most_lists: int) -> DataFrame:
+def _search(vectors: DataFrame, n: int, threshold: float, per_list: int, most_lists: int) -> DataFrame:
     """(node, links, other): for vectors (node, v, copies) of one length, how many rows they link to, and edges that connect them."""
     spark = vectors.sparkSession
     sample = vectors.orderBy(F.xxhash64("node"), "node").limit(SAMPLE).select("v").toPandas()
     lists = max(1, min(most_lists, n // per_list, len(sample) // 8))
     index = fit(_unit(list(sample["v"])), lists)
     lists = len(index.centroids)
-    probes = min(probes, lists)
-    shared = spark.sparkContext.broadcast(index)  # at most most_lists rows and the code books
+    # lists near each other share a shelf, so that blocks hold about BLOCK members
+    shelf_no = _nearest(index.centroids, _kmeans(index.centroids, max(1, min(lists, n // BLOCK)), np.random.default_rng(7)), 1)[:, 0]
+    shared = spark.sparkContext.broadcast((index, shelf_no))  # at most most_lists rows and the code books
+    link = np.sqrt(max(2 - 2 * threshold, 0)) + 1e-6
 
     def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        index = shared.value
+        index, shelf_no = shared.value
         for batch in batches:
             if len(batch):
                 unit = _unit(list(batch["v"]))
-                near = _nearest(unit, index.centroids, probes)
-                codes, error = encode(unit, near[:, 0], index)
-                yield pd.DataFrame({"node": batch["node"], "copies": batch["copies"], "unit": list(unit), "probes": list(near), "list": near[:, 0], "codes": [c.tobytes() for c in codes], "error": error})
-
-    coded = written(vectors.select("node", "v", "copies").mapInPandas(assign, "node long, copies long, unit array<double>, probes array<int>, list int, codes binary, error double"), "codes")
-    # counts of members and queries for each list: as many rows as lists
-    members = coded.groupBy("list").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("member_blocks"))
-    asked = coded.select("node", "copies", "unit", "list", F.explode("probes").alias("probe"))
-    queries = asked.groupBy("probe").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("query_blocks"))
-    sizes = members.join(queries, members["list"] == queries["probe"]).select(F.col("list").alias("probe"), "member_blocks", "query_blocks")
-    sizes = F.broadcast(written(sizes, "list-sizes"))  # at most most_lists rows
+                near = _nearest(unit, index.centroids, 1)[:, 0]
+                codes, error = encode(unit, near, index)
+                yield pd.DataFrame({"node": batch["node"], "copies": batch["copies"], "unit": [u.tobytes() for u in unit], "list": near, "shelf": shelf_no[near], "codes": [c.tobytes() for c in codes], "error": error})
+
+    coded = written(vectors.select("node", "v", "copies").mapInPandas(assign, "node long, copies long, unit binary, list int, shelf int, codes binary, error double"), "codes")
+    sizes = F.broadcast(coded.groupBy("shelf").agg(F.ceil(F.count("*") / BLOCK).alias("blocks")))  # at most most_lists rows
     own = F.pmod(F.xxhash64("node"), F.lit(1 << 40))
-    nothing = [F.lit(None).cast("array<int>").alias("probes"), F.lit(None).cast("binary").alias("codes"), F.lit(None).cast("double").alias("error")]
-    left = asked.join(sizes, "probe").select(
-        "probe", F.explode(F.sequence(F.lit(0), F.col("member_blocks") - 1)).alias("i"), (own % F.col("query_blocks")).cast("int").alias("j"), F.lit(True).alias("query"), "node", "copies", "unit", "list", *nothing)
-    right = coded.withColumn("probe", F.col("list")).join(sizes, "probe").select(
-        "probe", (own % F.col("member_blocks")).cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("query_blocks") - 1)).alias("j"), F.lit(False).alias("query"), "node", "copies", "unit", "list", "probes", "codes", "error")
-
-    def meet(block: pd.DataFrame) -> pd.DataFrame:
-        asks, has = block[block["query"]], block[~block["query"]]
-        if not len(asks) or not len(has):
-            return pd.DataFrame({"node": [], "links": [], "other": []})
-        q, m = np.array(list(asks["unit"])), np.array(list(has["unit"]))
-        far = table_distances(q, int(block["probe"].iloc[0]), np.frombuffer(b"".join(has["codes"]), np.uint8).reshape(len(m), -1), shared.value)
-        reach = (np.sqrt(2 - 2 * threshold) + has["error"].to_numpy() + 1e-3) ** 2
-        a, b = np.nonzero(far <= reach)
-        exact = np.zeros(len(a), bool)
-        for at in range(0, len(a), 1 << 16):
-            part = slice(at, at + (1 << 16))
-            exact[part] = np.einsum("ij,ij->i", q[a[part]], m[b[part]]) >= threshold
-        q_node, m_node = asks["node"].to_numpy(), has["node"].to_numpy()
-        exact &= q_node[a] != m_node[b]
-        a, b = a[exact], b[exact]
-        if not len(a):
-            return pd.DataFrame({"node": [], "links": [], "other": []})
-        q_copies, m_copies = asks["copies"].to_numpy(), has["copies"].to_numpy()
-        # the member counts the link itself if it asks in the query's list; else the query tells it
-        silent = ~(np.array(list(has["probes"]))[b] == asks["list"].to_numpy()[a][:, None]).any(1)
-        mine = np.bincount(a, m_copies[b], len(q))
-        theirs = np.bincount(b[silent], q_copies[a[silent]], len(m))
-        # edges that connect what is connected here: each vector to the least one it meets, both ways
-        least_q, least_m = np.full(len(q), np.iinfo(np.int64).max), np.full(len(m), np.iinfo(np.int64).max)
-        np.minimum.at(least_q, a, m_node[b])
-        np.minimum.at(least_m, b, q_node[a])
-        return pd.concat([
-            pd.DataFrame({"node": q_node, "links": mine.astype(np.int64), "other": least_q})[mine > 0],
-            pd.DataFrame({"node": m_node, "links": theirs.astype(np.int64), "other": least_m})[np.bincount(b, minlength=len(m)) > 0],
-            _bridges(q_node, m_node, a, b)])
-
-    return written(left.union(right).groupBy("probe", "i", "j").applyInPandas(meet, "node long, links long, other long"), "met")
+    dealt = coded.join(sizes, "shelf").withColumn("block", (own % F.col("blocks")).cast("int")).drop("blocks")
+
+    def bind(block: pd.DataFrame) -> pd.DataFrame:
+        block = block.sort_values("lists", kind="stable")
+        unit = np.frombuffer(b"".join(block["unit"]), np.float64).reshape(len(block), -1)
+        centre = unit.mean(0)
+        radius = float(np.sqrt(((unit - centre) ** 2).sum(1).max()))
+        return pd.DataFrame([{
+            "shelf": block["shelf"].iloc[0], "block": block["block"].iloc[0], "centre": centre.tolist(), "radius": radius, "unit": unit.tobytes(), "codes": b"".join(block["codes"]),
+            **{c: block[c].to_numpy(t).tobytes() for c, t in (("nodes", "<i8"), ("copies", "<i8"), ("lists", "<i4"), ("errors", "<f8"))}}])
+
+    columns = ["shelf", "block", "centre", "radius", "unit", "codes", "nodes", "copies", "lists", "errors"]
+    schema = "shelf int, block int, centre array<double>, radius double, unit binary, codes binary, nodes binary, copies binary, lists binary, errors binary"
+    dealt = dealt.withColumnsRenamed({"node": "nodes", "list": "lists", "error": "errors"})
+    blocks = written(dealt.groupBy("shelf", "block").applyInPandas(bind, schema), "blocks")
+    # each two blocks that a link can join meet once; the few rows of a block's vectors go as one, so nothing is shuffled
+    x, y = (blocks.select(*[F.col(c).alias(side + c) for c in columns]) for side in "xy")
+    apart = F.aggregate(F.zip_with("xcentre", "ycentre", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda a, b: a + b)
+    pairs = x.join(y.hint("shuffle_replicate_nl"), (F.struct("xshelf", "xblock") <= F.struct("yshelf", "yblock")) & (F.sqrt(apart) <= F.col("xradius") + F.col("yradius") + link))
+
+    def meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        index = shared.value[0]
+        for batch in batches:
+            for row in batch.to_dict("records"):
+                same = (row["xshelf"], row["xblock"]) == (row["yshelf"], row["yblock"])
+                yield from _meet({k[1:]: v for k, v in row.items() if k[0] == "x"}, {k[1:]: v for k, v in row.items() if k[0] == "y"}, same, index, threshold, link)
+
+    return written(pairs.mapInPandas(meet, "node long, links long, other long"), "met")
+
+
+def _meet(asks: dict, has: dict, same: bool, index: Index, threshold: float, link: float) -> Iterator[pd.DataFrame]:
+    """Links between two blocks, or inside one (``same``): counts for both sides, and edges."""
+    q_node, m_node = (np.frombuffer(side["nodes"], "<i8") for side in (asks, has))
+    q, m = (np.frombuffer(side["unit"], np.float64).reshape(len(node), -1) for side, node in ((asks, q_node), (has, m_node)))
+    codes = np.frombuffer(has["codes"], np.uint8).reshape(len(m), -1)
+    lists, error = np.frombuffer(has["lists"], "<i4"), np.frombuffer(has["errors"], "<f8")
+    names, at, size = np.unique(lists, return_inverse=True, return_counts=True)
+    near = []
+    few = np.flatnonzero(size[at] <= CODES)  # a table of all codes would cost more than the members of these lists
+    for begin in range(0, len(few) and len(q), BLOCK):
+        u, v = np.nonzero(q[begin : begin + BLOCK] @ m[few].T >= threshold - 1e-6)
+        near.append((u + begin, few[v]))
+    for list_no in names[size > CODES]:
+        inside = np.flatnonzero(lists == list_no)
+        centre = index.centroids[list_no]
+        radius = np.sqrt(((m[inside] - centre) ** 2).sum(1).max())
+        close = np.flatnonzero(np.sqrt(((q - centre) ** 2).sum(1)) <= link + radius)  # a link's other end can't be farther
+        for begin in range(0, len(close) and len(inside), BLOCK):
+            part = inside[begin : begin + BLOCK]
+            far = table_distances(q[close], int(list_no), codes[part], index)
+            u, v = np.nonzero(far <= (link + error[part] + 1e-3) ** 2)
+            near.append((close[u], part[v]))
+    found = []
+    for a, b in near:
+        for begin in range(0, len(a), 1 << 16):
+            u, v = a[begin : begin + (1 << 16)], b[begin : begin + (1 << 16)]
+            exact = (np.einsum("ij,ij->i", q[u], m[v]) >= threshold) & (q_node[u] != m_node[v])
+            found.append((u[exact], v[exact]))
+    a, b = (np.concatenate([x[i] for x in found]) if found else np.zeros(0, int) for i in (0, 1))
+    if not len(a):
+        return
+    q_copies, m_copies = (np.frombuffer(side["copies"], "<i8") for side in (asks, has))
+    mine = np.bincount(a, m_copies[b], len(q))
+    # edges that connect what is connected here: each vector to the least one it meets, both ways
+    least_q, least_m = np.full(len(q), np.iinfo(np.int64).max), np.full(len(m), np.iinfo(np.int64).max)
+    np.minimum.at(least_q, a, m_node[b])
+    np.minimum.at(least_m, b, q_node[a])
+    yield pd.DataFrame({"node": q_node, "links": mine.astype(np.int64), "other": least_q})[mine > 0]
+    if not same:
+        theirs = np.bincount(b, q_copies[a], len(m))
+        yield pd.DataFrame({"node": m_node, "links": theirs.astype(np.int64), "other": least_m})[theirs > 0]
+    yield _bridges(q_node, m_node, a, b)
 
 
 def _bridges(q_node: np.ndarray, m_node: np.ndarray, a: np.ndarray, b: np.ndarray) -> pd.DataFrame:
@@ -193,8 +226,8 @@ def _bridges(q_node: np.ndarray, m_node: np.ndarray, a: np.ndarray, b: np.ndarra
 def near_vectors(rows: DataFrame, threshold: float = 0.9, probes: int = 8, per_list: int = 200, most_lists: int = 4096) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for each row of ``rows`` (vec_id, embedding).
 
-    Cosine in double precision, links at ``threshold`` or more; found if either vector's
-    list is among the other's ``probes``. Null, zero and empty vectors and those with null
+    Cosine in double precision, links at ``threshold`` or more, all of them: ``probes``, the
+    lists once searched for a vector, has no effect any more. Null, zero and empty vectors and those with null
     or non-finite components link with nothing, nor do vectors of different lengths. Equal
     vectors are one node that counts as often as it occurs, so repeated rows and groups
     of copies link with each other. A null vec_id names no component unless all have none.
@@ -210,7 +243,7 @@ def near_vectors(rows: DataFrame, threshold: float = 0.9, probes: int = 8, per_l
     sizes = {r.d: r.n for r in groups.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n")).collect()}  # lengths in use: few
     met = None
     for d, n in sorted(sizes.items()):
-        part = _search(groups.where(F.size("v") == d), n, threshold, probes, per_list, most_lists)
+        part = _search(groups.where(F.size("v") == d), n, threshold, per_list, most_lists)
         met = part if met is None else met.union(part)
     if met is None:
         out = keyed.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))

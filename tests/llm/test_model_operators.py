@@ -185,6 +185,22 @@ def test_vectors_against_brute_force(spark, frame, monkeypatch):
     assert 0.9 * want <= sum(r.n_links for r in few) <= want  # recall, and no link below the threshold
 
 
+def test_links_between_many_lists_of_a_hot_group(frame):
+    draw = np.random.default_rng(18)
+    hot = draw.normal(size=64)
+    hot /= np.linalg.norm(hot)
+    rows = [hot + draw.normal(size=64) * 0.022 for _ in range(1500)]  # cosine about 0.97
+    rows += [draw.normal(size=64) for _ in range(1500)]
+    for i in range(1500, 3000, 5):
+        rows[i] = rows[i + 1] + draw.normal(size=64) * 0.4  # links at cosine about 0.93
+    v = np.array(rows, np.float32)
+    got = {r.vec_id: r for r in pq.near_vectors(frame([(i, x.tolist()) for i, x in enumerate(v)], VECTORS), per_list=8).collect()}
+    unit = v.astype(float) / np.linalg.norm(v.astype(float), axis=1)[:, None]
+    want = (unit @ unit.T >= 0.9).sum(1) - 1
+    assert want[:1500].min() > 1000 and (want[1500:] > 0).sum() > 400  # 375 lists
+    assert [got[i].n_links for i in range(3000)] == want.tolist()
+
+
 def test_vectors_without_rows(frame):
     assert pq.near_vectors(frame([], VECTORS)).count() == 0
     only = pq.near_vectors(frame([(1, None), (2, [0.0])], VECTORS)).collect()
