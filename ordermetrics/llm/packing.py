@@ -62,11 +62,18 @@ class Encoder:
 
     @staticmethod
     def _lower(text: str) -> str:
-        """The text in lower case, which the tokenizer makes of it anyway, so that fewer words differ.
+        """The text composed and in lower case, in the tokenizer's order, so that fewer words differ.
 
-        Left as it is where its case depends on what stands around, or tells special tokens.
+        Left as it is where its case depends on what stands around, or tells special tokens,
+        or where lower case lets marks compose that the tokenizer would leave apart.
         """
-        return text if "Σ" in text or "İ" in text or "<|" in text else text.lower()
+        if "<|" in text:
+            return text
+        if text.isascii():
+            return text.lower()
+        composed = unicodedata.normalize("NFC", text)
+        low = composed.lower()
+        return text if "Σ" in composed or "İ" in composed or not unicodedata.is_normalized("NFC", low) else low
 
     def _learn(self, words: list[str]) -> None:
         parted, whole = [], set()

@@ -266,6 +266,15 @@ def test_packing_keeps_every_id_once(spark, frame, monkeypatch):
     assert packing.pack(frame([], DOCS), path).count() == 0
 
 
+def test_marks_that_compose_only_in_lower_case_encode_as_the_tokenizer_does():
+    path = vocabulary("word_bpe_49k.json")
+    encoder, whole = packing.Encoder(path), Tokenizer.from_file(path)
+    marked = ["H\u0331", "T\u0308", "J\u030c", "W\u030a", "Y\u030a", "\u0399\u0308\u0301", "I\u0307", "E\u0301", "\u212b", "\u03a3"]
+    texts = [f"x{m}y" for m in marked] + [f"Before {m}ATA, behind." for m in marked]
+    got = [np.frombuffer(raw, "<u4").tolist() for raw in encoder.encode(texts)]
+    assert got == [whole.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 # chat ----------------------------------------------------------------------------------
 
 CHAT = "conv_id long, turn long, role string, text string"
