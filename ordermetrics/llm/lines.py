@@ -34,15 +34,16 @@ def _keyed(lines: DataFrame) -> DataFrame:
         "h", F.xxhash64("m")).withColumn("g", F.hash("m"))
 
 
-def dropped_lines(docs: DataFrame, min_docs: int = 10, alike: float = 0.75) -> DataFrame:
+def dropped_lines(docs: DataFrame, min_docs: int = 10, alike: float = 0.75, long_words: int | None = None) -> DataFrame:
     """(doc_id, t, dropped): for each document with such lines their places, from 0."""
     stored = written(_keyed(_lines(docs).where("m <> ''")).select("doc_id", "t", "at", "h", "g", "leaf", "n"), "lines")
     templates = stored.select("h", "g", "leaf", "n", "doc_id").distinct().groupBy("h", "g", "leaf", "n").agg(
         F.count("doc_id").alias("docs"), F.min("doc_id").alias("first"))
     templates = written(templates, "templates")
+    enough = F.lit(min_docs) if long_words is None else F.when(F.col("n") > long_words, min(2, min_docs)).otherwise(min_docs)
 
     # Leaves where templates that recur too little alone could recur together.
-    rare = templates.where((F.col("docs") < min_docs) & (F.col("n") > DEPTH))
+    rare = templates.where((F.col("docs") < enough) & (F.col("n") > DEPTH))
     leaves = rare.groupBy("leaf", "n").agg(F.sum("docs").alias("all"), F.count("*").alias("kinds")).where((F.col("all") >= min_docs) & (F.col("kinds") > 1))
     open_ = written(rare.join(leaves.select("leaf", "n"), ["leaf", "n"], "left_semi"), "open-templates")
     texts = _keyed(_lines(docs).where("m <> ''")).join(open_.select("h", "g"), ["h", "g"], "left_semi").groupBy("h", "g").agg(F.first("m").alias("m"))
@@ -56,22 +57,23 @@ def dropped_lines(docs: DataFrame, min_docs: int = 10, alike: float = 0.75) -> D
     general = stored.join(members, ["h", "g", "leaf", "n"], "left_semi").select("leaf", "n", "doc_id").distinct().groupBy("leaf", "n").agg(
         F.count("doc_id").alias("docs"), F.min("doc_id").alias("first")).where(F.col("docs") >= min_docs)
 
-    alone = templates.where(F.col("docs") >= min_docs).select("h", "g", "leaf", "n", "first")
+    alone = templates.where(F.col("docs") >= enough).select("h", "g", "leaf", "n", "first")
     bad = written(alone.union(members.join(general, ["leaf", "n"]).select("h", "g", "leaf", "n", "first")), "recurring")
     hit = stored.join(bad, ["h", "g", "leaf", "n"]).where(~F.col("doc_id").eqNullSafe(F.col("first")))
     return hit.groupBy("doc_id", "t").agg(F.collect_set("at").alias("dropped"))
 
 
-def drop_recurring_lines(docs: DataFrame, min_docs: int = 10, alike: float = 0.75) -> DataFrame:
+def drop_recurring_lines(docs: DataFrame, min_docs: int = 10, alike: float = 0.75, long_words: int | None = None) -> DataFrame:
     """``docs`` with the recurring lines taken out of ``text``; adds n_lines and n_dropped.
 
     Blank lines are kept. A null text has no lines and stays null; a text that loses
     every line becomes empty. A null doc_id counts as no document, so its lines never
-    are the ones kept. Repeated rows are one document and lose the same lines. Other
-    columns pass through, but for n_lines and n_dropped, which are replaced.
+    are the ones kept. Repeated rows are one document and lose the same lines. Lines of
+    more than ``long_words`` words, which don't repeat by chance, go from two documents on.
+    Other columns pass through, but for n_lines and n_dropped, which are replaced.
     """
     docs = docs.drop("n_lines", "n_dropped")
-    bad = dropped_lines(docs, min_docs, alike)
+    bad = dropped_lines(docs, min_docs, alike, long_words)
     out = docs.join(bad, docs["doc_id"].eqNullSafe(bad["doc_id"]) & (F.xxhash64(docs["text"]) == bad["t"]), "left")
     parts, gone = F.split(docs["text"], "\n"), bad["dropped"]
     kept = F.array_join(F.filter(parts, lambda x, i: ~F.array_contains(gone, i)), "\n")

@@ -48,6 +48,14 @@ def test_stages_take_effect_and_keep_clean_rows(spark):
     assert near.columns == COLUMNS and {r.doc_id for r in near.collect()} == {0, 10, 11, 12, 20, 21, 22}
 
 
+def test_long_lines_go_from_two_documents_on(spark):
+    passage = " ".join(f"{a}{b}" for a in "abcdefgh" for b in "klmnopqr")
+    docs = spark.createDataFrame([(i, f"Own start {c}\n{passage}\nshared short line", "en", "s", 1) for i, c in enumerate("xyz")],
+        "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r.doc_id: r.text for r in corpus_pipeline.recurring_lines(spark, docs, FOLDER).collect()}
+    assert [passage in got[i] for i in range(3)] == [True, False, False] and all("shared short line" in t for t in got.values())
+
+
 def test_stages_on_an_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
     for _, stage in corpus_pipeline.STAGES:
