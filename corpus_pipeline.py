@@ -21,7 +21,7 @@ def language(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
 
 def recurring_lines(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """Recurring lines go from the texts; a document that loses all it had goes too."""
-    cleaned = lines.drop_recurring_lines(docs, long_words=50)
+    cleaned = lines.drop_recurring_lines(docs, long_words=50, plain_numbers=True)
     left = cleaned.where((F.col("n_dropped") == 0) | (F.trim(F.regexp_replace("text", "[\n\t\r]", " ")) != ""))
     return left.withColumn("n_chars", F.when(F.col("n_dropped") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*COLUMNS)
 

@@ -19,24 +19,27 @@ from ordermetrics.session import written
 DEPTH = 3
 
 
-def _lines(docs: DataFrame) -> DataFrame:
-    """(doc_id, t, at, m): each line of a text, masked; blank lines have the empty ``m``."""
+def _lines(docs: DataFrame, plain_numbers: bool = False) -> DataFrame:
+    """(doc_id, t, at, m, exact): each line of a text, masked unless ``exact``; blank lines have the empty ``m``."""
     lines = docs.select("doc_id", text_key().alias("t"), F.posexplode(F.split("text", "\n")).alias("at", "line"))
     plain = F.trim(F.regexp_replace("line", "[ \t\r]+", " "))
     lines = lines.select("doc_id", "t", "at", plain.alias("m"))
-    return lines.withColumn("m", F.when(F.col("m").rlike("[0-9]"), F.regexp_replace("m", "[^ 0-9]*+[0-9][^ ]*", "<*>")).otherwise(F.col("m")))
+    digits, masked = F.col("m").rlike("[0-9]"), F.regexp_replace("m", "[^ 0-9]*+[0-9][^ ]*", "<*>")
+    tokens = F.split(masked, " ")
+    fields = digits & (2 * F.size(F.filter(tokens, lambda x: x.rlike(r"\p{L}"))) < F.size(tokens)) if plain_numbers else F.lit(False)
+    return lines.withColumn("exact", fields).withColumn("m", F.when(digits & ~F.col("exact"), masked).otherwise(F.col("m")))
 
 
 def _keyed(lines: DataFrame) -> DataFrame:
     """Adds the template key (h, g), the leaf and the number of tokens."""
     tokens = F.length("m") - F.length(F.translate("m", " ", "")) + 1
-    return lines.withColumn("n", tokens).withColumn("leaf", F.xxhash64("n", F.substring_index("m", " ", DEPTH))).withColumn(
+    return lines.withColumn("n", tokens).withColumn("leaf", F.xxhash64("n", F.when(F.col("exact"), F.col("m")).otherwise(F.substring_index("m", " ", DEPTH)))).withColumn(
         "h", F.xxhash64("m")).withColumn("g", F.hash("m"))
 
 
-def dropped_lines(docs: DataFrame, min_docs: int = 10, alike: float = 0.75, long_words: int | None = None) -> DataFrame:
+def dropped_lines(docs: DataFrame, min_docs: int = 10, alike: float = 0.75, long_words: int | None = None, plain_numbers: bool = False) -> DataFrame:
     """(doc_id, t, dropped): for each document with such lines their places, from 0."""
-    stored = written(_keyed(_lines(docs).where("m <> ''")).select("doc_id", "t", "at", "h", "g", "leaf", "n"), "lines")
+    stored = written(_keyed(_lines(docs, plain_numbers).where("m <> ''")).select("doc_id", "t", "at", "h", "g", "leaf", "n"), "lines")
     templates = stored.select("h", "g", "leaf", "n", "doc_id").distinct().groupBy("h", "g", "leaf", "n").agg(
         F.count("doc_id").alias("docs"), F.min("doc_id").alias("first"))
     templates = written(templates, "templates")
@@ -46,7 +49,7 @@ def dropped_lines(docs: DataFrame, min_docs: int = 10, alike: float = 0.75, long
     rare = templates.where((F.col("docs") < enough) & (F.col("n") > DEPTH))
     leaves = rare.groupBy("leaf", "n").agg(F.sum("docs").alias("all"), F.count("*").alias("kinds")).where((F.col("all") >= min_docs) & (F.col("kinds") > 1))
     open_ = written(rare.join(leaves.select("leaf", "n"), ["leaf", "n"], "left_semi"), "open-templates")
-    texts = _keyed(_lines(docs).where("m <> ''")).join(open_.select("h", "g"), ["h", "g"], "left_semi").groupBy("h", "g").agg(F.first("m").alias("m"))
+    texts = _keyed(_lines(docs, plain_numbers).where("m <> ''")).join(open_.select("h", "g"), ["h", "g"], "left_semi").groupBy("h", "g").agg(F.first("m").alias("m"))
     tokens = written(texts.join(open_, ["h", "g"]).select("leaf", "n", "h", "g", "docs", F.posexplode(F.split("m", " ")).alias("at", "token")), "open-tokens")
     votes = tokens.groupBy("leaf", "n", "at", "token").agg(F.sum("docs").alias("votes"))
     per_place = Window.partitionBy("leaf", "n", "at")
@@ -63,17 +66,19 @@ def dropped_lines(docs: DataFrame, min_docs: int = 10, alike: float = 0.75, long
     return hit.groupBy("doc_id", "t").agg(F.collect_set("at").alias("dropped"))
 
 
-def drop_recurring_lines(docs: DataFrame, min_docs: int = 10, alike: float = 0.75, long_words: int | None = None) -> DataFrame:
+def drop_recurring_lines(docs: DataFrame, min_docs: int = 10, alike: float = 0.75, long_words: int | None = None, plain_numbers: bool = False) -> DataFrame:
     """``docs`` with the recurring lines taken out of ``text``; adds n_lines and n_dropped.
 
     Blank lines are kept. A null text has no lines and stays null; a text that loses
     every line becomes empty. A null doc_id counts as no document, so its lines never
     are the ones kept. Repeated rows are one document and lose the same lines. Lines of
     more than ``long_words`` words, which don't repeat by chance, go from two documents on.
+    With ``plain_numbers``, a line with digits of whose tokens fewer than half are words
+    without any recurs only as it stands.
     Other columns pass through, but for n_lines and n_dropped, which are replaced.
     """
     docs = docs.drop("n_lines", "n_dropped")
-    bad = dropped_lines(docs, min_docs, alike, long_words)
+    bad = dropped_lines(docs, min_docs, alike, long_words, plain_numbers)
     out = docs.join(bad, docs["doc_id"].eqNullSafe(bad["doc_id"]) & (F.xxhash64(docs["text"]) == bad["t"]), "left")
     parts, gone = F.split(docs["text"], "\n"), bad["dropped"]
     kept = F.array_join(F.filter(parts, lambda x, i: ~F.array_contains(gone, i)), "\n")

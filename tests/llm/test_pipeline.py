@@ -56,6 +56,13 @@ def test_long_lines_go_from_two_documents_on(spark):
     assert [passage in got[i] for i in range(3)] == [True, False, False] and all("shared short line" in t for t in got.values())
 
 
+def test_rows_of_numbers_are_not_one_template(spark):
+    docs = spark.createDataFrame([(i, f"{i}2 45 33\n1 2 3 {i}\n2024-01-{i + 10}\n7 7 7\nVisited {i} times", "en", "s", 1) for i in range(12)],
+        "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r.doc_id: r.text.split("\n") for r in corpus_pipeline.recurring_lines(spark, docs, FOLDER).collect()}
+    assert len(got[0]) == 5 and all(got[i] == [f"{i}2 45 33", f"1 2 3 {i}", f"2024-01-{i + 10}"] for i in range(1, 12))
+
+
 def test_stages_on_an_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
     for _, stage in corpus_pipeline.STAGES:
