@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ordermetrics.llm import chat, decontaminate, langid, lines, packing, pq, setsketch, shards, toxicity, warc
+from ordermetrics.llm import (
+    chat, cleaning, decontaminate, langid, lines, packing, pq, setsketch, shards, toxicity, variants, warc, whitening)
 from ordermetrics.llm.common import held_out, table, utf8, vocabulary
 from ordermetrics.session import written
 
@@ -63,7 +64,24 @@ def op10_warc(spark: SparkSession, folder: str) -> DataFrame:
     return warc.read_records(manifest).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op11_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    found = cleaning.cleaned(table(spark, folder, "documents"))
+    return found.select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
+        "n_removed", "lost_chars", F.sha2(utf8("text"), 256).alias("text_sha256"))
+
+
+def op12_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    return whitening.whitened(table(spark, folder, "embeddings"), components=8)
+
+
+def op13_spelling_variants(spark: SparkSession, folder: str) -> DataFrame:
+    words = variants.word_counts(table(spark, folder, "documents"), min_length=5, min_count=3, damage_every=97)
+    return variants.grouped(words, ratio=2).select("word", "form", "root", "n", "n_near", "form_n")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_embedding_dedup, op2_decontamination, op3_line_dedup, op4_minhash_dedup, op5_chat_format,
-        op6_packing, op7_language_id, op8_toxicity, op9_sharding, op10_warc)}
+        op6_packing, op7_language_id, op8_toxicity, op9_sharding, op10_warc, op11_quality_rules,
+        op12_whitening, op13_spelling_variants)}

@@ -112,4 +112,44 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
 FROM counted GROUP BY conv_id
 """
 
-ORACLE = {"op1_embedding_dedup": OP1, "op4_minhash_dedup": OP4, "op5_chat_format": OP5, "op2_decontamination": OP2, "op3_line_dedup": OP3, "op10_warc": OP10}
+OP11 = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
+lines AS (
+  SELECT r, i, line, w, array_to_string(w, '') AS run
+  FROM (SELECT r, i, line, regexp_extract_all(line, '[^\x20\x09-\x0D]+') AS w
+        FROM (SELECT r, i, part[i] AS line
+              FROM (SELECT r, part, unnest(generate_series(1, len(part))) AS i FROM (SELECT r, string_split(text, chr(10)) AS part FROM d))))),
+facts AS (
+  SELECT *, length(run) AS chars, len(list_filter(w, lambda x: regexp_full_match(x, '[|>»•·/\\<–—:\-]+'))) AS separators,
+    length(run) - length(regexp_replace(run, '[#*$%&|<>]', '', 'g')) AS symbols,
+    regexp_matches(translate(array_to_string(w, ' '), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      'all rights reserved|alle rechte vorbehalten|tous droits réservés|todos los derechos reservados|terms of use|terms of service|privacy policy|cookie policy|uses cookies|enable javascript|lorem ipsum|licensed under|released under|copyright ©|©') AS notice,
+    i = max(CASE WHEN len(w) > 0 THEN i END) OVER (PARTITION BY r) AS last
+  FROM lines),
+ruled AS (
+  SELECT *, len(w) > 0 AND ((separators > 0 AND 4 * separators >= len(w)) OR 10 * symbols > chars OR (len(w) <= 30 AND notice)
+    OR (NOT last AND len(w) >= 5 AND NOT contains('.!?…:;"''”’»)]}。！？；：」』', right(w[len(w)], 1)))) AS fails
+  FROM facts),
+per_text AS (
+  SELECT r, sum(chars) AS word_chars, sum(symbols) AS n_symbols, count(*) FILTER (len(w) > 0) - count(DISTINCT line) FILTER (len(w) > 0) AS n_dup_lines,
+    count(*) FILTER (fails) AS n_removed, coalesce(sum(chars) FILTER (fails), 0) AS lost_chars,
+    coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT fails), '') AS cleaned
+  FROM ruled GROUP BY r),
+words AS (SELECT r, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w FROM d),
+windows AS (SELECT r, p, w[p:p + 2] AS win FROM (SELECT r, w, unnest(generate_series(1, len(w) - 2)) AS p FROM words WHERE len(w) > 2)),
+again AS (SELECT r, unnest(list(p)) AS p FROM windows GROUP BY r, win HAVING count(*) > 1),
+repeated AS (SELECT r, count(DISTINCT q) AS n FROM (SELECT r, unnest([p, p + 1, p + 2]) AS q FROM again) GROUP BY r),
+base AS (
+  SELECT d.doc_id, len(w) AS n_words, word_chars, n_symbols, n_dup_lines, coalesce(repeated.n, 0) AS n_repeat_words, n_removed, lost_chars, cleaned,
+    len(w) < 50 OR 100 * coalesce(repeated.n, 0) > 50 * len(w) AS base_failed
+  FROM d JOIN per_text USING (r) JOIN words USING (r) LEFT JOIN repeated USING (r))
+SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols,
+  CAST(n_dup_lines AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words, base_failed,
+  NOT base_failed AND 100 * lost_chars <= 50 * word_chars AS kept, CAST(n_removed AS BIGINT) AS n_removed,
+  CAST(lost_chars AS BIGINT) AS lost_chars, sha256(cleaned) AS text_sha256
+FROM base
+"""
+
+ORACLE = {
+    "op1_embedding_dedup": OP1, "op4_minhash_dedup": OP4, "op5_chat_format": OP5, "op2_decontamination": OP2, "op3_line_dedup": OP3,
+    "op10_warc": OP10, "op11_quality_rules": OP11}
