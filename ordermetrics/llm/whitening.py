@@ -106,12 +106,15 @@ def _without(x: np.ndarray, basis: np.ndarray) -> np.ndarray:
     return x
 
 
-def bidiagonal(product: Callable[[np.ndarray], np.ndarray], start: np.ndarray, locked: np.ndarray, wanted: int, floor: float = 0.0, tiny: float = 1e-12) -> tuple[np.ndarray, np.ndarray, bool]:
+Product = Callable[[np.ndarray], tuple[np.ndarray, float]]
+
+
+def bidiagonal(product: Product, start: np.ndarray, locked: np.ndarray, wanted: int, nothing: float, floor: float = 0.0) -> tuple[np.ndarray, np.ndarray, bool]:
     """Singular values and right vectors of X beside the ``locked`` ones: (values, vectors, whole).
 
-    ``product(w)`` returns X'X w. Ends when the ``wanted`` largest have converged, when all
+    ``product(w)`` returns X'u and the squared length of u for u = X w. Ends when the ``wanted`` largest have converged, when all
     values are surely below ``floor``, or with ``whole`` when the vectors reached span an
-    invariant space; then all of them are returned.
+    invariant space; then all of them are returned. Lengths up to ``nothing`` are rounding errors.
     """
     dims = len(start)
     start = _without(start, locked)
@@ -132,8 +135,7 @@ def bidiagonal(product: Callable[[np.ndarray], np.ndarray], start: np.ndarray, l
     while True:
         w = right[-1] - (betas[-1] * short[-1] if short else 0.0)
         for _ in range(3):
-            g = product(w)
-            size = float(w @ g)
+            g, size = product(w)
             if not short or size <= 0:
                 break
             h = np.array([b @ w for b in back])
@@ -141,8 +143,7 @@ def bidiagonal(product: Callable[[np.ndarray], np.ndarray], start: np.ndarray, l
             if h @ h <= 1e-4 * size:
                 size -= float(h @ h)
                 break
-        top = max(alphas, default=0.0)
-        if size <= 0 or np.sqrt(size) <= tiny * top or (not alphas and np.sqrt(size) <= tiny * max(floor, 1.0)):
+        if size <= nothing * nothing:
             if not alphas:
                 return np.zeros(0), np.zeros((dims, 0)), True
             _, values, vectors = small(last=True)
@@ -154,7 +155,7 @@ def bidiagonal(product: Callable[[np.ndarray], np.ndarray], start: np.ndarray, l
         r = _without(_without(back[-1] - alpha * right[-1], np.column_stack(right)), locked)
         betas.append(float(np.linalg.norm(r)))
         left, values, vectors = small()
-        if len(alphas) + locked.shape[1] == dims or betas[-1] <= tiny * values[0]:
+        if len(alphas) + locked.shape[1] == dims or betas[-1] <= nothing:
             return values, vectors, True
         misses = betas[-1] * np.abs(left[-1])
         if floor and len(alphas) > 2 and values[0] + 10 * misses[0] < floor:
@@ -166,8 +167,8 @@ def bidiagonal(product: Callable[[np.ndarray], np.ndarray], start: np.ndarray, l
         right.append(r / betas[-1])
 
 
-def leading(product: Callable[[np.ndarray], np.ndarray], dims: int, wanted: int) -> tuple[np.ndarray, np.ndarray]:
-    """The ``wanted`` largest singular values of X and their right vectors, none for a value of zero.
+def leading(product: Product, dims: int, wanted: int, spread: float) -> tuple[np.ndarray, np.ndarray]:
+    """The ``wanted`` largest singular values of X, whose squares sum to ``spread``, and their right vectors; none for a value of zero.
 
     One start vector meets one vector of each repeated value only. So once values have
     converged, a further sequence runs beside their vectors until it is sure that nothing
@@ -177,7 +178,7 @@ def leading(product: Callable[[np.ndarray], np.ndarray], dims: int, wanted: int)
     values, vectors = np.zeros(0), np.zeros((dims, 0))
     while vectors.shape[1] < dims:
         floor = float(np.sort(values)[-wanted]) if len(values) >= wanted else 0.0
-        found, across, whole = bidiagonal(product, random.standard_normal(dims), vectors, min(wanted, dims - vectors.shape[1]), floor)
+        found, across, whole = bidiagonal(product, random.standard_normal(dims), vectors, min(wanted, dims - vectors.shape[1]), 1e-12 * np.sqrt(spread), floor)
         if not len(found) or (not whole and found[0] < floor):
             break
         values, vectors = np.concatenate([values, found]), np.column_stack([vectors, across])
@@ -221,17 +222,19 @@ def whitened(vectors: DataFrame, components: int = 8, column: str = "embedding")
     def centred(whole: np.ndarray) -> np.ndarray:
         return (whole - base).astype(np.float64) - rest
 
-    def product(w: np.ndarray) -> np.ndarray:
+    def product(w: np.ndarray) -> tuple[np.ndarray, float]:
         def part(whole: np.ndarray) -> np.ndarray:
             x = centred(whole)
-            return x.T @ (x @ w)
+            u = x @ w
+            return np.append(x.T @ u, u @ u)
 
-        return _summed(blocks, dims, dims, part)
+        found = _summed(blocks, dims, dims + 1, part)
+        return found[:-1], float(found[-1])
 
     spread = float(_summed(blocks, dims, 1, lambda whole: np.array([np.square(centred(whole)).sum()]))[0])
     if spread <= 0:
         return nothing
-    values, across = leading(product, dims, components)
+    values, across = leading(product, dims, components, spread)
     k = len(values)
     scaled = across * (np.sqrt(n) / values)
 

@@ -106,7 +106,7 @@ def check_whitening(spark, rows, k=8, vectors=True):
     df = spark.createDataFrame([(i, [float(c) for c in r]) for i, r in enumerate(rows)], "vec_id long, embedding array<double>").repartition(3)
     out = whitening.whitened(df, components=k).toPandas()
     deviation, z, e, q, trace = reference(rows, k)
-    k = int((e > 1e-16 * e[0]).sum()) if not vectors else len(e)
+    k = int((e > 1e-15 * e[0]).sum()) if not vectors else len(e)
     assert len(out) == len(rows) * out["component"].max() and out["component"].max() == k
     assert out["n"].eq(len(rows)).all() and (out["identity_error"] < 1e-8).all()
     table = out.pivot(index="vec_id", columns="component", values="whitened").to_numpy()
