@@ -61,21 +61,7 @@ def m05_pipeline_cutoffs(spark: SparkSession, folder: str) -> DataFrame:
 def m06_monthly_counts(spark: SparkSession, folder: str) -> DataFrame:
     """The five monthly count series, stacked."""
     t = Tables(spark, folder)
-    orders, samples, results = _lab_orders(t), t.lab_samples(), t.results().drop("part_id")
-    failures = lab_ops.first_success(orders, samples, results, lab_ops.V.PROCESS_FAILURES)
-    released = t.reports().where("report_status = 'RELEASED'")
-    series = {
-        "samples": lab_ops.monthly_count(samples, "sample_received", "sample_id", FIRST_MONTH),
-        "processed": lab_ops.monthly_count(lab_ops.first_success(orders, samples, results), "result_created_at", "order_id", FIRST_MONTH),
-        "failures": lab_ops.monthly_count(failures, "result_created_at", "order_id", FIRST_MONTH),
-        "released": lab_ops.monthly_count(released, "report_created_at", "order_id", FIRST_MONTH),
-        "corrected": lab_ops.correction_count(t.reports(), results, FIRST_MONTH),
-    }
-    stacked = None
-    for name, rows in series.items():
-        part = rows.withColumn("series", F.lit(name))
-        stacked = part if stacked is None else stacked.unionByName(part)
-    return stacked
+    return lab_ops.monthly_counts(_lab_orders(t), t.lab_samples(), t.results(), t.reports(), FIRST_MONTH)
 
 
 def m07_return_rate(spark: SparkSession, folder: str) -> DataFrame:
@@ -96,17 +82,9 @@ def m07_correction_rate(spark: SparkSession, folder: str) -> DataFrame:
 def m08_mean_days(spark: SparkSession, folder: str) -> DataFrame:
     """The three mean-duration series, stacked."""
     t = Tables(spark, folder)
-    orders, kits, samples = _lab_orders(t), _lab_kits(t), t.lab_samples()
-    series = {
-        "accession": lab_ops.accession_timeline(orders, kits, samples),
-        "processing": lab_ops.process_turnaround(orders, samples, t.results()),
-        "release": lab_ops.release_timeline(orders, kits, samples, t.reports().drop("order_id")),
-    }
-    stacked = None
-    for name, rows in series.items():
-        part = rows.withColumn("series", F.lit(name))
-        stacked = part if stacked is None else stacked.unionByName(part)
-    return stacked
+    orders, samples = _lab_orders(t), t.lab_samples()
+    shipping = lab_ops.shipping_timelines(orders, _lab_kits(t), samples, t.reports().drop("order_id"))
+    return shipping.unionByName(lab_ops.process_turnaround(orders, samples, t.results()).withColumn("series", F.lit("processing")))
 
 
 def _blocked(t: Tables) -> DataFrame:

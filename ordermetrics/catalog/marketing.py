@@ -11,7 +11,7 @@ from ordermetrics.catalog.checks import half_even_money, ratio, with_views
 from ordermetrics.catalog.views import AS_OF, EVENTS_AS_OF, TEST_NAMES, Tables
 from ordermetrics.functions import classify as C
 from ordermetrics.operators.distinct import distinct_domain
-from ordermetrics.operators.joins import aligned, join_on, with_first_child
+from ordermetrics.operators.joins import aligned_series, join_on, with_first_child
 from ordermetrics.plans import marketing
 
 # The order table's clock lies before the tracking start, so it is moved.
@@ -150,11 +150,12 @@ def r03_merged_spend(spark: SparkSession, folder: str) -> DataFrame:
 def j08_aligned_series(spark: SparkSession, folder: str) -> DataFrame:
     """Three event series side by side on their days."""
     t = Tables(spark, folder)
-    parts = [
-        t.raw("events").where(F.col("event_type") == kind).groupBy(F.date_trunc("day", "ts").cast("timestamp_ntz").alias("day")).agg(F.count(F.lit(1)).alias(kind)).where(f"day(day) % {n} <> 0")
+    at = F.date_trunc("day", "ts").cast("timestamp_ntz")
+    sources = {
+        kind: (t.raw("events").where((F.col("event_type") == kind) & (F.day(at) % n != 0)), F.lit(1))
         for n, kind in enumerate(("click", "view", "purchase"), 2)
-    ]
-    return aligned(parts, ["day"])
+    }
+    return aligned_series(sources, {"day": at})
 
 
 def a14_source_domain(spark: SparkSession, folder: str) -> DataFrame:

@@ -10,10 +10,11 @@ from ordermetrics.catalog.views import TEST_NAMES, Tables
 from ordermetrics.functions import classify as C
 from ordermetrics.functions import predicates as P
 from ordermetrics.functions import scalars as S
-from ordermetrics.functions.timeframe import day, days_calendar, days_floor
+from ordermetrics.functions.timeframe import days_calendar, days_floor
 from ordermetrics.operators import joins, rank
 from ordermetrics.operators.distinct import distinct_count
 from ordermetrics.operators.metadata import array_values, joined_values, phrase_flags
+from ordermetrics.operators.prefix import numbered
 from ordermetrics.operators.trend import running_share, running_total
 
 A, B = "1997-03-01", "1997-09-30"
@@ -77,7 +78,7 @@ def w2_first_child(spark: SparkSession, folder: str) -> DataFrame:
 def w4_numbered(spark: SparkSession, folder: str) -> DataFrame:
     """Kit numbers within each customer, exact however many orders one has."""
     orders = Tables(spark, folder).orders().select("owner_id", "order_id", "created_at")
-    return rank.numbered(orders, ["owner_id"], [F.col("created_at"), F.col("order_id")], day("created_at"), "kit_number")
+    return numbered(orders, ["owner_id"], ["created_at", "order_id"], "kit_number")
 
 
 def w5_running(spark: SparkSession, folder: str) -> DataFrame:

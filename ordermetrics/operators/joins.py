@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ordermetrics.operators.rank import first_per_key, latest_per_key
+from ordermetrics.session import written
 
 
 def join_on(left: DataFrame, right: DataFrame, keys: Mapping[str, str], how: str = "left", null_safe: bool = False,
@@ -80,20 +81,51 @@ def unique_values(df: DataFrame, key: str, value: str) -> DataFrame:
 def rates_by_row(df: DataFrame, codes: Sequence[str], units: Sequence[str], rate_card: DataFrame, code: str, rate: str) -> DataFrame:
     """Rows with ``rate_total`` (summed rate x units) and ``code_count``.
 
-    Each code column is looked up in the card by a left join, which adaptive execution
-    turns into a broadcast when the card's measured size allows it. Rows need no
-    id; a code that stands twice in the card raises.
+    Rows are stored once with their place (partition, number), so each keeps it; their codes become (place, code, units), the units of
+    a code that a row has several times summed before anything is shuffled. These narrow rows meet the card in one join, on which a
+    code with a third of all rows is split by adaptive execution, and their sums meet the stored rows by place. Rows need no id; a
+    code that stands twice in the card raises. Give ``df`` without columns that aren't needed later.
     """
-    out, total, count = df, F.lit(0), F.lit(0)
-    card = unique_values(rate_card, code, rate)
-    for i, (c, u) in enumerate(zip(codes, units, strict=True)):
-        out = out.join(card.select(F.col(code).alias(f"__code{i}"), F.col(rate).alias(f"__rate{i}")), F.col(c) == F.col(f"__code{i}"), "left")
-        total = total + F.coalesce(F.col(f"__rate{i}"), F.lit(0)) * F.coalesce(F.col(u), F.lit(0))
-        count = count + F.col(c).isNotNull().cast("int")
-    helpers = [f"__{kind}{i}" for kind in ("code", "rate") for i in range(len(codes))]
-    return out.withColumns({"rate_total": F.when(count > 0, total), "code_count": F.when(count > 0, count)}).drop(*helpers)
+    number = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    rows = written(df.withColumns({"__part": F.spark_partition_id(), "__at": number}), "coded")
+    pairs = F.array(*[F.struct(F.col(c).alias("code"), F.coalesce(F.col(u), F.lit(0)).alias("units")) for c, u in zip(codes, units, strict=True)])
+    held = F.filter(pairs, lambda p: p["code"].isNotNull())
+    kinds = F.array_distinct(F.transform(held, lambda p: p["code"]))
+    kind = rows.select(pairs[0]["units"].alias("u")).schema["u"].dataType
+    zero = F.lit(0).cast(kind)
+    once = F.transform(kinds, lambda k: F.struct(
+        k.alias("code"), F.aggregate(F.filter(held, lambda p: p["code"] == k), zero, lambda total, p: (total + p["units"]).cast(kind)).alias("units")))
+    used = rows.select("__part", "__at", F.explode(once).alias("__p")).select("__part", "__at", F.col("__p.code").alias("__code"), F.col("__p.units").alias("__units"))
+    card = unique_values(rate_card, code, rate).select(F.col(code).alias("__code"), F.col(rate).alias("__rate"))
+    totals = used.join(card, "__code").groupBy("__part", "__at").agg(F.sum(F.col("__rate") * F.col("__units")).alias("__total"))
+    count = reduce(lambda a, b: a + b, [F.col(c).isNotNull().cast("int") for c in codes])
+    total = F.coalesce("__total", F.lit(0))
+    return rows.join(totals, ["__part", "__at"], "left").withColumns(
+        {"rate_total": F.when(count > 0, total), "code_count": F.when(count > 0, count)}).drop("__part", "__at", "__total")
 
 
 def aligned(frames: Sequence[DataFrame], on: Sequence[str]) -> DataFrame:
-    """Outer concatenation of several series on their shared index columns."""
-    return reduce(lambda a, b: a.join(b, list(on), "full"), frames)
+    """Outer concatenation of several series on their shared index columns, each index value once.
+
+    The series are stacked and meet in one aggregation instead of a chain of full joins, which can't be split on a hot
+    value. Null index values are one value. A series that holds an index value twice raises.
+    """
+    marked = [f.withColumn(f"__in{i}", F.lit(1)) for i, f in enumerate(frames)]
+    stacked = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), marked)
+    names = [c for f in frames for c in f.columns if c not in on]
+    once = stacked.groupBy(*on).agg(*[F.first(c, ignorenulls=True).alias(c) for c in names], *[F.sum(f"__in{i}").alias(f"__in{i}") for i in range(len(frames))])
+    most = F.greatest(*[F.col(f"__in{i}") for i in range(len(frames))]) if len(frames) > 1 else F.col("__in0")
+    twice = F.raise_error(F.lit(f"a series has a value of {list(on)} more than once")).cast("boolean")
+    return once.where(F.when(most > 1, twice).otherwise(F.lit(True))).select(*on, *names)
+
+
+def aligned_series(sources: Mapping[str, tuple[DataFrame, Column]], on: Mapping[str, Column], measure=F.sum) -> DataFrame:
+    """Series of raw rows side by side on their index: ``sources`` maps a column to (rows, value), ``on`` an index column to its expression.
+
+    All rows are stacked as (index, series number, value) and aggregated together, so there is one exchange whatever the number
+    of series, and a hot index value shrinks map-side. ``measure`` sums by default; a series is null where it has no row.
+    """
+    parts = [rows.select(*[c.alias(n) for n, c in on.items()], F.lit(i).cast("byte").alias("__series"), value.alias("__value"))
+             for i, (rows, value) in enumerate(sources.values())]
+    stacked = reduce(lambda a, b: a.unionByName(b), parts)
+    return stacked.groupBy(*on).agg(*[measure(F.when(F.col("__series") == i, F.col("__value"))).alias(n) for i, n in enumerate(sources)])

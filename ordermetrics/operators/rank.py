@@ -7,8 +7,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ordermetrics.operators.prefix import running_sum
-
 _RANK = "__rank"
 
 
@@ -34,15 +32,6 @@ def last_loaded_per_key(df: DataFrame, keys: Sequence[str], load_order: str) ->
     return _rank_one(df, keys, [F.col(load_order).desc_nulls_last()])
 
 
-def numbered(df: DataFrame, keys: Sequence[str], order: Sequence[Column], chunk: Column, name: str) -> DataFrame:
-    """Sequence number within ``keys`` along a total order, for keys of any size.
-
-    See :func:`~ordermetrics.operators.prefix.running_sum` for ``chunk``.
-    """
-    counted = running_sum(df, keys, order, chunk, F.lit(1), name)
-    return counted.withColumn(name, F.col(name).cast("long"))
-
-
 def sorted_by(df: DataFrame, *columns: str, ascending: bool | Sequence[bool] = True) -> DataFrame:
     """Sort chosen by the caller; missing values last in either direction."""
     ways = [ascending] * len(columns) if isinstance(ascending, bool) else list(ascending)

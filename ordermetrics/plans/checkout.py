@@ -24,8 +24,7 @@ from ordermetrics.functions.vocabulary import Vocabulary
 from ordermetrics.operators.calendar import fill_periods
 from ordermetrics.operators.joins import join_on
 from ordermetrics.operators.metadata import condition_flags
-from ordermetrics.operators.prefix import running_sum
-from ordermetrics.operators.rank import numbered
+from ordermetrics.operators.prefix import numbered, running_sum
 from ordermetrics.operators.reshape import long_to_wide
 
 DATE = "cart_created_date"
@@ -135,16 +134,8 @@ def program_orders(carts: DataFrame, orders: DataFrame, order_types: DataFrame,
     joined = cart.join(received.drop(*overlapping), "use_for_join", "left").withColumn(
         "__single", F.when(F.col("prescription_id").isNull(), F.coalesce("order_id", "cart_id"))
     )
-    # delivery day, and behind all of them the creation day of undelivered kits; each null behind what has a day
-    started = F.when(F.col("delivered_date").isNull(), F.col("created_at")).otherwise(F.col("delivered_date"))
-    part = F.struct(
-        F.col("delivered_date").isNull().alias("open"), started.isNull().alias("undated"),
-        F.coalesce(F.unix_date(F.to_date(started)), F.lit(0)).alias("day"))
     counted = numbered(
-        joined, ["prescription_id", "__single"],
-        [F.col(c).asc_nulls_last() for c in ("delivered_date", "created_at", "order_id", "cart_id", "ship_date")],
-        part, "__number",
-    )
+        joined, ["prescription_id", "__single"], ["delivered_date", "created_at", "order_id", "cart_id", "ship_date"], "__number")
     kit_number = first_match(
         [
             (F.col("prescription_id").isNull() & F.col("order_id").isNull(), None),
@@ -217,10 +208,10 @@ def cash_pay(carts: DataFrame, orders: DataFrame) -> tuple[DataFrame, DataFrame]
 def cumulative_ids(df: DataFrame, ident: str, ts: str = "created_at", groups: Sequence[str] = ()) -> DataFrame:
     """Running total of the distinct ids of each timestamp, per group or overall.
 
-    Timestamps may be as many as rows, so the running sum is built by day.
+    Timestamps may be as many as rows, so the sum runs over ranges of them.
     """
     moments = df.where(F.col(ts).isNotNull()).groupBy(*groups, ts).agg(F.count_distinct(ident).alias("n"))
-    return running_sum(moments, list(groups), [F.col(ts)], day(ts), F.col("n"), "cumulative")
+    return running_sum(moments, list(groups), [ts], "n", "cumulative")
 
 
 def id_counts(df: DataFrame, group: str, idents: Sequence[str]) -> DataFrame:

@@ -93,7 +93,8 @@ def payer_differences(claims: DataFrame, rate_card: DataFrame, start, end, top:
     ranged = claims.where(in_days("issue_date", start, end))
     payers = top_groups(ranged.where(F.col("payer_name").isNotNull()), "payer_name", F.count("id"), top)
     chosen = semi_top(ranged, payers, "payer_name")
-    joined = rates_by_row(chosen, codes, units, rate_card, code, rate)
+    needed = chosen.select("id", "payer_name", "payment", *codes, *units)
+    joined = rates_by_row(needed, codes, units, rate_card, code, rate)
     benchmark = ratio("rate_total", "code_count")
     return joined.select("id", "payer_name", (F.col("payment").cast("double") - benchmark).alias("difference"))
 

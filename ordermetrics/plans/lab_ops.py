@@ -15,8 +15,9 @@ from ordermetrics.functions.timeframe import NTZ, day, days_floor, month_bounds,
 from ordermetrics.functions.vocabulary import Vocabulary
 from ordermetrics.operators.calendar import fill_periods
 from ordermetrics.operators.distinct import distinct_when
+from ordermetrics.operators.gaps import day_gap_sums
 from ordermetrics.operators.joins import join_on, with_first_child
-from ordermetrics.operators.rank import first_per_key, top_groups
+from ordermetrics.operators.rank import append_rows, first_per_key, top_groups
 from ordermetrics.operators.trend import running_total, straight_line
 from ordermetrics.plans.common import side_by_side
 
@@ -215,6 +216,54 @@ def monthly_count(df: DataFrame, ts: str, entity: str, since: str | None = None)
     return _as_month_ends(fill_periods(months, "month", "MONTH", zero=["n"]), since)
 
 
+def monthly_counts(orders: DataFrame, samples: DataFrame, results: DataFrame, reports: DataFrame, since: str | None = None,
+                   success: Sequence[str] = tuple(V.PROCESS_SUCCESS), failure: Sequence[str] = tuple(V.PROCESS_FAILURES)) -> DataFrame:
+    """The series ``samples``, ``processed``, ``failures``, ``released`` and ``corrected`` per month, stacked: (month, n, series).
+
+    Every table is read once: what is known of an order or a sample meets in one aggregation by its id, whose conditional minima,
+    flags and month sets combine map-side. An order then counts once in each month of a series, so no distinct count follows.
+    """
+    none = F.lit(None)
+    month_of = lambda ts: truncated("month", ts)
+
+    def events(df: DataFrame, **columns: Column) -> DataFrame:
+        empty = {
+            "order_id": none.cast(orders.schema["order_id"].dataType), "sample_id": none.cast(samples.schema["sample_id"].dataType),
+            "received": none.cast(NTZ), "status": none.cast("string"), "first": none.cast(NTZ), "corrected": none.cast(NTZ),
+            "released": none.cast(NTZ), "reported": none.cast("boolean"),
+        }
+        return df.select(*[c.alias(n) for n, c in {**empty, **columns}.items()])
+
+    # each sample with a row for itself and one for each of its orders
+    linked = join_on(samples.select("sample_id", "sample_received", "sample_process_status"), orders.select("order_id", "sample_id"), {"sample_id": "sample_id"})
+    two = linked.withColumn("__of_order", F.explode(F.array(F.lit(False), F.lit(True))))
+    of_order = F.col("__of_order")
+    parts = [
+        events(two, order_id=F.when(of_order, F.col("order_id")), sample_id=F.when(~of_order, F.col("sample_id")),
+               received=F.when(~of_order, month_of("sample_received")), status=F.when(of_order, F.col("sample_process_status"))),
+        events(results, order_id=F.col("order_id"), first=F.col("result_created_at").cast(NTZ),
+               corrected=F.when(F.col("result_status") == "corrected", month_of("result_created_at"))),
+        events(reports, order_id=F.col("order_id"), reported=F.lit(True),
+               released=F.when(F.col("report_status") == "RELEASED", month_of("report_created_at"))),
+    ]
+    known = append_rows(*parts).where(F.col("order_id").isNotNull() | F.col("sample_id").isNotNull()).groupBy("order_id", "sample_id").agg(
+        F.collect_set("received").alias("received"), F.collect_set("released").alias("released"), F.collect_set("corrected").alias("corrected"),
+        F.min("first").alias("first"), F.bool_or("reported").alias("reported"),
+        F.bool_or(in_list("status", success)).alias("succeeded"), F.bool_or(in_list("status", failure)).alias("failed"))
+    first, no = month_of("first"), F.array().cast("array<timestamp_ntz>")
+    series = {
+        "samples": F.col("received"), "processed": F.when(F.col("succeeded"), F.array(first)), "failures": F.when(F.col("failed"), F.array(first)),
+        "released": F.col("released"), "corrected": F.when(F.col("reported"), F.col("corrected")),
+    }
+    def named(name: str, at: Column) -> Column:
+        return F.transform(F.coalesce(at, no), lambda m: F.struct(F.lit(name).alias("series"), m.alias("month")))
+
+    months = F.explode(F.flatten(F.array(*[named(name, at) for name, at in series.items()])))
+    counts = known.select(months.alias("m")).select("m.series", "m.month").where(F.col("month").isNotNull()).groupBy("series", "month").agg(
+        F.count(F.lit(1)).alias("n"))
+    return _as_month_ends(fill_periods(counts, "month", "MONTH", zero=["n"], groups=["series"]), since).select("month", "n", "series")
+
+
 def _rate_rows(months: DataFrame, top: str, bottom: str) -> DataFrame:
     # The series of a filtered numerator starts and ends with its own data;
     # months outside that span have no rate.
@@ -282,12 +331,35 @@ def monthly_mean_days(df: DataFrame, month_of: str, later: str, earlier: str, si
     return _as_month_ends(fill_periods(months, "month", "MONTH"), since)
 
 
+def _pair_timeline(starts: DataFrame, ends: DataFrame, series: Sequence[str], since: str | None) -> DataFrame:
+    """Mean days from each ship date to each end of its delivery, by ship month (and series); months without a pair are null."""
+    keys, groups = [*series, "delivery_id"], [*series, "month"]
+    months = starts.where(F.col("ship_date").isNotNull()).withColumn("month", truncated("month", "ship_date"))
+    sums = day_gap_sums(months, ends, keys, groups, "ship_date", "ended", "n")
+    means = sums.select(*groups, half_even(ratio("gap_days", "gap_pairs")).alias("mean_days"))
+    return _as_month_ends(fill_periods(means, "month", "MONTH", groups=series), since)
+
+
+def _accessions(orders: DataFrame, kits: DataFrame, samples: DataFrame) -> tuple[DataFrame, DataFrame]:
+    patient = orders.where(not_in_keep_null("order_flow", V.TRANSCRIBED_FLOWS))
+    linked = patient.where(F.col("delivery_id").isNotNull()).groupBy("delivery_id", "sample_id").agg(F.count(F.lit(1)).alias("n"))
+    received = join_on(linked, samples.select("sample_id", F.col("sample_received").alias("ended")), {"sample_id": "sample_id"}, "inner")
+    return kits.select("delivery_id", "ship_date").join(linked.select("delivery_id"), "delivery_id", "left_semi"), received
+
+
+def _releases(orders: DataFrame, kits: DataFrame, samples: DataFrame, reports: DataFrame) -> tuple[DataFrame, DataFrame]:
+    released = reports.where((F.col("report_status") == "RELEASED") & (F.col("state") == "RELEASED"))
+    linked = orders.where(F.col("delivery_id").isNotNull()).groupBy("delivery_id", "sample_id").agg(F.count(F.lit(1)).alias("orders"))
+    known = samples.groupBy("sample_id").agg(F.count(F.lit(1)).alias("samples"))
+    dates = released.groupBy("sample_id", F.col("report_created_at").alias("ended")).agg(F.count(F.lit(1)).alias("reports"))
+    ends = join_on(join_on(linked, known, {"sample_id": "sample_id"}, "inner"), dates, {"sample_id": "sample_id"}, "inner").select(
+        "delivery_id", "ended", (F.col("orders") * F.col("samples") * F.col("reports")).alias("n"))
+    return kits.select("delivery_id", "ship_date").join(ends.select("delivery_id"), "delivery_id", "left_semi"), ends
+
+
 def accession_timeline(orders: DataFrame, kits: DataFrame, samples: DataFrame, since: str | None = None) -> DataFrame:
     """Mean days from shipping to accession; transcribed order flows left out."""
-    patient = orders.where(not_in_keep_null("order_flow", V.TRANSCRIBED_FLOWS)).select("delivery_id", "sample_id")
-    shipped = join_on(patient, kits.select("delivery_id", "ship_date"), {"delivery_id": "delivery_id"}, "inner")
-    received = join_on(shipped, samples.select("sample_id", "sample_received"), {"sample_id": "sample_id"})
-    return monthly_mean_days(received, "ship_date", "sample_received", "ship_date", since)
+    return _pair_timeline(*_accessions(orders, kits, samples), [], since)
 
 
 def process_turnaround(orders: DataFrame, samples: DataFrame, results: DataFrame, since: str | None = None) -> DataFrame:
@@ -301,12 +373,17 @@ def process_turnaround(orders: DataFrame, samples: DataFrame, results: DataFrame
 def release_timeline(orders: DataFrame, kits: DataFrame, samples: DataFrame, reports: DataFrame,
                      since: str | None = None) -> DataFrame:
     """Mean days from shipping to release, by ship month."""
-    released = reports.where((F.col("report_status") == "RELEASED") & (F.col("state") == "RELEASED"))
-    shipped = join_on(orders.select("delivery_id", "sample_id"), kits.select("delivery_id", "ship_date"),
-                      {"delivery_id": "delivery_id"}, "inner")
-    sampled = join_on(shipped, samples.select("sample_id"), {"sample_id": "sample_id"}, "inner")
-    joined = join_on(sampled, released.select("sample_id", "report_created_at"), {"sample_id": "sample_id"}, "inner")
-    return monthly_mean_days(joined, "ship_date", "report_created_at", "ship_date", since)
+    return _pair_timeline(*_releases(orders, kits, samples, reports), [], since)
+
+
+def shipping_timelines(orders: DataFrame, kits: DataFrame, samples: DataFrame, reports: DataFrame,
+                       since: str | None = None) -> DataFrame:
+    """Both timelines from shipping, as series ``accession`` and ``release`` of one scan over the pairs' sums."""
+    parts = {"accession": _accessions(orders, kits, samples), "release": _releases(orders, kits, samples, reports)}
+    columns = ["series", "delivery_id"]
+    starts = append_rows(*[s.withColumn("series", F.lit(name)).select(*columns, "ship_date") for name, (s, _) in parts.items()])
+    ends = append_rows(*[e.withColumn("series", F.lit(name)).select(*columns, "ended", "n") for name, (_, e) in parts.items()])
+    return _pair_timeline(starts, ends, ["series"], since)
 
 
 # --- blocked reports ------------------------------------------------------

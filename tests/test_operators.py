@@ -1,3 +1,4 @@
+import bisect
 import random
 import statistics
 from datetime import datetime as dt
@@ -7,7 +8,8 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ordermetrics.operators import calendar, distinct, joins, metadata, quantiles, rank, reshape, trend
+from ordermetrics.functions.timeframe import days_floor
+from ordermetrics.operators import calendar, distinct, gaps, joins, metadata, prefix, quantiles, rank, reshape, trend
 from ordermetrics.schemas import SCHEMAS, SchemaError, check_schema
 
 
@@ -29,9 +31,8 @@ def test_numbering_equals_row_number_on_a_skewed_key(spark, rows):
         F.when(F.col("id") % 3 == 0, F.lit(7)).when(F.col("id") % 50 == 1, None).otherwise(F.col("id") % 40).alias("key"),
         ((F.col("id") * 7919) % 90).alias("day"), "id",
     )
-    order = [F.col("day"), F.col("id")]
-    got = rank.numbered(df, ["key"], order, F.col("day"), "n")
-    want = df.withColumn("n", F.row_number().over(Window.partitionBy("key").orderBy(*order)).cast("long"))
+    got = prefix.numbered(df, ["key"], ["day", "id"], "n")
+    want = df.withColumn("n", F.row_number().over(Window.partitionBy("key").orderBy("day", "id")).cast("long"))
     assert rows(got) == rows(want)
 
 
@@ -170,9 +171,103 @@ def test_rows_with_other_columns_are_stacked_and_frequencies_sorted(frame):
 
 
 def test_running_sum_without_keys_equals_a_window(spark, rows):
-    from ordermetrics.operators.prefix import running_sum
-
     df = spark.range(200).select((F.col("id") * 37 % 200).alias("t"), (F.col("id") % 5).alias("n"))
-    got = running_sum(df, [], [F.col("t")], F.floor(F.col("t") / 10), F.col("n"), "s")
+    got = prefix.running_sum(df, [], ["t"], "n", "s")
     want = df.withColumn("s", F.sum("n").over(Window.orderBy("t")))
     assert rows(got, "t", "n", "s") == rows(want, "t", "n", "s")
+    with pytest.raises(Exception, match="not one row each"):
+        prefix.running_sum(df.union(df.limit(1)), [], ["t"], "n", "s").collect()
+
+
+def test_prefix_scan_over_nulls_ties_and_a_hot_day(spark, frame, rows):
+    # nine of ten rows on one day of one key, places that repeat, null keys and null order values
+    df = spark.range(4000).select(
+        F.when(F.col("id") % 10 > 0, F.lit("hot")).when(F.col("id") % 20 == 0, None).otherwise((F.col("id") % 70).cast("string")).alias("key"),
+        F.when(F.col("id") % 10 > 0, F.lit(5)).when(F.col("id") % 30 == 0, None).otherwise(F.col("id") % 9).alias("day"),
+        F.when(F.col("id") % 11 > 0, F.col("id").bitwiseAND(~1)).alias("at"), F.col("id").cast("string").alias("other"))
+    got = prefix.numbered(df, ["key"], ["day", "at"], "n")
+    order = [F.col(c).asc_nulls_last() for c in ("day", "at")]
+    window = Window.partitionBy("key").orderBy(*order)
+    # within a place any order is right: the numbers of a place are the same set
+    want = df.withColumn("n", F.row_number().over(window).cast("long"))
+    assert rows(got, "key", "day", "at", "n") == rows(want, "key", "day", "at", "n") and rows(got, "other") == rows(df, "other")
+    narrow = prefix.numbered(df.drop("other"), ["key"], ["day", "at"], "n")
+    assert rows(narrow, "key", "day", "at", "n") == rows(want, "key", "day", "at", "n")
+    empty = prefix.numbered(df.where("false"), ["key"], ["day", "at"], "n")
+    assert empty.columns == ["key", "day", "at", "other", "n"] and empty.count() == 0
+
+
+def test_prefix_scan_stores_places_only_and_deals_a_hot_day_evenly(spark, monkeypatch):
+    stored = []
+    keep = prefix.written
+    monkeypatch.setattr(prefix, "written", lambda df, purpose: stored.append(keep(df, purpose)) or stored[-1])
+    before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        df = spark.range(40_000).select(F.lit(1).alias("key"), F.when(F.col("id") % 10 > 0, F.lit(3)).otherwise(F.col("id") % 7).alias("day"), "id", F.lit("x" * 20).alias("wide"))
+        got = prefix.numbered(df, ["key"], ["day", "id"], "n")
+        assert got.agg(F.max("n"), F.count_distinct("n")).first() == (40_000, 40_000)
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
+    assert set(stored[0].columns) == {"key", "day", "id", "__rows", "__value", "__part"}
+    sizes = [r["count"] for r in stored[0].groupBy("__part").count().collect()]
+    assert len(sizes) == 4 and max(sizes) < 14_000
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = prefix.numbered(df, ["key"], ["day", "id"], "n")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert plan.count("hashpartitioning(__place") == 2  # the rows once, for window and join, and the places
+
+
+def test_gap_sums_equal_all_pairs(spark, frame, rows):
+    rng = random.Random(4)
+
+    def moment():
+        return None if rng.random() < 0.05 else f"2024-0{rng.randrange(1, 4)}-1{rng.randrange(9)} {rng.randrange(3):02d}:{rng.randrange(2):02d}:0{rng.randrange(2)}.00000{rng.randrange(3)}"
+
+    starts = [(rng.choice([1, 2, 3, None]), rng.choice("ab"), moment()) for _ in range(120)]
+    ends = [(rng.choice([1, 2, 4, None]), moment(), rng.randrange(1, 4)) for _ in range(90)]
+    s = frame(starts, "k int, g string, s timestamp_ntz").where("s is not null")
+    e = frame(ends, "k int, e timestamp_ntz, w long")
+    got = gaps.day_gap_sums(s, e, ["k"], ["g"], "s", "e", "w")
+    gap = days_floor("e", "s") * F.col("w")
+    pairs = s.join(e.where("e is not null"), "k").groupBy("g").agg(F.sum(gap).cast("decimal(38,0)").alias("gap_days"), F.sum("w").cast("decimal(38,0)").alias("gap_pairs"))
+    assert rows(got, "g", "gap_days", "gap_pairs") == rows(pairs, "g", "gap_days", "gap_pairs")
+    alone = gaps.day_gap_sums(s.where("k = 3"), e, ["k"], ["g"], "s", "e", "w")
+    assert {r["gap_pairs"] for r in alone.collect()} == {0}
+
+
+def test_gap_sums_never_hold_the_pairs(spark):
+    day = lambda c: (F.lit("2024-01-01").cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), c.cast("double")))
+    s = spark.range(20_000).select(F.lit(1).alias("k"), day(F.col("id") * 7 % 86_400).alias("s"))
+    e = spark.range(20_000).select(F.lit(1).alias("k"), day(F.col("id") * 11 % 86_400 + 86_400).alias("e"), F.lit(1).alias("w"))
+    got = gaps.day_gap_sums(s, e, ["k"], [], "s", "e", "w").first()
+    a, b = sorted(i * 7 % 86_400 for i in range(20_000)), sorted(i * 11 % 86_400 for i in range(20_000))
+    behind = sum(bisect.bisect_left(b, x) for x in a)
+    assert (got["gap_days"], got["gap_pairs"]) == (20_000**2 - behind, 20_000**2)
+
+
+def test_aligned_raises_on_a_repeated_index_and_stacks_raw_rows(frame, rows):
+    a, b = frame([(1, 10), (None, 20)], "d int, x int"), frame([(None, 5), (3, None)], "d int, y int")
+    assert rows(joins.aligned([a, b], ["d"])) == sorted([(1, 10, None), (None, 20, 5), (3, None, None)], key=repr)
+    assert rows(joins.aligned([a], ["d"])) == rows(a)
+    with pytest.raises(Exception, match="more than once"):
+        joins.aligned([a, b.union(b)], ["d"]).collect()
+    raw = frame([(1, 2), (1, 3), (2, 4)], "d int, v int")
+    got = joins.aligned_series({"x": (raw, F.col("v")), "y": (raw.where("d = 2"), F.lit(1))}, {"d": F.col("d")})
+    assert rows(got) == [(1, 5, None), (2, 4, 1)]
+    assert got._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+
+
+def test_rate_lookup_joins_the_card_once(spark, frame):
+    claims = frame([(i, "a" if i % 3 else "b", "a", 1.0, 2.0) for i in range(60)], "id int, c1 string, c2 string, u1 double, u2 double")
+    card = frame([("a", 10.0), ("b", 5.0)], "code string, rate double")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = joins.rates_by_row(claims, ["c1", "c2"], ["u1", "u2"], card, "code", "rate")
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("hashpartitioning(__code") == 1 and plan.count("Join") == 2
+        assert got.agg(F.sum("rate_total")).first()[0] == 60 * 20 + 40 * 10 + 20 * 5
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
