@@ -50,8 +50,9 @@ def test_a_failing_pull_leaves_the_last_good_rows(spark, frame, rows, tmp_path):
     pulls.full_pull(spark, spec, frame([(1,)], "n int"))
     with pytest.raises(Exception, match="gone"):
         pulls.full_pull(spark, spec, frame([(5,)], "n int").select(F.raise_error(F.lit("gone")).cast("int").alias("n")))
-    assert rows(spark.read.parquet(spec.output)) == [(1,)]
+    assert rows(pulls.pulled(spark, spec.output)) == [(1,)]
     assert rows(pulls.full_pull(spark, spec, frame([(2,)], "n int"))) == [(2,)] and sorted(os.listdir(tmp_path)) == ["out"]
+    assert len(pulls.dropped_leftovers(spark, spec.output)) == 2
 
 
 def test_jdbc_options_split_a_query_into_ranges():
@@ -83,9 +84,52 @@ def test_incremental_pulls_equal_one_full_pull(spark, frame, rows, tmp_path):
     pulls.pull(spark, spec, source.where("id < 9"))
     assert rows(pulls.pull(spark, spec, source)) == rows(source)
     assert rows(pulls.pull(spark, spec, source)) == rows(source)
-    strict = pulls.new_rows(source, source.where("id < 5"), "t")
+    marks = [(e.number, e.mark, e.replaces) for e in pulls.commits(spark, spec.output)]
+    assert marks == [(1, "2024-01-02 00:00:00", True), (2, "2024-01-03 00:00:00", False), (3, "2024-01-04 00:00:00", False), (4, "2024-01-04 00:00:00", False)]
+    strict = pulls.new_rows(source, marks[0][1], "t")
     assert strict.count() == 6  # without a key, rows tied with the last value are left out
-    assert pulls.new_rows(source, source.where("false"), "t").count() == 12
+    assert pulls.new_rows(source, None, "t").count() == 12
+    assert rows(pulls.compacted(spark, spec)) == rows(source)
+    assert [(e.number, e.mark) for e in pulls.commits(spark, spec.output)] == [(5, marks[-1][1])]
+    assert rows(pulls.pull(spark, spec, source.union(frame([(99, "2024-02-01")], "id int, t timestamp_ntz")))) == sorted([*rows(source), *rows(frame([(99, "2024-02-01")], "id int, t timestamp_ntz"))], key=repr)
+    assert len(pulls.dropped_leftovers(spark, spec.output)) == 4 and pulls.pulled(spark, spec.output).count() == 13
+
+
+def test_a_pull_that_dies_before_its_commit_is_not_read(spark, frame, rows, tmp_path, monkeypatch):
+    source = frame([(i, i // 2) for i in range(10)], "id int, t int")
+    spec = pulls.PullSpec(str(tmp_path / "out"), "", "t", ("id",))
+    assert not pulls.target_exists(spark, spec.output)
+    with pytest.raises(FileNotFoundError):
+        pulls.pulled(spark, spec.output)
+    pulls.pull(spark, spec, source.where("id < 4"))
+
+    def dies(*_):
+        raise KeyboardInterrupt
+
+    with monkeypatch.context() as m:
+        m.setattr(pulls, "_commit", dies)
+        with pytest.raises(KeyboardInterrupt):
+            pulls.pull(spark, spec, source)
+        with pytest.raises(KeyboardInterrupt):
+            pulls.full_pull(spark, spec, source.where("id = 7"))
+    assert len(os.listdir(tmp_path / "out" / "rows")) == 3
+    assert rows(pulls.pulled(spark, spec.output)) == rows(source.where("id < 4"))
+    assert rows(pulls.pull(spark, spec, source)) == rows(source)
+    assert len(pulls.dropped_leftovers(spark, spec.output)) == 2 and rows(pulls.pulled(spark, spec.output)) == rows(source)
+    # two pulls that began from the same entry: the second to commit raises
+    first = pulls.commits(spark, spec.output)[-1]
+    with pytest.raises(Exception, match="exists|FileAlreadyExists"):
+        pulls._commit(spark, spec.output, pulls.Commit(first.number, "rows/x", None, False))
+
+
+def test_the_mark_comes_without_a_scan_of_the_target(spark, frame, tmp_path, monkeypatch):
+    spec = pulls.PullSpec(str(tmp_path / "out"), "", "t")
+    pulls.pull(spark, spec, frame([(1, 5)], "id int, t int"))
+    pulls.pull(spark, spec, frame([(2, 6)], "id int, t int"))
+    read = []
+    monkeypatch.setattr(pulls, "_greatest", lambda rows, column, keep=pulls._greatest: read.extend(rows.inputFiles()) or keep(rows, column))
+    got = pulls.pull(spark, spec, frame([(1, 5), (2, 6), (3, 7)], "id int, t int"))
+    assert got.count() == 3 and read and all("/0000000003-" in f for f in read)
 
 
 def test_newest_snapshot_fallback_archive_and_freshness(spark, frame, rows, tmp_path):
