@@ -10,32 +10,37 @@ each cut its best predecessor in constant time.
 from __future__ import annotations
 
 import os
+import sys
 import unicodedata
 import zlib
 from collections import deque
 from collections.abc import Iterator
+from types import ModuleType
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from tokenizers import Tokenizer
 
 STREAM = 1 << 19  # ids a task holds before it fixes cuts
-CACHE = 800_000  # encoded words a task remembers, some 200 MB; then it starts anew
+REMEMBERED = 400_000  # encoded words a generation holds, some 60 MB; a worker keeps two
 MARKS = ".,;:!?%#&*$()[]{}-+=/@~^_"
-TOGETHER = 256  # texts whose unseen words are encoded together
+TOGETHER = 1 << 21  # characters of texts that are encoded together, more if one text has more
 INSIDE = 128  # a sentence may be cut after so many ids
 SENTENCE_ENDS = (".", "!", "?", "…", "。")
 
 
 class Encoder:
-    """Ids of a text as little-endian bytes.
+    """Ids of texts.
 
     The tokenizer's words never span white space, so each stretch between blanks is
     encoded once and remembered. A stretch of letters with marks behind is its letters
     and those marks, which the tokenizer parts as well; letters not seen yet are encoded
-    many at once, and the ids that end a word tell them apart.
+    many at once, and the ids that end a word tell them apart. When the words seen since the last
+    change fill a generation, it becomes the older one; words met again move on, others are forgotten.
     """
 
     def __init__(self, path: str):
@@ -48,17 +53,37 @@ class Encoder:
             self.final[number] = token.endswith("</w>")
             self.sentence[number] = self.final[number] and token.removesuffix("</w>")[-1:] in SENTENCE_ENDS
         self.known: dict[str, bytes] = {}
-        self.letters: dict[str, bytes] = {}
-
-    def encode(self, texts: list[str]) -> Iterator[bytes]:
-        for at in range(0, len(texts), TOGETHER):
-            split = [self._lower(text).replace("\n", " ").split(" ") for text in texts[at : at + TOGETHER]]
-            if len(self.known) > CACHE:
-                self.known.clear()
-                self.letters.clear()
-            self._learn([w for w in set().union(*split) if w not in self.known])
-            for words in split:
-                yield b"".join(map(self.known.__getitem__, words))
+        self.older: dict[str, bytes] = {}
+
+    def encode(self, texts: list[str]) -> Iterator[np.ndarray]:
+        """The ids of each text in turn. Texts go together, so that a word is looked up once for all of them."""
+        group: list[str] = []
+        size = 0
+        for text in texts:
+            if group and size + len(text) > TOGETHER:
+                yield from self._encoded(group)
+                group, size = [], 0
+            group.append(text)
+            size += len(text)
+        if group:
+            yield from self._encoded(group)
+
+    def _encoded(self, texts: list[str]) -> Iterator[np.ndarray]:
+        split = pc.split_pattern(pa.array([self._lower(t).replace("\n", " ") for t in texts], pa.large_string()), " ")
+        coded = split.flatten().dictionary_encode()
+        words, index = coded.dictionary.to_numpy(zero_copy_only=False).tolist(), coded.indices.to_numpy()
+        if len(self.known) > REMEMBERED:
+            self.known, self.older = {}, self.known
+        self._learn([w for w in words if w not in self.known and not self._recalled(w)])
+        raw = list(map(self.known.__getitem__, words))
+        sizes = np.fromiter(map(len, raw), np.int64, len(raw)) // 4
+        flat, starts = np.frombuffer(b"".join(raw), "<u4"), np.cumsum(sizes) - sizes
+        lengths = sizes[index]
+        ends = np.cumsum(lengths)
+        ids = flat[np.arange(ends[-1]) + np.repeat(starts[index] - (ends - lengths), lengths)]
+        bounds = np.concatenate([[0], ends])[split.offsets.to_numpy()]
+        for a, b in zip(bounds[:-1], bounds[1:], strict=True):
+            yield ids[a:b]
 
     @staticmethod
     def _lower(text: str) -> str:
@@ -75,14 +100,24 @@ class Encoder:
         low = composed.lower()
         return text if "Σ" in composed or "İ" in composed or not unicodedata.is_normalized("NFC", low) else low
 
+    def _recalled(self, word: str) -> bool:
+        """Whether the older generation knows the word, which then moves on."""
+        found = self.older.get(word)
+        if found is None:
+            return False
+        self.known[word] = found
+        return True
+
     def _learn(self, words: list[str]) -> None:
-        parted, whole = [], set()
+        parted, whole, bodies = [], set(), set()
         for word in words:
             body = word.rstrip(MARKS)
             # letters still when composed and lower-cased, as the tokenizer sees them
             if body.isalpha() and (body.isascii() or unicodedata.normalize("NFC", body).lower().isalpha()):
-                parted.append((word, body.lower() if body.isascii() else body, word[len(body) :]))
-                whole.add(word[len(body) :])
+                bodies.add(body)
+                if body != word:
+                    parted.append((word, body))
+                    whole.add(word[len(body) :])
             else:
                 whole.add(word)
         other = [w for w in whole if w not in self.known]
@@ -90,20 +125,32 @@ class Encoder:
             part = other[at : at + 4096]
             for word, found in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
                 self.known[word] = np.array(found.ids, "<u4").tobytes()
-        new = list({body for _, body, _ in parted if body not in self.letters})
+        new = [b for b in bodies if b not in self.known and not self._recalled(b)]
         for at in range(0, len(new), 4096):
             self._letters(new[at : at + 4096])
-        for word, body, marks in parted:
-            self.known[word] = self.letters[body] + self.known[marks]
+        known = self.known
+        for word, body in parted:
+            known[word] = known[body] + known[word[len(body) :]]
 
     def _letters(self, words: list[str]) -> None:
-        ids = np.array(self.tokenizer.encode(" ".join(words), add_special_tokens=False).ids, "<u4")
-        ends = (np.flatnonzero(self.final[ids]) + 1).tolist() if len(ids) else []
+        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, "<u4")
+        ends = (4 * np.flatnonzero(self.final[ids]) + 4).tolist() if len(ids) else []
         if len(ends) != len(words):  # a letter that the tokenizer doesn't count as one
-            self.letters.update((w, np.array(self.tokenizer.encode(w, add_special_tokens=False).ids, "<u4").tobytes()) for w in words)
+            self.known.update((w, np.array(self.tokenizer.encode(w, add_special_tokens=False).ids, "<u4").tobytes()) for w in words)
             return
         raw = ids.tobytes()
-        self.letters.update((w, raw[4 * a : 4 * b]) for w, a, b in zip(words, [0, *ends], ends, strict=False))
+        self.known.update((w, raw[a:b]) for w, a, b in zip(words, [0, *ends], ends, strict=False))
+
+
+def encoder_of(path: str) -> Encoder:
+    """The encoder of this Python worker, which its later tasks find again with the words it knows.
+
+    Functions that travel by value bring their own globals for each task, so it is held beside the worker's modules.
+    """
+    held = sys.modules.setdefault("ordermetrics_packing_worker", ModuleType("ordermetrics_packing_worker")).__dict__
+    if path not in held:
+        held[path] = Encoder(path)
+    return held[path]
 
 
 def cuts(places: np.ndarray, penalty: np.ndarray, window: int, last: bool) -> list[int]:
@@ -224,14 +271,13 @@ def pack(docs: DataFrame, tokenizer: str, window: int = 2048, end_id: int = 1, s
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + ", ids array<int>" * with_ids
     names = [x.split()[0] for x in schema.split(", ")]
-    final = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder = Encoder(tokenizer)
+        encoder = encoder_of(tokenizer)
         stream = Stream(window, encoder.sentence, sentence, inside, with_ids)
         for batch in batches:
-            for doc_id, raw in zip(batch["doc_id"].astype(object), encoder.encode([t or "" for t in batch["text"]]), strict=True):
-                stream.add(None if pd.isna(doc_id) else doc_id, np.frombuffer(raw + final, "<u4"))
+            for doc_id, ids in zip(batch["doc_id"].astype(object), encoder.encode([t or "" for t in batch["text"]]), strict=True):
+                stream.add(None if pd.isna(doc_id) else doc_id, np.append(ids, np.uint32(end_id)))
                 if stream.held >= STREAM:
                     yield pd.DataFrame(list(stream.flush(False)), columns=names)
         yield pd.DataFrame(list(stream.flush(True)), columns=names)

@@ -237,7 +237,7 @@ def test_cuts_have_the_least_cost(seed):
 
 def test_packing_keeps_every_id_once(spark, frame, monkeypatch):
     monkeypatch.setattr(packing, "STREAM", 3000)
-    monkeypatch.setattr(packing, "CACHE", 50)
+    monkeypatch.setattr(packing, "REMEMBERED", 50)
     draw = random.Random(9)
     texts = [" ".join("".join(draw.choices("abcdeé", k=draw.randint(1, 8))) + draw.choice(["", ",", ".", "!"]) for _ in range(draw.randint(0, 400))) for _ in range(60)]
     texts += [None, "", " \n ", "x" * 5000, "á ́b <|endoftext|>A\tB c d e", "word " * 3000]
@@ -271,10 +271,28 @@ def test_marks_that_compose_only_in_lower_case_encode_as_the_tokenizer_does():
     encoder, whole = packing.Encoder(path), Tokenizer.from_file(path)
     marked = ["H\u0331", "T\u0308", "J\u030c", "W\u030a", "Y\u030a", "\u0399\u0308\u0301", "I\u0307", "E\u0301", "\u212b", "\u03a3"]
     texts = [f"x{m}y" for m in marked] + [f"Before {m}ATA, behind." for m in marked]
-    got = [np.frombuffer(raw, "<u4").tolist() for raw in encoder.encode(texts)]
+    got = [ids.tolist() for ids in encoder.encode(texts)]
     assert got == [whole.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+def test_random_scripts_encode_as_the_tokenizer_does(monkeypatch):
+    """Texts over many scripts, with little memory, alone and together."""
+    path, draw = vocabulary("word_bpe_49k.json"), random.Random(21)
+    encoder, whole = packing.Encoder(path), Tokenizer.from_file(path)
+    monkeypatch.setattr(packing, "REMEMBERED", 300)
+    ranges = [(0x20, 0x7F), (0xA0, 0x24F), (0x300, 0x36F), (0x370, 0x3FF), (0x400, 0x4FF), (0x5D0, 0x5EA), (0x900, 0x97F), (0xE00, 0xE5B), (0x1E00, 0x1FFF), (0x2000, 0x206F), (0x3040, 0x30FF), (0x4E00, 0x4FFF), (0xAC00, 0xACFF), (0xFB00, 0xFB06), (0x1F600, 0x1F64F)]
+
+    def text():
+        here = draw.sample(ranges, draw.randint(1, 3))
+        return "".join(draw.choice([chr(draw.randint(*draw.choice(here))), draw.choice("abcXYZ .,!\n\t é")]) for _ in range(draw.randint(0, 60)))
+
+    texts = [text() for _ in range(6000)]
+    for together in (1, 5000, 1 << 21):
+        monkeypatch.setattr(packing, "TOGETHER", together)
+        got = [ids.tolist() for ids in encoder.encode(texts)]
+        assert got == [x.ids for x in whole.encode_batch_fast(texts, add_special_tokens=False)]
+
+
 # chat ----------------------------------------------------------------------------------
 
 CHAT = "conv_id long, turn long, role string, text string"
