@@ -97,6 +97,13 @@ def m29_completed_checkout(spark: SparkSession, folder: str) -> DataFrame:
     return rows.withColumn("order_id", F.col("order_id").cast("string"))
 
 
+def o2_first_checkouts(spark: SparkSession, folder: str) -> DataFrame:
+    """The first twenty rows of the stored query."""
+    t = Tables(spark, folder)
+    rows = checkout.completed_checkouts(t.carts(), t.orders(), t.tracking(), t.metadata(), EVENTS_AS_OF, limit=20, vocab=TEST_NAMES)
+    return rows.withColumn("order_id", F.col("order_id").cast("string"))
+
+
 def m30_kit_shipments(spark: SparkSession, folder: str) -> DataFrame:
     shipments = Tables(spark, folder).shipments()
     rows = sent_with_latest_return(shipments, tie=["shipment_id", "part_id"], columns=["shipment_id", "carrier_id", "ship_date", "delivered_date"])
@@ -135,7 +142,7 @@ QUERIES = {
         m23_orders_by_source, m23_orders_by_program, m23_orders_by_source_pivot, m24_orders_to_cart,
         m24_orders_to_cart_by_source, m24_ratio_query, m25_received_within, m25_received_within_by_program,
         m26_cart_number, m26_cart_totals, m27_state_counts, m28_orders_by_program, j17_program_rows,
-        m29_completed_checkout, m30_kit_shipments, m31_cumulative_by_source, m31_id_counts, m31_cash_orders, m47_step_totals,
+        m29_completed_checkout, o2_first_checkouts, m30_kit_shipments, m31_cumulative_by_source, m31_id_counts, m31_cash_orders, m47_step_totals,
     )
 }
 
@@ -272,3 +279,5 @@ ORACLE = {
         UNION ALL SELECT '4. Kits Returned', count(DISTINCT order_id) FROM v_shipment WHERE type = 'RETURN')
         SELECT step, total, {ratio('total', 'lag(total) OVER (ORDER BY step)')} AS conversion FROM s"""),
 }
+_FIRST = ["order_id_coalesced", "created_date", "TRY_CAST(order_id AS BIGINT)", "product", "mk_sk", "state", "order_flow", "utm_source", "utm_medium", "mapped_category", "upg_status"]
+ORACLE["o2_first_checkouts"] = f"SELECT * FROM ({ORACLE['m29_completed_checkout']}) ORDER BY {', '.join(f'{c} ASC NULLS LAST' for c in _FIRST)} LIMIT 20"

@@ -12,7 +12,9 @@ from ordermetrics.catalog.views import AS_OF, EVENTS_AS_OF, TEST_NAMES, Tables
 from ordermetrics.functions import classify as C
 from ordermetrics.operators.distinct import distinct_domain
 from ordermetrics.operators.joins import aligned_series, join_on, with_first_child
+from ordermetrics.operators.rules import MISSING, labelled
 from ordermetrics.plans import marketing
+from ordermetrics.session import scratch_folder
 
 # The order table's clock lies before the tracking start, so it is moved.
 VOCAB = replace(TEST_NAMES, utm_start="1998-01-01")
@@ -78,6 +80,30 @@ def c11_utm_mapping(spark: SparkSession, folder: str) -> DataFrame:
     return tracking.groupBy("utm_source", "utm_medium", *mapped).agg(F.count(F.lit(1)).alias("n"))
 
 
+def _stored(rows: DataFrame, name: str) -> DataFrame:
+    """Rules as a deployment has them: a table that is read."""
+    path = scratch_folder(rows.sparkSession, name)
+    rows.write.parquet(path)
+    return rows.sparkSession.read.parquet(path)
+
+
+def c11_utm_rules(spark: SparkSession, folder: str) -> DataFrame:
+    """The utm labels by a stored rule table."""
+    rules = _stored(C.utm_rule_table(spark, VOCAB), "rules")
+    tracking = labelled(Tables(spark, folder).tracking(), rules, ["utm_source", "utm_medium"], C.UTM_LABELS)
+    return tracking.groupBy("utm_source", "utm_medium", *C.UTM_LABELS).agg(F.count(F.lit(1)).alias("n"))
+
+
+def c11_wildcard_rules(spark: SparkSession, folder: str) -> DataFrame:
+    """Rules with wildcards below and above the exact ones, paid pairs between them."""
+    paid = C.paid_rule_table(spark, VOCAB).withColumn("priority", F.lit(5))
+    more = spark.createDataFrame(
+        [("google", None, 1, "any google"), (None, "email", 2, "any email"), (None, None, 0, "anything"), (MISSING, None, 9, "no source"), ("google", "cpc", 7, "google cpc")],
+        paid.schema)
+    rows = labelled(Tables(spark, folder).tracking(), _stored(paid.unionByName(more), "rules"), ["utm_source", "utm_medium"], ["mapped_category"])
+    return rows.groupBy("utm_source", "utm_medium", "mapped_category").agg(F.count(F.lit(1)).alias("n"))
+
+
 def _mapped_orders(t: Tables) -> DataFrame:
     """Every order of every year with funnel stage and mapped channel."""
     orders = t.orders().where("state <> 'DRAFT'")
@@ -226,7 +252,7 @@ def m40_hour_of_day(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        m32_enriched_orders, m32_metadata_text, m32_label_counts, m33_last24h_hourly, c10_utm_from_pages, c11_utm_mapping, m34_weekly_channel,
+        m32_enriched_orders, m32_metadata_text, m32_label_counts, m33_last24h_hourly, c10_utm_from_pages, c11_utm_mapping, c11_utm_rules, c11_wildcard_rules, m34_weekly_channel,
         m34_weekly_category, m35_cac, m35_blended, m35_channel_cost, m36_source_performance, m36_source_span, r03_merged_spend, j08_aligned_series, a14_source_domain, m37_waterfall,
         m37_order_waterfall, m38_top_payers, m38_medium_frequency, m39_mtd_cards, m39_mtd_cards_multikit, m40_hour_of_day,
     )
@@ -351,6 +377,12 @@ ORACLE = {
     "c11_utm_mapping": with_views(
         "v_tracking", body=f"""SELECT utm_source, utm_medium, {_mapping(0)} AS mapped_category, {_mapping(1)} AS mapped_channel,
         {_mapping(2)} AS mapped_sub_channel, count(*) AS n FROM v_tracking GROUP BY ALL"""),
+    "c11_wildcard_rules": with_views(
+        "v_tracking", body="""SELECT utm_source, utm_medium, CASE WHEN utm_source IS NULL THEN 'no source' WHEN utm_source = 'google' AND utm_medium = 'cpc' THEN 'google cpc'
+        WHEN (utm_source = 'facebook' AND utm_medium IN ('paid_social', 'paid', 'cpc')) OR (utm_source = 'bing' AND utm_medium = 'cpc')
+          OR (utm_source IN ('BrandA', 'BrandB', 'Starter', 'Blog') AND utm_medium = 'email') THEN 'Online Performance Marketing'
+        WHEN utm_medium = 'email' THEN 'any email' WHEN utm_source = 'google' THEN 'any google' ELSE 'anything' END AS mapped_category, count(*) AS n
+        FROM v_tracking GROUP BY ALL"""),
     "m34_weekly_channel": with_views(
         *_MAPPED_VIEWS,
         body=f"WITH {_MAPPED} " + " UNION ALL ".join(
@@ -416,3 +448,4 @@ ORACLE = {
         CAST(nullif(count(DISTINCT event_id) FILTER (t >= TIMESTAMP '2024-01-01'), 0) AS DOUBLE) AS current_month_hourly
         FROM e WHERE t >= TIMESTAMP '2023-12-01' AND t < TIMESTAMP '2024-02-01' GROUP BY 1""",
 }
+ORACLE["c11_utm_rules"] = ORACLE["c11_utm_mapping"]

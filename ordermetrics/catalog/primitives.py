@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,11 +13,13 @@ from ordermetrics.functions import classify as C
 from ordermetrics.functions import predicates as P
 from ordermetrics.functions import scalars as S
 from ordermetrics.functions.timeframe import days_calendar, days_floor
-from ordermetrics.operators import joins, rank
+from ordermetrics.operators import joins, rank, sketches
+from ordermetrics.operators.calendar import GRAINS, period_start
 from ordermetrics.operators.distinct import distinct_count
 from ordermetrics.operators.metadata import array_values, joined_values, phrase_flags
 from ordermetrics.operators.prefix import numbered
 from ordermetrics.operators.trend import running_share, running_total
+from ordermetrics.session import scratch_folder
 
 A, B = "1997-03-01", "1997-09-30"
 
@@ -107,6 +111,23 @@ def a01_distinct(spark: SparkSession, folder: str) -> DataFrame:
     return distinct_count(Tables(spark, folder).raw("lineitem"), ["l_returnflag", "l_linestatus"], "l_suppkey", "suppliers")
 
 
+def a01_period_sketches(spark: SparkSession, folder: str) -> DataFrame:
+    """Customers per priority for every grain from one stored table of daily sketches, built by two overlapping loads.
+
+    Beside the exact count stands whether the estimate is within 3 % of it.
+    """
+    path, groups = scratch_folder(spark, "sketches"), ["o_orderpriority"]
+    orders = Tables(spark, folder).raw("orders")
+    for load in (orders.where("o_orderdate < TIMESTAMP_NTZ '1996-06-15 00:00:00'"), orders.where("o_orderdate >= TIMESTAMP_NTZ '1996-03-01 00:00:00'")):
+        stored = sketches.merge_days(path, sketches.daily_sketches(load, "o_orderdate", groups, "o_custkey"), groups)
+    about = sketches.period_distinct(stored, groups)
+    exact = reduce(lambda a, b: a.unionByName(b), [
+        orders.groupBy(F.lit(g).alias("grain"), period_start("o_orderdate", g).alias("period_start"), *groups).agg(F.count_distinct("o_custkey").alias("customers"))
+        for g in GRAINS])
+    near = F.abs(F.col("n") - F.col("customers")) <= 0.03 * F.col("customers")
+    return exact.join(about, ["grain", "period_start", *groups], "left").select("grain", "period_start", *groups, "customers", F.coalesce(near, F.lit(False)).alias("within"))
+
+
 def a09_frequency(spark: SparkSession, folder: str) -> DataFrame:
     return rank.frequency(Tables(spark, folder).orders(), "order_flow")
 
@@ -145,7 +166,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         p_range_filters, p_null_lists, p_selectors, p_group_size, t12_day_spans, w1_latest, w2_first_child, w4_numbered,
-        w5_running, o3_top_parts, j01_join_kinds, a01_distinct, a09_frequency, a10_joined_text, a11_arrays, c02_phrase_flags, f03_formats,
+        w5_running, o3_top_parts, j01_join_kinds, a01_distinct, a01_period_sketches, a09_frequency, a10_joined_text, a11_arrays, c02_phrase_flags, f03_formats,
     )
 }
 
@@ -205,6 +226,10 @@ ORACLE = {
             _kind("left_anti", f"SELECT o.delivery_id AS k FROM v_order o WHERE NOT EXISTS (SELECT 1 FROM {_RETURNS} s WHERE s.delivery_id = o.delivery_id)"),
         ])),
     "a01_distinct": "SELECT l_returnflag, l_linestatus, count(DISTINCT l_suppkey) AS suppliers FROM lineitem GROUP BY 1, 2",
+    "a01_period_sketches": " UNION ALL ".join(
+        f"SELECT '{grain}' AS grain, CAST({start} AS TIMESTAMP) AS period_start, o_orderpriority, count(DISTINCT o_custkey) AS customers, true AS within FROM orders GROUP BY ALL"
+        for grain, start in (("Weekly", "date_trunc('week', o_orderdate + INTERVAL 1 DAY) - INTERVAL 1 DAY"), ("Monthly", "date_trunc('month', o_orderdate)"),
+                             ("Quarterly", "date_trunc('quarter', o_orderdate)"), ("Yearly", "date_trunc('year', o_orderdate)"))),
     "a09_frequency": with_views("v_order", body="SELECT order_flow, count(*) AS n FROM v_order WHERE order_flow IS NOT NULL GROUP BY 1"),
     "a10_joined_text": with_views("v_meta_text", body="SELECT order_id, order_meta_values FROM v_meta_text"),
     "a11_arrays": with_views(

@@ -6,7 +6,10 @@ returns what a reader of the result finds there.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import time
+from functools import reduce
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -77,10 +80,13 @@ def s06_incremental_pull(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def s07_json_import(spark: SparkSession, folder: str) -> DataFrame:
-    """Records as JSON lines and as files of one array over many lines, stored as a table."""
+    """Records as JSON lines and as files of one array over many lines, about a thousand records each, stored as a table."""
     path, turns = scratch_folder(spark, "json"), Tables(spark, folder).raw("conversations")
     turns.where("conv_id % 2 = 0").write.json(f"{path}/lines")
-    listed = turns.where("conv_id % 2 = 1").groupBy(F.col("conv_id") % 16).agg(F.collect_list(F.struct("conv_id", "turn", "role", "text")).alias("turns"))
+    odd = turns.where("conv_id % 2 = 1")
+    # the number of files grows with the records, so no file and no task does
+    file = F.pmod(F.xxhash64("conv_id", "turn", "role", "text"), F.lit(odd.count() // 1000 + 1))
+    listed = odd.groupBy(file).agg(F.collect_list(F.struct("conv_id", "turn", "role", "text")).alias("turns"))
     pretty = listed.select(F.to_json("turns", {"pretty": "true"}).alias("value"))
     pretty.write.option("maxRecordsPerFile", 1).text(f"{path}/arrays")
     records = readers.read_json_records(spark, f"{path}/lines", TURN_SCHEMA).unionByName(
@@ -115,13 +121,17 @@ def s11_archive(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def s14_freshness(spark: SparkSession, folder: str) -> DataFrame:
-    """Which of two tables was stored after the other."""
+    """Three datasets in the order they were stored, the first one renewed by a last pull, each with its rows."""
     root, t = scratch_folder(spark, "fresh"), Tables(spark, folder)
-    for name in ("region", "nation"):
-        t.raw(name).write.parquet(f"{root}/{name}")
-    ages = snapshots.freshness(spark, {name: f"{root}/{name}" for name in ("region", "nation")})
-    newest = ages.agg(F.max("last_pull").alias("newest"))
-    return ages.join(newest, F.lit(True), "left").select("dataset", (F.col("last_pull") >= F.col("newest") - F.expr("INTERVAL 1 DAY")).alias("recent"))
+    names = ["orders", "lineitem", "events"]
+    for name in [*names, "orders"]:
+        pulls.full_pull(spark, pulls.PullSpec(f"{root}/{name}", ""), t.raw(name))
+        time.sleep(0.01)  # stores keep whole milliseconds
+    paths = {name: f"{root}/{name}/{pulls.commits(spark, f'{root}/{name}')[-1].folder}" for name in names}
+    ages = snapshots.freshness(spark, paths)
+    place = F.row_number().over(Window.orderBy("last_pull")).alias("place")
+    counts = reduce(lambda a, b: a.unionByName(b), [pulls.pulled(spark, f"{root}/{n}").agg(F.count(F.lit(1)).alias("n")).withColumn("dataset", F.lit(n)) for n in names])
+    return ages.select("dataset", place).join(counts, "dataset")
 
 
 def s13_daily_upsert_by_type(spark: SparkSession, folder: str) -> DataFrame:
@@ -210,7 +220,8 @@ ORACLE = {
     "s01_csv_scan": "SELECT * FROM orders",
     "s01_csv_text": """SELECT doc_id, '"Said", he:' || chr(10) || ' ' || text || ' ""end" ' AS text, lang, source, n_chars FROM documents""",
     "s11_archive": """SELECT o_orderkey, '20240' || CAST(month(o_orderdate) AS VARCHAR) || '01_000000' AS pull_ts FROM orders WHERE month(o_orderdate) < 3""",
-    "s14_freshness": "SELECT unnest(['region', 'nation']) AS dataset, true AS recent",
+    "s14_freshness": """SELECT 'lineitem' AS dataset, CAST(1 AS INTEGER) AS place, count(*) AS n FROM lineitem UNION ALL
+        SELECT 'events', 2, count(*) FROM events UNION ALL SELECT 'orders', 3, count(*) FROM orders""",
     "s13_daily_upsert_by_type": """SELECT CAST(date_trunc('day', ts) AS TIMESTAMP) AS date, event_type,
         CASE WHEN date_trunc('day', ts) < TIMESTAMP '2024-01-10' THEN 0 ELSE count(*) END AS n FROM events GROUP BY date_trunc('day', ts), event_type""",
     "s03_named_parameters": """SELECT o_orderpriority AS product, count(DISTINCT o_orderkey) AS n FROM orders

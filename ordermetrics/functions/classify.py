@@ -9,12 +9,13 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ordermetrics.functions import vocabulary as V
 from ordermetrics.functions.predicates import as_column, in_list, mentions, moment
 from ordermetrics.functions.vocabulary import Vocabulary
+from ordermetrics.operators.rules import MISSING
 
 Rules = Sequence[tuple[Column, object]]
 
@@ -186,11 +187,21 @@ def utm_rules(vocab: Vocabulary) -> list[tuple[str, str, tuple[str, str, str]]]:
     ]
 
 
+UTM_LABELS = ("mapped_category", "mapped_channel", "mapped_sub_channel")
+
+
+def utm_rule_table(spark: SparkSession, vocab: Vocabulary) -> DataFrame:
+    """The rules above as rows for :func:`ordermetrics.operators.rules.labelled`; later ones have the greater priority."""
+    rows = [(s, m, n, *labels) for n, (s, m, labels) in enumerate(utm_rules(vocab))]
+    rows.append((MISSING, MISSING, len(rows), V.BRAND, "Organic", "Direct"))
+    return spark.createDataFrame(rows, "utm_source string, utm_medium string, priority int, " + ", ".join(f"{c} string" for c in UTM_LABELS))
+
+
 def with_utm_mapping(df: DataFrame, source: str = "utm_source", medium: str = "utm_medium", rules=None, *, vocab: Vocabulary) -> DataFrame:
     """Add mapped_category, mapped_channel and mapped_sub_channel (null when no rule fits)."""
     untracked = F.col(source).isNull() & F.col(medium).isNull()
     table = utm_rules(vocab) if rules is None else rules
-    names = ("mapped_category", "mapped_channel", "mapped_sub_channel")
+    names = UTM_LABELS
     direct = (V.BRAND, "Organic", "Direct")
     return df.withColumns(
         {
@@ -216,6 +227,12 @@ def paid_pairs(vocab: Vocabulary) -> list[tuple[str, str]]:
     ]
 
 
+def paid_rule_table(spark: SparkSession, vocab: Vocabulary) -> DataFrame:
+    """The paid pairs as rule rows; all give one label."""
+    rows = [(s, m, 0, V.PERFORMANCE) for s, m in paid_pairs(vocab)]
+    return spark.createDataFrame(rows, "utm_source string, utm_medium string, priority int, mapped_category string")
+
+
 def paid_category(source: Column | str = "utm_source", medium: Column | str = "utm_medium", *, vocab: Vocabulary) -> Column:
     source, medium = as_column(source), as_column(medium)
     return first_match([((source == s) & (medium == m), V.PERFORMANCE) for s, m in paid_pairs(vocab)])

@@ -179,7 +179,11 @@ def weekly_program_orders(carts: DataFrame, orders: DataFrame, as_of, days: int
 
 def completed_checkouts(carts: DataFrame, orders: DataFrame, tracking: DataFrame, metadata: DataFrame, as_of,
                         unit: str = "day", limit: int | None = None, *, vocab: Vocabulary) -> DataFrame:
-    """This year's carts that led to an order, with acquisition category and upgrade flag."""
+    """This year's carts that led to an order, with acquisition category and upgrade flag.
+
+    ``limit`` keeps the first rows by order, cart day and all other columns, so equal inputs give equal rows; the sort before
+    it keeps only that many rows in each task.
+    """
     done = carts.where(in_year_of("created_at", as_of) & (F.col("order_id").isNotNull() | F.col("prescription_id").isNotNull()))
     cart = done.select(
         truncated(unit, "created_at").alias("created_date"),
@@ -196,7 +200,10 @@ def completed_checkouts(carts: DataFrame, orders: DataFrame, tracking: DataFrame
         F.when(F.col("upgraded"), F.lit("Upgrade")).alias("upg_status"),
     )
     joined = cart.join(order, "order_id_coalesced", "left")
-    return joined if limit is None else joined.limit(limit)
+    if limit is None:
+        return joined
+    first = ["order_id_coalesced", "created_date", "order_id"]
+    return joined.orderBy(*[F.col(c).asc_nulls_last() for c in [*first, *[c for c in joined.columns if c not in first]]]).limit(limit)
 
 
 def cash_pay(carts: DataFrame, orders: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from ordermetrics.functions.timeframe import as_instant, wall_clock
+from ordermetrics.sources.partitions import changed
 
 
 class LateRows(RuntimeError):
@@ -33,6 +34,9 @@ def source(spark: SparkSession, path: str, schema: T.StructType, pattern: str =
 def finished(query: StreamingQuery, late: str = "raise") -> None:
     """Waits for a run. Rows that its watermark dropped raise; ``late="drop"`` accepts them."""
     query.awaitTermination()
+    kept = int(SparkSession.active().conf.get("spark.sql.streaming.numRecentProgressUpdates"))
+    if late == "raise" and len(query.recentProgress) >= kept:
+        raise LateRows(f"the run had more batches than the {kept} whose progress is kept; raise spark.sql.streaming.numRecentProgressUpdates")
     dropped = sum(int(s.numRowsDroppedByWatermark) for p in query.recentProgress for s in p.stateOperators)
     if dropped and late == "raise":
         raise LateRows(f"{dropped} rows were later than the watermark allows; widen lateness or rebuild")
@@ -100,14 +104,32 @@ def run_available(result: DataFrame, target: str, checkpoint: str, mode: str = "
         .outputMode(mode).trigger(availableNow=True).start(), late)
 
 
+def merge_batch(batch: DataFrame, target: str, groups: Sequence[str], run: str, number: int) -> DataFrame:
+    """Merges one batch of daily counts (date, groups, events) into ``target``, a folder a day, and returns the table.
+
+    Only the batch's days are read and rewritten; of a changed day the groups the batch lacks stay. Each row carries the stream
+    and the batch it comes from: a batch that is repeated, or comes after a later one of its stream, replaces only rows
+    older than itself.
+    """
+    stamped = batch.select(
+        F.date_format("date", "yyyy-MM-dd").alias("day"), "date", *groups, F.col("events").cast("long").alias("events"),
+        F.lit(run).alias("run"), F.lit(number).cast("long").alias("batch"))
+
+    def merge(old: DataFrame, new: DataFrame) -> DataFrame:
+        later = (F.col("run") == run) & (F.col("batch") > number)
+        ranked = old.withColumn("__rank", F.when(later, 2).otherwise(0)).unionByName(new.withColumn("__rank", F.lit(1)))
+        kept = ranked.groupBy("day", "date", *groups).agg(F.max_by(F.struct("events", "run", "batch"), "__rank").alias("__kept"))
+        return kept.select("day", "date", *groups, "__kept.events", "__kept.run", "__kept.batch")
+
+    return changed(stamped, target, "day", merge)
+
+
 def upsert_daily(stream: DataFrame, ts: str, groups: Sequence[str], target: str, checkpoint: str,
                  lateness: str = "1 day") -> StreamingQuery:
     """Keep one count per day and group in ``target``, replacing a day when it changes.
 
-    Every batch writes its changed days under its stream's id and its own number; a
-    repeated batch overwrites only itself, and a stream that starts anew on another
-    checkpoint adds to what is there. :func:`daily_state` reads the latest per day,
-    :func:`compact_daily` puts that into one folder.
+    The table is one folder a day however many batches have run, see :func:`merge_batch`. A stream that starts
+    anew on another checkpoint keeps the days it doesn't touch.
     """
     timed = event_time(stream, ts, lateness)
     daily = timed.groupBy(F.window(ts, "1 day").alias("w"), *groups).agg(F.count(F.lit(1)).alias("events"))
@@ -115,7 +137,11 @@ def upsert_daily(stream: DataFrame, ts: str, groups: Sequence[str], target: str,
 
     def store(batch: DataFrame, number: int) -> None:
         run = json.loads(batch.sparkSession.read.text(f"{checkpoint}/metadata", wholetext=True).first()[0])["id"]
-        batch.withColumn("stored_at", F.current_timestamp()).write.mode("overwrite").parquet(f"{target}/run={run}/batch={number}")
+        counts = batch.persist()  # read for its days and for its rows
+        try:
+            merge_batch(counts, target, groups, run, number)
+        finally:
+            counts.unpersist()
 
     return (
         rows.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint)
@@ -125,15 +151,4 @@ def upsert_daily(stream: DataFrame, ts: str, groups: Sequence[str], target: str,
 
 def daily_state(spark: SparkSession, target: str, groups: Sequence[str]) -> DataFrame:
     """The current row per day and group of :func:`upsert_daily`."""
-    stored = spark.read.parquet(target)
-    return stored.groupBy("date", *groups).agg(F.max_by("events", F.struct("stored_at", "batch")).alias("events"))
-
-
-def compact_daily(spark: SparkSession, target: str, groups: Sequence[str], compacted: str) -> DataFrame:
-    """The current rows of ``target`` as the first batch of the new folder ``compacted``.
-
-    Streams go on there; the old folder can go once none writes to it.
-    """
-    rows = daily_state(spark, target, groups).withColumn("stored_at", F.current_timestamp())
-    rows.write.parquet(f"{compacted}/run=compacted/batch=0")
-    return daily_state(spark, compacted, groups)
+    return spark.read.parquet(target).select("date", *groups, "events")

@@ -21,6 +21,7 @@ CHOICE = [
     "m33_last24h_hourly", "m01_by_product", "m01_presented", "m01_presented_wide", "m32_label_counts", "m42_arm_comparison", "r02_transposed", "r03_merged_spend",
     "j08_aligned_series", "a14_source_domain", "a08_described", "w4_numbered", "c10_utm_from_pages", "s01_csv_text", "s07_json_import", "s09_newest_snapshot", "s11_archive",
     "s13_daily_upsert_by_type", "s14_freshness", "st02_hourly_counts", "st02_hourly_entities", "st04_upsert", "m35_cac", "m37_waterfall", "m39_mtd_cards", "m43_return_curve", "m45_payer_benchmark", "s06_incremental_pull", "st03_rolling_24h", "t12_day_spans",
+    "m06_monthly_counts", "c11_utm_rules", "c11_wildcard_rules", "a01_period_sketches", "o2_first_checkouts",
 ]
 NAMES = sorted(catalog.oracle_sql()) if os.environ.get("CATALOG_ALL") else CHOICE
 

@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ordermetrics.schemas import SCHEMAS
-from ordermetrics.sources import layout, pulls, readers, snapshots
+from ordermetrics.operators import calendar, sketches
+from ordermetrics.sources import layout, partitions, pulls, readers, snapshots
 from ordermetrics.streaming import refresh
 
 
@@ -273,4 +274,78 @@ def test_a_stream_that_starts_anew_keeps_stored_days(spark, frame, rows, tmp_pat
         refresh.finished(refresh.upsert_daily(refresh.source(spark, source, SCHEMA), "ts", [], target, str(tmp_path / f"p{n}")))
     want = [(dt(2024, 1, 1), 1), (dt(2024, 1, 2), 1)]
     assert rows(refresh.daily_state(spark, target, [])) == want
-    assert rows(refresh.compact_daily(spark, target, [], str(tmp_path / "small"))) == want
+
+
+def _days(frame, *counts):
+    return frame(list(counts), "date timestamp_ntz, kind string, events long")
+
+
+def test_many_batches_leave_one_file_a_day_and_repeats_change_nothing(spark, frame, rows, tmp_path):
+    target = str(tmp_path / "out")
+    for number in range(6):
+        refresh.merge_batch(_days(frame, ("2024-01-01", "a", number + 1), (f"2024-01-0{number + 2}", "b", 1)), target, ["kind"], "one", number)
+    want = [(dt(2024, 1, 1), "a", 6), *[(dt(2024, 1, n), "b", 1) for n in range(2, 8)]]
+    assert rows(refresh.daily_state(spark, target, ["kind"])) == want
+    files = [f for d, _, names in os.walk(target) for f in names if f.endswith(".parquet")]
+    assert len(files) == 7 and sorted(x for x in os.listdir(target) if "=" in x)[0] == "day=2024-01-01"
+    untouched = {f: os.stat(os.path.join(target, "day=2024-01-03", f)).st_mtime_ns for f in os.listdir(f"{target}/day=2024-01-03")}
+    # the last batch again, and one that a later batch of its stream has overtaken
+    refresh.merge_batch(_days(frame, ("2024-01-01", "a", 6), ("2024-01-07", "b", 1)), target, ["kind"], "one", 5)
+    refresh.merge_batch(_days(frame, ("2024-01-01", "a", 2)), target, ["kind"], "one", 1)
+    assert rows(refresh.daily_state(spark, target, ["kind"])) == want
+    # groups of a changed day that a batch lacks stay; another stream's counts replace
+    refresh.merge_batch(_days(frame, ("2024-01-01", None, 9), ("2024-01-02", "b", 4)), target, ["kind"], "two", 0)
+    got = rows(refresh.daily_state(spark, target, ["kind"]))
+    assert sorted(map(repr, got)) == sorted(map(repr, [(dt(2024, 1, 1), None, 9), (dt(2024, 1, 1), "a", 6), (dt(2024, 1, 2), "b", 4), *want[2:]]))
+    assert untouched == {f: os.stat(os.path.join(target, "day=2024-01-03", f)).st_mtime_ns for f in os.listdir(f"{target}/day=2024-01-03")}
+
+
+def test_a_change_that_dies_half_way_is_taken_up_again(spark, frame, rows, tmp_path, monkeypatch):
+    import shutil
+
+    target = str(tmp_path / "out")
+    refresh.merge_batch(_days(frame, ("2024-01-01", "a", 1), ("2024-01-01", "b", 1)), target, ["kind"], "one", 0)
+
+    def dies(spark, table, staged, schema, by):
+        shutil.rmtree(f"{table}/day=2024-01-01")  # between leaving and coming
+        raise KeyboardInterrupt
+
+    with monkeypatch.context() as m:
+        m.setattr(partitions, "_swap", dies)
+        with pytest.raises(KeyboardInterrupt):
+            refresh.merge_batch(_days(frame, ("2024-01-01", "a", 5)), target, ["kind"], "one", 1)
+    os.makedirs(f"{target}/_staged/broken")  # and a staging that never was complete
+    got = refresh.merge_batch(_days(frame, ("2024-01-02", "a", 7)), target, ["kind"], "one", 2)
+    assert rows(got, "date", "kind", "events") == [(dt(2024, 1, 1), "a", 5), (dt(2024, 1, 1), "b", 1), (dt(2024, 1, 2), "a", 7)]
+    assert os.listdir(f"{target}/_staged") == []
+
+
+def test_sketches_merge_and_repeat_without_change(spark, frame, rows, tmp_path):
+    path = str(tmp_path / "sketches")
+    df = spark.range(6000).select(
+        (F.lit("2024-01-01").cast("timestamp_ntz") + F.make_dt_interval((F.col("id") % 90).cast("int"))).alias("t"),
+        F.when(F.col("id") % 3 > 0, F.lit("hot")).when(F.col("id") % 30 > 0, F.lit("cold")).alias("g"), (F.col("id") % 1000).alias("who"))
+    for load in (df.where("t < '2024-02-10'"), df.where("t >= '2024-01-20'"), df.where("t < '2024-02-10'")):
+        stored = sketches.merge_days(path, sketches.daily_sketches(load, "t", ["g"], "who"), ["g"])
+    assert stored.count() == df.select("t", "g").distinct().count()
+    got = {(r["grain"], r["period_start"], r["g"]): r["n"] for r in sketches.period_distinct(stored, ["g"]).collect()}
+    for grain in ("Weekly", "Monthly", "Quarterly", "Yearly"):
+        exact = df.groupBy(calendar.period_start("t", grain).alias("p"), "g").agg(F.count_distinct("who").alias("n")).collect()
+        assert all(abs(got[grain, r["p"], r["g"]] - r["n"]) <= 0.03 * r["n"] for r in exact) and exact
+    assert len(got) == sum(1 for _ in got)
+
+
+def test_rules_with_wildcards_and_priorities(spark, frame, rows, tmp_path):
+    from ordermetrics.operators.rules import MISSING, labelled
+
+    table = frame([("a", "x", 1, "exact"), ("a", None, 3, "any a"), (None, "y", 2, "any y"), (None, None, 0, "all"), (MISSING, "y", 9, None)], "s string, m string, priority int, label string")
+    df = frame([("a", "x"), ("b", "y"), ("b", "z"), (None, "y"), (None, None), ("b", "y")], "s string, m string").withColumn("priority", F.lit(7))
+    got = labelled(df, table, ["s", "m"], ["label"])
+    assert got.columns == ["s", "m", "priority", "label"]
+    assert rows(got, "s", "m", "label") == sorted([("a", "x", "any a"), ("b", "y", "any y"), ("b", "y", "any y"), ("b", "z", "all"), (None, "y", None), (None, None, "all")], key=repr)
+    assert [r["label"] for r in labelled(df, table.where("false"), ["s", "m"], ["label"]).collect()] == [None] * 6
+    with pytest.raises(Exception, match="same values and priority"):
+        labelled(df, table.unionByName(table), ["s", "m"], ["label"]).collect()
+    table.write.parquet(str(tmp_path / "rules"))
+    exact = labelled(df, spark.read.parquet(str(tmp_path / "rules")).where("s = 'a' and m = 'x'"), ["s", "m"], ["label"])
+    assert exact._jdf.queryExecution().executedPlan().toString().count("BroadcastExchange") == 1
