@@ -50,7 +50,8 @@ def bounded_sample(rows: DataFrame, kind: str, n: int) -> DataFrame:
     share = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) / F.lit(float(1 << 40))
     rows = rows.select("doc_id", kind)
     sizes = rows.groupBy(kind).agg(F.count("*").alias("_size"))
-    low = rows.join(sizes, kind).withColumn("_share", share).where(F.col("_share") * F.col("_size") <= 1.25 * n + 100)
+    # one row a kind (languages, classes), so only rows that can be in the sample are dealt by kind
+    low = rows.join(F.broadcast(sizes), kind).withColumn("_share", share).where(F.col("_share") * F.col("_size") <= 1.25 * n + 100)
     order = Window.partitionBy(kind).orderBy("_share", "doc_id")
     return low.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= n).select("doc_id", kind)
 

@@ -13,7 +13,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ordermetrics.llm.common import bounded_sample, held_out
@@ -22,7 +22,7 @@ from ordermetrics.session import written
 BITS = 15
 BUCKETS = 1 << BITS
 ORDERS = 3
-PIECE = 1 << 20  # characters scored at once; longer texts go in pieces that overlap by two
+PIECE = 1 << 18  # characters scored at once; longer texts go in pieces that overlap by two
 UNKNOWN = "und"
 
 
@@ -135,40 +135,58 @@ def train(docs: DataFrame, per_language: int = 2000, smoothing: float = 0.5) ->
 
 
 def score_texts(texts: list[str | None], model: Model, letters: np.ndarray) -> pd.DataFrame:
-    """lang_pred and score (posterior) of each text; und and 0 for null or letterless ones."""
-    total, seen = np.tile(model.prior, (len(texts), 1)), np.zeros(len(texts), bool)
+    """lang_pred and score (posterior) of each text; und and 0 for null or letterless ones. grams counts what was
+    scored, fit is its mean log-probability in the predicted language."""
+    total, grams = np.tile(model.prior, (len(texts), 1)), np.zeros(len(texts), np.int64)
     for rows, parts, known in _pieces([t or "" for t in texts]):
         for owner, bucket in _each_order(rows, parts, known, letters):
             if len(owner):
                 cuts = np.flatnonzero(np.diff(owner, prepend=-1))
                 total[owner[cuts]] += np.add.reduceat(model.weights[bucket], cuts, axis=0, dtype=np.float64)
-                seen[owner[cuts]] = True
+                grams[owner[cuts]] += np.diff(cuts, append=len(owner))
     if not model.languages:
-        return pd.DataFrame({"lang_pred": [UNKNOWN] * len(texts), "score": 0.0})
-    best = total.argmax(1)
+        return pd.DataFrame({"lang_pred": [UNKNOWN] * len(texts), "score": 0.0, "grams": grams, "fit": 0.0})
+    best, seen = total.argmax(1), grams > 0
     top = total.max(1, keepdims=True)
     score = 1 / np.exp(total - top).sum(1)
     names = np.array(model.languages, dtype=object)[best]
     names[~seen] = UNKNOWN
-    return pd.DataFrame({"lang_pred": names, "score": np.where(seen, score, 0.0)})
+    fit = (top[:, 0] - model.prior[best]) / np.maximum(grams, 1)
+    return pd.DataFrame({"lang_pred": names, "score": np.where(seen, score, 0.0), "grams": grams, "fit": fit})
 
 
-def identify(docs: DataFrame, model: Model) -> DataFrame:
-    """``docs`` with lang_pred and score, from the whole text alone.
+def least_fit(model: Model) -> dict[str, float]:
+    """The mean log-probability below which a text doesn't read like a language.
 
-    Null, empty and letterless texts are ``und`` with score 0; so is every text if the
-    model learned no language. Columns lang_pred and score are replaced.
+    In text of the language it is the sum of p log p over the buckets; letters the model never met fall into buckets at random, where it
+    is the plain mean of log p. The bound lies half-way.
     """
+    logs = model.weights.astype(np.float64)
+    own, random = (np.exp(logs) * logs).sum(0), logs.mean(0)
+    return dict(zip(model.languages, ((own + random) / 2).tolist(), strict=True))
+
+
+def _scored(docs: DataFrame, model: Model) -> DataFrame:
+    """``docs`` with the struct ``_p`` of what :func:`score_texts` tells."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS rows of 4 bytes a language
 
-    @F.pandas_udf("lang_pred string, score double")
+    @F.pandas_udf("lang_pred string, score double, grams long, fit double")
     def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         letters = _letters()
         for batch in batches:
             yield score_texts(list(batch), shared.value, letters)
 
+    return docs.withColumn("_p", predict("text"))
+
+
+def identify(docs: DataFrame, model: Model) -> DataFrame:
+    """``docs`` with lang_pred and score, from the whole text alone.
+
+    Null, empty and letterless texts are ``und`` with score 0; so is every text if the
+    model learned no language. Columns lang_pred and score are replaced.
+    """
     docs = docs.drop("lang_pred", "score")
-    return docs.withColumn("_p", predict("text")).select(*docs.columns, "_p.lang_pred", "_p.score")
+    return _scored(docs, model).select(*docs.columns, "_p.lang_pred", "_p.score")
 
 
 def train_on_open(docs: DataFrame, **settings) -> Model:
@@ -176,15 +194,16 @@ def train_on_open(docs: DataFrame, **settings) -> Model:
     return train(docs.where(~held_out()), **settings)
 
 
-def known_language(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
-    """The documents whose language the model tells with a posterior of ``least``; columns stay.
+def known_language(docs: DataFrame, model: Model, least: float = 0.5, least_grams: int = 30) -> DataFrame:
+    """The documents whose language the model tells with a posterior of ``least`` and that read like it; columns stay.
 
-    A model that learned no language rejects nothing.
+    A posterior only compares the learned languages and is near 1 for any text, so a text of ``least_grams`` grams or more
+    also needs the mean log-probability of :func:`least_fit`; shorter ones vary too much for it. A model that
+    learned no language rejects nothing.
     """
     if not model.languages:
         return docs
-    return identify(docs, model).where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)).select(*docs.columns)
-
-
-def queries_model(spark: SparkSession, folder: str) -> Model:
-    return train_on_open(spark.read.parquet(f"{folder}/documents.parquet"))
+    bound = F.create_map(*[x for name, value in least_fit(model).items() for x in (F.lit(name), F.lit(value))])
+    known = (F.col("_p.lang_pred") != UNKNOWN) & (F.col("_p.score") >= least)
+    reads = (F.col("_p.grams") < least_grams) | (F.col("_p.fit") >= F.element_at(bound, F.col("_p.lang_pred")))
+    return _scored(docs, model).where(known & reads).select(*docs.columns)

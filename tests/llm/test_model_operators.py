@@ -275,6 +275,60 @@ def test_marks_that_compose_only_in_lower_case_encode_as_the_tokenizer_does():
     assert got == [whole.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+def test_texts_of_no_learned_language_are_rejected(spark):
+    """Other scripts and letters at random go; the clean texts of all learned languages, short and cut ones too, stay."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = langid.train_on_open(docs)
+    unknown = [
+        "Съешь же ещё этих мягких французских булок, да выпей чаю.", "日本語の文章はこのように書かれています。今日は天気がとても良いです。",
+        "Η γρήγορη καφέ αλεπού πηδάει πάνω από τον τεμπέλη σκύλο", "qwx zzkv brrt xqzj wvvk jqqx zzx kkw"]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate([*unknown, "the", None, "", "12 34"])], "doc_id long, text string")
+    assert [r["doc_id"] for r in langid.known_language(rows, model).collect()] == [4]
+    with_letters = docs.where(F.col("text").rlike("[A-Za-zà-ÿ]"))
+    assert langid.known_language(docs, model).count() == with_letters.count()
+    assert langid.known_language(docs.select("doc_id", F.substring("text", 1, 60).alias("text")), model).count() >= 0.999 * with_letters.count()
+
+
+def test_scores_equal_naive_bayes_in_plain_loops():
+    """Counts and posteriors of a small model by loops over characters, with the same hash of a gram."""
+    import math
+
+    letters, mask = langid._letters(), 0xFFFFFFFF
+
+    def grams(text):
+        codes = [int(langid._codes(c, letters)[0]) for c in text]
+        mixed = [(c * 0x9E3779B1) & mask for c in codes]
+        mixed = [m ^ (m >> 15) for m in mixed]
+        for order in range(1, langid.ORDERS + 1):
+            for at in range(order - 1, len(codes)):
+                total = mixed[at - order + 1]
+                for k in range(at - order + 2, at + 1):
+                    total = (total * 0x85EBCA77 + mixed[k]) & mask
+                if codes[at] or (order > 1 and codes[at - 1]):
+                    yield (((total + order) * 0xC2B2AE3D) & mask) >> (32 - langid.BITS)
+
+    taught = {"aa": ["ab ab abba", "bab"], "bb": ["xyz zyx", "yy é xz"]}
+    counts = {n: defaultdict(int) for n in taught}
+    for name, texts in taught.items():
+        for text in texts:
+            for g in grams(text):
+                counts[name][g] += 1
+    sums = {n: sum(c.values()) + 0.5 * langid.BUCKETS for n, c in counts.items()}
+    table = np.array([[math.log((counts[n][b] + 0.5) / sums[n]) for n in taught] for b in range(langid.BUCKETS)], np.float32)
+    model = langid.Model(list(taught), table, np.full(2, -math.log(2)))
+    asked = ["abba", "xyz", "ab zy", "é", "7", None, "bab xyz é ab" * 50]
+    got = langid.score_texts(asked, model, letters)
+    for text, row in zip(asked, got.itertuples(), strict=True):
+        found = list(grams(text or ""))
+        logs = [sum(float(table[g, i]) for g in found) for i in range(2)]
+        if not found:
+            assert (row.lang_pred, row.score, row.grams) == ("und", 0.0, 0)
+            continue
+        best = max(range(2), key=lambda i: logs[i])
+        assert row.lang_pred == model.languages[best] and row.grams == len(found)
+        assert row.score == pytest.approx(1 / sum(math.exp(x - logs[best]) for x in logs)) and row.fit == pytest.approx(logs[best] / len(found))
+
+
 def test_random_scripts_encode_as_the_tokenizer_does(monkeypatch):
     """Texts over many scripts, with little memory, alone and together."""
     path, draw = vocabulary("word_bpe_49k.json"), random.Random(21)
