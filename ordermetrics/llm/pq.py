@@ -89,13 +89,25 @@ def encode(vectors: np.ndarray, lists: np.ndarray, index: Index) -> tuple[np.nda
     return codes, np.sqrt(error)
 
 
-def table_distances(queries: np.ndarray, list_no: int, codes: np.ndarray, index: Index) -> np.ndarray:
-    """Squared distances of queries from the coded members of one list."""
-    parts = _parts(queries - index.centroids[list_no], index)
-    total = np.zeros((len(queries), len(codes)), np.float32)
+def tables(queries: np.ndarray, index: Index) -> np.ndarray:
+    """What the codes of each subspace add to a query's squared distances (subspaces x queries x CODES), whatever the list."""
+    parts = _parts(queries, index)
+    return np.stack([(-2 * parts[:, s] @ book.T).astype(np.float32) for s, book in enumerate(index.books)])
+
+
+def table_distances(queries: np.ndarray, table: np.ndarray, list_no: int, codes: np.ndarray, index: Index) -> np.ndarray:
+    """Squared distances of queries (with their ``table``) from the coded members of one list.
+
+    |q - c - b|^2 is |q - c|^2, what the query's table has for the code b, and |b|^2 + 2cb, which is a member's own.
+    """
+    centre = index.centroids[list_no]
+    place = _parts(centre[None], index)[0]
+    own = np.zeros(len(codes))
     for s, book in enumerate(index.books):
-        lookup = ((parts[:, s, None] - book[None]) ** 2).sum(2).astype(np.float32)
-        total += lookup[:, codes[:, s]]
+        own += ((book**2).sum(1) + 2 * book @ place[s])[codes[:, s]]
+    total = (((queries - centre) ** 2).sum(1)[:, None] + own).astype(np.float32)
+    for s in range(len(index.books)):
+        total += np.take(table[s], codes[:, s], axis=1)
     return total
 
 
@@ -165,20 +177,16 @@ def _meet(asks: dict, has: dict, same: bool, index: Index, threshold: float, lin
     q, m = (np.frombuffer(side["unit"], np.float64).reshape(len(node), -1) for side, node in ((asks, q_node), (has, m_node)))
     codes = np.frombuffer(has["codes"], np.uint8).reshape(len(m), -1)
     lists, error = np.frombuffer(has["lists"], "<i4"), np.frombuffer(has["errors"], "<f8")
-    names, at, size = np.unique(lists, return_inverse=True, return_counts=True)
     near = []
-    few = np.flatnonzero(size[at] <= CODES)  # a table of all codes would cost more than the members of these lists
-    for begin in range(0, len(few) and len(q), BLOCK):
-        u, v = np.nonzero(q[begin : begin + BLOCK] @ m[few].T >= threshold - 1e-6)
-        near.append((u + begin, few[v]))
-    for list_no in names[size > CODES]:
+    table = tables(q, index)
+    for list_no in np.unique(lists):
         inside = np.flatnonzero(lists == list_no)
         centre = index.centroids[list_no]
         radius = np.sqrt(((m[inside] - centre) ** 2).sum(1).max())
         close = np.flatnonzero(np.sqrt(((q - centre) ** 2).sum(1)) <= link + radius)  # a link's other end can't be farther
         for begin in range(0, len(close) and len(inside), BLOCK):
             part = inside[begin : begin + BLOCK]
-            far = table_distances(q[close], int(list_no), codes[part], index)
+            far = table_distances(q[close], table[:, close], int(list_no), codes[part], index)
             u, v = np.nonzero(far <= (link + error[part] + 1e-3) ** 2)
             near.append((close[u], part[v]))
     found = []
@@ -223,11 +231,11 @@ def _bridges(q_node: np.ndarray, m_node: np.ndarray, a: np.ndarray, b: np.ndarra
     return pd.DataFrame({"node": names[used], "links": 0, "other": names[root[used]]})
 
 
-def near_vectors(rows: DataFrame, threshold: float = 0.9, probes: int = 8, per_list: int = 200, most_lists: int = 4096) -> DataFrame:
+def near_vectors(rows: DataFrame, threshold: float = 0.9, per_list: int = 200, most_lists: int = 4096) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for each row of ``rows`` (vec_id, embedding).
 
-    Cosine in double precision, links at ``threshold`` or more, all of them: ``probes``, the
-    lists once searched for a vector, has no effect any more. Null, zero and empty vectors and those with null
+    Cosine in double precision, links at ``threshold`` or more, all of them: a vector probes every list that
+    can hold one, by the list's radius. Null, zero and empty vectors and those with null
     or non-finite components link with nothing, nor do vectors of different lengths. Equal
     vectors are one node that counts as often as it occurs, so repeated rows and groups
     of copies link with each other. A null vec_id names no component unless all have none.
