@@ -7,6 +7,7 @@ returns what a reader of the result finds there.
 from __future__ import annotations
 
 import time
+import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -16,7 +17,7 @@ from pyspark.sql import types as T
 from ordermetrics.catalog.views import Tables
 from ordermetrics.functions.timeframe import day, wall_clock
 from ordermetrics.session import scratch_folder
-from ordermetrics.sources import pulls, readers, snapshots
+from ordermetrics.sources import layout, pulls, readers, snapshots
 from ordermetrics.streaming import refresh
 
 EVENT_SCHEMA = T.StructType(
@@ -154,6 +155,25 @@ def s13_daily_upsert(spark: SparkSession, folder: str) -> DataFrame:
     return snapshots.upsert_days(spark, late, root, "blocked", "20240131_000000")
 
 
+def l01_month_folders(spark: SparkSession, folder: str) -> DataFrame:
+    """Shipments stored by month; a range of days reads the folders of its months only."""
+    path, lines = scratch_folder(spark, "months"), Tables(spark, folder).raw("lineitem")
+    layout.write_by_month(lines, path, "l_shipdate", files_per_month=1 + lines.count() // 5_000_000)
+    quarter = layout.read_by_month(spark, path, "l_shipdate", "1997-03-10", "1997-05-20")
+    return quarter.groupBy("l_shipmode").agg(F.count(F.lit(1)).alias("n"), F.min("l_shipdate").alias("first"), F.max("l_shipdate").alias("last"))
+
+
+def l02_bucketed_join(spark: SparkSession, folder: str) -> DataFrame:
+    """Orders and their lines stored in buckets of the order, joined and counted per order state without moving either."""
+    t, run = Tables(spark, folder), uuid.uuid4().hex
+    buckets = 8 * (1 + t.raw("lineitem").count() // 50_000_000)
+    orders = layout.save_bucketed(t.raw("orders").select(F.col("o_orderkey").alias("order_id"), "o_orderstatus"), f"layout_orders_{run}", "order_id", buckets)
+    lines = layout.save_bucketed(t.raw("lineitem").select(F.col("l_orderkey").alias("order_id"), "l_quantity"), f"layout_lines_{run}", "order_id", buckets)
+    per_order = lines.groupBy("order_id").agg(F.count(F.lit(1)).alias("n"), F.sum("l_quantity").alias("q"))
+    return orders.hint("merge").join(per_order, "order_id").groupBy("o_orderstatus").agg(
+        F.count(F.lit(1)).alias("orders"), F.sum("n").alias("lines"), F.sum(F.col("q").cast("decimal(18,2)")).cast("double").alias("quantity"))
+
+
 def _events(spark: SparkSession, folder: str) -> DataFrame:
     # a glob, so that the table may be one file or a folder of files
     return refresh.source(spark, f"{folder}/{{events}}.parquet", EVENT_SCHEMA)
@@ -210,7 +230,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         s01_csv_scan, s01_csv_text, s11_archive, s14_freshness, s13_daily_upsert_by_type, s03_named_parameters, s05_full_pull, s06_incremental_pull, s07_json_import, s09_newest_snapshot,
-        s13_daily_upsert, st01_ingest, st02_hourly_counts, st02_hourly_entities, st03_rolling_24h, st04_upsert, st05_dedupe,
+        s13_daily_upsert, l01_month_folders, l02_bucketed_join, st01_ingest, st02_hourly_counts, st02_hourly_entities, st03_rolling_24h, st04_upsert, st05_dedupe,
     )
 }
 
@@ -233,6 +253,10 @@ ORACLE = {
     "s09_newest_snapshot": "SELECT * FROM orders WHERE o_orderstatus = 'F'",
     "s13_daily_upsert": """SELECT CAST(date_trunc('day', ts) AS TIMESTAMP) AS date,
         CASE WHEN date_trunc('day', ts) < TIMESTAMP '2024-01-10' THEN 0 ELSE count(*) END AS n FROM events GROUP BY date_trunc('day', ts)""",
+    "l01_month_folders": """SELECT l_shipmode, count(*) AS n, min(l_shipdate) AS first, max(l_shipdate) AS last FROM lineitem
+        WHERE l_shipdate >= TIMESTAMP '1997-03-10' AND l_shipdate < TIMESTAMP '1997-05-21' GROUP BY 1""",
+    "l02_bucketed_join": """SELECT o_orderstatus, count(DISTINCT o_orderkey) AS orders, count(*) AS lines, CAST(sum(CAST(l_quantity AS DECIMAL(18,2))) AS DOUBLE) AS quantity
+        FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1""",
     "st01_ingest": "SELECT * FROM events",
     "st02_hourly_counts": f"""SELECT CAST(date_trunc('hour', ts) AS TIMESTAMP) AS window_start, CAST(date_trunc('hour', ts) + INTERVAL 1 HOUR AS TIMESTAMP) AS window_end,
         event_type, count(*) AS events, count(DISTINCT user_id) AS entities FROM events WHERE date_trunc('hour', ts) + INTERVAL 1 HOUR <= {_CLOSED} GROUP BY ALL""",

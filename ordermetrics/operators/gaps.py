@@ -47,7 +47,7 @@ def day_gap_sums(starts: DataFrame, ends: DataFrame, keys: Sequence[str], groups
 
     n, wide = F.col("__n"), lambda c: F.sum(c).cast(_WIDE)
     per_key = before.join(behind, [*keys, "__t"], "left").groupBy(*keys, *[g for g in groups if g not in keys]).agg(
-        wide(n).alias("__starts"), wide(n * F.col("__d")).alias("__start_days"), wide(n * F.coalesce("__behind", F.lit(0))).alias("__less"))
+        wide(n).alias("__starts"), wide(n * F.col("__d")).alias("__start_days"), F.sum((n * F.coalesce("__behind", F.lit(0))).cast(_WIDE)).alias("__less"))
     targets = after.groupBy(*keys).agg(wide(n).alias("__ends"), wide(n * F.col("__d")).alias("__end_days"))
     met = per_key.join(targets, list(keys), "left")
     gap = (F.col("__starts") * F.col("__end_days")).cast(_WIDE) - (F.col("__ends") * F.col("__start_days")).cast(_WIDE) - F.col("__less")

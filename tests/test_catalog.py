@@ -21,7 +21,7 @@ CHOICE = [
     "m33_last24h_hourly", "m01_by_product", "m01_presented", "m01_presented_wide", "m32_label_counts", "m42_arm_comparison", "r02_transposed", "r03_merged_spend",
     "j08_aligned_series", "a14_source_domain", "a08_described", "w4_numbered", "c10_utm_from_pages", "s01_csv_text", "s07_json_import", "s09_newest_snapshot", "s11_archive",
     "s13_daily_upsert_by_type", "s14_freshness", "st02_hourly_counts", "st02_hourly_entities", "st04_upsert", "m35_cac", "m37_waterfall", "m39_mtd_cards", "m43_return_curve", "m45_payer_benchmark", "s06_incremental_pull", "st03_rolling_24h", "t12_day_spans",
-    "m06_monthly_counts", "c11_utm_rules", "c11_wildcard_rules", "a01_period_sketches", "o2_first_checkouts",
+    "m06_monthly_counts", "c11_utm_rules", "c11_wildcard_rules", "a01_period_sketches", "o2_first_checkouts", "l01_month_folders", "l02_bucketed_join",
 ]
 NAMES = sorted(catalog.oracle_sql()) if os.environ.get("CATALOG_ALL") else CHOICE
 
@@ -54,3 +54,11 @@ def test_query_equals_its_sql(spark, duck, name):
     got = table(catalog.queries()[name](spark, FOLDER).toPandas())
     want = table(duck.execute(catalog.oracle_sql()[name]).df())
     assert got == want
+
+
+def test_layouts_save_reading_and_moving(spark):
+    months = catalog.queries()["l01_month_folders"](spark, FOLDER)
+    assert "PartitionFilters: [isnotnull(event_month" in months._jdf.queryExecution().executedPlan().toString()
+    joined = catalog.queries()["l02_bucketed_join"](spark, FOLDER)
+    plan = joined._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "SortMergeJoin" in plan  # only the counts per state move
