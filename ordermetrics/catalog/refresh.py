@@ -160,7 +160,7 @@ def l01_month_folders(spark: SparkSession, folder: str) -> DataFrame:
     path, lines = scratch_folder(spark, "months"), Tables(spark, folder).raw("lineitem")
     layout.write_by_month(lines, path, "l_shipdate", files_per_month=1 + lines.count() // 5_000_000)
     quarter = layout.read_by_month(spark, path, "l_shipdate", "1997-03-10", "1997-05-20")
-    return quarter.groupBy("l_shipmode").agg(F.count(F.lit(1)).alias("n"), F.min("l_shipdate").alias("first"), F.max("l_shipdate").alias("last"))
+    return quarter.groupBy("l_linestatus").agg(F.count(F.lit(1)).alias("n"), F.min("l_shipdate").alias("first"), F.max("l_shipdate").alias("last"))
 
 
 def l02_bucketed_join(spark: SparkSession, folder: str) -> DataFrame:
@@ -253,7 +253,7 @@ ORACLE = {
     "s09_newest_snapshot": "SELECT * FROM orders WHERE o_orderstatus = 'F'",
     "s13_daily_upsert": """SELECT CAST(date_trunc('day', ts) AS TIMESTAMP) AS date,
         CASE WHEN date_trunc('day', ts) < TIMESTAMP '2024-01-10' THEN 0 ELSE count(*) END AS n FROM events GROUP BY date_trunc('day', ts)""",
-    "l01_month_folders": """SELECT l_shipmode, count(*) AS n, min(l_shipdate) AS first, max(l_shipdate) AS last FROM lineitem
+    "l01_month_folders": """SELECT l_linestatus, count(*) AS n, min(l_shipdate) AS first, max(l_shipdate) AS last FROM lineitem
         WHERE l_shipdate >= TIMESTAMP '1997-03-10' AND l_shipdate < TIMESTAMP '1997-05-21' GROUP BY 1""",
     "l02_bucketed_join": """SELECT o_orderstatus, count(DISTINCT o_orderkey) AS orders, count(*) AS lines, CAST(sum(CAST(l_quantity AS DECIMAL(18,2))) AS DOUBLE) AS quantity
         FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1""",
