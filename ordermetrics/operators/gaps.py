@@ -3,24 +3,24 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ordermetrics.functions.timeframe import NTZ
 from ordermetrics.operators.prefix import running_sum
+from ordermetrics.session import written
 
 _WIDE = "decimal(38,0)"
 
 
-def _day(ts: Column) -> Column:
-    return F.unix_date(F.to_date(ts)).cast("long")
-
-
-def _time_of_day(ts: Column) -> Column:
-    """Microseconds since midnight on the wall clock."""
-    minutes = F.extract(F.lit("HOUR"), ts) * 60 + F.extract(F.lit("MINUTE"), ts)
-    return minutes.cast("long") * 60_000_000 + (F.extract(F.lit("SECOND"), ts) * 1_000_000).cast("long")
+def _clock(ts: str) -> list[Column]:
+    """Day number ``__d`` and microseconds since midnight ``__t`` on the wall clock."""
+    at = F.col(ts).cast(NTZ)
+    minutes = F.extract(F.lit("HOUR"), at) * 60 + F.extract(F.lit("MINUTE"), at)
+    micros = minutes.cast("long") * 60_000_000 + (F.extract(F.lit("SECOND"), at) * 1_000_000).cast("long")
+    return [F.unix_date(F.to_date(at)).cast("long").alias("__d"), micros.alias("__t")]
 
 
 def day_gap_sums(starts: DataFrame, ends: DataFrame, keys: Sequence[str], groups: Sequence[str], start: str, end: str, weight: str) -> DataFrame:
@@ -29,28 +29,29 @@ def day_gap_sums(starts: DataFrame, ends: DataFrame, keys: Sequence[str], groups
     Days are rounded down, as ``days_floor`` does. With day numbers d and times of day t, a pair's gap is d(end) - d(start), less one where
     t(end) < t(start). The first part follows from counts and day sums of both lists; how many ends lie behind a start on the clock is a
     running sum of end counts along the time of day, for keys with any number of events. So rows grow with starts plus ends, never with
-    their product. An end counts ``weight`` times. Groups whose starts meet no end have 0 pairs; null keys and times meet nothing.
+    their product. An end counts ``weight`` times. Starts without a row in ``ends`` are left out, as in an inner join; an end without
+    a time makes no pair but keeps its starts, so their groups can have 0 pairs. Both lists are read once, counted and stored.
     """
-    known = [F.col(k).isNotNull() for k in keys]
-    s_ts, e_ts = F.col(start).cast(NTZ), F.col(end).cast(NTZ)
-    before = starts.groupBy(*keys, *groups, _day(s_ts).alias("__d"), _time_of_day(s_ts).alias("__t")).agg(F.count(F.lit(1)).alias("__n"))
-    after = ends.where(F.col(end).isNotNull()).groupBy(*keys, _day(e_ts).alias("__d"), _time_of_day(e_ts).alias("__t")).agg(F.sum(weight).alias("__n"))
-    for condition in known:
-        after = after.where(condition)
+    named = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys])
+    after = written(ends.where(named).groupBy(*keys, *_clock(end)).agg(F.sum(weight).cast("long").alias("__n")), "ends")
+    met = starts.where(F.col(start).isNotNull()).join(after.select(*keys).distinct(), list(keys), "left_semi")
+    before = written(met.groupBy(*keys, *[g for g in groups if g not in keys], *_clock(start)).agg(F.count(F.lit(1)).alias("__n")), "starts")
+    timed = after.where(F.col("__t").isNotNull())
     # a start stands before the ends of its own time of day
     clock = before.select(*keys, "__t", F.lit(0).alias("__side"), F.lit(0).cast("long").alias("__n")).unionByName(
-        after.select(*keys, "__t", F.lit(1).alias("__side"), F.col("__n").cast("long").alias("__n")))
-    for condition in known:
-        clock = clock.where(condition)
+        timed.select(*keys, "__t", F.lit(1).alias("__side"), "__n"))
     merged = clock.groupBy(*keys, "__t", "__side").agg(F.sum("__n").alias("__n"))
     behind = running_sum(merged, keys, ["__t", "__side"], "__n", "__behind").where(F.col("__side") == 0).select(*keys, "__t", "__behind")
 
-    n, wide = F.col("__n"), lambda c: F.sum(c).cast(_WIDE)
+    def wide(c: Column) -> Column:
+        return F.sum(c.cast(_WIDE)).cast(_WIDE)
+
+    n = F.col("__n")
     per_key = before.join(behind, [*keys, "__t"], "left").groupBy(*keys, *[g for g in groups if g not in keys]).agg(
-        wide(n).alias("__starts"), wide(n * F.col("__d")).alias("__start_days"), F.sum((n * F.coalesce("__behind", F.lit(0))).cast(_WIDE)).alias("__less"))
-    targets = after.groupBy(*keys).agg(wide(n).alias("__ends"), wide(n * F.col("__d")).alias("__end_days"))
-    met = per_key.join(targets, list(keys), "left")
+        wide(n).alias("__starts"), wide(n * F.col("__d")).alias("__start_days"), wide(n * F.coalesce("__behind", F.lit(0))).alias("__less"))
+    targets = timed.groupBy(*keys).agg(wide(n).alias("__ends"), wide(n * F.col("__d")).alias("__end_days"))
+    both = per_key.join(targets, list(keys), "left")
     gap = (F.col("__starts") * F.col("__end_days")).cast(_WIDE) - (F.col("__ends") * F.col("__start_days")).cast(_WIDE) - F.col("__less")
     pairs = (F.col("__starts") * F.col("__ends")).cast(_WIDE)
-    return met.groupBy(*groups).agg(
+    return both.groupBy(*groups).agg(
         F.sum(F.coalesce(gap.cast(_WIDE), F.lit(0))).alias("gap_days"), F.sum(F.coalesce(pairs, F.lit(0))).alias("gap_pairs"))

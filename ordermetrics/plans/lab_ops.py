@@ -331,35 +331,36 @@ def monthly_mean_days(df: DataFrame, month_of: str, later: str, earlier: str, si
     return _as_month_ends(fill_periods(months, "month", "MONTH"), since)
 
 
-def _pair_timeline(starts: DataFrame, ends: DataFrame, series: Sequence[str], since: str | None) -> DataFrame:
-    """Mean days from each ship date to each end of its delivery, by ship month (and series); months without a pair are null."""
-    keys, groups = [*series, "delivery_id"], [*series, "month"]
-    months = starts.where(F.col("ship_date").isNotNull()).withColumn("month", truncated("month", "ship_date"))
-    sums = day_gap_sums(months, ends, keys, groups, "ship_date", "ended", "n")
-    means = sums.select(*groups, half_even(ratio("gap_days", "gap_pairs")).alias("mean_days"))
-    return _as_month_ends(fill_periods(means, "month", "MONTH", groups=series), since)
+def _pair_timeline(kits: DataFrame, ends: DataFrame, series: Sequence[str], since: str | None) -> DataFrame:
+    """Mean days from each ship date to each end of its delivery, by ship month and series; months without a pair are null."""
+    each = F.explode(F.array(*[F.lit(name) for name in series]))
+    starts = kits.select("delivery_id", "ship_date", truncated("month", "ship_date").alias("month"), each.alias("series"))
+    sums = day_gap_sums(starts, ends, ["series", "delivery_id"], ["series", "month"], "ship_date", "ended", "n")
+    means = sums.select("series", "month", half_even(ratio("gap_days", "gap_pairs")).alias("mean_days"))
+    return _as_month_ends(fill_periods(means, "month", "MONTH", groups=["series"]), since)
 
 
-def _accessions(orders: DataFrame, kits: DataFrame, samples: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _accessions(orders: DataFrame, samples: DataFrame) -> DataFrame:
+    """When the samples of a delivery's patient orders were received; without a time where they weren't."""
     patient = orders.where(not_in_keep_null("order_flow", V.TRANSCRIBED_FLOWS))
-    linked = patient.where(F.col("delivery_id").isNotNull()).groupBy("delivery_id", "sample_id").agg(F.count(F.lit(1)).alias("n"))
-    received = join_on(linked, samples.select("sample_id", F.col("sample_received").alias("ended")), {"sample_id": "sample_id"}, "inner")
-    return kits.select("delivery_id", "ship_date").join(linked.select("delivery_id"), "delivery_id", "left_semi"), received
+    linked = patient.groupBy("delivery_id", "sample_id").agg(F.count(F.lit(1)).alias("n"))
+    received = join_on(linked, samples.select("sample_id", F.col("sample_received").alias("ended")), {"sample_id": "sample_id"})
+    return received.select(F.lit("accession").alias("series"), "delivery_id", "ended", "n")
 
 
-def _releases(orders: DataFrame, kits: DataFrame, samples: DataFrame, reports: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _releases(orders: DataFrame, samples: DataFrame, reports: DataFrame) -> DataFrame:
+    """When the reports of a delivery's known samples were released, each as often as orders, samples and reports say."""
     released = reports.where((F.col("report_status") == "RELEASED") & (F.col("state") == "RELEASED"))
-    linked = orders.where(F.col("delivery_id").isNotNull()).groupBy("delivery_id", "sample_id").agg(F.count(F.lit(1)).alias("orders"))
+    linked = orders.groupBy("delivery_id", "sample_id").agg(F.count(F.lit(1)).alias("orders"))
     known = samples.groupBy("sample_id").agg(F.count(F.lit(1)).alias("samples"))
     dates = released.groupBy("sample_id", F.col("report_created_at").alias("ended")).agg(F.count(F.lit(1)).alias("reports"))
-    ends = join_on(join_on(linked, known, {"sample_id": "sample_id"}, "inner"), dates, {"sample_id": "sample_id"}, "inner").select(
-        "delivery_id", "ended", (F.col("orders") * F.col("samples") * F.col("reports")).alias("n"))
-    return kits.select("delivery_id", "ship_date").join(ends.select("delivery_id"), "delivery_id", "left_semi"), ends
+    ends = join_on(join_on(linked, known, {"sample_id": "sample_id"}, "inner"), dates, {"sample_id": "sample_id"}, "inner")
+    return ends.select(F.lit("release").alias("series"), "delivery_id", "ended", (F.col("orders") * F.col("samples") * F.col("reports")).alias("n"))
 
 
 def accession_timeline(orders: DataFrame, kits: DataFrame, samples: DataFrame, since: str | None = None) -> DataFrame:
     """Mean days from shipping to accession; transcribed order flows left out."""
-    return _pair_timeline(*_accessions(orders, kits, samples), [], since)
+    return _pair_timeline(kits, _accessions(orders, samples), ["accession"], since).drop("series")
 
 
 def process_turnaround(orders: DataFrame, samples: DataFrame, results: DataFrame, since: str | None = None) -> DataFrame:
@@ -373,17 +374,14 @@ def process_turnaround(orders: DataFrame, samples: DataFrame, results: DataFrame
 def release_timeline(orders: DataFrame, kits: DataFrame, samples: DataFrame, reports: DataFrame,
                      since: str | None = None) -> DataFrame:
     """Mean days from shipping to release, by ship month."""
-    return _pair_timeline(*_releases(orders, kits, samples, reports), [], since)
+    return _pair_timeline(kits, _releases(orders, samples, reports), ["release"], since).drop("series")
 
 
 def shipping_timelines(orders: DataFrame, kits: DataFrame, samples: DataFrame, reports: DataFrame,
                        since: str | None = None) -> DataFrame:
-    """Both timelines from shipping, as series ``accession`` and ``release`` of one scan over the pairs' sums."""
-    parts = {"accession": _accessions(orders, kits, samples), "release": _releases(orders, kits, samples, reports)}
-    columns = ["series", "delivery_id"]
-    starts = append_rows(*[s.withColumn("series", F.lit(name)).select(*columns, "ship_date") for name, (s, _) in parts.items()])
-    ends = append_rows(*[e.withColumn("series", F.lit(name)).select(*columns, "ended", "n") for name, (_, e) in parts.items()])
-    return _pair_timeline(starts, ends, ["series"], since)
+    """Both timelines from shipping, as series ``accession`` and ``release`` of one pass over shipments and ends."""
+    ends = append_rows(_accessions(orders, samples), _releases(orders, samples, reports))
+    return _pair_timeline(kits, ends, ["accession", "release"], since)
 
 
 # --- blocked reports ------------------------------------------------------
