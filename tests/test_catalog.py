@@ -62,3 +62,20 @@ def test_layouts_save_reading_and_moving(spark):
     joined = catalog.queries()["l02_bucketed_join"](spark, FOLDER)
     plan = joined._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange") == 1 and "SortMergeJoin" in plan  # only the counts per state move
+
+
+def test_monthly_counts_read_each_table_once(spark):
+    plan = catalog.queries()["m06_monthly_counts"](spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
+    # orders, order types, and samples, results and releases, which are views of one table here
+    assert plan.count("FileScan parquet") == 5
+
+
+def test_payer_benchmark_without_a_broadcast_card(spark, duck):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = table(catalog.queries()["m45_payer_benchmark"](spark, FOLDER).toPandas())
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.unset("spark.sql.adaptive.autoBroadcastJoinThreshold")
+    assert got == table(duck.execute(catalog.oracle_sql()["m45_payer_benchmark"]).df())
