@@ -27,7 +27,7 @@ def test_query_equals_its_sql(spark, duck, name):
 
 def test_each_operator_has_one_query():
     names = [n for n in entry.queries() if n.startswith("op")]
-    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 14))
 
 
 def test_stages_take_effect_and_keep_clean_rows(spark):
