@@ -19,12 +19,21 @@ from ordermetrics.session import written
 DEPTH = 3
 
 
-def _lines(docs: DataFrame, plain_numbers: bool = False) -> DataFrame:
-    """(doc_id, t, at, m, exact): each line of a text, masked unless ``exact``; blank lines have the empty ``m``."""
-    lines = docs.select("doc_id", text_key().alias("t"), F.posexplode(F.split("text", "\n")).alias("at", "line"))
-    plain = F.trim(F.regexp_replace("line", "[ \t\r]+", " "))
-    lines = lines.select("doc_id", "t", "at", plain.alias("m"))
-    digits, masked = F.col("m").rlike("[0-9]"), F.regexp_replace("m", "[^ 0-9]*+[0-9][^ ]*", "<*>")
+def _lines(docs: DataFrame) -> DataFrame:
+    """(doc_id, t, at, line): each line of a text that is not blank."""
+    # the key is taken before the lines, else each line would hash the whole text
+    parts = docs.select("doc_id", text_key().alias("t"), F.split("text", "\n").alias("parts"))
+    lines = parts.select("doc_id", "t", F.posexplode("parts").alias("at", "line"))
+    # asked of the raw line: a filter on the masked one would mask it a second time
+    return lines.where(F.btrim("line", F.lit(" \t\r")) != "")
+
+
+def _masked(lines: DataFrame, plain_numbers: bool = False) -> DataFrame:
+    """``lines`` with ``m`` for ``line``, masked unless ``exact``."""
+    uneven = F.contains("line", F.lit("  ")) | F.contains("line", F.lit("\t")) | F.contains("line", F.lit("\r"))
+    plain = F.trim(F.when(uneven, F.regexp_replace("line", "[ \t\r]+", " ")).otherwise(F.col("line")))
+    lines = lines.withColumn("m", plain).drop("line")
+    digits, masked = F.col("m").rlike("[0-9]"), F.regexp_replace("m", "(?<![^ ])[^ 0-9]*+[0-9][^ ]*+", "<*>")
     tokens = F.split(masked, " ")
     fields = digits & (2 * F.size(F.filter(tokens, lambda x: x.rlike(r"\p{L}"))) < F.size(tokens)) if plain_numbers else F.lit(False)
     return lines.withColumn("exact", fields).withColumn("m", F.when(digits & ~F.col("exact"), masked).otherwise(F.col("m")))
@@ -32,14 +41,26 @@ def _lines(docs: DataFrame, plain_numbers: bool = False) -> DataFrame:
 
 def _keyed(lines: DataFrame) -> DataFrame:
     """Adds the template key (h, g), the leaf and the number of tokens."""
-    tokens = F.length("m") - F.length(F.translate("m", " ", "")) + 1
+    tokens = (F.octet_length("m") - F.octet_length(F.replace("m", F.lit(" "), F.lit(""))) + 1).cast("int")
     return lines.withColumn("n", tokens).withColumn("leaf", F.xxhash64("n", F.when(F.col("exact"), F.col("m")).otherwise(F.substring_index("m", " ", DEPTH)))).withColumn(
         "h", F.xxhash64("m")).withColumn("g", F.hash("m"))
 
 
+def _texts(docs: DataFrame, stored: DataFrame, open_: DataFrame, plain_numbers: bool) -> DataFrame:
+    """(h, g, m): the masked line of each of the templates ``open_``, read again from one place of the first document that has it."""
+    same = (stored["h"] == open_["h"]) & (stored["g"] == open_["g"]) & stored["doc_id"].eqNullSafe(open_["first"])
+    places = stored.join(open_, same).groupBy(stored["h"], stored["g"], "doc_id").agg(F.min(F.struct("t", "at")).alias("p"))
+    wanted = places.groupBy("doc_id", F.col("p.t").alias("t")).agg(F.collect_set("p.at").alias("ats"))
+    texts = docs.select("doc_id", text_key().alias("t"), "text").alias("d").join(
+        wanted.alias("w"), F.col("d.doc_id").eqNullSafe(F.col("w.doc_id")) & (F.col("d.t") == F.col("w.t")))
+    parts = texts.select(F.split("text", "\n").alias("parts"), "ats")
+    lines = parts.select(F.explode(F.transform("ats", lambda at: F.col("parts")[at])).alias("line"))
+    return _keyed(_masked(lines, plain_numbers)).groupBy("h", "g").agg(F.first("m").alias("m"))
+
+
 def dropped_lines(docs: DataFrame, min_docs: int = 10, alike: float = 0.75, long_words: int | None = None, plain_numbers: bool = False) -> DataFrame:
     """(doc_id, t, dropped): for each document with such lines their places, from 0."""
-    stored = written(_keyed(_lines(docs, plain_numbers).where("m <> ''")).select("doc_id", "t", "at", "h", "g", "leaf", "n"), "lines")
+    stored = written(_keyed(_masked(_lines(docs), plain_numbers)).select("doc_id", "t", "at", "h", "g", "leaf", "n"), "lines")
     templates = stored.select("h", "g", "leaf", "n", "doc_id").distinct().groupBy("h", "g", "leaf", "n").agg(
         F.count("doc_id").alias("docs"), F.min("doc_id").alias("first"))
     templates = written(templates, "templates")
@@ -49,7 +70,7 @@ def dropped_lines(docs: DataFrame, min_docs: int = 10, alike: float = 0.75, long
     rare = templates.where((F.col("docs") < enough) & (F.col("n") > DEPTH))
     leaves = rare.groupBy("leaf", "n").agg(F.sum("docs").alias("all"), F.count("*").alias("kinds")).where((F.col("all") >= min_docs) & (F.col("kinds") > 1))
     open_ = written(rare.join(leaves.select("leaf", "n"), ["leaf", "n"], "left_semi"), "open-templates")
-    texts = _keyed(_lines(docs, plain_numbers).where("m <> ''")).join(open_.select("h", "g"), ["h", "g"], "left_semi").groupBy("h", "g").agg(F.first("m").alias("m"))
+    texts = _texts(docs, stored, open_, plain_numbers)
     tokens = written(texts.join(open_, ["h", "g"]).select("leaf", "n", "h", "g", "docs", F.posexplode(F.split("m", " ")).alias("at", "token")), "open-tokens")
     votes = tokens.groupBy("leaf", "n", "at", "token").agg(F.sum("docs").alias("votes"))
     per_place = Window.partitionBy("leaf", "n", "at")

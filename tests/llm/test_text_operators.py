@@ -113,6 +113,19 @@ def test_unlike_lines_of_one_leaf_stay(frame):
     assert all(r.n_dropped == 0 for r in lines.drop_recurring_lines(frame(docs, DOCS), min_docs=5).collect())
 
 
+def test_lines_are_masked_once_and_open_templates_read_from_one_place(frame, monkeypatch):
+    plans, keep = {}, lines.written
+    monkeypatch.setattr(lines, "written", lambda df, purpose: plans.update({purpose: df._jdf.queryExecution().optimizedPlan().toString()}) or keep(df, purpose))
+    docs = [(i, f"Visited {i} times\r\n \t\r\n\n  posted  by\tuser name{'abcdefghijkl'[i]} on the board today \r\nposted by user name{'abcdefghijkl'[i]} on the board today") for i in range(12)]
+    docs += [(3, "posted by user namex on the board today"), (None, "No line of others\nposted by user namey on the board today")]
+    got = lines.drop_recurring_lines(with_clashes(frame(docs, DOCS)), min_docs=10).collect()
+    assert {(r.doc_id, r.n_dropped, r.text) for r in got if r.doc_id not in range(1, 12) or r.text == ""} == {
+        (0, 0, docs[0][1]), (3, 1, ""), (None, 1, "No line of others")}
+    assert all(r.n_dropped == 3 and r.text == " \t\r\n" for r in got if r.doc_id in range(1, 12) and r.text)
+    assert plans["lines"].count("<*>") == 1  # in the projection alone, not in a filter too
+    assert plans["open-tokens"].count("posexplode") == 1  # of tokens; the texts are not taken apart into all their lines again
+
+
 def test_lines_on_odd_input(frame):
     docs = [*odd_rows(), *[(50, "once more\nonce more")] * 3, *[(60 + i, "once more") for i in range(4)], (None, "once more")]
     got = lines.drop_recurring_lines(with_clashes(frame(docs, DOCS)), min_docs=5).collect()
