@@ -331,11 +331,10 @@ def monthly_mean_days(df: DataFrame, month_of: str, later: str, earlier: str, si
     return _as_month_ends(fill_periods(months, "month", "MONTH"), since)
 
 
-def _pair_timeline(kits: DataFrame, ends: DataFrame, series: Sequence[str], since: str | None) -> DataFrame:
+def _pair_timeline(kits: DataFrame, ends: DataFrame, since: str | None) -> DataFrame:
     """Mean days from each ship date to each end of its delivery, by ship month and series; months without a pair are null."""
-    each = F.explode(F.array(*[F.lit(name) for name in series]))
-    starts = kits.select("delivery_id", "ship_date", truncated("month", "ship_date").alias("month"), each.alias("series"))
-    sums = day_gap_sums(starts, ends, ["series", "delivery_id"], ["series", "month"], "ship_date", "ended", "n")
+    starts = kits.select("delivery_id", "ship_date", truncated("month", "ship_date").alias("month"))
+    sums = day_gap_sums(starts, ends, ["delivery_id"], ["series", "month"], "ship_date", "ended", "n")
     means = sums.select("series", "month", half_even(ratio("gap_days", "gap_pairs")).alias("mean_days"))
     return _as_month_ends(fill_periods(means, "month", "MONTH", groups=["series"]), since)
 
@@ -360,13 +359,15 @@ def _releases(orders: DataFrame, samples: DataFrame, reports: DataFrame) -> Data
 
 def accession_timeline(orders: DataFrame, kits: DataFrame, samples: DataFrame, since: str | None = None) -> DataFrame:
     """Mean days from shipping to accession; transcribed order flows left out."""
-    return _pair_timeline(kits, _accessions(orders, samples), ["accession"], since).drop("series")
+    return _pair_timeline(kits, _accessions(orders, samples), since).drop("series")
 
 
 def process_turnaround(orders: DataFrame, samples: DataFrame, results: DataFrame, since: str | None = None) -> DataFrame:
     """Mean days from accession to the order's first result, by accession month."""
-    first = first_per_key(results, ["order_id"], ["result_created_at"], ["result_id"])
-    sampled = join_on(orders.select("order_id", "sample_id"), samples, {"sample_id": "sample_id"}, "inner")
+    # of the first result only its time counts, so no rows are ranked
+    first = results.groupBy("order_id").agg(F.min("result_created_at").alias("result_created_at"))
+    received = samples.select("sample_id", "sample_received")
+    sampled = join_on(orders.select("order_id", "sample_id"), received, {"sample_id": "sample_id"}, "inner")
     joined = join_on(sampled, first, {"order_id": "order_id"}, "inner")
     return monthly_mean_days(joined, "sample_received", "result_created_at", "sample_received", since)
 
@@ -374,14 +375,14 @@ def process_turnaround(orders: DataFrame, samples: DataFrame, results: DataFrame
 def release_timeline(orders: DataFrame, kits: DataFrame, samples: DataFrame, reports: DataFrame,
                      since: str | None = None) -> DataFrame:
     """Mean days from shipping to release, by ship month."""
-    return _pair_timeline(kits, _releases(orders, samples, reports), ["release"], since).drop("series")
+    return _pair_timeline(kits, _releases(orders, samples, reports), since).drop("series")
 
 
 def shipping_timelines(orders: DataFrame, kits: DataFrame, samples: DataFrame, reports: DataFrame,
                        since: str | None = None) -> DataFrame:
     """Both timelines from shipping, as series ``accession`` and ``release`` of one pass over shipments and ends."""
     ends = append_rows(_accessions(orders, samples), _releases(orders, samples, reports))
-    return _pair_timeline(kits, ends, ["accession", "release"], since)
+    return _pair_timeline(kits, ends, since)
 
 
 # --- blocked reports ------------------------------------------------------

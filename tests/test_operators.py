@@ -239,6 +239,29 @@ def test_gap_sums_equal_all_pairs(spark, frame, rows):
     assert {tuple(r)[1:] for r in gaps.day_gap_sums(s, open_, ["k"], ["g"], "s", "e", "w").collect()} == {(0, 0)}
 
 
+def test_gap_sums_scan_only_keys_that_cross_on_the_clock(frame, rows, monkeypatch):
+    at = "2024-01-{:02d} {:02d}:00:00".format
+    starts = [(1, "a", at(1, 0)), (1, None, at(2, 0)), (1, "a", at(1, 0)), (2, "a", at(1, 9)), (2, "b", at(3, 8)), (3, "a", at(1, 5)), (5, "a", at(1, 1)), (None, "a", at(1, 1))]
+    ends = [(1, "x", at(4, 0), 2), (1, "y", at(5, 7), 1), (2, "x", at(2, 7), 3), (2, None, at(6, 9), 1), (3, "x", None, 4), (4, "x", at(1, 1), 1), (5, "y", at(3, 1), 5)]
+    s, e = frame(starts, "k int, g string, s timestamp_ntz"), frame(ends, "k int, h string, e timestamp_ntz, w long")
+    scanned, scan = [], gaps.running_sum
+    monkeypatch.setattr(gaps, "running_sum", lambda *a: scanned.append(1) or scan(*a))
+
+    def check(s, e):
+        gap, w = days_floor("e", "s") * F.col("w"), F.when(F.col("e").isNotNull(), F.col("w")).otherwise(0)
+        pairs = s.join(e, "k").groupBy("g", "h").agg(
+            F.coalesce(F.sum(gap), F.lit(0)).cast("decimal(38,0)").alias("gap_days"), F.sum(w).cast("decimal(38,0)").alias("gap_pairs"))
+        got = gaps.day_gap_sums(s, e, ["k"], ["g", "h"], "s", "e", "w")
+        assert rows(got, "g", "h", "gap_days", "gap_pairs") == rows(pairs, "g", "h", "gap_days", "gap_pairs")
+
+    check(s, e)
+    assert not scanned  # every key and group stands on one side
+    check(s, e.union(frame([(1, "x", at(4, 6), 2), (1, None, at(4, 6), 1), (2, None, at(7, 8), 7)], "k int, h string, e timestamp_ntz, w long")))
+    crossing = s.union(frame([(1, "a", at(3, 3)), (2, None, at(9, 9)), (2, None, at(9, 1))], "k int, g string, s timestamp_ntz"))
+    check(crossing, e.union(frame([(1, "x", at(4, 2), 2), (1, "x", at(4, 4), 1), (2, None, at(7, 4), 7)], "k int, h string, e timestamp_ntz, w long")))
+    assert scanned
+
+
 def test_gap_sums_never_hold_the_pairs(spark):
     day = lambda c: (F.lit("2024-01-01").cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), c.cast("double")))
     s = spark.range(20_000).select(F.lit(1).alias("k"), day(F.col("id") * 7 % 86_400).alias("s"))
