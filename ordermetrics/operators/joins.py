@@ -15,12 +15,14 @@ from ordermetrics.session import written
 
 
 def join_on(left: DataFrame, right: DataFrame, keys: Mapping[str, str], how: str = "left", null_safe: bool = False,
-            as_text: bool = False) -> DataFrame:
+            as_text: bool = False, spread: Sequence[str] = ()) -> DataFrame:
     """Equi-join on differently named keys; the right key columns are dropped.
 
     ``null_safe`` lets null ids meet null ids, as data-frame merges do; the
     default is SQL's (they never match). ``as_text`` compares the keys as text.
     For a full or right join the left key takes the right key's value.
+    Rows of a left join whose key is null match nothing and would all reach one
+    task; they are dealt by the hash of the left columns ``spread``.
     """
     renamed = right.withColumnsRenamed({r: f"__r_{r}" for r in keys.values()})
 
@@ -30,7 +32,17 @@ def join_on(left: DataFrame, right: DataFrame, keys: Mapping[str, str], how: str
             a, b = a.cast("string"), b.cast("string")
         return a.eqNullSafe(b) if null_safe else a == b
 
-    joined = left.join(renamed, reduce(lambda a, b: a & b, [same(l, r) for l, r in keys.items()]), how)
+    on = reduce(lambda a, b: a & b, [same(l, r) for l, r in keys.items()])
+    if spread:
+        if how != "left" or null_safe:
+            raise ValueError("spread is for left joins on which nulls don't match")
+        absent = reduce(lambda a, b: a | b, [left[l].isNull() for l in keys])
+        dealt = left.withColumn("__dealt", F.when(absent, F.xxhash64(*spread)).otherwise(F.lit(0).cast("long")))
+        # zero, but not a literal, which the optimizer would take out of the join's keys
+        zero = F.pmod(F.xxhash64(*[f"__r_{r}" for r in keys.values()]), F.lit(1)).cast("long")
+        joined = dealt.join(renamed.withColumn("__r_dealt", zero), on & (F.col("__dealt") == F.col("__r_dealt")), how)
+        return joined.drop("__dealt", "__r_dealt", *[f"__r_{r}" for r in keys.values()])
+    joined = left.join(renamed, on, how)
     if how in ("left_semi", "left_anti"):
         return joined
     if how in ("full", "full_outer", "outer", "right", "right_outer"):

@@ -126,12 +126,13 @@ def program_orders(carts: DataFrame, orders: DataFrame, order_types: DataFrame,
     typed = join_on(keyed, order_types.select("order_type_id", "clinical_type_name"), {"order_type_id": "order_type_id"})
     tagged = typed.join(upgraded, "order_id", "left")
     sent = shipments.where(F.col("type") == "NORMAL").select("delivery_id", "ship_date", "delivered_date")
-    shipped = join_on(tagged, sent, {"delivery_id": "delivery_id"})
+    shipped = join_on(tagged, sent, {"delivery_id": "delivery_id"}, spread=["order_id"])
     received = join_on(shipped, samples.select("sample_id", F.coalesce("received", "arrived").alias("sample_received_date")),
-                       {"sample_id": "sample_id"})
+                       {"sample_id": "sample_id"}, spread=["order_id"])
     cart = carts.select("cart_id", "product", DATE, "program", "source", F.col("order_id_modified").alias("use_for_join"))
     overlapping = [c for c in cart.columns if c != "use_for_join"]
-    joined = cart.join(received.drop(*overlapping), "use_for_join", "left").withColumn(
+    # most carts have no order
+    joined = join_on(cart, received.drop(*overlapping), {"use_for_join": "use_for_join"}, spread=["cart_id", DATE]).withColumn(
         "__single", F.when(F.col("prescription_id").isNull(), F.coalesce("order_id", "cart_id"))
     )
     counted = numbered(
@@ -171,7 +172,7 @@ def weekly_program_orders(carts: DataFrame, orders: DataFrame, as_of, days: int
     recent = carts.where(since_week_of(DATE, as_of, days) & F.col("source").isNotNull())
     known = orders.select(canonical_order_id().alias("ordered_id")).distinct()
     joined = join_on(recent.select(DATE, "program", "order_id_modified"), known.withColumn("found", F.lit(True)),
-                     {"order_id_modified": "ordered_id"})
+                     {"order_id_modified": "ordered_id"}, spread=[DATE, "program"])
     return joined.groupBy(truncated("week", DATE).alias(DATE), program_category().alias("program_category")).agg(
         F.count_distinct(F.when(F.col("found"), F.col("order_id_modified"))).alias("kit1_count_of_orders_generated")
     )

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ordermetrics import catalog
 from ordermetrics.functions.timeframe import days_floor
 from ordermetrics.operators import calendar, distinct, gaps, joins, metadata, prefix, quantiles, rank, reshape, trend
 from ordermetrics.schemas import SCHEMAS, SchemaError, check_schema
@@ -284,6 +285,32 @@ def test_aligned_raises_on_a_repeated_index_and_stacks_raw_rows(frame, rows):
     assert got._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
 
 
+def test_null_keys_of_a_left_join_are_dealt_to_all_tasks(spark, rows):
+    left = spark.range(4000).select(F.when(F.col("id") % 5 == 0, (F.col("id") % 40).cast("int")).alias("k"), F.when(F.col("id") % 7 > 0, F.col("id")).alias("at"))
+    right = spark.range(30).select(F.when(F.col("id") != 10, F.col("id")).alias("r"), (F.col("id") * 2).alias("v"))
+    settings = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        got = joins.join_on(left, right, {"k": "r"}, spread=["at"])
+        sizes = [r["count"] for r in got.groupBy(F.spark_partition_id()).count().collect()]
+        # one in seven has the same value to deal by, too
+        assert len(sizes) == 4 and max(sizes) < 2000
+        assert got.columns == ["k", "at", "v"] and rows(got) == rows(joins.join_on(left, right, {"k": "r"}))
+        pair = joins.join_on(left, right.withColumn("w", F.col("v")), {"k": "r", "at": "w"}, spread=["k", "at"])
+        assert rows(pair) == rows(joins.join_on(left, right.withColumn("w", F.col("v")), {"k": "r", "at": "w"}))
+        carts = catalog.queries()
+        for name in ("j17_program_rows", "m28_orders_by_program"):
+            plan = carts[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+            assert "__dealt" in plan.split("hashpartitioning(use_for_join" if name[0] == "j" else "hashpartitioning(order_id_modified")[1].split(")")[0]
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    with pytest.raises(ValueError):
+        joins.join_on(left, right, {"k": "r"}, "inner", spread=["at"])
+
+
 def test_rate_lookup_joins_the_card_once(spark, frame):
     claims = frame([(i, "a" if i % 3 else "b", "a", 1.0, 2.0) for i in range(60)], "id int, c1 string, c2 string, u1 double, u2 double")
     card = frame([("a", 10.0), ("b", 5.0)], "code string, rate double")
