@@ -31,6 +31,13 @@ def ascii_lower(text: str) -> Column:
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
 
 
+def freed() -> None:
+    """Gives back what Arrow keeps of the memory it no longer uses; a Python worker would hold it beside later tasks."""
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+
+
 def text_key(text: str = "text") -> Column:
     """Tells rows of one doc_id with different texts apart."""
     return F.xxhash64(F.col(text))

@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ordermetrics.llm.common import bounded_sample, held_out
+from ordermetrics.llm.common import bounded_sample, freed, held_out
 from ordermetrics.session import written
 
 BITS = 15
@@ -175,6 +175,7 @@ def _scored(docs: DataFrame, model: Model) -> DataFrame:
         letters = _letters()
         for batch in batches:
             yield score_texts(list(batch), shared.value, letters)
+            freed()
 
     return docs.withColumn("_p", predict("text"))
 

@@ -25,8 +25,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from tokenizers import Tokenizer
 
+from ordermetrics.llm.common import freed
+
 STREAM = 1 << 19  # ids a task holds before it fixes cuts
-REMEMBERED = 400_000  # encoded words a generation holds, some 60 MB; a worker keeps two
+REMEMBERED = 300_000  # words met since the last change after which the others are forgotten
+HELD_BYTES = 1 << 25  # of words and ids remembered; more than that forgets as well
+LONG = 64  # bytes of a word that is remembered for longer
 MARKS = ".,;:!?%#&*$()[]{}-+=/@~^_"
 TOGETHER = 1 << 21  # characters of texts that are encoded together, more if one text has more
 INSIDE = 128  # a sentence may be cut after so many ids
@@ -39,8 +43,9 @@ class Encoder:
     The tokenizer's words never span white space, so each stretch between blanks is
     encoded once and remembered. A stretch of letters with marks behind is its letters
     and those marks, which the tokenizer parts as well; letters not seen yet are encoded
-    many at once, and the ids that end a word tell them apart. When the words seen since the last
-    change fill a generation, it becomes the older one; words met again move on, others are forgotten.
+    many at once, and the ids that end a word tell them apart. Words and ids stand in arrays, some
+    40 bytes a word, as a worker holds them beside all its later tasks. When the words met since the
+    last change are many, the others are forgotten.
     """
 
     def __init__(self, path: str):
@@ -52,8 +57,12 @@ class Encoder:
         for token, number in vocabulary.items():
             self.final[number] = token.endswith("</w>")
             self.sentence[number] = self.final[number] and token.removesuffix("</w>")[-1:] in SENTENCE_ENDS
-        self.known: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
+        self._hold(pa.array([], pa.large_string()), np.zeros(0, "<u4"), np.zeros(0, np.int64))
+
+    def _hold(self, words: pa.Array, flat: np.ndarray, sizes: np.ndarray) -> None:
+        """Remembers just ``words``, whose ids stand in ``flat`` one word behind the other."""
+        self.words, self.flat, self.sizes = words, flat, sizes
+        self.starts, self.met = np.cumsum(sizes) - sizes, np.zeros(len(words), bool)
 
     def encode(self, texts: list[str]) -> Iterator[np.ndarray]:
         """The ids of each text in turn. Texts go together, so that a word is looked up once for all of them."""
@@ -71,16 +80,11 @@ class Encoder:
     def _encoded(self, texts: list[str]) -> Iterator[np.ndarray]:
         split = pc.split_pattern(pa.array([self._lower(t).replace("\n", " ") for t in texts], pa.large_string()), " ")
         coded = split.flatten().dictionary_encode()
-        words, index = coded.dictionary.to_numpy(zero_copy_only=False).tolist(), coded.indices.to_numpy()
-        if len(self.known) > REMEMBERED:
-            self.known, self.older = {}, self.known
-        self._learn([w for w in words if w not in self.known and not self._recalled(w)])
-        raw = list(map(self.known.__getitem__, words))
-        sizes = np.fromiter(map(len, raw), np.int64, len(raw)) // 4
-        flat, starts = np.frombuffer(b"".join(raw), "<u4"), np.cumsum(sizes) - sizes
-        lengths = sizes[index]
+        places, index = self._places(coded.dictionary), coded.indices.to_numpy()
+        lengths = self.sizes[places][index]
         ends = np.cumsum(lengths)
-        ids = flat[np.arange(ends[-1]) + np.repeat(starts[index] - (ends - lengths), lengths)]
+        ids = self.flat[np.arange(ends[-1]) + np.repeat(self.starts[places][index] - (ends - lengths), lengths)]
+        self._forget()
         bounds = np.concatenate([[0], ends])[split.offsets.to_numpy()]
         for a, b in zip(bounds[:-1], bounds[1:], strict=True):
             yield ids[a:b]
@@ -100,46 +104,69 @@ class Encoder:
         low = composed.lower()
         return text if "Σ" in composed or "İ" in composed or not unicodedata.is_normalized("NFC", low) else low
 
-    def _recalled(self, word: str) -> bool:
-        """Whether the older generation knows the word, which then moves on."""
-        found = self.older.get(word)
-        if found is None:
-            return False
-        self.known[word] = found
-        return True
-
-    def _learn(self, words: list[str]) -> None:
-        parted, whole, bodies = [], set(), set()
-        for word in words:
-            body = word.rstrip(MARKS)
+    def _places(self, words: pa.Array) -> np.ndarray:
+        """Where each of these distinct words stands among those remembered, which it joins if it is new."""
+        # the words without marks behind are asked for in the same pass, as it reads all that is remembered
+        bodies = pc.utf8_rtrim(words, MARKS)
+        found = pc.index_in(pa.concat_arrays([words, bodies]), value_set=self.words)
+        found, found_bodies = found[: len(words)], found[len(words) :]
+        places, new = found.fill_null(0).to_numpy(), found.is_null().to_numpy(zero_copy_only=False)
+        if new.any():
+            places = np.where(new, len(self.words) + np.cumsum(new) - 1, places)
+            self._learn(*(x.filter(found.is_null()).to_pylist() for x in (words, bodies, found_bodies)))
+        self.met[places] = True
+        return places
+
+    def _forget(self) -> None:
+        """When the words met since the last change are enough, or take too much, the others go, and so do long ones."""
+        freed()
+        if np.count_nonzero(self.met) <= REMEMBERED and self.words.nbytes + self.flat.nbytes <= HELD_BYTES:
+            return
+        keep = self.met & (pc.binary_length(self.words).to_numpy() <= LONG)
+        self._hold(self.words.filter(pa.array(keep)), self.flat[np.repeat(keep, self.sizes)], self.sizes[keep])
+
+    def _learn(self, words: list[str], bodies: list[str], places: list[int | None]) -> None:
+        """Remembers ``words``, in their order, and behind them their bodies (the words without the marks behind), unless these have a place."""
+        parted, whole, letters, known = [], set(), set(), {}
+        for word, body, place in zip(words, bodies, places, strict=True):
             # letters still when composed and lower-cased, as the tokenizer sees them
             if body.isalpha() and (body.isascii() or unicodedata.normalize("NFC", body).lower().isalpha()):
-                bodies.add(body)
+                if place is None:
+                    letters.add(body)
+                else:
+                    known[body] = self.flat[self.starts[place] : self.starts[place] + self.sizes[place]].tobytes()
                 if body != word:
                     parted.append((word, body))
                     whole.add(word[len(body) :])
             else:
                 whole.add(word)
-        other = [w for w in whole if w not in self.known]
+        other = list(whole)
         for at in range(0, len(other), 4096):
             part = other[at : at + 4096]
             for word, found in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self.known[word] = np.array(found.ids, "<u4").tobytes()
-        new = [b for b in bodies if b not in self.known and not self._recalled(b)]
+                known[word] = np.array(found.ids, "<u4").tobytes()
+        new = list(letters)
         for at in range(0, len(new), 4096):
-            self._letters(new[at : at + 4096])
-        known = self.known
+            known.update(self._letters(new[at : at + 4096]))
         for word, body in parted:
             known[word] = known[body] + known[word[len(body) :]]
-
-    def _letters(self, words: list[str]) -> None:
+        added = words + list(letters.difference(words))
+        raw = [known[w] for w in added]
+        sizes = np.fromiter(map(len, raw), np.int64, len(raw)) // 4
+        met = np.concatenate([self.met, np.ones(len(added), bool)])
+        self._hold(
+            pa.concat_arrays([self.words, pa.array(added, pa.large_string())]),
+            np.concatenate([self.flat, np.frombuffer(b"".join(raw), "<u4")]), np.concatenate([self.sizes, sizes]))
+        self.met = met
+
+    def _letters(self, words: list[str]) -> dict[str, bytes]:
+        """The ids of ``words``, each of letters alone, encoded at once."""
         ids = np.array(self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, "<u4")
         ends = (4 * np.flatnonzero(self.final[ids]) + 4).tolist() if len(ids) else []
         if len(ends) != len(words):  # a letter that the tokenizer doesn't count as one
-            self.known.update((w, np.array(self.tokenizer.encode(w, add_special_tokens=False).ids, "<u4").tobytes()) for w in words)
-            return
+            return {w: np.array(self.tokenizer.encode(w, add_special_tokens=False).ids, "<u4").tobytes() for w in words}
         raw = ids.tobytes()
-        self.known.update((w, raw[a:b]) for w, a, b in zip(words, [0, *ends], ends, strict=False))
+        return {w: raw[a:b] for w, a, b in zip(words, [0, *ends], ends, strict=False)}
 
 
 def encoder_of(path: str) -> Encoder:
@@ -281,5 +308,6 @@ def pack(docs: DataFrame, tokenizer: str, window: int = 2048, end_id: int = 1, s
                 if stream.held >= STREAM:
                     yield pd.DataFrame(list(stream.flush(False)), columns=names)
         yield pd.DataFrame(list(stream.flush(True)), columns=names)
+        freed()
 
     return docs.select("doc_id", "text").mapInPandas(run, schema)

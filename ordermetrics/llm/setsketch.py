@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ordermetrics.llm.common import components, text_key
+from ordermetrics.llm.common import components, freed, text_key
 from ordermetrics.session import written
 
 REGISTERS = 168
@@ -149,6 +149,7 @@ def sketched(docs: DataFrame, width: int, shape: tuple[int, int]) -> DataFrame:
             yield pd.DataFrame({
                 "doc_id": batch["doc_id"], "t": batch["t"], "n_shingles": sizes, "node": nodes,
                 "bands": list(band_keys(rows, *shape)), "sketch": [x.tobytes() for x in rows], "marks": marked})
+            freed()
 
     docs = docs.select("doc_id", text_key().alias("t"), "text")
     return docs.mapInPandas(sketch, docs.select("doc_id").schema.simpleString()[7:-1].replace(":", " ") + ", t long, n_shingles long, node binary, bands array<bigint>, sketch binary, marks binary")

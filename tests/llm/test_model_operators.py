@@ -1,12 +1,15 @@
 """Language, toxicity, vectors, packing, chat and archives against brute force and on odd input."""
 
+import gc
 import hashlib
 import random
+import tracemalloc
 import zlib
 from collections import defaultdict
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -275,6 +278,21 @@ def test_marks_that_compose_only_in_lower_case_encode_as_the_tokenizer_does():
     assert got == [whole.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+def test_remembered_words_take_few_bytes():
+    """A worker holds them beside all its later tasks; as texts in a dictionary each took some 200 bytes."""
+    encoder, n = packing.Encoder(vocabulary("word_bpe_49k.json")), 60_000
+    draw = random.Random(5)
+    words = {"".join(draw.choices("abcdefghij", k=9)) for _ in range(n)}
+    arrow = pa.total_allocated_bytes()
+    tracemalloc.start()
+    for _ in encoder.encode([" ".join(words)]):
+        pass
+    gc.collect()
+    held = tracemalloc.get_traced_memory()[0] + pa.total_allocated_bytes() - arrow
+    tracemalloc.stop()
+    assert held < 80 * n
+
+
 def test_texts_of_no_learned_language_are_rejected(spark):
     """Other scripts and letters at random go; the clean texts of all learned languages, short and cut ones too, stay."""
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
