@@ -3,6 +3,7 @@
 import gc
 import hashlib
 import random
+import time
 import tracemalloc
 import zlib
 from collections import defaultdict
@@ -204,6 +205,51 @@ def test_links_between_many_lists_of_a_hot_group(frame):
     assert [got[i].n_links for i in range(3000)] == want.tolist()
 
 
+def test_vectors_that_share_both_hashes(frame, monkeypatch):
+    whole = pq.F.xxhash64
+    monkeypatch.setattr(pq.F, "xxhash64", lambda *c: pq.F.pmod(whole(*c), pq.F.lit(3)) if c[-1] == "v" else whole(*c))
+    draw = np.random.default_rng(4)
+    rows = [(i, [float(np.float32(x)) for x in draw.normal(size=5)]) for i in range(60)]
+    rows += [(100 + i, v) for i, v in rows[:9]] + [(200, None), (201, [0.0] * 5)]
+    got = pq.near_vectors(frame(rows, "vec_id long, embedding array<double>"), threshold=0.8).collect()
+    assert sorted(((r.vec_id, r.n_links, r.component_id) for r in got), key=repr) == brute_vectors(rows, 0.8)
+
+
+def slab(number, unit, index):
+    near = pq._nearest(unit, index.centroids)
+    unit, near = unit[np.argsort(near, kind="stable")], np.sort(near)
+    codes, error = pq.encode(unit, near, index)
+    starts = np.concatenate([np.arange(a, b, pq.BLOCK) for a, b in pq._ranges(np.flatnonzero(np.diff(near, prepend=-1)), len(near))])
+    sizes = np.diff(starts, append=len(near))
+    centres = np.add.reduceat(unit, starts) / sizes[:, None]
+    radii = np.sqrt(np.maximum.reduceat(((unit - np.repeat(centres, sizes, axis=0)) ** 2).sum(1), starts))
+    return pq.Side(number, np.arange(len(unit)) + 10_000 * number, np.ones(len(unit), int), unit, starts, centres, radii, pq.decode(codes, near, index).astype(np.float32),
+                   np.sqrt(error[:, : index.lead].sum(1)), np.sqrt(error.sum(1)))
+
+
+def test_slabs_of_large_lists_meet_at_the_price_of_a_product():
+    draw = np.random.default_rng(6)
+    v = draw.normal(size=(8192, 64))
+    v[1:4096:16] = v[4096::16] + draw.normal(size=(256, 64)) * 0.3  # links across
+    v[3:4096:16] = v[2:4096:16] + draw.normal(size=(256, 64)) * 0.3  # and inside
+    v /= np.linalg.norm(v, axis=1)[:, None]
+    link = np.sqrt(0.2) + 1e-6
+    index = pq.fit(v, 4)  # some 1000 members a list and slab
+    index.lead = pq.leading(index, v, link)
+    x, y = slab(1, v[:4096], index), slab(2, v[4096:], index)
+    begin = time.process_time()
+    cosine = x.unit @ y.unit.T
+    price, begin = time.process_time() - begin, time.process_time()
+    found = pd.concat(pq._meet(x, y, index, 0.9, link))
+    took = time.process_time() - begin
+    assert took < 8 * price
+    links = dict(zip(found["node"], found["links"], strict=True))
+    assert [links.get(i, 0) for i in x.node] == (cosine >= 0.9).sum(1).tolist() and [links.get(i, 0) for i in y.node] == (cosine >= 0.9).sum(0).tolist()
+    within = pd.concat(pq._meet(x, x, index, 0.9, link))
+    links = dict(zip(within["node"], within["links"], strict=True))
+    assert [links.get(i, 0) for i in x.node] == ((x.unit @ x.unit.T >= 0.9).sum(1) - 1).tolist() and len(found) > 400 and len(within) > 400
+
+
 def test_vectors_without_rows(frame):
     assert pq.near_vectors(frame([], VECTORS)).count() == 0
     only = pq.near_vectors(frame([(1, None), (2, [0.0])], VECTORS)).collect()
